@@ -165,3 +165,14 @@ def clustered_sales(sales: DataFrame, labels: DataFrame) -> DataFrame:
     return (sales.join(lab, "property_code", "left")
             .withColumn("cluster", F.col("_label")).drop("_label")
             .select(*sales.columns))
+
+
+def sales_by_month(sales: DataFrame, month: str) -> DataFrame:
+    """S3: the sales of one period; a pushed-down filter (and partition
+    pruning when the table is written ``partitionBy('transaction_month')``)."""
+    return sales.where(F.col("transaction_month") == F.lit(month))
+
+
+def sales_by_product(sales: DataFrame, description: str) -> DataFrame:
+    """The sales of one product (a column predicate, not spliced SQL text)."""
+    return sales.where(F.col("description") == F.lit(description))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfsense.operators import pricing as P
 from shelfsense.operators import recommend as R
 from shelfsense.operators import sales as S
 from shelfsense.sources import load_tables, synthetic_sales
@@ -17,6 +18,9 @@ from shelfsense.sources import load_tables, synthetic_sales
 SALES_TABLES = ("lineitem", "part", "supplier", "nation", "region")
 N = 5
 TAIL = 0.10
+# One month and one product for the single-key source filters.
+SALES_MONTH = "1998-06"
+SALES_PRODUCT = "red widget"
 
 
 def sales_of(spark: SparkSession, sf_dir: str, period: str = "year") -> DataFrame:
@@ -27,6 +31,14 @@ def base_of(spark: SparkSession, sf_dir: str, period: str = "year") -> DataFrame
     return S.sales_base(sales_of(spark, sf_dir, period))
 
 
+def points_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.price_points(sales_of(spark, sf_dir))
+
+
+def _on_points(fn, *args, **kw) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: fn(points_of(spark, d), *args, **kw)
+
+
 def _on_base(fn, *args) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: fn(base_of(spark, d), *args)
 
@@ -46,4 +58,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "already_stocking_top": _on_base(R.already_stocking_top, N),
     "no_sales_categories": _on_base(R.no_sales_categories),
     "recommendation_report": _on_base(R.recommendation_report, N, TAIL),
+    "sales_by_month": lambda spark, d: S.sales_by_month(sales_of(spark, d, "month"), SALES_MONTH),
+    "sales_by_product": lambda spark, d: S.sales_by_product(sales_of(spark, d), SALES_PRODUCT),
+    "price_points": lambda spark, d: points_of(spark, d),
+    "price_points_by_cluster": lambda spark, d: P.price_points(
+        sales_of(spark, d), keys=("description", "cluster")),
+    "price_bins": _on_points(P.price_bins),
+    "price_fit": _on_points(P.price_fit),
+    "price_optimum": _on_points(P.price_optimum),
+    "price_binned_median": _on_points(P.price_binned_median),
+    "price_box_stats": _on_points(P.price_box_stats, "number_sold"),
+    "price_box_stats_revenue": _on_points(P.price_box_stats, "revenue"),
+    "price_strip_points": _on_points(P.price_strip_points),
+    "price_fit_curve": _on_points(P.price_fit_curve),
+    "price_histogram": _on_points(P.price_histogram, ("unit_price",)),
+    "price_histogram_all": _on_points(P.price_histogram, ("unit_price", "number_sold", "revenue")),
+    "price_kde": _on_points(P.price_kde, ("unit_price",)),
+    "price_kde_all": _on_points(P.price_kde, ("unit_price", "number_sold", "revenue")),
+    "price_curve": _on_points(P.price_curve),
+    "price_summary": _on_points(P.price_summary),
 }

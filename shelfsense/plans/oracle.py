@@ -174,3 +174,229 @@ WHERE NOT EXISTS (SELECT 1 FROM stocking a WHERE a.property_code = s.property_co
                   AND a.category_name = s.category_name AND a.transaction_month = s.transaction_month)
 """, levels=True)
 SQL["no_sales_categories"] = with_sales("SELECT * FROM no_sales", levels=True)
+
+
+# ---------------------------------------------------------------- pricing
+def q_sql(rank: str, val: str, p: float, n: str = "n") -> str:
+    """Linear-interpolation quantile ``p`` of ``val`` in a group, as an
+    aggregate over rows ranked by ``val`` (``rank`` 1..``n``).  Written with
+    the interpolation ``(hi - pos) * lo_v + (pos - lo) * hi_v`` and no
+    interpolation when the position is whole or both values are equal."""
+    pos = f"((CAST({n} AS DOUBLE) - 1) * {p})"
+    lo_v = f"max(CASE WHEN {rank} = floor({pos}) + 1 THEN {val} END)"
+    hi_v = f"max(CASE WHEN {rank} = ceil({pos}) + 1 THEN {val} END)"
+    return (f"(CASE WHEN floor({pos}) = ceil({pos}) OR {lo_v} = {hi_v} THEN {lo_v} "
+            f"ELSE (ceil({pos}) - {pos}) * {lo_v} + ({pos} - floor({pos})) * {hi_v} END)")
+
+
+PRICE = """
+pts AS (
+  SELECT description, unit_price, avg(number_sold) AS number_sold,
+         unit_price * avg(number_sold) AS revenue
+  FROM (SELECT description, number_sold,
+               CASE WHEN number_sold <> 0
+                    THEN round_even(dollars_sold / number_sold * 100.0, 0) / 100.0 END AS unit_price
+        FROM sales)
+  WHERE unit_price IS NOT NULL AND description IS NOT NULL
+  GROUP BY description, unit_price
+),
+bins0 AS (
+  SELECT *, round_even(min(unit_price) OVER w, 0) AS price_low,
+         CAST(ceil(max(unit_price) OVER w) AS DOUBLE) AS price_high,
+         CAST(round_even(unit_price * 100.0, 0) AS BIGINT) AS price_cents
+  FROM pts WINDOW w AS (PARTITION BY description)
+),
+bins AS (
+  SELECT *, price_low + 0.25 * bin AS bin_edge FROM (
+    SELECT *, CAST(greatest(ceil((price_cents - CAST(price_low AS BIGINT) * 100) / 25), 0) AS INTEGER) AS bin
+    FROM bins0)
+),
+orows AS (
+  SELECT *, CAST(max(CASE WHEN rk = 1 THEN bin END) OVER (PARTITION BY description) AS INTEGER) AS best_bin FROM (
+    SELECT *, row_number() OVER (PARTITION BY description
+                                 ORDER BY abs(n_prices * bin - sum_bin), unit_price) AS rk,
+           CASE WHEN max_cents > min_cents THEN
+             CAST(least(floor((price_cents - min_cents) * 10 / (max_cents - min_cents)), 9) AS INTEGER) END AS ten_bin
+    FROM (SELECT *, count(*) OVER w AS n_prices, sum(bin) OVER w AS sum_bin,
+                 min(price_cents) OVER w AS min_cents, max(price_cents) OVER w AS max_cents
+          FROM bins WINDOW w AS (PARTITION BY description)))
+),
+tb_r AS (
+  SELECT description, ten_bin, number_sold, revenue, min_cents, max_cents,
+         row_number() OVER (PARTITION BY description, ten_bin ORDER BY number_sold) AS ru,
+         row_number() OVER (PARTITION BY description, ten_bin ORDER BY revenue) AS rr,
+         count(*) OVER (PARTITION BY description, ten_bin) AS n
+  FROM orows WHERE ten_bin IS NOT NULL
+),
+tenbin AS (
+  SELECT description, ten_bin, n, min(min_cents) AS min_cents, max(max_cents) AS max_cents,
+         """ + q_sql("ru", "number_sold", 0.5) + """ AS median_units,
+         """ + q_sql("rr", "revenue", 0.5) + """ AS median_revenue
+  FROM tb_r GROUP BY description, ten_bin, n
+),
+fb_r AS (
+  SELECT description, number_sold, revenue,
+         row_number() OVER (PARTITION BY description ORDER BY number_sold) AS ru,
+         row_number() OVER (PARTITION BY description ORDER BY revenue) AS rr,
+         count(*) OVER (PARTITION BY description) AS n
+  FROM orows WHERE bin = best_bin
+),
+fb AS (
+  SELECT description, """ + q_sql("ru", "number_sold", 0.5) + """ AS fb_sales,
+         """ + q_sql("rr", "revenue", 0.5) + """ AS fb_rev
+  FROM fb_r GROUP BY description, n
+),
+optimum AS (
+  SELECT p.description, CAST(p.n_prices AS BIGINT) AS n_prices,
+         CASE WHEN p.n_prices >= 2 THEN p.best_bin END AS best_bin,
+         CASE WHEN p.n_prices >= 2 THEN p.price_low + 0.25 * p.best_bin END AS best_price,
+         CASE WHEN p.n_prices >= 2 THEN p.edges[p.best_bin + 1] END AS best_price_literal,
+         CASE WHEN p.n_prices >= 2 THEN round_even((CASE WHEN t.max_rev <> 0 THEN t.max_rev ELSE fb.fb_rev END) * 1000000.0, 0) / 1000000.0 END AS best_revenue,
+         CASE WHEN p.n_prices >= 2 THEN round_even((CASE WHEN t.max_sales <> 0 THEN t.max_sales ELSE fb.fb_sales END) * 1000000.0, 0) / 1000000.0 END AS best_sales,
+         CASE WHEN p.n_prices >= 2 THEN CAST(coalesce(t.n_median_bins, 0) AS INTEGER) END AS n_median_bins
+  FROM (SELECT description, count(*) AS n_prices, max(best_bin) AS best_bin, min(price_low) AS price_low,
+               list_sort(list(DISTINCT bin_edge)) AS edges
+        FROM orows GROUP BY description) p
+  LEFT JOIN fb USING (description)
+  LEFT JOIN (SELECT description, max(median_revenue) AS max_rev, max(median_units) AS max_sales,
+                    count(*) AS n_median_bins
+             FROM tenbin GROUP BY description) t USING (description)
+)"""
+
+
+def with_price(body: str) -> str:
+    return "WITH " + sales_cte("year") + "," + PRICE + "\n" + body
+
+
+def r6(x: str) -> str:
+    return f"round_even(({x}) * 1000000.0, 0) / 1000000.0"
+
+
+SQL["price_points"] = with_price("SELECT * FROM pts")
+SQL["price_bins"] = with_price("SELECT * FROM bins")
+SQL["price_fit"] = with_price(f"""
+SELECT description, CAST(count(*) AS BIGINT) AS n_prices, min(unit_price) AS min_price,
+       max(unit_price) AS max_price, min(price_low) AS price_low, max(price_high) AS price_high,
+       CAST((max(price_high) - min(price_low)) * 4 + 1 AS INTEGER) AS n_edges,
+       avg(bin) AS mean_bin, {r6('stddev_pop(bin)')} AS std_bin,
+       CAST(count(DISTINCT bin) AS INTEGER) AS n_occupied_bins,
+       array_to_string(list_sort(list(DISTINCT bin)), ',') AS occupied_bins
+FROM bins GROUP BY description""")
+SQL["price_optimum"] = with_price("SELECT * FROM optimum")
+SQL["price_binned_median"] = with_price(f"""
+SELECT description, ten_bin, CAST(n AS BIGINT) AS n,
+       {r6('(min_cents + (max_cents - min_cents) / 10 * ten_bin) / 100')} AS bin_low,
+       {r6('(min_cents + (max_cents - min_cents) / 10 * (ten_bin + 1)) / 100')} AS bin_high,
+       {r6('median_units')} AS median_units, {r6('median_revenue')} AS median_revenue
+FROM tenbin""")
+
+
+def _box_sql(measure: str) -> str:
+    return with_price(f"""
+, br AS (SELECT description, bin, {measure} AS y,
+                row_number() OVER (PARTITION BY description, bin ORDER BY {measure}) AS r,
+                count(*) OVER (PARTITION BY description, bin) AS n FROM bins),
+bq AS (SELECT description, bin, [{q_sql('r', 'y', 0.25)}, {q_sql('r', 'y', 0.5)}, {q_sql('r', 'y', 0.75)}] AS qs
+       FROM br GROUP BY description, bin, n),
+bj AS (SELECT b.description, b.bin, b.bin_edge, b.{measure} AS y, q.qs,
+              q.qs[1] - 1.5 * (q.qs[3] - q.qs[1]) AS lo_f, q.qs[3] + 1.5 * (q.qs[3] - q.qs[1]) AS hi_f
+       FROM bins b JOIN bq q USING (description, bin)),
+ba AS (SELECT description, bin, min(bin_edge) AS bin_edge, count(*) AS n, any_value(qs) AS qs,
+              min(CASE WHEN y >= lo_f THEN y END) AS wlo, max(CASE WHEN y <= hi_f THEN y END) AS whi,
+              count(CASE WHEN y < lo_f OR y > hi_f THEN 1 END) AS n_outliers
+       FROM bj GROUP BY description, bin)
+SELECT description, '{measure}' AS measure, bin, bin_edge, CAST(n AS BIGINT) AS n,
+       {r6('qs[1]')} AS q1, {r6('qs[2]')} AS median, {r6('qs[3]')} AS q3,
+       {r6('CASE WHEN wlo IS NULL OR wlo > qs[1] THEN qs[1] ELSE wlo END')} AS whisker_low,
+       {r6('CASE WHEN whi IS NULL OR whi < qs[3] THEN qs[3] ELSE whi END')} AS whisker_high,
+       CAST(n_outliers AS BIGINT) AS n_outliers
+FROM ba""").replace(")\n, br", "),\nbr", 1)
+
+
+SQL["price_box_stats"] = _box_sql("number_sold")
+SQL["price_box_stats_revenue"] = _box_sql("revenue")
+SQL["price_strip_points"] = with_price(f"""
+, sr AS (SELECT description, bin, number_sold, revenue,
+                row_number() OVER (PARTITION BY description, bin ORDER BY number_sold) AS ru,
+                row_number() OVER (PARTITION BY description, bin ORDER BY revenue) AS rr,
+                count(*) OVER (PARTITION BY description, bin) AS n FROM bins),
+sq AS (SELECT description, bin,
+              [{q_sql('ru', 'number_sold', 0.25)}, {q_sql('ru', 'number_sold', 0.75)}] AS u,
+              [{q_sql('rr', 'revenue', 0.25)}, {q_sql('rr', 'revenue', 0.75)}] AS r
+       FROM sr GROUP BY description, bin, n)
+SELECT b.description, b.unit_price, b.number_sold, b.revenue, b.bin, b.bin_edge,
+       (b.number_sold < q.u[1] - 1.5 * (q.u[2] - q.u[1]) OR b.number_sold > q.u[2] + 1.5 * (q.u[2] - q.u[1])) AS outlier_units,
+       (b.revenue < q.r[1] - 1.5 * (q.r[2] - q.r[1]) OR b.revenue > q.r[2] + 1.5 * (q.r[2] - q.r[1])) AS outlier_revenue
+FROM bins b JOIN sq q USING (description, bin)""").replace(")\n, sr", "),\nsr", 1)
+SQL["price_fit_curve"] = with_price(f"""
+, fc AS (
+  SELECT *, max(density) OVER (PARTITION BY description) AS max_density FROM (
+    SELECT *, CASE WHEN std_bin > 0 THEN
+                exp(-(((bin - mean_bin) / std_bin) * ((bin - mean_bin) / std_bin)) / 2) / (std_bin * sqrt(2 * pi())) END AS density
+    FROM (SELECT *, avg(bin) OVER w AS mean_bin, stddev_pop(bin) OVER w AS std_bin
+          FROM bins WINDOW w AS (PARTITION BY description))))
+SELECT f.description, f.unit_price, f.bin, {r6('f.density')} AS density,
+       {r6('f.density / f.max_density * o.best_sales')} AS fit_units,
+       {r6('f.density / f.max_density * o.best_revenue')} AS fit_revenue
+FROM fc f LEFT JOIN optimum o USING (description)""").replace(")\n, fc", "),\nfc", 1)
+SQL["price_summary"] = with_price("""
+SELECT description, printf('%.2f', round_even(best_price * 100.0, 0) / 100.0) AS best_price,
+       printf('%.0f', round_even(best_sales, 0)) AS best_sales,
+       printf('%.0f', round_even(best_revenue, 0)) AS best_revenue
+FROM optimum""")
+
+
+def _hist_sql(variables: list[str]) -> str:
+    unions = "\n  UNION ALL ".join(
+        f"SELECT description, '{v}' AS variable, "
+        + ("CAST(round_even(unit_price * 100.0, 0) AS DOUBLE)" if v == "unit_price" else v)
+        + f" AS v FROM pts" for v in variables)
+    return with_price(f"""
+, hl AS ({unions}),
+hs AS (SELECT description, variable, count(*) AS n, min(v) AS vmin, max(v) AS vmax
+       FROM hl GROUP BY description, variable HAVING count(*) >= 2),
+hs2 AS (SELECT *, CASE WHEN vmax > vmin THEN vmin ELSE vmin - 0.5 END AS lo,
+               CASE WHEN vmax > vmin THEN vmax ELSE vmax + 0.5 END AS hi FROM hs),
+hb AS (SELECT h.description, h.variable,
+              CAST(least(CASE WHEN h.variable = 'unit_price'
+                              THEN floor((h.v - s.lo) * 15 / (s.hi - s.lo))
+                              ELSE floor((h.v - s.lo) * (15.0 / (s.hi - s.lo))) END, 14) AS INTEGER) AS bin
+       FROM hl h JOIN hs2 s USING (description, variable)),
+hc AS (SELECT description, variable, bin, count(*) AS cnt FROM hb GROUP BY ALL),
+hg AS (SELECT s.*, CAST(g.bin AS INTEGER) AS bin, CASE WHEN s.variable = 'unit_price' THEN 0.01 ELSE 1.0 END AS scale
+       FROM hs2 s CROSS JOIN range(15) g(bin))
+SELECT g.description, g.variable, g.bin,
+       {r6('(g.lo + (g.hi - g.lo) / 15 * g.bin) * g.scale')} AS bin_low,
+       {r6('(g.lo + (g.hi - g.lo) / 15 * (g.bin + 1)) * g.scale')} AS bin_high,
+       CAST(coalesce(c.cnt, 0) AS BIGINT) AS count,
+       {r6('coalesce(c.cnt, 0) / (g.n * ((g.hi - g.lo) / 15) * g.scale)')} AS density
+FROM hg g LEFT JOIN hc c USING (description, variable, bin)""").replace(")\n, hl", "),\nhl", 1)
+
+
+SQL["price_histogram"] = _hist_sql(["unit_price"])
+SQL["price_histogram_all"] = _hist_sql(["unit_price", "number_sold", "revenue"])
+
+
+def _kde_sql(variables: list[str]) -> str:
+    unions = "\n  UNION ALL ".join(
+        f"SELECT description, '{v}' AS variable, CAST({v} AS DOUBLE) AS v FROM pts" for v in variables)
+    return with_price(f"""
+, kl AS ({unions}),
+ks AS (SELECT description, variable, count(*) AS n, min(v) AS vmin, max(v) AS vmax,
+              stddev_pop(v) AS sp, stddev_samp(v) AS ss
+       FROM kl GROUP BY description, variable HAVING count(*) >= 2 AND stddev_samp(v) > 0),
+ks2 AS (SELECT *, pow(n, -0.2) AS f, vmin - 3 * pow(n, -0.2) * sp AS lo, vmax + 3 * pow(n, -0.2) * sp AS hi FROM ks),
+kg AS (SELECT s.description, s.variable, s.n, s.f * s.ss AS h, CAST(g.i AS INTEGER) AS i,
+              CASE WHEN g.i = 99 THEN s.hi ELSE g.i * ((s.hi - s.lo) / 99) + s.lo END AS x
+       FROM ks2 s CROSS JOIN range(100) g(i))
+SELECT g.description, g.variable, g.i, {r6('g.x')} AS x,
+       {r6('sum(exp(-0.5 * ((g.x - l.v) / g.h) * ((g.x - l.v) / g.h))) / (g.n * g.h * sqrt(2 * pi()))')} AS density
+FROM kg g JOIN kl l USING (description, variable)
+GROUP BY g.description, g.variable, g.i, g.x, g.n, g.h""").replace(")\n, kl", "),\nkl", 1)
+
+
+SQL["price_kde"] = _kde_sql(["unit_price"])
+SQL["price_kde_all"] = _kde_sql(["unit_price", "number_sold", "revenue"])
+SQL["sales_by_product"] = with_sales(f"SELECT * FROM sales WHERE description = '{SALES_PRODUCT}'")
+SQL["sales_by_month"] = with_sales(f"SELECT * FROM sales WHERE transaction_month = '{SALES_MONTH}'",
+                                   period="month")
