@@ -10,12 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfsense.operators import clusters as C
+from shelfsense.operators import lookups as L
 from shelfsense.operators import pricing as P
+from shelfsense.operators import properties as PR
 from shelfsense.operators import recommend as R
 from shelfsense.operators import sales as S
-from shelfsense.sources import load_tables, synthetic_sales
+from shelfsense.sources import (load_tables, synthetic_brands, synthetic_flags,
+                                synthetic_properties, synthetic_sales)
 
 SALES_TABLES = ("lineitem", "part", "supplier", "nation", "region")
+PROPERTY_TABLES = ("supplier", "nation", "region")
 N = 5
 TAIL = 0.10
 # One month and one product for the single-key source filters.
@@ -39,6 +44,31 @@ def _on_points(fn, *args, **kw) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: fn(points_of(spark, d), *args, **kw)
 
 
+def source_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = load_tables(spark, sf_dir, PROPERTY_TABLES)
+    return PR.property_source(synthetic_properties(t), synthetic_brands(t), synthetic_flags(t))
+
+
+def attrs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PR.property_attributes(source_of(spark, sf_dir))
+
+
+def clusters_of(spark: SparkSession, sf_dir: str, k: int = C.DEFAULT_K) -> DataFrame:
+    attrs = attrs_of(spark, sf_dir)
+    return C.property_clusters(attrs, PR.property_features(attrs), k)
+
+
+def clustered_sales_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = C.cluster_labels_by_code(clusters_of(spark, sf_dir))
+    return S.clustered_sales(sales_of(spark, sf_dir), labels)
+
+
+def _cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attrs = attrs_of(spark, sf_dir)
+    feats = PR.property_features(attrs)
+    return C.cluster_profile(C.property_clusters(attrs, feats), feats)
+
+
 def _on_base(fn, *args) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: fn(base_of(spark, d), *args)
 
@@ -77,4 +107,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "price_kde_all": _on_points(P.price_kde, ("unit_price", "number_sold", "revenue")),
     "price_curve": _on_points(P.price_curve),
     "price_summary": _on_points(P.price_summary),
+    "property_source": lambda spark, d: source_of(spark, d),
+    "props_under_mgmt": lambda spark, d: attrs_of(spark, d),
+    "property_dummies": lambda spark, d: PR.to_long(PR.property_dummies(attrs_of(spark, d)), value_type="int"),
+    "property_features": lambda spark, d: PR.to_long(PR.property_features(attrs_of(spark, d))),
+    "property_clusters": lambda spark, d: clusters_of(spark, d),
+    "cut_clusters": lambda spark, d: clusters_of(spark, d, 5),
+    "cluster_merge_history": lambda spark, d: C.cluster_merge_history(
+        PR.property_features(attrs_of(spark, d))),
+    "cluster_profile": _cluster_profile,
+    "clustered_sales": clustered_sales_of,
+    "clustered_stocking_suggestions": lambda spark, d: R.stocking_suggestions(
+        S.sales_base(clustered_sales_of(spark, d)), N),
+    "property_lookup": lambda spark, d: L.property_lookup(sales_of(spark, d)),
+    "product_lookup": lambda spark, d: L.product_lookup(sales_of(spark, d)),
+    "dimension_values": lambda spark, d: L.dimension_values(sales_of(spark, d, "month")),
 }

@@ -400,3 +400,178 @@ SQL["price_kde_all"] = _kde_sql(["unit_price", "number_sold", "revenue"])
 SQL["sales_by_product"] = with_sales(f"SELECT * FROM sales WHERE description = '{SALES_PRODUCT}'")
 SQL["sales_by_month"] = with_sales(f"SELECT * FROM sales WHERE transaction_month = '{SALES_MONTH}'",
                                    period="month")
+
+
+# ------------------------------------------------------------- properties
+PROPS = """
+props_raw AS (
+  SELECT CAST(s.s_suppkey AS BIGINT) AS id, s.s_name AS property_code, s.s_name AS name,
+         'Street ' || CAST(s.s_suppkey AS VARCHAR) AS address, n.n_name AS city, r.r_name AS state,
+         CASE WHEN s.s_suppkey % 10 = 9 THEN 'K1A 0B1' WHEN s.s_suppkey % 10 = 8 THEN '80202-1234'
+              ELSE lpad(CAST(s.s_suppkey * 7919 % 100000 AS VARCHAR), 5, '0') END AS zip,
+         CAST(CASE WHEN s.s_suppkey % 4 = 0 THEN 0.07 END AS DOUBLE) AS sales_tax_rate,
+         CAST(CASE WHEN s.s_suppkey % 6 = 0 THEN 0.1 END AS DOUBLE) AS alcohol_tax_rate,
+         CAST(NULL AS DOUBLE) AS tobacco_tax_rate,
+         CAST(CASE WHEN s.s_suppkey % 7 <> 0 THEN s.s_suppkey % 7 END AS BIGINT) AS management_company_id,
+         CAST(CASE WHEN s.s_nationkey <> 0 THEN s.s_nationkey END AS BIGINT) AS flag_id,
+         CAST(s.s_nationkey % 5 AS BIGINT) AS brand_id,
+         'K' || CAST(s.s_suppkey % 3 AS VARCHAR) AS kind,
+         'G' || CAST(s.s_suppkey % 4 AS VARCHAR) AS guest_profile,
+         CAST(CASE WHEN s.s_nationkey % 5 = 1 THEN 2 ELSE 1 END AS INTEGER) AS currency_id,
+         CASE WHEN s.s_suppkey % 11 = 0 THEN NULL ELSE 'L' || CAST(s.s_suppkey % 5 AS VARCHAR) END AS location_type,
+         CAST(20 + s.s_suppkey * 37 % 400 AS INTEGER) AS rooms
+  FROM supplier s
+  LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
+  LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+),
+brands AS (SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name FROM region),
+flags AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS brand_id FROM nation),
+src AS (
+  SELECT p.id AS property_id, p.property_code, p.name AS property_name, p.address, p.city, p.state, p.zip,
+         p.sales_tax_rate, p.alcohol_tax_rate, p.tobacco_tax_rate, p.management_company_id, p.flag_id,
+         f.name AS flag_name, f.brand_id, b.name AS brand_name, p.kind, p.guest_profile, p.currency_id,
+         p.location_type, p.rooms
+  FROM props_raw p LEFT JOIN brands b ON p.brand_id = b.id LEFT JOIN flags f ON p.flag_id = f.id
+),
+attrs0 AS (
+  SELECT * REPLACE (CASE WHEN regexp_matches(zip, '^[0-9]+$') THEN substr(zip, 1, 1) ELSE 'can' END AS zip),
+         CASE WHEN currency_id = 1 THEN 'USD' ELSE 'CAD' END AS currency
+  FROM src
+),
+attrs AS (
+  SELECT a.*, CAST(c.props_under_mgmt AS BIGINT) AS props_under_mgmt
+  FROM attrs0 a JOIN (SELECT management_company_id, count(*) AS props_under_mgmt FROM attrs0
+                      WHERE management_company_id IS NOT NULL GROUP BY management_company_id) c
+    USING (management_company_id)
+),
+lv AS (
+  SELECT col, lvl, row_number() OVER (PARTITION BY col ORDER BY lvl) AS rn FROM (
+    SELECT DISTINCT 'kind' AS col, kind AS lvl FROM attrs WHERE kind IS NOT NULL
+    UNION SELECT DISTINCT 'guest_profile', guest_profile FROM attrs WHERE guest_profile IS NOT NULL
+    UNION SELECT DISTINCT 'location_type', location_type FROM attrs WHERE location_type IS NOT NULL
+    UNION SELECT DISTINCT 'currency', currency FROM attrs WHERE currency IS NOT NULL
+    UNION SELECT DISTINCT 'flag_name', flag_name FROM attrs WHERE flag_name IS NOT NULL
+    UNION SELECT DISTINCT 'zip', zip FROM attrs WHERE zip IS NOT NULL)
+),
+dummies AS (
+  SELECT a.property_id, l.col || '_' || l.lvl AS feature,
+         CAST(CASE WHEN (CASE l.col WHEN 'kind' THEN a.kind WHEN 'guest_profile' THEN a.guest_profile
+                                    WHEN 'location_type' THEN a.location_type WHEN 'currency' THEN a.currency
+                                    WHEN 'flag_name' THEN a.flag_name ELSE a.zip END) = l.lvl
+                   THEN 1 ELSE 0 END AS INTEGER) AS value
+  FROM attrs a CROSS JOIN lv l WHERE l.rn > 1
+)"""
+
+
+def with_props(body: str) -> str:
+    return "WITH " + PROPS.strip() + "\n" + body
+
+
+SQL["property_source"] = with_props("SELECT * FROM src")
+SQL["props_under_mgmt"] = with_props("SELECT * FROM attrs")
+SQL["property_dummies"] = with_props("SELECT * FROM dummies")
+SQL["property_features"] = with_props("""
+SELECT property_id, 'props_under_mgmt' AS feature, CAST(props_under_mgmt AS DOUBLE) AS value FROM attrs
+UNION ALL SELECT property_id, 'rooms', CAST(rooms AS DOUBLE) FROM attrs
+UNION ALL SELECT property_id, feature, CAST(value AS DOUBLE) FROM dummies""")
+
+# ---------------------------------------------------------------- lookups
+SQL["property_lookup"] = with_sales("SELECT DISTINCT property_code, flag_name, city, state FROM sales")
+SQL["product_lookup"] = with_sales("SELECT DISTINCT category_name, description FROM sales")
+SQL["dimension_values"] = with_sales("""
+, dv AS (
+  SELECT 'property_code' AS dimension, CAST(row_number() OVER (ORDER BY v ASC NULLS LAST) AS INTEGER) AS ord, v AS value
+    FROM (SELECT DISTINCT property_code AS v FROM sales)
+  UNION ALL
+  SELECT 'transaction_month', CAST(row_number() OVER (ORDER BY v DESC NULLS FIRST) AS INTEGER), v
+    FROM (SELECT DISTINCT transaction_month AS v FROM sales)
+  UNION ALL
+  SELECT 'category_name', CAST(row_number() OVER (ORDER BY v ASC NULLS LAST) AS INTEGER), v
+    FROM (SELECT DISTINCT category_name AS v FROM sales)
+  UNION ALL
+  SELECT 'flag_name', CAST(1 + row_number() OVER (ORDER BY v ASC NULLS LAST) AS INTEGER), v
+    FROM (SELECT DISTINCT flag_name AS v FROM sales)
+  UNION ALL SELECT 'flag_name', 1, NULL
+  UNION ALL
+  SELECT 'city', CAST(row_number() OVER (ORDER BY v ASC NULLS LAST) AS INTEGER), v
+    FROM (SELECT DISTINCT city AS v FROM sales)
+  UNION ALL
+  SELECT 'state', CAST(1 + row_number() OVER (ORDER BY v ASC NULLS LAST) AS INTEGER), v
+    FROM (SELECT DISTINCT state AS v FROM sales)
+  UNION ALL SELECT 'state', 1, NULL
+)
+SELECT * FROM dv""", period="month").replace(")\n, dv", "),\ndv", 1)
+
+# ----------------------------------------------------------------- report
+SQL["recommendation_report"] = with_sales(f"""
+, pdesc AS (
+  SELECT property_code, transaction_month, flag_name, city, state FROM (
+    SELECT property_code, transaction_month, flag_name, city, state,
+           row_number() OVER (PARTITION BY property_code, transaction_month ORDER BY flag_name, city, state) AS rn
+    FROM sales WHERE property_code IS NOT NULL AND transaction_month IS NOT NULL) WHERE rn = 1
+),
+keys AS (
+  SELECT property_code, category_name, transaction_month, cluster, true AS has_sales FROM stores
+  UNION ALL SELECT property_code, category_name, transaction_month, cluster, false FROM no_sales
+),
+already AS (
+  SELECT s.property_code, s.category_name, s.transaction_month FROM stores s
+  WHERE NOT EXISTS (SELECT 1 FROM stocking a WHERE a.property_code = s.property_code
+                    AND a.category_name = s.category_name AND a.transaction_month = s.transaction_month)
+),
+adds AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY property_code, category_name, transaction_month
+                                    ORDER BY cluster_rank) AS INTEGER) AS seq FROM stocking
+),
+rms AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY property_code, category_name, transaction_month
+                                    ORDER BY rank) AS INTEGER) AS seq FROM discontinue
+),
+lines AS (
+  SELECT k.property_code, k.category_name, k.transaction_month, 0 AS section, 0 AS seq, 1 AS is_header,
+         'For store #' || k.property_code || ', ' || coalesce(d.flag_name, 'None') || ', '
+           || coalesce(d.city, 'None') || ', ' || coalesce(d.state, 'None') || ', for '
+           || k.transaction_month || ', part of Cluster (' || coalesce(CAST(k.cluster AS VARCHAR), 'nan') || ')' AS text
+  FROM keys k JOIN pdesc d USING (property_code, transaction_month)
+  UNION ALL
+  SELECT property_code, category_name, transaction_month, 1, 0, 1, 'Your top products in ' || category_name || ':' FROM stores
+  UNION ALL
+  SELECT property_code, category_name, transaction_month, 1, rank, 0,
+         CAST(rank AS VARCHAR) || '. ' || description || ': ' || CAST(number_sold AS VARCHAR) || ' units, '
+           || CAST(pct AS VARCHAR) || '%'
+  FROM store_rank_p WHERE rank <= {N}
+  UNION ALL
+  SELECT property_code, category_name, transaction_month, 1, 0, 1, 'No products sold in ' || category_name FROM no_sales
+  UNION ALL
+  SELECT property_code, category_name, transaction_month, 2, 0, 1,
+         'Cluster (' || coalesce(CAST(cluster AS VARCHAR), 'nan') || ') top products:' FROM keys
+  UNION ALL
+  SELECT k.property_code, k.category_name, k.transaction_month, 2, ct.rank, 0,
+         CAST(ct.rank AS VARCHAR) || '. ' || ct.description || ': ' || CAST(ct.pct AS VARCHAR) || '%'
+  FROM keys k JOIN cluster_top ct ON k.cluster = ct.cluster AND k.category_name = ct.category_name
+   AND k.transaction_month = ct.transaction_month
+  UNION ALL
+  SELECT property_code, category_name, transaction_month, 3, 0, 1,
+         CASE WHEN has_sales THEN 'National top product:' ELSE 'National top products in ' || category_name || ':' END
+  FROM keys
+  UNION ALL
+  SELECT k.property_code, k.category_name, k.transaction_month, 3, nt.rank, 0,
+         CAST(nt.rank AS VARCHAR) || '. ' || nt.description || ': ' || CAST(nt.pct AS VARCHAR) || '%'
+  FROM keys k JOIN national_top nt ON k.category_name = nt.category_name AND k.transaction_month = nt.transaction_month
+  UNION ALL
+  SELECT property_code, category_name, transaction_month, 4, 0, 1, 'You are selling the top products already!' FROM already
+  UNION ALL
+  SELECT property_code, category_name, transaction_month, 4, 0, 1, 'Stocking suggestions:' FROM adds WHERE seq = 1
+  UNION ALL
+  SELECT property_code, category_name, transaction_month, 4, seq, 0, CAST(seq AS VARCHAR) || '. ' || description FROM adds
+  UNION ALL
+  SELECT property_code, category_name, transaction_month, 5, 0, 1, 'Consider discontinue stocking:' FROM rms WHERE seq = 1
+  UNION ALL
+  SELECT property_code, category_name, transaction_month, 5, seq, 0,
+         CAST(seq AS VARCHAR) || '. ' || description || ': ' || CAST(number_sold AS VARCHAR) || ' units, '
+           || CAST(pct AS VARCHAR) || '%'
+  FROM rms
+)
+SELECT property_code, category_name, transaction_month, CAST(section AS INTEGER) AS section,
+       CAST(seq AS INTEGER) AS seq, CAST(is_header AS INTEGER) AS is_header, text FROM lines""",
+    levels=True).replace(")\n, pdesc", "),\npdesc", 1)
