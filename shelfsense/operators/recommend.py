@@ -14,52 +14,100 @@ from pyspark.sql import functions as F
 
 from shelfsense.functions import pct_text
 from shelfsense.operators.sales import (STORE, cluster_top, national_top, property_cluster,
-                                        sales_base, store_product_sales, store_ranking)
+                                        property_descriptions, sales_base, store_product_sales,
+                                        store_ranking)
 
 TOP_KEYS = ["cluster", "category_name", "transaction_month"]
+LINES_TYPE = "array<struct<section:int,seq:int,is_header:int,text:string>>"
 
 
-def _stores(base: DataFrame) -> DataFrame:
-    """Store-category-periods with positive sales, with the store's cluster."""
-    keys = store_product_sales(base).select(*STORE).distinct()
-    pc = property_cluster(base).select("property_code", "transaction_month", "cluster")
-    return keys.join(pc, ["property_code", "transaction_month"])
+class Shared:
+    """The intermediates every recommender composite is built from, each
+    derived once from the store-level base: store ranking (R1), property
+    clusters (J7), cluster top n (R2), national top n (R3).
 
+    ``keep`` materialises each of them (see ``plans.materialize``) so the many
+    branches of a report read them instead of re-deriving them.
+    """
+
+    def __init__(self, base: DataFrame, n: int = 5, keep=None):
+        keep = keep or (lambda df: df)
+        self.base = base
+        self.n = n
+        self.ranking = keep(store_ranking(base))
+        self.pc = keep(property_cluster(base))
+        self.ct = keep(cluster_top(base, n))
+        self.nt = keep(national_top(base, n))
+
+    def stores(self) -> DataFrame:
+        """Store-category-periods with positive sales and the store's cluster."""
+        keys = self.ranking.where(F.col("rank") == 1).select(*STORE)
+        return keys.join(self.pc, ["property_code", "transaction_month"])
+
+    def sold(self) -> DataFrame:
+        return self.ranking.select(*STORE, "description").distinct()
+
+
+def _shared(base: DataFrame, n: int) -> Shared:
+    return base if isinstance(base, Shared) else Shared(base, n)
 
-def stocking_suggestions(base: DataFrame, n: int = 5) -> DataFrame:
+
+def _top_lists(ct: DataFrame) -> DataFrame:
+    """Per (cluster, category, period) its top-n products as an array in rank
+    order (at most n entries: tiny, broadcast by AQE)."""
+    entry = F.struct("rank", "description", "pct")
+    return ct.groupBy(*TOP_KEYS).agg(F.array_sort(F.collect_list(entry)).alias("ct_list"))
+
+
+def _store_adds(base: DataFrame, n: int) -> DataFrame:
+    """Every store-category-period with positive sales, its cluster, and
+    ``adds``: its cluster's top-n list minus the products it sold.
+
+    The store's sold set is one ``collect_set`` per store key over the base
+    (at most the category's product count per key), so the set difference
+    needs no anti-join shuffle and keeps cluster-rank order.
+    """
+    base = base.base if isinstance(base, Shared) else base
+    sold = (store_product_sales(base).groupBy(*STORE)
+            .agg(F.collect_set("description").alias("sold")))
+    s = (sold.join(property_cluster(base), ["property_code", "transaction_month"])
+         .join(_top_lists(cluster_top(base, n)), TOP_KEYS, "left"))
+    empty = F.array().cast("array<struct<rank:int,description:string,pct:double>>")
+    adds = F.filter(F.coalesce(F.col("ct_list"), empty),
+                    lambda x: ~F.array_contains(F.col("sold"), x["description"]))
+    return s.select(*STORE, "cluster", adds.alias("adds"))
+
+
+def stocking_suggestions(base, n: int = 5) -> DataFrame:
     """R4 (J6): products in the store's cluster top ``n`` that the store did not
     sell (no positive units) in that category and period, in cluster-rank order."""
-    ct = cluster_top(base, n).select(*TOP_KEYS, F.col("rank").alias("cluster_rank"), "description")
-    cand = _stores(base).join(ct, TOP_KEYS)
-    sold = store_product_sales(base).select(*STORE, "description").distinct()
-    return (cand.join(sold, STORE + ["description"], "left_anti")
-            .select(*STORE, "cluster", "cluster_rank", "description"))
+    a = _store_adds(base, n)
+    return a.select(*STORE, "cluster", F.explode("adds").alias("a")).select(
+        *STORE, "cluster", F.col("a.rank").alias("cluster_rank"), F.col("a.description").alias("description"))
 
 
-def discontinue_suggestions(base: DataFrame, n: int = 5, tail: float = 0.10) -> DataFrame:
+def discontinue_suggestions(base, n: int = 5, tail: float = 0.10) -> DataFrame:
     """R5 (J5, W6): store products outside the cluster top ``n`` whose cumulative
     share (units descending, current row included) is above ``1 - tail``.  The
     product that crosses the line is included."""
-    ct = cluster_top(base, n).select(*TOP_KEYS, "description")
-    pc = property_cluster(base).select("property_code", "transaction_month",
-                                       F.col("cluster").alias("store_cluster"))
-    ranked = (store_ranking(base).where(F.col("cum_pct") > F.lit(1.0 - tail))
+    sh = _shared(base, n)
+    pc = sh.pc.select("property_code", "transaction_month", F.col("cluster").alias("store_cluster"))
+    ranked = (sh.ranking.where(F.col("cum_pct") > F.lit(1.0 - tail))
               .join(pc, ["property_code", "transaction_month"]))
-    ct = ct.withColumnRenamed("cluster", "store_cluster")
+    ct = sh.ct.select(F.col("cluster").alias("store_cluster"), "category_name",
+                      "transaction_month", "description")
     out = ranked.join(ct, ["store_cluster", "category_name", "transaction_month", "description"],
                       "left_anti")
     return out.select(*STORE, F.col("store_cluster").alias("cluster"), "rank", "description",
                       "number_sold", "pct", "cum_pct")
 
 
-def already_stocking_top(base: DataFrame, n: int = 5) -> DataFrame:
+def already_stocking_top(base, n: int = 5) -> DataFrame:
     """Store-category-periods that sell every product of their cluster top ``n``."""
-    return (_stores(base).join(stocking_suggestions(base, n).select(*STORE).distinct(),
-                               STORE, "left_anti")
-            .select(*STORE, "cluster"))
+    return _store_adds(base, n).where(F.size("adds") == 0).select(*STORE, "cluster")
 
 
-def no_sales_categories(base: DataFrame) -> DataFrame:
+def no_sales_categories(base, n: int = 5) -> DataFrame:
     """R7 (J9): a property present in a period (any sale row) and a category
     sold nationally in that period, where the property sold nothing (> 0).
 
@@ -67,21 +115,24 @@ def no_sales_categories(base: DataFrame) -> DataFrame:
     table that AQE broadcasts, so the join on the period does not gather a
     period's properties in one task.
     """
-    present = property_cluster(base).select("property_code", "transaction_month", "cluster")
-    cats = (base.where(F.col("units").isNotNull() & F.col("category_name").isNotNull()
-                       & F.col("description").isNotNull() & F.col("transaction_month").isNotNull())
-            .select("category_name", "transaction_month").distinct())
-    sold = store_product_sales(base).select(*STORE).distinct()
-    return (present.join(cats, "transaction_month")
-            .join(sold, STORE, "left_anti")
+    sh = _shared(base, n)
+    cats = sh.nt.select("category_name", "transaction_month").distinct()
+    return (sh.pc.join(cats, "transaction_month")
+            .join(sh.stores().select(*STORE), STORE, "left_anti")
             .select(*STORE, "cluster"))
 
 
-def _item(seq: str, text) -> F.Column:
-    return F.concat(F.col(seq).cast("string"), F.lit(". "), text)
+def _line(section, seq, is_header, text) -> F.Column:
+    return F.struct(F.lit(section).cast("int").alias("section"), seq.cast("int").alias("seq"),
+                    F.lit(is_header).cast("int").alias("is_header"), text.alias("text"))
 
 
-def recommendation_report(base: DataFrame, n: int = 5, tail: float = 0.10) -> DataFrame:
+def _num(c) -> F.Column:
+    return c.cast("string")
+
+
+def recommendation_report(sales: DataFrame, n: int = 5, tail: float = 0.10,
+                          base: DataFrame | None = None) -> DataFrame:
     """The full recommendation for every store-category-period, one row per
     line: (property_code, category_name, transaction_month, section, seq,
     is_header, text).  ``seq`` 0 is a section's header line; items count from 1.
@@ -89,87 +140,107 @@ def recommendation_report(base: DataFrame, n: int = 5, tail: float = 0.10) -> Da
     Sections: 0 store header; 1 store top n (or "No products sold"); 2 cluster
     top n; 3 national top n; 4 "already" line or stocking suggestions;
     5 discontinue suggestions (only when there are any).
-    """
-    cols = [*STORE, "section", "seq", "is_header", "text"]
-    pc = property_cluster(base)
-    cl_txt = F.coalesce(F.col("cluster").cast("string"), F.lit("nan"))
 
-    stores = _stores(base)  # property, period, category, cluster
-    nosale = no_sales_categories(base)
-    keys = (stores.withColumn("has_sales", F.lit(True))
-            .unionByName(nosale.withColumn("has_sales", F.lit(False))))
+    Two branches, so the plan stays small:
 
-    header = (keys.join(pc.drop("cluster"), ["property_code", "transaction_month"])
-              .select(*STORE, F.lit(0).alias("section"), F.lit(0).alias("seq"),
-                      F.lit(1).alias("is_header"),
-                      F.concat(F.lit("For store #"), F.col("property_code"), F.lit(", "),
-                               F.coalesce("flag_name", F.lit("None")), F.lit(", "),
-                               F.coalesce("city", F.lit("None")), F.lit(", "),
-                               F.coalesce("state", F.lit("None")), F.lit(", for "),
-                               F.col("transaction_month"), F.lit(", part of Cluster ("),
-                               cl_txt, F.lit(")")).alias("text")))
-
-    def head(df, section, text):
-        return df.select(*STORE, F.lit(section).alias("section"), F.lit(0).alias("seq"),
-                         F.lit(1).alias("is_header"), text.alias("text"))
-
-    def items(df, section, seq, text):
-        return df.select(*STORE, F.lit(section).alias("section"), F.col(seq).alias("seq"),
-                         F.lit(0).alias("is_header"), _item(seq, text).alias("text"))
-
-    # 1: store top n, or the no-sales line
-    st = store_ranking(base).where(F.col("rank") <= n)
-    s1 = head(stores, 1, F.concat(F.lit("Your top products in "), F.col("category_name"), F.lit(":")))
-    s1i = items(st, 1, "rank", F.concat(F.col("description"), F.lit(": "),
-                                        F.col("number_sold").cast("string"), F.lit(" units, "),
-                                        pct_text("pct"), F.lit("%")))
-    n1 = head(nosale, 1, F.concat(F.lit("No products sold in "), F.col("category_name")))
-
-    # 2: cluster top n of the store's cluster
+    * per store product (the ranking): the store's top-n lines and the
+      discontinue lines, numbered by a running count in the same window;
+    * per store-category-period: the headers and the cluster / national top-n
+      lines, from top-n lists of at most ``n`` entries joined by key (tiny,
+      broadcast), and the stocking suggestions as the cluster list minus the
+      store's set of sold products (bounded by the category's product count),
+      which keeps cluster-rank order without an anti-join shuffle.
+    """
+    base = sales_base(sales) if base is None else base
+    ranking = store_ranking(base)
+    pc = property_cluster(base)
     ct = cluster_top(base, n)
-    s2 = head(keys, 2, F.concat(F.lit("Cluster ("), cl_txt, F.lit(") top products:")))
-    s2i = items(keys.select(*STORE, "cluster").join(ct, TOP_KEYS), 2, "rank",
-                F.concat(F.col("description"), F.lit(": "), pct_text("pct"), F.lit("%")))
-
-    # 3: national top n
     nt = national_top(base, n)
-    s3 = head(keys, 3, F.when(F.col("has_sales"), F.lit("National top product:"))
-              .otherwise(F.concat(F.lit("National top products in "), F.col("category_name"),
-                                  F.lit(":"))))
-    s3i = items(keys.select(*STORE).join(nt, ["category_name", "transaction_month"]), 3, "rank",
-                F.concat(F.col("description"), F.lit(": "), pct_text("pct"), F.lit("%")))
-
-    # 4: already stocking, or numbered stocking suggestions in cluster-rank order
-    add = stocking_suggestions(base, n)
-    add = add.withColumn("seq", F.row_number().over(
-        Window.partitionBy(*STORE).orderBy("cluster_rank")))
-    s4a = head(already_stocking_top(base, n), 4, F.lit("You are selling the top products already!"))
-    s4h = head(add.where(F.col("seq") == 1), 4, F.lit("Stocking suggestions:"))
-    s4i = items(add, 4, "seq", F.col("description"))
-
-    # 5: discontinue suggestions, numbered in store-rank order
-    rm = discontinue_suggestions(base, n, tail)
-    rm = rm.withColumn("seq", F.row_number().over(Window.partitionBy(*STORE).orderBy("rank")))
-    s5h = head(rm.where(F.col("seq") == 1), 5, F.lit("Consider discontinue stocking:"))
-    s5i = items(rm, 5, "seq", F.concat(F.col("description"), F.lit(": "),
-                                       F.col("number_sold").cast("string"), F.lit(" units, "),
-                                       pct_text("pct"), F.lit("%")))
-
-    parts = [header, s1, s1i, n1, s2, s2i, s3, s3i, s4a, s4h, s4i, s5h, s5i]
-    out = parts[0].select(*cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
-    return out.withColumn("section", F.col("section").cast("int")) \
-              .withColumn("seq", F.col("seq").cast("int")) \
-              .withColumn("is_header", F.col("is_header").cast("int"))
+    desc = property_descriptions(sales)
+    entry = F.struct("rank", "description", "pct")
+    ct_lists = ct.groupBy(*TOP_KEYS).agg(F.array_sort(F.collect_list(entry)).alias("ct_list"))
+    nt_lists = (nt.groupBy("category_name", "transaction_month")
+                .agg(F.array_sort(F.collect_list(entry)).alias("nt_list")))
+
+    # -- branch A: lines per store product
+    in_top = ct.select(F.col("cluster").alias("store_cluster"), "category_name",
+                       "transaction_month", "description", F.lit(True).alias("in_top"))
+    a = (ranking.join(pc.withColumnRenamed("cluster", "store_cluster"),
+                      ["property_code", "transaction_month"])
+         .join(in_top, ["store_cluster", "category_name", "transaction_month", "description"], "left"))
+    cand = (F.col("cum_pct") > F.lit(1.0 - tail)) & F.col("in_top").isNull()
+    w = Window.partitionBy(*STORE).orderBy("rank").rowsBetween(Window.unboundedPreceding,
+                                                               Window.currentRow)
+    a = a.withColumn("rm_seq", F.sum(cand.cast("int")).over(w))
+    units_pct = F.concat(F.col("description"), F.lit(": "), _num(F.col("number_sold")),
+                         F.lit(" units, "), pct_text("pct"), F.lit("%"))
+    lines_a = F.array(
+        F.when(F.col("rank") <= n, _line(1, F.col("rank"), 0,
+                                         F.concat(_num(F.col("rank")), F.lit(". "), units_pct))),
+        F.when(cand & (F.col("rm_seq") == 1),
+               _line(5, F.lit(0), 1, F.lit("Consider discontinue stocking:"))),
+        F.when(cand, _line(5, F.col("rm_seq"), 0,
+                           F.concat(_num(F.col("rm_seq")), F.lit(". "), units_pct))),
+    )
+    part_a = a.select(*STORE, F.explode(F.filter(lines_a, lambda x: x.isNotNull())).alias("l"))
+
+    # -- branch B: lines per store-category-period
+    sold = (ranking.groupBy(*STORE).agg(F.collect_set("description").alias("sold"))
+            .join(pc, ["property_code", "transaction_month"]))
+    cats = nt_lists.select("category_name", "transaction_month")
+    nosale = (pc.join(cats, "transaction_month").join(sold.select(*STORE), STORE, "left_anti")
+              .withColumn("sold", F.lit(None).cast("array<string>")))
+    keys = (sold.withColumn("has_sales", F.lit(True))
+            .unionByName(nosale.withColumn("has_sales", F.lit(False))))
+    kb = (keys.join(desc, ["property_code", "transaction_month"])
+          .join(ct_lists, TOP_KEYS, "left")
+          .join(nt_lists, ["category_name", "transaction_month"], "left"))
+    empty = F.array().cast("array<struct<rank:int,description:string,pct:double>>")
+    ctl = F.coalesce(F.col("ct_list"), empty)
+    ntl = F.coalesce(F.col("nt_list"), empty)
+    has = F.col("has_sales")
+    cat = F.col("category_name")
+    cl_txt = F.coalesce(F.col("cluster").cast("string"), F.lit("nan"))
+
+    def top_items(lst, section):
+        return F.transform(lst, lambda x: _line(section, x["rank"], 0, F.concat(
+            _num(x["rank"]), F.lit(". "), x["description"], F.lit(": "), pct_text(x["pct"]),
+            F.lit("%"))))
+
+    adds = F.filter(ctl, lambda x: ~F.array_contains(F.col("sold"), x["description"]))
+    add_items = F.transform(adds, lambda x, i: _line(4, i + 1, 0, F.concat(
+        _num(i + 1), F.lit(". "), x["description"])))
+    header = F.concat(F.lit("For store #"), F.col("property_code"), F.lit(", "),
+                      F.coalesce("flag_name", F.lit("None")), F.lit(", "),
+                      F.coalesce("city", F.lit("None")), F.lit(", "),
+                      F.coalesce("state", F.lit("None")), F.lit(", for "),
+                      F.col("transaction_month"), F.lit(", part of Cluster ("), cl_txt, F.lit(")"))
+    heads = F.array(
+        _line(0, F.lit(0), 1, header),
+        _line(1, F.lit(0), 1, F.when(has, F.concat(F.lit("Your top products in "), cat, F.lit(":")))
+              .otherwise(F.concat(F.lit("No products sold in "), cat))),
+        _line(2, F.lit(0), 1, F.concat(F.lit("Cluster ("), cl_txt, F.lit(") top products:"))),
+        _line(3, F.lit(0), 1, F.when(has, F.lit("National top product:"))
+              .otherwise(F.concat(F.lit("National top products in "), cat, F.lit(":")))),
+    )
+    stock = F.when(has, F.concat(
+        F.array(_line(4, F.lit(0), 1, F.when(F.size(adds) == 0,
+                                              F.lit("You are selling the top products already!"))
+                      .otherwise(F.lit("Stocking suggestions:")))),
+        add_items))
+    all_b = F.concat(heads, top_items(ctl, 2), top_items(ntl, 3),
+                     F.coalesce(stock, F.array().cast(LINES_TYPE)))
+    part_b = kb.select(*STORE, F.explode(all_b).alias("l"))
+
+    out = part_a.unionByName(part_b)
+    return out.select(*STORE, "l.section", "l.seq", "l.is_header", "l.text")
 
 
 def recommendation_report_for(sales, property_code: str, category: str, month: str,
                               n: int = 5, tail: float = 0.10) -> DataFrame:
     """The reference's single-request form: the report of one store, category
     and period, computed on the sales of that period (the app's scope)."""
-    base = sales_base(sales.where(F.col("transaction_month") == month))
-    rep = recommendation_report(base, n, tail)
+    rep = recommendation_report(sales.where(F.col("transaction_month") == month), n, tail)
     return (rep.where((F.col("property_code") == property_code)
                       & (F.col("category_name") == category))
             .orderBy("section", "seq"))

@@ -33,36 +33,48 @@ NATIONAL_KEYS = ["category_name", "description", "transaction_month"]
 def sales_base(sales: DataFrame) -> DataFrame:
     """Finest grain; ``units`` is null when no row of the group sold > 0.
 
-    ``attrs`` is the smallest (flag_name, city, state) of the group, used for
-    the property description.
+    Only fixed-width aggregate buffers, so Spark plans a hash aggregate with
+    a map-side partial step (a string or struct min would force a sort).
     """
     pos = F.when(F.col("number_sold") > 0, F.col("number_sold"))
-    return sales.groupBy(*STORE_KEYS).agg(
-        F.sum(pos).alias("units"),
-        F.min(F.struct("flag_name", "city", "state")).alias("attrs"),
-    )
+    return sales.groupBy(*STORE_KEYS).agg(F.sum(pos).alias("units"))
+
+
+def _units(df: DataFrame) -> F.Column:
+    """Positive units of a row: ``units`` of a base row, or ``number_sold``
+    of a raw sales row when it is > 0 (null otherwise)."""
+    if "units" in df.columns:
+        return F.col("units")
+    return F.when(F.col("number_sold") > 0, F.col("number_sold"))
 
 
-def _positive(base: DataFrame, keys: list[str]) -> DataFrame:
-    cond = F.col("units").isNotNull()
+def _positive(src: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with positive units and no null key, with the units as ``units``."""
+    cond = _units(src).isNotNull()
     for k in keys:
         cond = cond & F.col(k).isNotNull()
-    return base.where(cond)
+    return src.where(cond).withColumn("units", _units(src))
 
 
-def store_product_sales(base: DataFrame) -> DataFrame:
-    """A1: units by (cluster, property, category, product, period)."""
-    return _positive(base, STORE_KEYS).select(*STORE_KEYS, F.col("units").alias("number_sold"))
+def store_product_sales(src: DataFrame) -> DataFrame:
+    """A1: units by (cluster, property, category, product, period), from raw
+    sales or from a base."""
+    if "units" in src.columns:
+        return _positive(src, STORE_KEYS).select(*STORE_KEYS, F.col("units").alias("number_sold"))
+    return (_positive(src, STORE_KEYS).groupBy(*STORE_KEYS)
+            .agg(F.sum("units").alias("number_sold")))
 
 
 def cluster_product_sales(base: DataFrame) -> DataFrame:
-    """A2: units by (cluster, category, product, period), rolled up from the base."""
+    """A2: units by (cluster, category, product, period), from raw sales
+    (partial aggregation shrinks the rows before the shuffle) or rolled up
+    from a base."""
     return (_positive(base, CLUSTER_KEYS).groupBy(*CLUSTER_KEYS)
             .agg(F.sum("units").alias("number_sold")))
 
 
 def national_product_sales(base: DataFrame) -> DataFrame:
-    """A3: units by (category, product, period), rolled up from the base."""
+    """A3: units by (category, product, period), from raw sales or a base."""
     return (_positive(base, NATIONAL_KEYS).groupBy(*NATIONAL_KEYS)
             .agg(F.sum("units").alias("number_sold")))
 
@@ -91,15 +103,31 @@ def sales_grouping_sets(sales: DataFrame) -> DataFrame:
 
 
 def property_cluster(base: DataFrame) -> DataFrame:
-    """J7 + A14: per (property, period) its cluster (max over its rows, nulls
-    ignored) and description (smallest flag_name, city, state)."""
-    a = (base.where(F.col("property_code").isNotNull() & F.col("transaction_month").isNotNull())
-         .groupBy("property_code", "transaction_month")
-         .agg(F.max("cluster").alias("cluster"), F.min("attrs").alias("attrs")))
-    return a.select("property_code", "transaction_month", "cluster",
-                    F.col("attrs.flag_name").alias("flag_name"),
-                    F.col("attrs.city").alias("city"),
-                    F.col("attrs.state").alias("state"))
+    """Per (property, period) its cluster: the max over all its rows
+    (any category, any units), nulls ignored."""
+    return (base.where(F.col("property_code").isNotNull() & F.col("transaction_month").isNotNull())
+            .groupBy("property_code", "transaction_month")
+            .agg(F.max("cluster").alias("cluster")))
+
+
+def property_descriptions(sales: DataFrame) -> DataFrame:
+    """Per (property, period) one deterministic description, the
+    smallest (flag_name, city, state) among its rows.
+
+    Distinct triples first (hash aggregate, partial before the shuffle), then
+    the smallest per property over that small set.
+    """
+    d = (sales.where(F.col("property_code").isNotNull() & F.col("transaction_month").isNotNull())
+         .select("property_code", "transaction_month", "flag_name", "city", "state").distinct())
+    w = Window.partitionBy("property_code", "transaction_month").orderBy("flag_name", "city", "state")
+    return (d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r"))
+
+
+def property_cluster_description(sales: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """J7 + A14: (property, period, cluster, flag_name, city, state)."""
+    base = sales_base(sales) if base is None else base
+    return property_cluster(base).join(property_descriptions(sales),
+                                       ["property_code", "transaction_month"])
 
 
 def store_ranking(base: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from shelfsense.operators import pricing as P
 from shelfsense.operators import properties as PR
 from shelfsense.operators import recommend as R
 from shelfsense.operators import sales as S
+from shelfsense.plans.materialize import materialize
 from shelfsense.sources import (load_tables, synthetic_brands, synthetic_flags,
                                 synthetic_properties, synthetic_sales)
 
@@ -70,7 +71,14 @@ def _cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _on_base(fn, *args) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: fn(base_of(spark, d), *args)
+    """Single-level query: aggregates straight from the raw sales."""
+    return lambda spark, d: fn(sales_of(spark, d), *args)
+
+
+def _on_shared_base(fn, *args) -> Callable[[SparkSession, str], DataFrame]:
+    """Composite query: the store-level base is materialised once and every
+    branch reads it."""
+    return lambda spark, d: fn(materialize(base_of(spark, d)), *args)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -78,16 +86,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_product_sales": _on_base(S.cluster_product_sales),
     "national_product_sales": _on_base(S.national_product_sales),
     "sales_grouping_sets": lambda spark, d: S.sales_grouping_sets(sales_of(spark, d)),
-    "property_cluster": _on_base(S.property_cluster),
+    "property_cluster": lambda spark, d: S.property_cluster_description(sales_of(spark, d)),
     "store_ranking": _on_base(S.store_ranking),
     "store_top": _on_base(S.store_top, N),
     "cluster_top": _on_base(S.cluster_top, N),
     "national_top": _on_base(S.national_top, N),
-    "stocking_suggestions": _on_base(R.stocking_suggestions, N),
-    "discontinue_suggestions": _on_base(R.discontinue_suggestions, N, TAIL),
-    "already_stocking_top": _on_base(R.already_stocking_top, N),
-    "no_sales_categories": _on_base(R.no_sales_categories),
-    "recommendation_report": _on_base(R.recommendation_report, N, TAIL),
+    "stocking_suggestions": _on_shared_base(R.stocking_suggestions, N),
+    "discontinue_suggestions": _on_shared_base(R.discontinue_suggestions, N, TAIL),
+    "already_stocking_top": _on_shared_base(R.already_stocking_top, N),
+    "no_sales_categories": _on_shared_base(R.no_sales_categories),
+    "recommendation_report": lambda spark, d: R.recommendation_report(
+        sales_of(spark, d), N, TAIL, base=materialize(base_of(spark, d))),
     "sales_by_month": lambda spark, d: S.sales_by_month(sales_of(spark, d, "month"), SALES_MONTH),
     "sales_by_product": lambda spark, d: S.sales_by_product(sales_of(spark, d), SALES_PRODUCT),
     "price_points": lambda spark, d: points_of(spark, d),
@@ -118,7 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_profile": _cluster_profile,
     "clustered_sales": clustered_sales_of,
     "clustered_stocking_suggestions": lambda spark, d: R.stocking_suggestions(
-        S.sales_base(clustered_sales_of(spark, d)), N),
+        materialize(S.sales_base(clustered_sales_of(spark, d))), N),
     "property_lookup": lambda spark, d: L.property_lookup(sales_of(spark, d)),
     "product_lookup": lambda spark, d: L.product_lookup(sales_of(spark, d)),
     "dimension_values": lambda spark, d: L.dimension_values(sales_of(spark, d, "month")),

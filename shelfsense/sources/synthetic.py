@@ -25,27 +25,40 @@ from pyspark.sql import functions as F
 PERIOD_FORMATS = {"year": "yyyy", "month": "yyyy-MM"}
 
 
-def _store_dim(t: Mapping[str, DataFrame]) -> DataFrame:
-    nation = t["nation"].select("n_nationkey", "n_name", "n_regionkey")
-    region = t["region"].select("r_regionkey", "r_name")
-    return (t["supplier"].select("s_suppkey", "s_name", "s_nationkey")
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
+def period_of(ts: str, period: str) -> F.Column:
+    """``'yyyy'`` or ``'yyyy-MM'`` text of a timestamp from integer fields
+    (cheaper per row than a date formatter; same text for years 0-9999)."""
+    year = F.lpad(F.year(ts).cast("string"), 4, "0")
+    if period == "year":
+        return year
+    return F.concat(year, F.lit("-"), F.lpad(F.month(ts).cast("string"), 2, "0"))
 
 
 def synthetic_sales(t: Mapping[str, DataFrame], period: str = "year") -> DataFrame:
-    """Wide sales fact, one row per lineitem (columns as in ``schemas.SALES``)."""
-    fmt = PERIOD_FORMATS[period]
+    """Wide sales fact, one row per lineitem (columns as in ``schemas.SALES``).
+
+    A star join: every dimension joins the fact directly, so each join's
+    build side is one base table whose size Spark checks against the
+    broadcast threshold (joining the dimensions to each other first would
+    make Spark estimate their join as a product and shuffle the fact).
+    """
+    if period not in PERIOD_FORMATS:
+        raise ValueError(f"period must be one of {sorted(PERIOD_FORMATS)}")
     li = t["lineitem"].select("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_shipdate")
     part = t["part"].select("p_partkey", "p_type", "p_name", "p_retailprice")
+    sup = t["supplier"].select("s_suppkey", "s_name", "s_nationkey")
+    nation = t["nation"].select("n_nationkey", "n_name", "n_regionkey")
+    region = t["region"].select("r_regionkey", "r_name")
     joined = (li.join(part, F.col("l_partkey") == F.col("p_partkey"))
-                .join(_store_dim(t), F.col("l_suppkey") == F.col("s_suppkey")))
+                .join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+                .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+                .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
     return joined.select(
         F.col("s_name").alias("property_code"),
         F.col("n_regionkey").alias("cluster"),
         F.col("p_type").alias("category_name"),
         F.col("p_name").alias("description"),
-        F.date_format("l_shipdate", fmt).alias("transaction_month"),
+        period_of("l_shipdate", period).alias("transaction_month"),
         F.col("l_quantity").cast("bigint").alias("number_sold"),
         (F.rint(F.col("l_quantity") * F.col("p_retailprice") * (1 - F.col("l_discount"))) / 100)
         .alias("dollars_sold"),

@@ -32,10 +32,28 @@ def read_table(spark: SparkSession, path_or_table: str, fmt: str = "parquet",
     return reader.format(fmt).load(path_or_table)
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def load_tables(spark: SparkSession, base_dir: str,
                 names: Iterable[str]) -> dict[str, DataFrame]:
-    """``{name: DataFrame}`` for ``{base_dir}/{name}.parquet``."""
-    return {n: spark.read.parquet(f"{base_dir}/{n}.parquet") for n in names}
+    """``{name: DataFrame}`` for ``{base_dir}/{name}.parquet``.
+
+    The DataFrame objects (not data) are kept per session and path: resolving
+    a parquet path runs a schema job, which would otherwise be paid on every
+    query.
+    """
+    app = spark.sparkContext.applicationId
+    out = {}
+    for n in names:
+        path = f"{base_dir}/{n}.parquet"
+        key = (app, path)
+        df = _TABLES.get(key)
+        if df is None or df.sparkSession is not spark:
+            df = spark.read.parquet(path)
+            _TABLES[key] = df
+        out[n] = df
+    return out
 
 
 def write_table(df: DataFrame, target: str, fmt: str = "parquet",
