@@ -1,0 +1,84 @@
+"""Ward clustering: NumPy nearest-neighbour chain vs. a brute-force greedy Ward."""
+
+import numpy as np
+import pytest
+
+from shelfsense.operators import clusters as C
+
+
+def brute_ward(x, w):
+    """Greedy Ward: always merge the pair with the smallest rise in SSE."""
+    clusters = {i: (x[i].astype(float), float(w[i]), [i]) for i in range(len(x))}
+    costs = []
+    history = []
+    while len(clusters) > 1:
+        keys = sorted(clusters)
+        best = None
+        for a_i, a in enumerate(keys):
+            for b in keys[a_i + 1:]:
+                ca, wa, _ = clusters[a]
+                cb, wb, _ = clusters[b]
+                c = wa * wb / (wa + wb) * float(((ca - cb) ** 2).sum())
+                if best is None or c < best[0]:
+                    best = (c, a, b)
+        c, a, b = best
+        ca, wa, ma = clusters.pop(a)
+        cb, wb, mb = clusters.pop(b)
+        clusters[a] = ((wa * ca + wb * cb) / (wa + wb), wa + wb, ma + mb)
+        costs.append(c)
+        history.append({k: sorted(v[2]) for k, v in clusters.items()})
+    return costs, history
+
+
+def partition(labels):
+    groups = {}
+    for i, l in enumerate(labels):
+        groups.setdefault(l, []).append(i)
+    return sorted(sorted(g) for g in groups.values())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_ward_matches_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(8, 40))
+    x = rng.normal(size=(n, 3)) * rng.uniform(0.5, 5, size=3)
+    w = rng.integers(1, 4, size=n)
+    merges = C.ward_linkage(x, w)
+    costs, history = brute_ward(x, w)
+    assert np.allclose(np.sort(merges[:, 2]), np.sort(costs), rtol=1e-9, atol=1e-9)
+    for k in (2, 3, 6):
+        if k >= n:
+            continue
+        labels = C.cut_tree(merges, n, k)
+        assert len(set(labels)) == k
+        assert partition(labels) == sorted(history[n - k - 1].values())
+
+
+def test_identical_points_merge_at_zero_cost():
+    x = np.array([[0.0, 0.0], [0.0, 0.0], [5.0, 5.0]])
+    m = C.ward_linkage(x, np.ones(3))
+    assert m[0, 2] == 0.0 and m[1, 3] == 3
+
+
+def test_property_clusters_label_count(spark):
+    from shelfsense.plans import catalog as K
+    d = "/root/testdata/sf0.01"
+    cl = K.clusters_of(spark, d, 6)
+    labels = {r.cluster for r in cl.select("cluster").distinct().collect()}
+    assert labels == set(range(6))
+    # labels are numbered by the smallest property id in each cluster
+    firsts = (cl.groupBy("cluster").min("property_id").orderBy("min(property_id)").collect())
+    assert [r.cluster for r in firsts] == list(range(6))
+
+
+def test_weighted_ward_equals_pointwise(spark):
+    """Dedup into weighted distinct vectors gives the same partition as Ward on
+    all points."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(10, 2)) * 4
+    idx = rng.integers(0, 10, size=30)
+    pts = base[idx]
+    uniq, inv, counts = np.unique(pts, axis=0, return_inverse=True, return_counts=True)
+    lab_w = C.cut_tree(C.ward_linkage(uniq, counts), len(uniq), 4)[inv.ravel()]
+    lab_p = C.cut_tree(C.ward_linkage(pts, np.ones(len(pts))), len(pts), 4)
+    assert partition(lab_w) == partition(lab_p)
