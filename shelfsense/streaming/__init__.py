@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference has no streams, watermarks, event-time windows or state:
+every read is a bounded query over a table.  All operators here are batch
+DataFrame functions; they also run unchanged inside ``foreachBatch`` of a
+Structured Streaming query if sales arrive as files, but no streaming
+operator is built because the reference has none.
+"""
