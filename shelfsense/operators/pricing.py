@@ -287,15 +287,16 @@ def price_histogram(points: DataFrame, columns: Sequence[str] = ("unit_price",),
     obin = F.floor((F.col("v") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo"))))
     long = long.withColumn("bin", F.least(F.when(is_price, pbin).otherwise(obin), F.lit(bins - 1))
                            .cast("int"))
-    counts = long.groupBy(*g, "bin").agg(F.count("*").alias("cnt"))
-    stats = long.groupBy(*g).agg(F.first("n").alias("n"), F.first("lo").alias("lo"),
-                                 F.first("hi").alias("hi"))
-    grid = stats.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    out = grid.join(counts, g + ["bin"], "left").fillna(0, subset=["cnt"])
+    # One aggregate on the window's partitioning (no new exchange): all bin
+    # counts of a group at once, empty bins included, then one row per bin.
+    counts = [F.count(F.when(F.col("bin") == i, 1)) for i in range(bins)]
+    agg = long.groupBy(*g).agg(F.first("n").alias("n"), F.first("lo").alias("lo"),
+                               F.first("hi").alias("hi"), F.array(*counts).alias("cnts"))
+    out = agg.select(*g, "n", "lo", "hi", F.posexplode("cnts").alias("bin", "cnt"))
     scale = F.when(F.col("variable") == "unit_price", F.lit(0.01)).otherwise(F.lit(1.0))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     return out.select(
-        *g, "bin",
+        *g, F.col("bin").cast("int").alias("bin"),
         half_even((F.col("lo") + width * F.col("bin")) * scale, 6).alias("bin_low"),
         half_even((F.col("lo") + width * (F.col("bin") + 1)) * scale, 6).alias("bin_high"),
         F.col("cnt").cast("bigint").alias("count"),

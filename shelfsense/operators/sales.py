@@ -49,8 +49,15 @@ def _units(df: DataFrame) -> F.Column:
 
 
 def _positive(src: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with positive units and no null key, with the units as ``units``."""
-    cond = _units(src).isNotNull()
+    """Rows with positive units and no null key, with the units as ``units``.
+
+    On raw sales the test is ``number_sold > 0`` itself, a predicate the
+    Parquet reader evaluates while scanning.
+    """
+    if "units" in src.columns:
+        cond = F.col("units").isNotNull()
+    else:
+        cond = F.col("number_sold") > 0
     for k in keys:
         cond = cond & F.col(k).isNotNull()
     return src.where(cond).withColumn("units", _units(src))

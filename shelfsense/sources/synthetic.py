@@ -26,12 +26,8 @@ PERIOD_FORMATS = {"year": "yyyy", "month": "yyyy-MM"}
 
 
 def period_of(ts: str, period: str) -> F.Column:
-    """``'yyyy'`` or ``'yyyy-MM'`` text of a timestamp from integer fields
-    (cheaper per row than a date formatter; same text for years 0-9999)."""
-    year = F.lpad(F.year(ts).cast("string"), 4, "0")
-    if period == "year":
-        return year
-    return F.concat(year, F.lit("-"), F.lpad(F.month(ts).cast("string"), 2, "0"))
+    """``'yyyy'`` or ``'yyyy-MM'`` text of a (timezone-free) timestamp."""
+    return F.date_format(ts, PERIOD_FORMATS[period])
 
 
 def synthetic_sales(t: Mapping[str, DataFrame], period: str = "year") -> DataFrame:
