@@ -1,0 +1,36 @@
+"""Row numbers within a group without putting the group in one task."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def distributed_ordinal(df: DataFrame, group: str, order: Sequence[Column],
+                        name: str = "ord", partitions: int | None = None) -> DataFrame:
+    """``row_number()`` over ``partitionBy(group).orderBy(*order)`` for any
+    group size: the rows are range-partitioned and sorted across tasks, each
+    task numbers its own rows, and each (task, group) gets the count of the
+    group's rows in earlier tasks from a small table with one row per task
+    and group.
+
+    ``order`` must be a total order within the group (distinct values).
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(group)] + list(order)
+    s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_row", F.monotonically_increasing_id()))
+    # monotonically_increasing_id() = partition id << 33 | row index in the task
+    s = s.withColumn("_idx", F.col("_row") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    counts = s.groupBy("_pid", group).agg(F.count("*").alias("_n"), F.min("_idx").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_pid")
+                              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.withColumn("_off", F.coalesce(before, F.lit(0)))
+    # one row per (task, group): at most partitions x groups rows
+    out = s.join(F.broadcast(offsets.select("_pid", group, "_off", "_first")), ["_pid", group])
+    return (out.withColumn(name, (F.col("_off") + F.col("_idx") - F.col("_first") + 1).cast("int"))
+            .drop("_pid", "_row", "_idx", "_off", "_first"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfsense.functions.ordinal import distributed_ordinal
+
 
 def property_lookup(sales: DataFrame, city: str | None = None, state: str | None = None,
                     flag_name: str | None = None) -> DataFrame:
@@ -40,8 +42,8 @@ def dimension_values(sales: DataFrame) -> DataFrame:
     ascending with nulls last, months descending with nulls first, and a
     leading null ("any") for flags and states.
 
-    Values are deduplicated with one distributed aggregate; ``ord`` is a row
-    number within one dimension's distinct values (a dimension-sized list).
+    Values are deduplicated with one distributed aggregate and numbered with
+    ``distributed_ordinal``: no dimension's list has to fit in one task.
     """
     parts = [sales.select(F.lit(name).alias("dimension"), F.col(col).alias("value"))
              for name, col, _, _ in DIMENSIONS]
@@ -51,13 +53,14 @@ def dimension_values(sales: DataFrame) -> DataFrame:
     d = u.distinct()
     desc = F.col("dimension") == "transaction_month"
     lead = F.col("dimension").isin([n for n, _, _, a in DIMENSIONS if a])
-    # sort key: descending dimensions order by value desc, nulls first
-    w = Window.partitionBy("dimension").orderBy(
-        F.when(desc, F.col("value").isNull()).otherwise(F.col("value").isNotNull()).desc(),
-        F.when(desc, F.col("value")).desc(),
-        F.when(~desc, F.col("value")).asc())
-    ranked = d.withColumn("ord", F.row_number().over(w) + F.when(lead, 1).otherwise(0))
+    # ascending dimensions: values ascending, null last; months: descending, null first
+    d = d.withColumn("_k1", F.when(desc, F.col("value").isNotNull()).otherwise(F.col("value").isNull()))
+    d = d.withColumn("_k2", F.when(desc, F.col("value")))
+    d = d.withColumn("_k3", F.when(~desc, F.col("value")))
+    ranked = distributed_ordinal(d, "dimension", [F.col("_k1").asc(), F.col("_k2").desc(),
+                                                  F.col("_k3").asc()], name="_ord")
+    ranked = ranked.withColumn("ord", F.col("_ord") + F.when(lead, 1).otherwise(0))
     anyrow = (d.select("dimension").distinct().where(lead)
               .select("dimension", F.lit(1).alias("ord"), F.lit(None).cast("string").alias("value")))
-    return ranked.select("dimension", F.col("ord").cast("int").alias("ord"), "value") \
-                 .unionByName(anyrow.select("dimension", F.col("ord").cast("int").alias("ord"), "value"))
+    return (ranked.select("dimension", F.col("ord").cast("int").alias("ord"), "value")
+            .unionByName(anyrow.select("dimension", F.col("ord").cast("int").alias("ord"), "value")))

@@ -162,3 +162,13 @@ def test_price_fit_density_matches_normal(spark):
 def test_schema_of_sales_is_explicit():
     assert [f.name for f in SALES.fields][:5] == ["property_code", "cluster", "category_name",
                                                  "description", "transaction_month"]
+
+
+def test_distributed_ordinal_matches_row_number(spark):
+    from pyspark.sql import Window
+    from shelfsense.functions.ordinal import distributed_ordinal
+    df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 100003).alias("v"))
+    got = distributed_ordinal(df, "g", [F.col("v").desc()], partitions=7)
+    want = df.withColumn("ord", F.row_number().over(Window.partitionBy("g").orderBy(F.col("v").desc())))
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
+    assert got.count() == 5000
