@@ -575,3 +575,13 @@ lines AS (
 SELECT property_code, category_name, transaction_month, CAST(section AS INTEGER) AS section,
        CAST(seq AS INTEGER) AS seq, CAST(is_header AS INTEGER) AS is_header, text FROM lines""",
     levels=True).replace(")\n, pdesc", "),\npdesc", 1)
+
+SQL["price_points_by_cluster"] = with_sales("""
+SELECT description, cluster, unit_price, avg(number_sold) AS number_sold,
+       unit_price * avg(number_sold) AS revenue
+FROM (SELECT description, cluster, number_sold,
+             CASE WHEN number_sold <> 0
+                  THEN round_even(dollars_sold / number_sold * 100.0, 0) / 100.0 END AS unit_price
+      FROM sales)
+WHERE unit_price IS NOT NULL AND description IS NOT NULL AND cluster IS NOT NULL
+GROUP BY description, cluster, unit_price""")
