@@ -50,19 +50,11 @@ def property_attributes(source: DataFrame) -> DataFrame:
 def dummy_levels(attrs: DataFrame, columns: Sequence[str] = DUMMY_COLS) -> dict[str, list[str]]:
     """Sorted non-null levels of each categorical column.
 
-    One distributed ``distinct`` over all columns; only the distinct levels
-    (categorical cardinality, not data volume) reach the driver.
+    One pass with a partial ``collect_set`` per column; only the distinct
+    levels (categorical cardinality, not data volume) reach the driver.
     """
-    parts = [attrs.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
-             for c in columns]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    rows = u.where(F.col("level").isNotNull()).distinct().collect()
-    levels: dict[str, list[str]] = {c: [] for c in columns}
-    for r in rows:
-        levels[r["column"]].append(r["level"])
-    return {c: sorted(v) for c, v in levels.items()}
+    row = attrs.agg(*[F.collect_set(F.col(c).cast("string")).alias(c) for c in columns]).first()
+    return {c: sorted(row[c] or []) for c in columns}
 
 
 def dummy_columns(levels: dict[str, list[str]]) -> list[tuple[str, str, str]]:

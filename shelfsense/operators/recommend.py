@@ -132,7 +132,7 @@ def _num(c) -> F.Column:
 
 
 def recommendation_report(sales: DataFrame, n: int = 5, tail: float = 0.10,
-                          base: DataFrame | None = None) -> DataFrame:
+                          base: DataFrame | None = None, keep=None) -> DataFrame:
     """The full recommendation for every store-category-period, one row per
     line: (property_code, category_name, transaction_month, section, seq,
     is_header, text).  ``seq`` 0 is a section's header line; items count from 1.
@@ -152,10 +152,12 @@ def recommendation_report(sales: DataFrame, n: int = 5, tail: float = 0.10,
       which keeps cluster-rank order without an anti-join shuffle.
     """
     base = sales_base(sales) if base is None else base
-    ranking = store_ranking(base)
-    pc = property_cluster(base)
-    ct = cluster_top(base, n)
-    nt = national_top(base, n)
+    keep = keep or (lambda df: df)
+    # each is read by both branches: ``keep`` (e.g. a cache) computes it once
+    ranking = keep(store_ranking(base))
+    pc = keep(property_cluster(base))
+    ct = keep(cluster_top(base, n))
+    nt = keep(national_top(base, n))
     desc = property_descriptions(sales)
     entry = F.struct("rank", "description", "pct")
     ct_lists = ct.groupBy(*TOP_KEYS).agg(F.array_sort(F.collect_list(entry)).alias("ct_list"))

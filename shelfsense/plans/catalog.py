@@ -55,7 +55,7 @@ def attrs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clusters_of(spark: SparkSession, sf_dir: str, k: int = C.DEFAULT_K) -> DataFrame:
-    attrs = attrs_of(spark, sf_dir)
+    attrs = materialize(attrs_of(spark, sf_dir), name="attrs")
     return C.property_clusters(attrs, PR.property_features(attrs), k)
 
 
@@ -65,7 +65,7 @@ def clustered_sales_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attrs = attrs_of(spark, sf_dir)
+    attrs = materialize(attrs_of(spark, sf_dir), name="attrs")
     feats = PR.property_features(attrs)
     return C.cluster_profile(C.property_clusters(attrs, feats), feats)
 
@@ -96,7 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "already_stocking_top": _on_shared_base(R.already_stocking_top, N),
     "no_sales_categories": _on_shared_base(R.no_sales_categories),
     "recommendation_report": lambda spark, d: R.recommendation_report(
-        sales_of(spark, d), N, TAIL, base=materialize(base_of(spark, d))),
+        sales_of(spark, d), N, TAIL, base=materialize(base_of(spark, d)),
+        keep=lambda df: materialize(df, "cache")),
     "sales_by_month": lambda spark, d: S.sales_by_month(sales_of(spark, d, "month"), SALES_MONTH),
     "sales_by_product": lambda spark, d: S.sales_by_product(sales_of(spark, d), SALES_PRODUCT),
     "price_points": lambda spark, d: points_of(spark, d),
@@ -123,7 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "property_clusters": lambda spark, d: clusters_of(spark, d),
     "cut_clusters": lambda spark, d: clusters_of(spark, d, 5),
     "cluster_merge_history": lambda spark, d: C.cluster_merge_history(
-        PR.property_features(attrs_of(spark, d))),
+        PR.property_features(materialize(attrs_of(spark, d), name="attrs"))),
     "cluster_profile": _cluster_profile,
     "clustered_sales": clustered_sales_of,
     "clustered_stocking_suggestions": lambda spark, d: R.stocking_suggestions(
