@@ -82,3 +82,17 @@ def test_weighted_ward_equals_pointwise(spark):
     lab_w = C.cut_tree(C.ward_linkage(uniq, counts), len(uniq), 4)[inv.ravel()]
     lab_p = C.cut_tree(C.ward_linkage(pts, np.ones(len(pts))), len(pts), 4)
     assert partition(lab_w) == partition(lab_p)
+
+
+def test_kmeans_reduction_path(spark):
+    """Above max_leaves distinct vectors, KMeans micro-clusters feed Ward."""
+    from shelfsense.operators import properties as PR
+    from shelfsense.plans import catalog as K
+    attrs = K.attrs_of(spark, "/root/testdata/sf0.01")
+    feats = PR.property_features(attrs)
+    cl = C.property_clusters(attrs, feats, k=4, max_leaves=20)
+    rows = cl.select("property_id", "cluster").collect()
+    assert len(rows) == attrs.count()
+    assert {r.cluster for r in rows} == set(range(4))
+    hist = C.cluster_merge_history(feats, max_leaves=20).collect()
+    assert len(hist) == 19
