@@ -29,8 +29,9 @@ SALES_MONTH = "1998-06"
 SALES_PRODUCT = "red widget"
 
 
-def sales_of(spark: SparkSession, sf_dir: str, period: str = "year") -> DataFrame:
-    return synthetic_sales(load_tables(spark, sf_dir, SALES_TABLES), period)
+def sales_of(spark: SparkSession, sf_dir: str, period: str = "year",
+             period_value: str | None = None) -> DataFrame:
+    return synthetic_sales(load_tables(spark, sf_dir, SALES_TABLES), period, period_value)
 
 
 def base_of(spark: SparkSession, sf_dir: str, period: str = "year") -> DataFrame:
@@ -98,7 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recommendation_report": lambda spark, d: R.recommendation_report(
         sales_of(spark, d), N, TAIL, base=materialize(base_of(spark, d)),
         keep=lambda df: materialize(df, "cache")),
-    "sales_by_month": lambda spark, d: S.sales_by_month(sales_of(spark, d, "month"), SALES_MONTH),
+    "sales_by_month": lambda spark, d: S.sales_by_month(
+        sales_of(spark, d, "month", period_value=SALES_MONTH), SALES_MONTH),
     "sales_by_product": lambda spark, d: S.sales_by_product(sales_of(spark, d), SALES_PRODUCT),
     "price_points": lambda spark, d: points_of(spark, d),
     "price_points_by_cluster": lambda spark, d: P.price_points(

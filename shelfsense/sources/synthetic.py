@@ -30,7 +30,18 @@ def period_of(ts: str, period: str) -> F.Column:
     return F.date_format(ts, PERIOD_FORMATS[period])
 
 
-def synthetic_sales(t: Mapping[str, DataFrame], period: str = "year") -> DataFrame:
+def _period_range(period: str, value: str) -> tuple[str, str]:
+    """[start, end) timestamps of one ``'yyyy'`` or ``'yyyy-MM'`` period."""
+    if period == "year":
+        y = int(value)
+        return f"{y:04d}-01-01 00:00:00", f"{y + 1:04d}-01-01 00:00:00"
+    y, m = (int(x) for x in value.split("-"))
+    ny, nm = (y + 1, 1) if m == 12 else (y, m + 1)
+    return f"{y:04d}-{m:02d}-01 00:00:00", f"{ny:04d}-{nm:02d}-01 00:00:00"
+
+
+def synthetic_sales(t: Mapping[str, DataFrame], period: str = "year",
+                    period_value: str | None = None) -> DataFrame:
     """Wide sales fact, one row per lineitem (columns as in ``schemas.SALES``).
 
     A star join: every dimension joins the fact directly, so each join's
@@ -41,6 +52,12 @@ def synthetic_sales(t: Mapping[str, DataFrame], period: str = "year") -> DataFra
     if period not in PERIOD_FORMATS:
         raise ValueError(f"period must be one of {sorted(PERIOD_FORMATS)}")
     li = t["lineitem"].select("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_shipdate")
+    if period_value is not None:
+        # one period only: a ship-date range the Parquet reader can use to
+        # skip row groups (the period text itself is a derived column)
+        lo, hi = _period_range(period, period_value)
+        ts = F.col("l_shipdate")
+        li = li.where((ts >= F.lit(lo).cast("timestamp_ntz")) & (ts < F.lit(hi).cast("timestamp_ntz")))
     part = t["part"].select("p_partkey", "p_type", "p_name", "p_retailprice")
     sup = t["supplier"].select("s_suppkey", "s_name", "s_nationkey")
     nation = t["nation"].select("n_nationkey", "n_name", "n_regionkey")

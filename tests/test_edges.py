@@ -172,3 +172,10 @@ def test_distributed_ordinal_matches_row_number(spark):
     want = df.withColumn("ord", F.row_number().over(Window.partitionBy("g").orderBy(F.col("v").desc())))
     assert got.exceptAll(want.select(*got.columns)).count() == 0
     assert got.count() == 5000
+
+
+def test_period_range_rollover():
+    from shelfsense.sources.synthetic import _period_range
+    assert _period_range("month", "1998-12") == ("1998-12-01 00:00:00", "1999-01-01 00:00:00")
+    assert _period_range("month", "1998-06") == ("1998-06-01 00:00:00", "1998-07-01 00:00:00")
+    assert _period_range("year", "1998") == ("1998-01-01 00:00:00", "1999-01-01 00:00:00")
