@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsense.functions.ordinal import distributed_ordinal
+from shelfsense.plans.materialize import materialize
 
 
 def property_lookup(sales: DataFrame, city: str | None = None, state: str | None = None,
@@ -45,12 +46,12 @@ def dimension_values(sales: DataFrame) -> DataFrame:
     Values are deduplicated with one distributed aggregate and numbered with
     ``distributed_ordinal``: no dimension's list has to fit in one task.
     """
-    parts = [sales.select(F.lit(name).alias("dimension"), F.col(col).alias("value"))
-             for name, col, _, _ in DIMENSIONS]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    d = u.distinct()
+    pairs = F.array(*[F.struct(F.lit(name).alias("dimension"), F.col(col).cast("string").alias("value"))
+                      for name, col, _, _ in DIMENSIONS])
+    # one scan: every sale gives its (dimension, value) pairs; partial distinct
+    d = sales.select(F.explode(pairs).alias("p")).select("p.dimension", "p.value").distinct()
+    # the distinct table is read several times below (sampling, counts, rows)
+    d = materialize(d, name="dimension_values")
     desc = F.col("dimension") == "transaction_month"
     lead = F.col("dimension").isin([n for n, _, _, a in DIMENSIONS if a])
     # ascending dimensions: values ascending, null last; months: descending, null first

@@ -130,11 +130,19 @@ def property_descriptions(sales: DataFrame) -> DataFrame:
     return (d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r"))
 
 
-def property_cluster_description(sales: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """J7 + A14: (property, period, cluster, flag_name, city, state)."""
-    base = sales_base(sales) if base is None else base
-    return property_cluster(base).join(property_descriptions(sales),
-                                       ["property_code", "transaction_month"])
+def property_cluster_description(sales: DataFrame) -> DataFrame:
+    """J7 + A14 in one pass over sales: (property, period, cluster, flag_name,
+    city, state).  Distinct attribute triples per property-period carry the
+    max cluster of their rows; the property's cluster is the max over them and
+    its description the smallest triple."""
+    d = (sales.where(F.col("property_code").isNotNull() & F.col("transaction_month").isNotNull())
+         .groupBy("property_code", "transaction_month", "flag_name", "city", "state")
+         .agg(F.max("cluster").alias("_c")))
+    w = Window.partitionBy("property_code", "transaction_month")
+    d = (d.withColumn("cluster", F.max("_c").over(w))
+          .withColumn("_r", F.row_number().over(w.orderBy("flag_name", "city", "state"))))
+    return d.where(F.col("_r") == 1).select("property_code", "transaction_month", "cluster",
+                                            "flag_name", "city", "state")
 
 
 def store_ranking(base: DataFrame) -> DataFrame:

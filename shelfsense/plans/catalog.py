@@ -112,7 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "price_box_stats": _on_points(P.price_box_stats, "number_sold"),
     "price_box_stats_revenue": _on_points(P.price_box_stats, "revenue"),
     "price_strip_points": _on_points(P.price_strip_points),
-    "price_fit_curve": _on_points(P.price_fit_curve),
+    "price_fit_curve": lambda spark, d: P.price_fit_curve(materialize(points_of(spark, d), name="points")),
     "price_histogram": _on_points(P.price_histogram, ("unit_price",)),
     "price_histogram_all": _on_points(P.price_histogram, ("unit_price", "number_sold", "revenue")),
     "price_kde": _on_points(P.price_kde, ("unit_price",)),
