@@ -13,45 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsense.functions import pct_text
-from shelfsense.operators.sales import (STORE, cluster_top, national_top, property_cluster,
-                                        property_descriptions, sales_base, store_product_sales,
-                                        store_ranking)
+from shelfsense.operators.sales import (STORE, cluster_top, national_product_sales,
+                                        national_top, property_cluster, property_descriptions,
+                                        sales_base, store_product_sales, store_ranking)
 
 TOP_KEYS = ["cluster", "category_name", "transaction_month"]
 LINES_TYPE = "array<struct<section:int,seq:int,is_header:int,text:string>>"
 
 
-class Shared:
-    """The intermediates every recommender composite is built from, each
-    derived once from the store-level base: store ranking (R1), property
-    clusters (J7), cluster top n (R2), national top n (R3).
-
-    ``keep`` materialises each of them (see ``plans.materialize``) so the many
-    branches of a report read them instead of re-deriving them.
-    """
-
-    def __init__(self, base: DataFrame, n: int = 5, keep=None):
-        keep = keep or (lambda df: df)
-        self.base = base
-        self.n = n
-        self.ranking = keep(store_ranking(base))
-        self.pc = keep(property_cluster(base))
-        self.ct = keep(cluster_top(base, n))
-        self.nt = keep(national_top(base, n))
-
-    def stores(self) -> DataFrame:
-        """Store-category-periods with positive sales and the store's cluster."""
-        keys = self.ranking.where(F.col("rank") == 1).select(*STORE)
-        return keys.join(self.pc, ["property_code", "transaction_month"])
-
-    def sold(self) -> DataFrame:
-        return self.ranking.select(*STORE, "description").distinct()
-
-
-def _shared(base: DataFrame, n: int) -> Shared:
-    return base if isinstance(base, Shared) else Shared(base, n)
-
-
 def _top_lists(ct: DataFrame) -> DataFrame:
     """Per (cluster, category, period) its top-n products as an array in rank
     order (at most n entries: tiny, broadcast by AQE)."""
@@ -67,7 +36,6 @@ def _store_adds(base: DataFrame, n: int) -> DataFrame:
     (at most the category's product count per key), so the set difference
     needs no anti-join shuffle and keeps cluster-rank order.
     """
-    base = base.base if isinstance(base, Shared) else base
     sold = (store_product_sales(base).groupBy(*STORE)
             .agg(F.collect_set("description").alias("sold")))
     s = (sold.join(property_cluster(base), ["property_code", "transaction_month"])
@@ -78,7 +46,7 @@ def _store_adds(base: DataFrame, n: int) -> DataFrame:
     return s.select(*STORE, "cluster", adds.alias("adds"))
 
 
-def stocking_suggestions(base, n: int = 5) -> DataFrame:
+def stocking_suggestions(base: DataFrame, n: int = 5) -> DataFrame:
     """R4 (J6): products in the store's cluster top ``n`` that the store did not
     sell (no positive units) in that category and period, in cluster-rank order."""
     a = _store_adds(base, n)
@@ -86,28 +54,28 @@ def stocking_suggestions(base, n: int = 5) -> DataFrame:
         *STORE, "cluster", F.col("a.rank").alias("cluster_rank"), F.col("a.description").alias("description"))
 
 
-def discontinue_suggestions(base, n: int = 5, tail: float = 0.10) -> DataFrame:
+def discontinue_suggestions(base: DataFrame, n: int = 5, tail: float = 0.10) -> DataFrame:
     """R5 (J5, W6): store products outside the cluster top ``n`` whose cumulative
     share (units descending, current row included) is above ``1 - tail``.  The
     product that crosses the line is included."""
-    sh = _shared(base, n)
-    pc = sh.pc.select("property_code", "transaction_month", F.col("cluster").alias("store_cluster"))
-    ranked = (sh.ranking.where(F.col("cum_pct") > F.lit(1.0 - tail))
+    pc = property_cluster(base).select("property_code", "transaction_month",
+                                       F.col("cluster").alias("store_cluster"))
+    ranked = (store_ranking(base).where(F.col("cum_pct") > F.lit(1.0 - tail))
               .join(pc, ["property_code", "transaction_month"]))
-    ct = sh.ct.select(F.col("cluster").alias("store_cluster"), "category_name",
-                      "transaction_month", "description")
+    ct = cluster_top(base, n).select(F.col("cluster").alias("store_cluster"), "category_name",
+                                     "transaction_month", "description")
     out = ranked.join(ct, ["store_cluster", "category_name", "transaction_month", "description"],
                       "left_anti")
     return out.select(*STORE, F.col("store_cluster").alias("cluster"), "rank", "description",
                       "number_sold", "pct", "cum_pct")
 
 
-def already_stocking_top(base, n: int = 5) -> DataFrame:
+def already_stocking_top(base: DataFrame, n: int = 5) -> DataFrame:
     """Store-category-periods that sell every product of their cluster top ``n``."""
     return _store_adds(base, n).where(F.size("adds") == 0).select(*STORE, "cluster")
 
 
-def no_sales_categories(base, n: int = 5) -> DataFrame:
+def no_sales_categories(base: DataFrame) -> DataFrame:
     """R7 (J9): a property present in a period (any sale row) and a category
     sold nationally in that period, where the property sold nothing (> 0).
 
@@ -115,10 +83,10 @@ def no_sales_categories(base, n: int = 5) -> DataFrame:
     table that AQE broadcasts, so the join on the period does not gather a
     period's properties in one task.
     """
-    sh = _shared(base, n)
-    cats = sh.nt.select("category_name", "transaction_month").distinct()
-    return (sh.pc.join(cats, "transaction_month")
-            .join(sh.stores().select(*STORE), STORE, "left_anti")
+    cats = national_product_sales(base).select("category_name", "transaction_month").distinct()
+    stores = store_product_sales(base).select(*STORE).distinct()
+    return (property_cluster(base).join(cats, "transaction_month")
+            .join(stores, STORE, "left_anti")
             .select(*STORE, "cluster"))
 
 

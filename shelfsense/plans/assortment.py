@@ -61,7 +61,7 @@ class Assortment:
         return R.already_stocking_top(self.base, self.n)
 
     def no_sales_categories(self) -> DataFrame:
-        return R.no_sales_categories(self.base, self.n)
+        return R.no_sales_categories(self.base)
 
     # report (R8)
     def report(self) -> DataFrame:
