@@ -11,6 +11,8 @@ import __spark_entry__ as E
 
 D = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN"}
 
 
 def _norm(v):
@@ -42,6 +44,8 @@ def test_query_against_oracle(spark, con, name):
     rel = con.execute(sql)
     dcols = [d[0] for d in rel.description]
     assert sorted(cols) == sorted(dcols)
+    dtypes = {d[0]: str(d[1]) for d in rel.description}
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == {c: dtypes[c] for c in cols}
     idx = [dcols.index(c) for c in cols]
     want = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
     assert got == want
