@@ -19,7 +19,6 @@ Labels are renumbered 0..k-1 by the smallest property id in each cluster.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd

@@ -2,7 +2,6 @@
 
 import math
 
-import pytest
 from pyspark.sql import functions as F
 
 from shelfsense.functions import half_even, zip_zone

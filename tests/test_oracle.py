@@ -2,7 +2,6 @@
 repeats this at sf0.01); queries without one must at least run."""
 
 import math
-import os
 
 import duckdb
 import pytest
