@@ -71,12 +71,13 @@ class Assortment:
         return R.recommendation_report_for(self.sales, property_code, category, month,
                                            self.n, self.tail)
 
-    # pricing (G1-G12)
-    def price_points(self, **filters) -> DataFrame:
-        return P.price_points(self.sales, **filters)
+    # pricing (G1-G12); ``keys=("description", "cluster")`` answers every
+    # product in every cluster, ``cluster=``/``month=`` filter to one value
+    def price_points(self, keys=P.PRODUCT, **filters) -> DataFrame:
+        return P.price_points(self.sales, keys=keys, **filters)
 
-    def price_optimum(self, **filters) -> DataFrame:
-        return P.price_optimum(self.price_points(**filters))
+    def price_optimum(self, keys=P.PRODUCT, **filters) -> DataFrame:
+        return P.price_optimum(self.price_points(keys, **filters), keys)
 
-    def price_summary(self, **filters) -> DataFrame:
-        return P.price_summary(self.price_points(**filters))
+    def price_summary(self, keys=P.PRODUCT, **filters) -> DataFrame:
+        return P.price_summary(self.price_points(keys, **filters), keys)

@@ -9,3 +9,6 @@ def test_assortment_class(spark):
     already = a.already_stocking_top().count()
     assert add >= 0 and already >= 0
     assert a.price_summary().count() > 0
+    by_cluster = a.price_optimum(keys=("description", "cluster"))
+    assert by_cluster.select("cluster").distinct().count() > 1
+    assert a.price_optimum(cluster=0).count() > 0
