@@ -30,7 +30,7 @@ from shelfsense.functions import (cents, equal_width_bin, fixed_decimals, half_e
                                   quarter_bin, unit_price)
 
 PRODUCT = ("description",)
-MEASURES = {"unit_price": "unit_price", "number_sold": "number_sold", "revenue": "revenue"}
+MEASURES = ("unit_price", "number_sold", "revenue")
 TEN_BINS = 10
 HIST_BINS = 15
 KDE_GRID = 100
@@ -260,7 +260,10 @@ def price_fit_curve(points: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFra
 
 def _long(points: DataFrame, k: list[str], columns: Sequence[str]) -> DataFrame:
     """Unpivot the chosen measure columns to (keys, variable, value)."""
-    return points.unpivot(k, [MEASURES[c] for c in columns], "variable", "value")
+    unknown = set(columns) - set(MEASURES)
+    if unknown:
+        raise ValueError(f"unknown price columns: {sorted(unknown)}")
+    return points.unpivot(k, list(columns), "variable", "value")
 
 
 def price_histogram(points: DataFrame, columns: Sequence[str] = ("unit_price",),
