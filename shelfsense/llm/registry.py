@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfsense.llm import pieces
-from shelfsense.llm._common import table
+from shelfsense.llm import pieces, toxicity
+from shelfsense.llm._common import Scratch, crc_fold, table
 
 
 def piece_model() -> str:
@@ -21,11 +22,24 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def fold(modulus: int, held: int):
+    """held_out column: the id's fold is the one left out of learning."""
+    return F.coalesce(crc_fold(F.col("doc_id"), modulus) == held, F.lit(False)).alias("held_out")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), Scratch(spark, "toxicity"))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", fold(5, 0), "score", "predicted", "neighbours", "evidence")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(table(spark, sf_dir, "documents"), pieces.read_model(piece_model()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
