@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import pieces, toxicity
+from shelfsense.llm import minhash, pieces, toxicity
 from shelfsense.llm._common import Scratch, crc_fold, table
 
 
@@ -34,13 +34,36 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", fold(5, 0), "score", "predicted", "neighbours", "evidence")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "minhash"), k=4)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(table(spark, sf_dir, "documents"), pieces.read_model(piece_model()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op8_minhash": op8_minhash,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_minhash": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(c) AS component_id, s.doc_id = min(c) AS kept
+FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.sh
+""",
+}
