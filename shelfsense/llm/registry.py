@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import minhash, pieces, toxicity
+from shelfsense.llm import minhash, pieces, substring, toxicity
 from shelfsense.llm._common import Scratch, crc_fold, table
 
 
@@ -34,6 +34,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", fold(5, 0), "score", "predicted", "neighbours", "evidence")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.cut_repeats(docs).select("doc_id", "has_repeat", "removed_chars", "repeats_of", "spans", "text")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "minhash"), k=4)
 
@@ -44,6 +49,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op6_substring": op6_substring,
     "op8_minhash": op8_minhash,
     "op9_sentencepiece": op9_sentencepiece,
 }
