@@ -1,11 +1,77 @@
-"""Corpus pipeline over ``documents``; see STAGES."""
+"""Corpus pipeline over ``documents``, written and reread stage by stage.
 
-STAGES = []
+1. toxicity: documents scored 0.5 or more are dropped;
+2. near_duplicates: one document of each near-duplicate class stays (5-word
+   shingles, similarity 0.8 or more; the smallest id);
+3. substrings: passages that an earlier document also holds are cut;
+4. mixing: documents are dealt in the order of the mix; sources that are rarer
+   than their target weight start over, so the weights hold over the whole
+   output and nothing is dropped;
+5. pieces: every document's token ids with the source span of each.
+
+Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of ``documents``.  Extra columns pass through.  Null
+and empty texts, repeated rows and empty tables are handled as the operators
+state; repeated rows of one id leave one row at stage 2.
+"""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from shelfsense.llm import minhash, mixing, pieces, substring, toxicity
+from shelfsense.llm._common import Scratch
+from shelfsense.llm.registry import piece_model
+
+
+def drop_toxic(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, Scratch(spark, "toxicity"))
+    return toxicity.score_documents(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def keep_one_of_each_class(spark, docs, sf_dir):
+    found = minhash.near_duplicates(docs, Scratch(spark, "minhash"), k=5)
+    gone = found.where("not kept").select("doc_id").distinct()
+    rows = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
+    return (docs.join(gone, "doc_id", "left_anti").withColumn("__row", F.row_number().over(rows))
+            .where("__row = 1 or doc_id is null").select(docs.columns))
+
+
+def cut_repeated_passages(spark, docs, sf_dir):
+    cut = substring.cut_repeats(docs)
+    return cut.withColumn("n_chars", F.when(F.col("has_repeat"), F.length("text").cast("long")).otherwise(
+        F.col("n_chars"))).select(docs.columns)
+
+
+def mix_sources(spark, docs, sf_dir):
+    return mixing.mix(docs).orderBy("position").select(docs.columns)
+
+
+def encode(spark, docs, sf_dir):
+    made = pieces.encode_documents(docs.select("doc_id", "source", "text"), pieces.read_model(piece_model()))
+    return made.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids", "span_begins",
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", keep_one_of_each_class),
+    ("substrings", cut_repeated_passages),
+    ("mixing", mix_sources),
+    ("pieces", encode),
+]
+
+#: MinHash, chunk boundaries and token ids have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """All stages over ``documents``; every stage's result is written to the
+    shared folder and reread as the next one's input."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.save(docs, name)
     return docs

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -111,10 +112,9 @@ class Encoding(NamedTuple):
 
 
 class _Word(NamedTuple):
-    text_ids: str
-    n: int
-    decoded: str
+    ids: bytes  # int32
     lengths: bytes  # source bytes of each piece, int32, where a mark is one byte
+    decoded: str
 
 
 class PieceCodec:
@@ -151,6 +151,7 @@ class PieceCodec:
         #: Texts without a literal mark then need no character-by-character pass.
         self.plain = not self.map.units and not self.squeeze and self.escape and self.dummy_prefix and self.word_by_word
         self.words = _Words(self, remember)
+        self.names = [str(i) for i in range(len(self.pieces))]
 
     # -- normalisation
 
@@ -310,24 +311,29 @@ class PieceCodec:
         flush()
         return "".join(out)
 
-    def digest(self, text: str | None) -> tuple[int, str, str, str]:
-        """(number of ids, digest of the ids, digest of the decoded text,
-        digest of the span begins as int32) of one whole text."""
+    def arrays(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+        """(ids, span begins, span ends, decoded text) of one whole text, word
+        by word where the model and the text allow it."""
         text = text or ""
         if self.plain and text and MARK not in text:
             words = [self.words[w] for w in _RUNS.findall(" " + text)]
-            ids = "".join([w.text_ids for w in words])[1:] + f" {self.end}"
-            n = sum([w.n for w in words]) + 1
-            decoded = "".join([w.decoded for w in words])[1:]
-            ends = np.cumsum(np.frombuffer(b"".join([w.lengths for w in words]), np.int32)) - 1
-            begins = np.empty(n, np.int32)
-            begins[0], begins[1:] = 0, ends
-        else:
-            encoding = self.encode(text)
-            ids, n = " ".join(map(str, encoding.ids)), len(encoding.ids)
-            decoded, begins = self.decode(encoding.ids), encoding.spans[:, 0].astype(np.int32)
+            ids = np.frombuffer(b"".join([w.ids for w in words]) + np.int32(self.end).tobytes(), np.int32)
+            # the space put before the text has no source byte
+            edges = np.cumsum(np.frombuffer(b"".join([w.lengths for w in words]), np.int32), dtype=np.int32) - 1
+            ends = np.append(edges, edges[-1])
+            begins = np.concatenate([np.zeros(1, np.int32), edges])
+            return ids, begins, ends, "".join([w.decoded for w in words])[1:]
+        made = self.encode(text)
+        spans = made.spans.astype(np.int32)
+        return np.array(made.ids, np.int32), spans[:, 0], spans[:, 1], self.decode(made.ids)
+
+    def digest(self, text: str | None) -> tuple[int, str, str, str]:
+        """(number of ids, digest of the ids, digest of the decoded text,
+        digest of the span begins as int32) of one whole text."""
+        ids, begins, _, decoded = self.arrays(text)
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        return n, sha(ids.encode()), sha(decoded.encode("utf-8", "surrogatepass")), sha(begins.tobytes())
+        return (len(ids), sha(" ".join(map(self.names.__getitem__, ids.tolist())).encode()),
+                sha(decoded.encode("utf-8", "surrogatepass")), sha(begins.tobytes()))
 
 
 _RUNS = re.compile(r" +[^ ]*|[^ ]+")
@@ -351,7 +357,7 @@ class _Words(dict):
             lengths += [0] * (len(own) - 1) + [size]
         # decode() drops the mark at the start of a text; one more keeps it here
         decoded = codec.decode([codec.vocabulary[MARK], *ids])
-        made = _Word("".join(f" {i}" for i in ids), len(ids), decoded, np.array(lengths, np.int32).tobytes())
+        made = _Word(np.array(ids, np.int32).tobytes(), np.array(lengths, np.int32).tobytes(), decoded)
         if len(word) <= 64:
             if len(self) >= self.remember:
                 self.clear()
@@ -360,27 +366,28 @@ class _Words(dict):
 
 
 def encode_documents(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """Adds ids, pieces, span_begins and span_ends (source byte offsets) and
-    the decoded text to every row; all other columns pass through."""
-    keep = [c for c in docs.columns if c not in ("ids", "pieces", "span_begins", "span_ends", "decoded") or c == text]
-    base = docs.select(*[F.col(f"`{c}`") for c in keep])
-    probe = base.limit(0).withColumns({
-        "ids": F.array().cast("array<int>"), "pieces": F.array().cast("array<string>"),
-        "span_begins": F.array().cast("array<int>"), "span_ends": F.array().cast("array<int>"),
-        "decoded": F.lit("")})
+    """Adds ids, span_begins and span_ends (source byte offsets of every id)
+    and the decoded text to every row; all other columns pass through."""
+    ints = T.ArrayType(T.IntegerType())
+    new = T.StructType([T.StructField("ids", ints), T.StructField("span_begins", ints),
+                        T.StructField("span_ends", ints), T.StructField("decoded", T.StringType())])
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text or c not in new.names])
+
+    def lists(arrays):
+        offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*arrays, []]), pa.int32()))
 
     def run(batches):
         codec = PieceCodec(model)
-        for batch in batches:
-            rows = [codec.encode(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            new = {"ids": pa.array([r.ids for r in rows], pa.list_(pa.int32())),
-                   "pieces": pa.array([r.pieces for r in rows], pa.list_(pa.string())),
-                   "span_begins": pa.array([r.spans[:, 0].tolist() for r in rows], pa.list_(pa.int32())),
-                   "span_ends": pa.array([r.spans[:, 1].tolist() for r in rows], pa.list_(pa.int32())),
-                   "decoded": pa.array([codec.decode(r.ids) for r in rows], pa.string())}
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], [*batch.schema.names, *new])
-
-    return base.mapInArrow(run, probe.schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                rows = [codec.arrays(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+                made = [lists([r[i] for r in rows]) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made, pa.array([r[3] for r in rows], pa.string())],
+                                                 [*batch.schema.names, *new.names])
+
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, *new.fields]))
 
 
 def digest_documents(docs: DataFrame, model: bytes, id: str = "doc_id", text: str = "text") -> DataFrame:

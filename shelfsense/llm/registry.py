@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import minhash, pieces, substring, toxicity
+from shelfsense.llm import minhash, mixing, pieces, substring, toxicity
 from shelfsense.llm._common import Scratch, crc_fold, table
 
 
@@ -39,6 +39,11 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.cut_repeats(docs).select("doc_id", "has_repeat", "removed_chars", "repeats_of", "spans", "text")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source")).select(
+        "doc_id", "source", "position", "slot", "epoch")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "minhash"), k=4)
 
@@ -50,6 +55,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op6_substring": op6_substring,
+    "op7_mixing": op7_mixing,
     "op8_minhash": op8_minhash,
     "op9_sentencepiece": op9_sentencepiece,
 }

@@ -44,6 +44,9 @@ def _check(blob: bytes, texts):
         made = codec.encode(text)
         assert made.ids == ids, repr(text)
         assert codec.decode(ids) == library.decode(ids), repr(text)
+        quick = codec.arrays(text)
+        assert quick[0].tolist() == ids and quick[3] == library.decode(ids)
+        assert quick[1].tolist() == made.spans[:, 0].tolist() and quick[2].tolist() == made.spans[:, 1].tolist()
         n, ids_sha, decoded_sha, spans_sha = codec.digest(text)
         assert n == len(ids)
         assert ids_sha == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
@@ -97,4 +100,7 @@ def test_rows_and_columns(model, spark):
     assert sorted(r.decoded for r in rows) == ["", "", "a b"]
     assert pieces.digest_documents(docs, model).count() == 3
     assert pieces.digest_documents(docs.limit(0), model).count() == 0
-    assert all(len(r.ids) == len(r.pieces) == len(r.span_begins) == len(r.span_ends) for r in rows)
+    codec = pieces.PieceCodec(model)
+    for r in rows:
+        made = codec.encode(r.text)
+        assert (r.ids, r.span_begins, r.span_ends) == (made.ids, made.spans[:, 0].tolist(), made.spans[:, 1].tolist())
