@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import minhash, mixing, pieces, substring, toxicity
+from shelfsense.llm import minhash, mixing, pieces, substring, syncmers, toxicity
 from shelfsense.llm._common import Scratch, crc_fold, table
 
 
@@ -34,6 +34,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", fold(5, 0), "score", "predicted", "neighbours", "evidence")
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.cut_repeats(docs).select("doc_id", "has_repeat", "removed_chars", "repeats_of", "spans", "text")
@@ -54,6 +58,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op4_syncmers": op4_syncmers,
     "op6_substring": op6_substring,
     "op7_mixing": op7_mixing,
     "op8_minhash": op8_minhash,
