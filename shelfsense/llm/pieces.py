@@ -24,6 +24,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -111,16 +112,15 @@ class Encoding(NamedTuple):
     spans: np.ndarray  # (n, 2) source byte offsets; the end id has an empty span
 
 
-class _Word(NamedTuple):
-    ids: bytes  # int32
-    lengths: bytes  # source bytes of each piece, int32, where a mark is one byte
-    decoded: str
+#: ids (int32), source bytes of each piece (int32; a mark is one byte), decoded
+#: text of one word; a plain tuple, which the garbage collector need not follow.
+_Word = tuple[bytes, bytes, str]
 
 
 class PieceCodec:
     """Encoder and decoder of one model file (BPE models)."""
 
-    def __init__(self, model: bytes, remember: int = 200_000):
+    def __init__(self, model: bytes, remember: int = 300_000):
         self.pieces: list[tuple[str, float, int]] = []
         trainer, normalizer = {}, {}
         for number, value in _fields(model):
@@ -142,7 +142,9 @@ class PieceCodec:
         self.squeeze = bool(normalizer.get(4, 1))
         self.escape = bool(normalizer.get(5, 1))
         self.vocabulary = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind == NORMAL}
-        self.scores = [score for _, score, _ in self.pieces]
+        # pieces of equal score share a rank
+        places = {score: r for r, score in enumerate(sorted({self.pieces[i][1] for i in self.vocabulary.values()}, reverse=True))}
+        self.rank = {p: places[self.pieces[i][1]] for p, i in self.vocabulary.items()}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next(i for i, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN)
@@ -150,6 +152,22 @@ class PieceCodec:
         self.word_by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.vocabulary)
         #: Texts without a literal mark then need no character-by-character pass.
         self.plain = not self.map.units and not self.squeeze and self.escape and self.dummy_prefix and self.word_by_word
+        self.of_point = np.full(0x110000, -1, np.int32)
+        pairs: dict[int, int] = {}
+        for piece, i in self.vocabulary.items():
+            if len(piece) == 1:
+                self.of_point[ord(piece)] = i
+            for cut in range(1, len(piece)):
+                left, right = self.vocabulary.get(piece[:cut]), self.vocabulary.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left * len(self.pieces) + right] = i
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
+        self.pair_ranks = np.array([self.rank[self.pieces[i][0]] for i in self.pair_ids.tolist()], np.int32)
+        self.source_bytes = np.array([len(p.replace(MARK, " ").encode()) for p, _, _ in self.pieces], np.int32)
+        # a line end that is in no piece never merges with its neighbours
+        line = "" if any("\n" in p for p in self.vocabulary) else "\n"
+        self.runs = re.compile(rf" +[^ {line}]*|[^ {line}]+" + (r"|\n" if line else ""))
         self.words = _Words(self, remember)
         self.names = [str(i) for i in range(len(self.pieces))]
 
@@ -209,25 +227,42 @@ class PieceCodec:
     def merge(self, text: str) -> list[str]:
         """Pieces of normalised text: the best-scored adjacent pair is merged,
         the leftmost first among equals, until none is in the vocabulary."""
+        if len(text) > 128:
+            return self._merge_long(text)
+        rank, none = self.rank.get, len(self.pieces)
+        parts = list(text)
+        pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) < none:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            pairs.pop(i)
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+        return parts
+
+    def _merge_long(self, text: str) -> list[str]:
+        """The same with a heap of pairs and linked symbols."""
         symbols = list(text)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda: list[tuple[float, int, str]] = []
-        vocabulary, scores = self.vocabulary, self.scores
+        agenda: list[tuple[int, int, str]] = []
+        rank = self.rank
 
         def offer(left: int) -> None:
             right = after[left]
             if right < n:
                 joined = symbols[left] + symbols[right]
-                if (i := vocabulary.get(joined)) is not None:
-                    heapq.heappush(agenda, (-scores[i], left, joined))
+                if (r := rank.get(joined)) is not None:
+                    heapq.heappush(agenda, (r, left, joined))
 
         for i in range(n - 1):
             offer(i)
         while agenda:
             _, left, joined = heapq.heappop(agenda)
             right = after[left]
-            if not symbols[left] or right >= n or len(symbols[left]) + len(symbols[right]) != len(joined):
+            if not symbols[left] or right >= n or symbols[left] + symbols[right] != joined:
                 continue
             symbols[left], symbols[right] = joined, ""
             after[left] = after[right]
@@ -238,6 +273,82 @@ class PieceCodec:
             offer(left)
         return [s for s in symbols if s]
 
+    def merge_many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of many short words at once, the ids in one
+        array; a word with characters outside the vocabulary has none.  All
+        words take their next merge together, as rows of a matrix."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(sizes.max())
+        points = np.frombuffer("".join(words).replace(" ", MARK).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(len(words)), sizes)
+        symbols = np.full((len(words), width), -1, np.int32)
+        symbols[row, np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = self.of_point[points]
+        counts = sizes.copy()
+        counts[np.unique(row[self.of_point[points] < 0])] = 0
+        none = np.iinfo(np.int32).max
+
+        def look(left, right):
+            key = left.astype(np.int64) * len(self.pieces) + right
+            at = np.searchsorted(self.pair_keys, key)
+            at[at == len(self.pair_keys)] = 0
+            hit = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
+            return np.where(hit, self.pair_ranks[at], none), self.pair_ids[at]
+
+        live = np.flatnonzero(counts > 1)
+        now = symbols[live]
+        ranks, joined = look(now[:, :-1], now[:, 1:])
+        columns = np.arange(width)
+        while len(live):
+            best = ranks.argmin(axis=1)
+            each = np.arange(len(live))
+            going = ranks[each, best] < none
+            if not going.all():
+                stop = ~going
+                symbols[live[stop]] = now[stop]
+                live, now, ranks, joined, best = live[going], now[going], ranks[going], joined[going], best[going]
+                each = np.arange(len(live))
+                if not len(live):
+                    break
+            made = joined[each, best]
+            # the merged symbol takes its pair's place; what follows moves up
+            source = np.minimum(columns + (columns > best[:, None]), width - 1)
+            now = np.take_along_axis(now, source, 1)
+            now[:, -1] = -1
+            now[each, best] = made
+            source = source[:, :-1] if width > 1 else source
+            wide = np.concatenate([ranks, np.full((len(live), 1), none, ranks.dtype)], 1)
+            ranks = np.take_along_axis(wide, source, 1)
+            joined = np.take_along_axis(np.concatenate([joined, joined[:, -1:]], 1), source, 1)
+            counts[live] -= 1
+            for left in (best - 1, best):
+                ok = (left >= 0) & (left < width - 1)
+                r, j = look(now[each[ok], left[ok]], now[each[ok], left[ok] + 1])
+                ranks[each[ok], left[ok]], joined[each[ok], left[ok]] = r, j
+        return symbols[columns < counts[:, None]], counts
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Encodes the words of many texts that are not remembered yet."""
+        if not self.plain:
+            return
+        known = self.words
+        fresh = sorted({w for t in texts if t and MARK not in t for w in self.runs.findall(" " + t)
+                        if w not in known and len(w) <= 32}, key=len)
+        if len(known) + len(fresh) > known.remember:
+            known.clear()
+        at = 0
+        while at < len(fresh):
+            part = fresh[at:at + 20_000]
+            at += len(part)
+            ids, counts = self.merge_many(part)
+            lengths = self.source_bytes[ids].tobytes()
+            ids = ids.tobytes()
+            ends = (np.cumsum(counts) * 4).tolist()
+            begin = 0
+            for word, end in zip(part, ends):
+                if end > begin:
+                    known[word] = ids[begin:end], lengths[begin:end], word
+                begin = end
+
     def _ids(self, piece: str) -> list[int]:
         if (i := self.vocabulary.get(piece)) is not None:
             return [i]
@@ -316,13 +427,13 @@ class PieceCodec:
         by word where the model and the text allow it."""
         text = text or ""
         if self.plain and text and MARK not in text:
-            words = [self.words[w] for w in _RUNS.findall(" " + text)]
-            ids = np.frombuffer(b"".join([w.ids for w in words]) + np.int32(self.end).tobytes(), np.int32)
+            words = [self.words[w] for w in self.runs.findall(" " + text)]
+            ids = np.frombuffer(b"".join([w[0] for w in words]) + np.int32(self.end).tobytes(), np.int32)
             # the space put before the text has no source byte
-            edges = np.cumsum(np.frombuffer(b"".join([w.lengths for w in words]), np.int32), dtype=np.int32) - 1
+            edges = np.cumsum(np.frombuffer(b"".join([w[1] for w in words]), np.int32), dtype=np.int32) - 1
             ends = np.append(edges, edges[-1])
             begins = np.concatenate([np.zeros(1, np.int32), edges])
-            return ids, begins, ends, "".join([w.decoded for w in words])[1:]
+            return ids, begins, ends, "".join([w[2] for w in words])[1:]
         made = self.encode(text)
         spans = made.spans.astype(np.int32)
         return np.array(made.ids, np.int32), spans[:, 0], spans[:, 1], self.decode(made.ids)
@@ -336,9 +447,6 @@ class PieceCodec:
                 sha(decoded.encode("utf-8", "surrogatepass")), sha(begins.tobytes()))
 
 
-_RUNS = re.compile(r" +[^ ]*|[^ ]+")
-
-
 class _Words(dict):
     """Encoded words (leading spaces included), at most ``remember`` of them."""
 
@@ -348,16 +456,21 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> _Word:
         codec = self.codec
-        ids: list[int] = []
-        lengths: list[int] = []
-        for piece in codec.merge(word.replace(" ", MARK)):
-            own = codec._ids(piece)
-            ids += own
-            size = len(piece.replace(MARK, " ").encode("utf-8", "surrogatepass"))
-            lengths += [0] * (len(own) - 1) + [size]
-        # decode() drops the mark at the start of a text; one more keeps it here
-        decoded = codec.decode([codec.vocabulary[MARK], *ids])
-        made = _Word(np.array(ids, np.int32).tobytes(), np.array(lengths, np.int32).tobytes(), decoded)
+        parts = codec.merge(word.replace(" ", MARK))
+        try:
+            ids = [codec.vocabulary[p] for p in parts]
+            lengths = map(len, parts) if word.isascii() else [
+                len(p.replace(MARK, " ").encode("utf-8", "surrogatepass")) for p in parts]
+            decoded = word
+        except KeyError:  # characters outside the vocabulary
+            ids, lengths = [], []
+            for piece in parts:
+                own = codec._ids(piece)
+                ids += own
+                lengths += [0] * (len(own) - 1) + [len(piece.replace(MARK, " ").encode("utf-8", "surrogatepass"))]
+            # decode() drops the mark at the start of a text; one more keeps it here
+            decoded = codec.decode([codec.vocabulary[MARK], *ids])
+        made = array("i", ids).tobytes(), array("i", lengths).tobytes(), decoded
         if len(word) <= 64:
             if len(self) >= self.remember:
                 self.clear()
@@ -382,7 +495,9 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text") -> DataF
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                rows = [codec.arrays(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+                codec.learn(texts)
+                rows = [codec.arrays(t) for t in texts]
                 made = [lists([r[i] for r in rows]) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made, pa.array([r[3] for r in rows], pa.string())],
                                                  [*batch.schema.names, *new.names])
@@ -397,13 +512,16 @@ def digest_documents(docs: DataFrame, model: bytes, id: str = "doc_id", text: st
 
     def run(batches):
         codec = PieceCodec(model)
-        for batch in batches:
-            rows = [codec.digest(t) for t in batch.column(1).to_pylist()]
-            n, ids, decoded, spans = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()),
-                 pa.array(decoded, pa.string()), pa.array(spans, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                texts = batch.column(1).to_pylist()
+                codec.learn(texts)
+                n, ids, decoded, spans = zip(*[codec.digest(t) for t in texts])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()),
+                     pa.array(decoded, pa.string()), pa.array(spans, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     source = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
