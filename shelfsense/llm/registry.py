@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import chat, langid, minhash, mixing, pieces, sharding, substring, syncmers, toxicity
+from shelfsense.llm import ann, chat, langid, minhash, mixing, pieces, sharding, substring, syncmers, toxicity
 from shelfsense.llm._common import Scratch, crc_fold, table
 
 
@@ -54,6 +54,10 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), Scratch(spark, "ann"))
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.cut_repeats(docs).select("doc_id", "has_repeat", "removed_chars", "repeats_of", "spans", "text")
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op3_sharding": op3_sharding,
     "op4_syncmers": op4_syncmers,
+    "op5_ann": op5_ann,
     "op6_substring": op6_substring,
     "op7_mixing": op7_mixing,
     "op8_minhash": op8_minhash,
