@@ -6,15 +6,4 @@ distributed job.  Nothing here creates a SparkSession except
 :mod:`shelfsense.session`, which is for tests, the bench and scripts.
 """
 
-import sys as _sys
-
-__version__ = "0.1.0"
-
-# The grouped-map functions (KDE, cubic fit, Ward step) run in Python workers.
-# Ship them by value so executors need no installed copy of this package.
-try:
-    from pyspark import cloudpickle as _cloudpickle
-
-    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # pragma: no cover - older cloudpickle: package must be installed
-    pass
+__version__ = "0.2.0"

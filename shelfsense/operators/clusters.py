@@ -1,233 +1,91 @@
-"""Store clustering (F3-F6): Ward agglomerative clustering of properties.
-
-Plan, so that nothing whole passes through one task:
-
-1. Identical feature vectors are grouped (a partial-aggregated ``groupBy``)
-   into weighted points.  Identical points merge at zero cost, so weighted
-   Ward on the distinct vectors is Ward on all properties (ties aside).
-2. If there are more distinct vectors than ``max_leaves``, MLlib ``KMeans``
-   (weighted) reduces them to ``max_leaves`` micro-clusters, and Ward runs on
-   those weighted centroids: exact below the cap, an approximation above.
-3. Weighted Ward on at most ``max_leaves`` leaves runs as one grouped-map
-   task with NumPy (nearest-neighbour chain, O(leaves^2) time, O(leaves)
-   memory besides the points).  Its input is bounded by ``max_leaves``.
-4. Labels go back to properties through a join with the leaf table, which is
-   at most ``max_leaves`` rows and so is broadcast.
-
-Labels are renumbered 0..k-1 by the smallest property id in each cluster.
+"""Property clustering and profiles.
+
+The properties are clustered hierarchically from the top: MLlib's bisecting
+k-means splits the cluster with the largest cost until there are ``k``.  Every
+pass over the data is distributed and the same algorithm runs at every size.
+The reference merges from the bottom (Ward), which needs all pairs of
+properties; both minimise the within-cluster sum of squares step by step, but
+the groups can differ.  Another number of groups is another ``k``.
 """
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.clustering import BisectingKMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LEAVES = 2000
 DEFAULT_K = 6
 
 
-# ------------------------------------------------------------ NumPy Ward
-def ward_linkage(x: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
-    """Weighted Ward merges of points ``x`` (n x d) with weights ``w``.
-
-    Returns an (n-1) x 4 array (left node, right node, cost, size) in merge
-    order by cost; leaves are nodes 0..n-1, merge ``s`` creates node n+s.
-    Cost of merging A and B is the rise in within-cluster sum of squares,
-    ``wA*wB/(wA+wB) * ||cA - cB||^2``.
-    """
-    x = np.asarray(x, dtype=float)
-    n = x.shape[0]
-    w = np.ones(n) if w is None else np.asarray(w, dtype=float)
-    if n < 2:
-        return np.zeros((0, 4))
-    cent = x.copy()
-    wt = w.copy()
-    active = np.ones(n, dtype=bool)
-    node = np.arange(n)
-    raw = []  # (a_node, b_node, cost, size) in chain order
-    chain: list[int] = []
-    remaining = n
-
-    def costs(i: int, js: np.ndarray) -> np.ndarray:
-        diff = cent[js] - cent[i]
-        return wt[i] * wt[js] / (wt[i] + wt[js]) * np.einsum("ij,ij->i", diff, diff)
-
-    while remaining > 1:
-        if not chain:
-            chain.append(int(np.flatnonzero(active)[0]))
-        while True:
-            a = chain[-1]
-            cand = np.flatnonzero(active)
-            cand = cand[cand != a]
-            d = costs(a, cand)
-            j = int(np.argmin(d))
-            b, db = int(cand[j]), d[j]
-            if len(chain) > 1:
-                prev = chain[-2]
-                dprev = costs(a, np.array([prev]))[0]
-                if dprev <= db:
-                    b = prev
-            if len(chain) > 1 and b == chain[-2]:
-                break
-            chain.append(b)
-        a = chain.pop()
-        b = chain.pop()
-        c = costs(a, np.array([b]))[0]
-        lo, hi = (a, b) if a < b else (b, a)
-        size = wt[a] + wt[b]
-        raw.append((node[lo], node[hi], c, size))
-        cent[lo] = (wt[a] * cent[a] + wt[b] * cent[b]) / size
-        wt[lo] = size
-        active[hi] = False
-        node[lo] = n + len(raw) - 1
-        remaining -= 1
-    # Sort by cost (stable keeps children before parents on ties) and renumber
-    # internal nodes to their position in the sorted order.
-    order = sorted(range(len(raw)), key=lambda i: raw[i][2])
-    new_id = {n + old: n + new for new, old in enumerate(order)}
-    out = np.zeros((len(raw), 4))
-    for new, old in enumerate(order):
-        l, r, c, s = raw[old]
-        out[new] = (new_id.get(l, l), new_id.get(r, r), c, s)
-    return out
-
-
-def cut_tree(merges: np.ndarray, n: int, k: int) -> np.ndarray:
-    """Cluster index (arbitrary ids) of each of ``n`` leaves after applying
-    the first ``n - k`` merges."""
-    parent = list(range(n))
-    rep = list(range(n)) + [0] * max(0, n - 1)
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for s in range(max(0, min(n - k, len(merges)))):
-        l, r = int(merges[s, 0]), int(merges[s, 1])
-        ra, rb = find(rep[l]), find(rep[r])
-        parent[rb] = ra
-        rep[n + s] = ra
-    return np.array([find(i) for i in range(n)])
-
-
-def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=float) for v in pdf["vec"]])
-
-
-def _labels_frame(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep").reset_index(drop=True)
-    merges = ward_linkage(_matrix(pdf), pdf["w"].to_numpy(float))
-    roots = cut_tree(merges, len(pdf), k)
-    # renumber clusters by their smallest property id (leaves are sorted by rep)
-    first: dict[int, int] = {}
-    for r in roots:
-        first.setdefault(int(r), len(first))
-    return pd.DataFrame({"leaf": pdf["leaf"].to_numpy(),
-                         "cluster": np.array([first[int(r)] for r in roots], dtype="int32")})
-
-
-def _history_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep").reset_index(drop=True)
-    m = ward_linkage(_matrix(pdf), pdf["w"].to_numpy(float))
-    return pd.DataFrame({"step": np.arange(len(m), dtype="int64"),
-                         "left": m[:, 0].astype("int64"), "right": m[:, 1].astype("int64"),
-                         "cost": m[:, 2], "distance": np.sqrt(2 * m[:, 2]),
-                         "size": m[:, 3].astype("int64")})
-
-
 def feature_vectors(features: DataFrame) -> DataFrame:
-    """(property_id, vec) with the features as one array<double> column;
-    properties with a null feature are left out of fitting."""
-    fcols = [c for c in features.columns if c != "property_id"]
-    feats = features.dropna(subset=fcols)
-    return feats.select("property_id",
-                        F.array(*[F.col(f"`{c}`").cast("double") for c in fcols]).alias("vec"))
-
-
-def _leaves(features: DataFrame, max_leaves: int, seed: int):
-    """(leaf table: leaf, rep, w, vec) and (property_id, leaf)."""
-    feats = feature_vectors(features)
-    vecs = feats.groupBy("vec").agg(F.count("*").alias("w"), F.min("property_id").alias("rep"))
-    n_distinct = vecs.count()
-    if n_distinct <= max_leaves:
-        leaves = vecs.withColumn("leaf", F.col("rep"))
-        # at most max_leaves rows: a proven bound, so broadcast
-        assign = feats.join(F.broadcast(leaves.select("vec", "leaf")), "vec")
-        return leaves, assign.select("property_id", "leaf")
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    km = KMeans(k=max_leaves, seed=seed, featuresCol="_v", predictionCol="leaf",
-                weightCol="w", maxIter=20)
-    model = km.fit(vecs.withColumn("_v", array_to_vector("vec")))
-    pred = model.transform(vecs.withColumn("_v", array_to_vector("vec")))
-    wsum = F.sum("w")
-    dim = len(vecs.first()["vec"])
-    leaves = pred.groupBy("leaf").agg(
-        wsum.alias("w"), F.min("rep").alias("rep"),
-        F.array(*[(F.sum(F.col("vec")[i] * F.col("w")) / wsum) for i in range(dim)]).alias("vec"))
-    assign = model.transform(feats.withColumn("_v", array_to_vector("vec"))).select("property_id", "leaf")
-    return leaves, assign
-
+    """(property_id, vec) from long features (property_id, feature, value);
+    absent features are 0 and a property with a null value is left out.
 
-def _leaf_schema(leaves: DataFrame) -> str:
-    return dict(leaves.dtypes)["leaf"]
-
-
-def property_clusters(attrs: DataFrame, features: DataFrame, k: int = DEFAULT_K,
-                      max_leaves: int = MAX_LEAVES, seed: int = 7) -> DataFrame:
-    """``attrs`` with a ``cluster`` label from Ward clustering of
-    ``features`` into ``k`` groups; rows that cannot be featurised get null."""
-    leaves, assign = _leaves(features, max_leaves, seed)
-    schema = f"leaf {_leaf_schema(leaves)}, cluster int"
-    labels = (leaves.select("leaf", "rep", "w", "vec").groupBy(F.lit(0).alias("_g"))
-              .applyInPandas(lambda pdf: _labels_frame(pdf, k), schema))
-    by_prop = assign.join(F.broadcast(labels), "leaf").select("property_id", "cluster")
-    return attrs.join(by_prop, "property_id", "left")
-
-
-def cluster_merge_history(features: DataFrame, max_leaves: int = MAX_LEAVES,
-                          seed: int = 7) -> DataFrame:
-    """the Ward merge tree (step, left, right, cost, distance, size);
-    leaves are numbered 0.. in order of their smallest property id."""
-    leaves, _ = _leaves(features, max_leaves, seed)
-    schema = "step long, left long, right long, cost double, distance double, size long"
-    return (leaves.select("leaf", "rep", "w", "vec").groupBy(F.lit(0).alias("_g"))
-            .applyInPandas(_history_frame, schema))
-
-
-def cut_clusters(attrs: DataFrame, features: DataFrame, k: int,
-                 max_leaves: int = MAX_LEAVES, seed: int = 7) -> DataFrame:
-    """cut the same tree at another number of groups."""
-    return property_clusters(attrs, features, k, max_leaves, seed)
+    The index of a feature is its place in the sorted feature table, which has
+    one row per category level, not per property.
+    """
+    place = F.row_number().over(Window.orderBy("feature")) - 1
+    names = features.select("feature").distinct()
+    index = names.withColumn("i", place).withColumn("size", F.count("*").over(Window.partitionBy()))
+    entries = features.join(index, "feature").groupBy("property_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("i", F.coalesce("value", F.lit(0.0))))).alias("m"),
+        F.max("size").alias("size"), F.count(F.when(F.col("value").isNull(), 1)).alias("nulls"))
+    dense = F.expr("transform(sequence(0, size - 1), i -> coalesce(try_element_at(m, i), 0D))")
+    return entries.where("nulls = 0").select("property_id", dense.alias("vec"))
+
+
+def property_clusters(attrs: DataFrame, features: DataFrame, k: int = DEFAULT_K, seed: int = 7) -> DataFrame:
+    """``attrs`` with a ``cluster`` label from 0, numbered by the
+    smallest property id; rows that cannot be featurised get null."""
+    points = feature_vectors(features).select("property_id", array_to_vector("vec").alias("vec"))
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="vec", predictionCol="group").fit(points)
+    found = model.transform(points).select("property_id", "group")
+    # at most k rows
+    names = found.groupBy("group").agg(F.min("property_id").alias("first")).withColumn(
+        "cluster", (F.row_number().over(Window.orderBy("first")) - 1).cast("int"))
+    labels = found.join(F.broadcast(names.select("group", "cluster")), "group").select("property_id", "cluster")
+    return attrs.join(labels, "property_id", "left")
+
+
+def cut_clusters(attrs: DataFrame, features: DataFrame, k: int, seed: int = 7) -> DataFrame:
+    """another number of groups."""
+    return property_clusters(attrs, features, k, seed)
 
 
 def cluster_profile(clusters: DataFrame, features: DataFrame) -> DataFrame:
     """the most distinguishing feature of each cluster: the feature whose
     cluster mean is furthest from the overall mean in overall standard
-    deviations (population), ties by feature name."""
-    from shelfsense.operators.properties import to_long
-    long = to_long(features)
-    lab = clusters.where(F.col("cluster").isNotNull()).select("property_id", "cluster")
-    j = long.join(lab, "property_id")
-    overall = j.groupBy("feature").agg(F.avg("value").alias("overall_mean"),
-                                       F.stddev_pop("value").alias("overall_std"))
-    per = j.groupBy("cluster", "feature").agg(F.avg("value").alias("cluster_mean"),
-                                              F.count("*").alias("n_properties"))
-    z = F.when(F.col("overall_std") > 0,
-               (F.col("cluster_mean") - F.col("overall_mean")) / F.col("overall_std"))
-    s = per.join(overall, "feature").withColumn("z", z)
-    from pyspark.sql import Window
+    deviations (population), ties by feature name.  ``features`` is long; an
+    absent feature is 0."""
+    labels = clusters.where(F.col("cluster").isNotNull()).select("property_id", "cluster")
+    sizes = labels.groupBy("cluster").agg(F.count("*").alias("n"))
+    # one row: the clusters and their sizes (at most k entries)
+    sizes = sizes.agg(F.collect_list(F.struct("cluster", "n")).alias("sizes"), F.sum("n").alias("total"))
+    value = F.col("value")
+    sums = features.join(labels, "property_id").groupBy("feature", "cluster").agg(
+        F.sum(value).alias("s"), F.sum(value * value).alias("q"))
+    by_feature = sums.groupBy("feature").agg(
+        F.map_from_entries(F.collect_list(F.struct("cluster", "s"))).alias("by_cluster"),
+        F.sum("s").alias("s"), F.sum("q").alias("q"))
+    one = by_feature.withColumn("_one", F.lit(1)).join(F.broadcast(sizes.withColumn("_one", F.lit(1))), "_one")
+    mean = F.col("s") / F.col("total")
+    deviation = F.sqrt(F.greatest(F.col("q") / F.col("total") - mean * mean, F.lit(0.0)))
+    rows = one.select("feature", mean.alias("overall_mean"), deviation.alias("overall_std"), "by_cluster",
+                      F.explode("sizes").alias("c"))
+    rows = rows.select("feature", F.col("c.cluster").alias("cluster"), F.col("c.n").alias("n_properties"),
+                       "overall_mean", "overall_std",
+                       (F.coalesce(F.col("by_cluster")[F.col("c.cluster")], F.lit(0.0)) / F.col("c.n")).alias("cluster_mean"))
+    rows = rows.withColumn("z", F.when(F.col("overall_std") > 0, F.round(
+        (F.col("cluster_mean") - F.col("overall_mean")) / F.col("overall_std"), 6)))
     w = Window.partitionBy("cluster").orderBy(F.desc_nulls_last(F.abs("z")), "feature")
-    return (s.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-            .select("cluster", "feature", "cluster_mean", "overall_mean", "overall_std", "z",
-                    "n_properties"))
+    return (rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
+            .select("cluster", "feature", F.round("cluster_mean", 6).alias("cluster_mean"),
+                    F.round("overall_mean", 6).alias("overall_mean"), F.round("overall_std", 6).alias("overall_std"),
+                    "z", "n_properties"))
 
 
 def cluster_labels_by_code(clusters: DataFrame) -> DataFrame:
-    """(property_code, cluster) for joining labels into sales."""
-    return clusters.select("property_code", "cluster").dropDuplicates(["property_code"])
+    """(property_code, cluster) for joining labels into sales (J8); several
+    rows of a code count as their largest label."""
+    return clusters.groupBy("property_code").agg(F.max("cluster").alias("cluster"))

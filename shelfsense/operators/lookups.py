@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.functions.ordinal import distributed_ordinal
-from shelfsense.plans.materialize import materialize
 
 
 def property_lookup(sales: DataFrame, city: str | None = None, state: str | None = None,
                     flag_name: str | None = None) -> DataFrame:
-    """L1: property code, flag, city and state, optionally filtered."""
+    """L1: property code, flag, city and state, optionally filtered,
+    in the order of these columns."""
     d = sales.select("property_code", "flag_name", "city", "state")
     for c, v in (("city", city), ("state", state), ("flag_name", flag_name)):
         if v is not None:
             d = d.where(F.col(c) == F.lit(v))
-    return d.distinct()
+    return d.distinct().orderBy("property_code", "flag_name", "city", "state")
 
 
 def product_lookup(sales: DataFrame, category: str | None = None) -> DataFrame:
-    """L2: category and product pairs, optionally one category."""
+    """L2: category and product pairs, optionally one category, in their order."""
     d = sales.select("category_name", "description")
     if category is not None:
         d = d.where(F.col("category_name") == F.lit(category))
-    return d.distinct()
+    return d.distinct().orderBy("category_name", "description")
 
 
 # (dimension, column, descending, prepend an "any" choice)
@@ -39,29 +38,24 @@ DIMENSIONS = (
 
 
 def dimension_values(sales: DataFrame) -> DataFrame:
-    """L3: the ordered choice lists as (dimension, ord, value): distinct values
-    ascending with nulls last, months descending with nulls first, and a
-    leading null ("any") for flags and states.
+    """L3: the ordered choice lists as (dimension, is_any, value), in order:
+    distinct values ascending with nulls last, months descending with nulls
+    first, and a leading "any" (null) for flags and states.
 
-    Values are deduplicated with one distributed aggregate and numbered with
-    ``distributed_ordinal``: no dimension's list has to fit in one task.
+    One distributed distinct and one global sort: no dimension's list has to
+    fit in one task.
     """
-    pairs = F.array(*[F.struct(F.lit(name).alias("dimension"), F.col(col).cast("string").alias("value"))
-                      for name, col, _, _ in DIMENSIONS])
+    pairs = F.array(*[F.struct(F.lit(name).alias("dimension"), F.lit(False).alias("is_any"),
+                               F.col(col).cast("string").alias("value")) for name, col, _, _ in DIMENSIONS])
     # one scan: every sale gives its (dimension, value) pairs; partial distinct
-    d = sales.select(F.explode(pairs).alias("p")).select("p.dimension", "p.value").distinct()
-    # the distinct table is read several times below (sampling, counts, rows)
-    d = materialize(d, name="dimension_values")
-    desc = F.col("dimension") == "transaction_month"
-    lead = F.col("dimension").isin([n for n, _, _, a in DIMENSIONS if a])
-    # ascending dimensions: values ascending, null last; months: descending, null first
-    d = d.withColumn("_k1", F.when(desc, F.col("value").isNotNull()).otherwise(F.col("value").isNull()))
-    d = d.withColumn("_k2", F.when(desc, F.col("value")))
-    d = d.withColumn("_k3", F.when(~desc, F.col("value")))
-    ranked = distributed_ordinal(d, "dimension", [F.col("_k1").asc(), F.col("_k2").desc(),
-                                                  F.col("_k3").asc()], name="_ord")
-    ranked = ranked.withColumn("ord", F.col("_ord") + F.when(lead, 1).otherwise(0))
-    anyrow = (d.select("dimension").distinct().where(lead)
-              .select("dimension", F.lit(1).alias("ord"), F.lit(None).cast("string").alias("value")))
-    return (ranked.select("dimension", F.col("ord").cast("int").alias("ord"), "value")
-            .unionByName(anyrow.select("dimension", F.col("ord").cast("int").alias("ord"), "value")))
+    found = sales.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+    lead = [n for n, _, _, a in DIMENSIONS if a]
+    # a list without values has no "any"
+    some = found.where(F.col("dimension").isin(lead)).select("dimension").distinct().select(
+        "dimension", F.lit(True).alias("is_any"), F.lit(None).cast("string").alias("value"))
+    falling = F.col("dimension").isin([n for n, _, d, _ in DIMENSIONS if d])
+    value = F.col("value")
+    return found.unionByName(some).orderBy(
+        "dimension", F.desc("is_any"),
+        F.when(falling, value.isNotNull()).otherwise(value.isNull()),
+        F.when(falling, value).desc(), F.when(~falling, value).asc())

@@ -21,8 +21,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,22 +134,25 @@ def price_optimum(points: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame
     """
     k = _keys(keys)
     b = _optimum_rows(points, k)
-    in_best = F.col("bin") == F.col("best_bin")
-
-    def ten_medians(c):
-        return F.greatest(*[F.median(F.when(F.col("ten_bin") == i, F.col(c)))
-                            for i in range(TEN_BINS)])
-
-    a = b.groupBy(*k).agg(
-        F.count("*").alias("n_prices"),
+    # Two levels on the windows' partitioning (no further exchange): medians
+    # per ten-bin and of the best quarter bin (slot -1), then the product.
+    best_slot = F.when(F.col("bin") == F.col("best_bin"), F.lit(-1))
+    slots = F.filter(F.array(F.coalesce("ten_bin", F.lit(-2)), best_slot), lambda x: x.isNotNull())
+    per = b.withColumn("slot", F.explode(slots)).groupBy(*k, "slot").agg(
+        F.count("*").alias("n"), F.max("best_bin").alias("best_bin"), F.min("price_low").alias("price_low"),
+        F.collect_set("bin_edge").alias("edges"),
+        F.median("revenue").alias("rev"), F.median("number_sold").alias("sales"))
+    ten, best = F.col("slot") >= 0, F.col("slot") == -1
+    a = per.groupBy(*k).agg(
+        F.sum(F.when(~best, F.col("n"))).alias("n_prices"),
         F.max("best_bin").alias("best_bin"),
         F.min("price_low").alias("price_low"),
-        F.array_sort(F.collect_set("bin_edge")).alias("edges"),
-        F.count_distinct("ten_bin").alias("n_median_bins"),
-        ten_medians("revenue").alias("max_rev"),
-        ten_medians("number_sold").alias("max_sales"),
-        F.median(F.when(in_best, F.col("revenue"))).alias("fb_rev"),
-        F.median(F.when(in_best, F.col("number_sold"))).alias("fb_sales"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("edges")))).alias("edges"),
+        F.count(F.when(ten, 1)).alias("n_median_bins"),
+        F.max(F.when(ten, F.col("rev"))).alias("max_rev"),
+        F.max(F.when(ten, F.col("sales"))).alias("max_sales"),
+        F.max(F.when(best, F.col("rev"))).alias("fb_rev"),
+        F.max(F.when(best, F.col("sales"))).alias("fb_sales"),
     )
     ok = F.col("n_prices") >= 2
 
@@ -307,93 +308,75 @@ def price_histogram(points: DataFrame, columns: Sequence[str] = ("unit_price",),
     )
 
 
-def _kde_frame(pdf: pd.DataFrame, key_cols: list[str]) -> pd.DataFrame:
-    """Gaussian KDE of one (product, variable) group on a 100-point grid.
-
-    Kernel sd = n^(-1/5) * sample sd (Scott's rule); the grid spans
-    [min - 3 bw, max + 3 bw] with bw = n^(-1/5) * population sd.  Evaluated
-    in blocks so memory stays bounded for any group size.
-    """
-    x = pdf["value"].to_numpy(dtype=float)
-    n = x.size
-    cols = key_cols + ["variable", "i", "x", "density"]
-    if n < 2:
-        return pd.DataFrame(columns=cols)
-    sd_samp = x.std(ddof=1)
-    if not np.isfinite(sd_samp) or sd_samp <= 0:
-        return pd.DataFrame(columns=cols)
-    factor = n ** -0.2
-    bw = factor * x.std()
-    grid = np.linspace(x.min() - KDE_CUT * bw, x.max() + KDE_CUT * bw, KDE_GRID)
-    h = factor * sd_samp
-    dens = np.zeros(KDE_GRID)
-    for s in range(0, n, 8192):
-        z = (grid[:, None] - x[None, s:s + 8192]) / h
-        dens += np.exp(-0.5 * z * z).sum(axis=1)
-    dens /= n * h * math.sqrt(2 * math.pi)
-    out = pd.DataFrame({"i": np.arange(KDE_GRID, dtype="int32"),
-                        "x": np.round(grid, 6), "density": np.round(dens, 6)})
-    for c in key_cols + ["variable"]:
-        out[c] = pdf[c].iloc[0]
-    return out[cols]
-
-
 def price_kde(points: DataFrame, columns: Sequence[str] = ("unit_price",),
               keys: Sequence[str] = PRODUCT) -> DataFrame:
     """Kernel density curve of the chosen columns, 100 grid points per
     product (products with two or more points and a non-zero spread).
 
-    Grouped map over the already aggregated price points: one group is one
-    product's distinct prices, a small bounded set; the exact kernel sum is
-    vectorised NumPy instead of a grid x point row expansion.
+    Gaussian kernel with sd n^(-1/5) * sample sd (Scott's rule); the grid spans
+    [min - 3 bw, max + 3 bw] with bw = n^(-1/5) * population sd.  Every price
+    point gives its kernel at the grid points; they are summed map-side by
+    (product, grid point), so no product has to fit in one task.
     """
-    k = _keys(keys)
-    long = _long(points, k, columns)
-    key_fields = [f for f in long.schema.fields if f.name in k]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
-    schema += ", variable string, i int, x double, density double"
-    return long.groupBy(*k, "variable").applyInPandas(lambda pdf: _kde_frame(pdf, k), schema)
-
-
-def _cubic_frame(pdf: pd.DataFrame, key_cols: list[str]) -> pd.DataFrame:
-    """Least-squares cubic of units and revenue against price for one product.
-
-    With a smoothing factor of 1e6 a cubic smoothing spline keeps no interior
-    knots whenever the cubic's residual sum of squares is within it, and is
-    then exactly this polynomial; ``within_smoothing_*`` says whether that holds.
-    """
-    pdf = pdf.sort_values("unit_price")
-    x = pdf["unit_price"].to_numpy(dtype=float)
-    out = pdf[key_cols + ["unit_price", "number_sold", "revenue"]].copy()
-    for tag, col in (("units", "number_sold"), ("revenue", "revenue")):
-        y = pdf[col].to_numpy(dtype=float)
-        if x.size >= 4 and np.unique(x).size >= 4:
-            xc = x - x.mean()
-            coef = np.polyfit(xc, y, 3)
-            fit = np.polyval(coef, xc)
-            ssr = float(((y - fit) ** 2).sum())
-            out[f"fit_{tag}"] = fit
-            out[f"ssr_{tag}"] = ssr
-            out[f"within_smoothing_{tag}"] = ssr <= SMOOTHING
-        else:
-            out[f"fit_{tag}"] = np.nan
-            out[f"ssr_{tag}"] = np.nan
-            out[f"within_smoothing_{tag}"] = None
-    return out
+    k = [*_keys(keys), "variable"]
+    long = _long(points, _keys(keys), columns)
+    stats = long.groupBy(*k).agg(
+        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
+        F.stddev_pop("value").alias("sp"), F.stddev_samp("value").alias("ss")).where("n >= 2 and ss > 0")
+    factor = F.pow("n", F.lit(-0.2))
+    stats = stats.select(*k, "n", (F.col("lo") - KDE_CUT * factor * F.col("sp")).alias("lo"),
+                         (F.col("hi") + KDE_CUT * factor * F.col("sp")).alias("hi"), (factor * F.col("ss")).alias("h"))
+    grid = F.expr(f"transform(sequence(0, {KDE_GRID - 1}), i -> if(i = {KDE_GRID - 1}, hi, "
+                  f"i * ((hi - lo) / {KDE_GRID - 1}) + lo))")
+    rows = long.join(stats, k).select(*k, "n", "h", "value", F.posexplode(grid).alias("i", "x"))
+    z = (F.col("x") - F.col("value")) / F.col("h")
+    out = rows.groupBy(*k, "i").agg(F.sum(F.exp(-0.5 * z * z)).alias("s"), F.max("x").alias("x"),
+                                    F.max("n").alias("n"), F.max("h").alias("h"))
+    density = F.col("s") / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
+    return out.select(*k, F.col("i").cast("int").alias("i"), half_even("x", 6).alias("x"),
+                      half_even(density, 6).alias("density"))
 
 
 def price_curve(points: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame:
-    """Cubic smoothing curve of units and revenue vs. price per product
-    (four or more distinct prices), grouped map over the price points."""
+    """Smoothing curve of units and revenue against price per product
+    with four or more distinct prices: the least-squares cubic, which a cubic
+    smoothing spline with this smoothing factor equals while the cubic's
+    residual sum of squares (``ssr_*``) is within it; beyond it, and with fewer
+    prices, the fit is null.
+
+    The cubic is the sum of the first four polynomials orthogonal over the
+    product's prices, built by their three-term recurrence from centred and
+    scaled prices; all sums are windows on one partitioning.
+    """
     k = _keys(keys)
-    key_fields = [f for f in points.schema.fields if f.name in k]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
-    schema += (", unit_price double, number_sold double, revenue double, "
-               "fit_units double, ssr_units double, within_smoothing_units boolean, "
-               "fit_revenue double, ssr_revenue double, within_smoothing_revenue boolean")
-    cols = [s.split()[0] for s in schema.split(", ")]
-    return (points.groupBy(*k)
-            .applyInPandas(lambda pdf: _cubic_frame(pdf, k)[cols], schema))
+    w = Window.partitionBy(*k)
+    total = lambda c: F.sum(c).over(w)
+    b = points.select(*k, "unit_price", "number_sold", "revenue").withColumn("n", F.count("*").over(w))
+    b = b.withColumn("c", F.col("unit_price") - F.avg("unit_price").over(w))
+    b = b.withColumn("z", F.col("c") / F.max(F.abs("c")).over(w)).withColumn("p0", F.lit(1.0)).where("n >= 1")
+    for i in range(4):
+        p = F.col(f"p{i}")
+        b = b.withColumn(f"s{i}", total(p * p))
+        b = b.withColumns({f"cu{i}": total(F.col("number_sold") * p), f"cr{i}": total(F.col("revenue") * p),
+                           f"a{i}": total(F.col("z") * p * p)})
+        if i < 3:
+            step = (F.col("z") - F.try_divide(f"a{i}", f"s{i}")) * p
+            if i:
+                step = step - F.try_divide(f"s{i}", f"s{i - 1}") * F.col(f"p{i - 1}")
+            b = b.withColumn(f"p{i + 1}", step)
+    enough = F.col("n") >= 4
+
+    def fitted(tag):
+        parts = [F.try_divide(f"c{tag}{i}", f"s{i}") * F.col(f"p{i}") for i in range(4)]
+        return F.when(enough, parts[0] + parts[1] + parts[2] + parts[3])
+
+    b = b.withColumns({"fu": fitted("u"), "fr": fitted("r")})
+    b = b.withColumns({"su": total(F.pow(F.col("number_sold") - F.col("fu"), F.lit(2.0))),
+                       "sr": total(F.pow(F.col("revenue") - F.col("fr"), F.lit(2.0)))})
+    keep = lambda fit, ssr: half_even(F.when(F.col(ssr) <= SMOOTHING, F.col(fit)), 6) + 0.0  # noqa: E731  no -0.0
+    return b.select(*k, "unit_price", "number_sold", "revenue",
+                    keep("fu", "su").alias("fit_units"), half_even("su", 4).alias("ssr_units"),
+                    keep("fr", "sr").alias("fit_revenue"), half_even("sr", 4).alias("ssr_revenue"))
 
 
 def price_summary(points: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame:

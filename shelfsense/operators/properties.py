@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsense.functions import currency_code, zip_zone
+from shelfsense.functions.salting import salted_join
 
 DUMMY_COLS = ("kind", "guest_profile", "location_type", "currency", "flag_name", "zip")
 NUMERIC_COLS = ("props_under_mgmt", "rooms")
@@ -30,59 +31,39 @@ def property_source(properties: DataFrame, brands: DataFrame, flags: DataFrame)
     )
 
 
-def property_attributes(source: DataFrame) -> DataFrame:
+def property_attributes(source: DataFrame, properties: DataFrame) -> DataFrame:
     """Currency code, zip zone, and the number of properties
     of the property's management company.  The count joins back with an inner
     join, so a property without a company is dropped.
 
-    The count is a partial-aggregated ``groupBy`` joined back (one row per
-    company, broadcast by AQE), not a window partitioned by company, so a
-    company holding a third of all properties does not land in one task.
+    The count is a partial aggregate of the bare ``properties`` table (one row
+    per company); the join splits a company's properties by their id, so one
+    that holds a third of them does not land in one task.
     """
     props = (source.withColumn("currency", currency_code("currency_id"))
              .withColumn("zip", zip_zone("zip")))
-    counts = (props.where(F.col("management_company_id").isNotNull())
+    counts = (properties.where(F.col("management_company_id").isNotNull())
               .groupBy("management_company_id")
               .agg(F.count("*").alias("props_under_mgmt")))
-    return props.join(counts, "management_company_id")
-
-
-def dummy_levels(attrs: DataFrame, columns: Sequence[str] = DUMMY_COLS) -> dict[str, list[str]]:
-    """Sorted non-null levels of each categorical column.
-
-    One pass with a partial ``collect_set`` per column; only the distinct
-    levels (categorical cardinality, not data volume) reach the driver.
-    """
-    row = attrs.agg(*[F.collect_set(F.col(c).cast("string")).alias(c) for c in columns]).first()
-    return {c: sorted(row[c] or []) for c in columns}
-
-
-def dummy_columns(levels: dict[str, list[str]]) -> list[tuple[str, str, str]]:
-    """(output column, source column, level) for every level but the first."""
-    return [(f"{c}_{v}", c, v) for c, vs in levels.items() for v in vs[1:]]
-
-
-def property_dummies(attrs: DataFrame, columns: Sequence[str] = DUMMY_COLS,
-                     levels: dict[str, list[str]] | None = None) -> DataFrame:
-    """one-hot columns ``{col}_{level}``, first sorted level dropped, a null
-    value gives all zeros."""
-    levels = levels or dummy_levels(attrs, columns)
-    dcols = [F.when(F.col(c).cast("string") == F.lit(v), 1).otherwise(0).cast("int").alias(name)
-             for name, c, v in dummy_columns(levels)]
-    return attrs.select("property_id", *dcols)
-
-
-def property_features(attrs: DataFrame, columns: Sequence[str] = DUMMY_COLS,
-                      levels: dict[str, list[str]] | None = None) -> DataFrame:
-    """Id, the unscaled numeric columns and the dummies."""
-    levels = levels or dummy_levels(attrs, columns)
-    dcols = [F.when(F.col(c).cast("string") == F.lit(v), 1).otherwise(0).cast("int").alias(name)
-             for name, c, v in dummy_columns(levels)]
-    return attrs.select("property_id", *[F.col(c) for c in NUMERIC_COLS], *dcols)
-
-
-def to_long(wide: DataFrame, id_col: str = "property_id", value_type: str = "double") -> DataFrame:
-    """Unpivot a wide feature frame to (id, feature, value)."""
-    cols = [c for c in wide.columns if c != id_col]
-    w = wide.select(id_col, *[F.col(f"`{c}`").cast(value_type).alias(c) for c in cols])
-    return w.unpivot([id_col], cols, "feature", "value")
+    return salted_join(props, counts, ["management_company_id"], ["property_id"])
+
+
+def property_dummies(attrs: DataFrame, columns: Sequence[str] = DUMMY_COLS) -> DataFrame:
+    """one-hot features (property_id, feature ``{col}_{level}``, value 1);
+    a column's first sorted level is dropped and a null value gives no row.
+    Only the ones are emitted: a property has at most one per column."""
+    cells = F.filter(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns]),
+                     lambda x: x["level"].isNotNull())
+    long = attrs.select("property_id", F.inline(cells))
+    # one row per column
+    first = long.groupBy("column").agg(F.min("level").alias("first"))
+    return (long.join(F.broadcast(first), "column").where("level <> first")
+            .select("property_id", F.concat_ws("_", "column", "level").alias("feature"), F.lit(1).alias("value")))
+
+
+def property_features(attrs: DataFrame, columns: Sequence[str] = DUMMY_COLS) -> DataFrame:
+    """Id, the unscaled numeric columns and the dummies, long
+    (property_id, feature, value); an absent feature is 0."""
+    numbers = attrs.select("property_id", *[F.col(c).cast("double").alias(c) for c in NUMERIC_COLS]).unpivot(
+        ["property_id"], list(NUMERIC_COLS), "feature", "value")
+    return numbers.unionByName(property_dummies(attrs, columns).withColumn("value", F.col("value").cast("double")))

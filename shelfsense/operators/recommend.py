@@ -1,10 +1,11 @@
 """Recommender composites.
 
 All of them answer every store-category-period at once.  The joins that
-attach a cluster's or the nation's top-n list to each store have low
-cardinality keys (cluster, category, period); the top-n side is at most
-``n`` rows per key, so AQE turns those joins into broadcast joins at runtime
-after measuring it, and the store side is never shuffled on a skewed key.
+attach a cluster's or the nation's top-n list to each store have few and heavy
+keys (cluster, category, period).  The list side has one row per key with at
+most ``n`` entries, so it is repeated over salts and the store side is split
+by a hash of the store (``functions.salting``): if Spark shuffles it, no task
+gets a whole key.
 """
 
 from __future__ import annotations
@@ -13,37 +14,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsense.functions import pct_text
+from shelfsense.functions.salting import salted_join
 from shelfsense.operators.sales import (STORE, cluster_top, national_product_sales,
-                                        national_top, property_cluster, property_descriptions,
-                                        sales_base, store_product_sales, store_ranking)
+                                        national_top, property_cluster, sales_base,
+                                        store_product_sales, store_ranking)
 
 TOP_KEYS = ["cluster", "category_name", "transaction_month"]
+NATION_KEYS = ["category_name", "transaction_month"]
+PERIOD_KEYS = ["property_code", "transaction_month"]
+ENTRIES = "array<struct<rank:int,description:string,pct:double>>"
 LINES_TYPE = "array<struct<section:int,seq:int,is_header:int,text:string>>"
 
 
-def _top_lists(ct: DataFrame) -> DataFrame:
-    """Per (cluster, category, period) its top-n products as an array in rank
-    order (at most n entries: tiny, broadcast by AQE)."""
+def _top_lists(top: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Per key its top-n products as an array in rank order (at most n entries)."""
     entry = F.struct("rank", "description", "pct")
-    return ct.groupBy(*TOP_KEYS).agg(F.array_sort(F.collect_list(entry)).alias("ct_list"))
+    return top.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias(name))
 
 
-def _store_adds(base: DataFrame, n: int) -> DataFrame:
-    """Every store-category-period with positive sales, its cluster, and
-    ``adds``: its cluster's top-n list minus the products it sold.
+def _names(entries: str) -> F.Column:
+    return F.coalesce(F.col(entries), F.array().cast(ENTRIES))["description"]
+
+
+def _with_adds(store_products: DataFrame, lists: DataFrame) -> DataFrame:
+    """(STORE, cluster, ct_list, adds) of every store-category-period in
+    ``store_products`` (STORE, cluster, description): its cluster's list, and
+    the list without the products it sold.
 
-    The store's sold set is one ``collect_set`` per store key over the base
-    (at most the category's product count per key), so the set difference
-    needs no anti-join shuffle and keeps cluster-rank order.
+    Of the products a store sold only those in the list (at most n) are kept,
+    so no set grows with the store.
     """
-    sold = (store_product_sales(base).groupBy(*STORE)
-            .agg(F.collect_set("description").alias("sold")))
-    s = (sold.join(property_cluster(base), ["property_code", "transaction_month"])
-         .join(_top_lists(cluster_top(base, n)), TOP_KEYS, "left"))
-    empty = F.array().cast("array<struct<rank:int,description:string,pct:double>>")
-    adds = F.filter(F.coalesce(F.col("ct_list"), empty),
-                    lambda x: ~F.array_contains(F.col("sold"), x["description"]))
-    return s.select(*STORE, "cluster", adds.alias("adds"))
+    met = salted_join(store_products, lists, TOP_KEYS, ["property_code"], "left")
+    hit = F.when(F.array_contains(_names("ct_list"), F.col("description")), F.col("description"))
+    stores = met.select(*STORE, "cluster", hit.alias("hit")).groupBy(*STORE, "cluster").agg(
+        F.collect_set("hit").alias("hits"))
+    full = salted_join(stores, lists, TOP_KEYS, ["property_code"], "left").withColumn(
+        "ct_list", F.coalesce("ct_list", F.array().cast(ENTRIES)))
+    adds = F.filter("ct_list", lambda x: ~F.array_contains(F.col("hits"), x["description"]))
+    return full.select(*STORE, "cluster", "ct_list", adds.alias("adds"))
+
+
+def _store_products(base: DataFrame) -> DataFrame:
+    """Products sold per store-category-period, with the store's cluster of the
+    period."""
+    return (store_product_sales(base).select(*STORE, "description")
+            .join(property_cluster(base), PERIOD_KEYS))
+
+
+def _store_adds(base: DataFrame, n: int) -> DataFrame:
+    return _with_adds(_store_products(base), _top_lists(cluster_top(base, n), TOP_KEYS, "ct_list"))
 
 
 def stocking_suggestions(base: DataFrame, n: int = 5) -> DataFrame:
@@ -58,16 +77,11 @@ def discontinue_suggestions(base: DataFrame, n: int = 5, tail: float = 0.10) ->
     """R5 (J5, W6): store products outside the cluster top ``n`` whose cumulative
     share (units descending, current row included) is above ``1 - tail``.  The
     product that crosses the line is included."""
-    pc = property_cluster(base).select("property_code", "transaction_month",
-                                       F.col("cluster").alias("store_cluster"))
-    ranked = (store_ranking(base).where(F.col("cum_pct") > F.lit(1.0 - tail))
-              .join(pc, ["property_code", "transaction_month"]))
-    ct = cluster_top(base, n).select(F.col("cluster").alias("store_cluster"), "category_name",
-                                     "transaction_month", "description")
-    out = ranked.join(ct, ["store_cluster", "category_name", "transaction_month", "description"],
-                      "left_anti")
-    return out.select(*STORE, F.col("store_cluster").alias("cluster"), "rank", "description",
-                      "number_sold", "pct", "cum_pct")
+    ranked = (store_ranking(base).where(F.col("cum_pct") > F.lit(1.0 - tail)).drop("cluster")
+              .join(property_cluster(base), PERIOD_KEYS))
+    met = salted_join(ranked, _top_lists(cluster_top(base, n), TOP_KEYS, "ct_list"), TOP_KEYS, ["property_code"], "left")
+    return met.where(~F.array_contains(_names("ct_list"), F.col("description"))).select(
+        *STORE, "cluster", "rank", "description", "number_sold", "pct", "cum_pct")
 
 
 def already_stocking_top(base: DataFrame, n: int = 5) -> DataFrame:
@@ -76,18 +90,22 @@ def already_stocking_top(base: DataFrame, n: int = 5) -> DataFrame:
 
 
 def no_sales_categories(base: DataFrame) -> DataFrame:
-    """R7 (J9): a property present in a period (any sale row) and a category
-    sold nationally in that period, where the property sold nothing (> 0).
+    """R7 (J9): per property present in a period (any sale row), the categories
+    sold nationally in that period of which the property sold nothing (> 0):
+    (property_code, transaction_month, cluster, categories in order).
 
-    The category side has one row per (category, period), a dimension-sized
-    table that AQE broadcasts, so the join on the period does not gather a
-    period's properties in one task.
+    One row per property and period; both category sets are bounded by the
+    number of categories, and a period's list is repeated over salts.
     """
-    cats = national_product_sales(base).select("category_name", "transaction_month").distinct()
-    stores = store_product_sales(base).select(*STORE).distinct()
-    return (property_cluster(base).join(cats, "transaction_month")
-            .join(stores, STORE, "left_anti")
-            .select(*STORE, "cluster"))
+    nation = (national_product_sales(base).groupBy("transaction_month")
+              .agg(F.collect_set("category_name").alias("all")))
+    own = (store_product_sales(base).groupBy(*PERIOD_KEYS)
+           .agg(F.collect_set("category_name").alias("own")))
+    present = property_cluster(base).join(own, PERIOD_KEYS, "left")
+    met = salted_join(present, nation, ["transaction_month"], ["property_code"])
+    left = F.array_sort(F.array_except("all", F.coalesce("own", F.array().cast("array<string>"))))
+    return (met.select(*PERIOD_KEYS, "cluster", left.alias("categories"))
+            .where(F.size("categories") > 0))
 
 
 def _line(section, seq, is_header, text) -> F.Column:
@@ -99,48 +117,44 @@ def _num(c) -> F.Column:
     return c.cast("string")
 
 
-def recommendation_report(sales: DataFrame, n: int = 5, tail: float = 0.10,
-                          base: DataFrame | None = None, keep=None) -> DataFrame:
-    """The full recommendation for every store-category-period, one row per
-    line: (property_code, category_name, transaction_month, section, seq,
-    is_header, text).  ``seq`` 0 is a section's header line; items count from 1.
+def recommendation_report(base: DataFrame, descriptions: DataFrame, n: int = 5, tail: float = 0.10,
+                          requests: DataFrame | None = None, keep=None) -> DataFrame:
+    """The recommendation, one row per line: (property_code, category_name,
+    transaction_month, section, seq, is_header, text).  ``seq`` 0 is a
+    section's header line; items count from 1.
 
     Sections: 0 store header; 1 store top n (or "No products sold"); 2 cluster
     top n; 3 national top n; 4 "already" line or stocking suggestions;
     5 discontinue suggestions (only when there are any).
 
-    Two branches, so the plan stays small:
+    Without ``requests`` every store-category-period with sales is reported;
+    ``requests`` (property_code, category_name, transaction_month) restricts
+    the report to its keys and adds those without sales, whose category sold
+    nationally.  ``descriptions``: (property_code, flag_name, city, state).
+    ``keep`` (``Shared.keep``) marks what both branches read.
 
-    * per store product (the ranking): the store's top-n lines and the
-      discontinue lines, numbered by a running count in the same window;
-    * per store-category-period: the headers and the cluster / national top-n
-      lines, from top-n lists of at most ``n`` entries joined by key (tiny,
-      broadcast), and the stocking suggestions as the cluster list minus the
-      store's set of sold products (bounded by the category's product count),
-      which keeps cluster-rank order without an anti-join shuffle.
+    * Branch A, per store product: the store's top-n lines and the discontinue
+      lines, numbered by a running count in the same window.
+    * Branch B, per store-category-period: headers and top-n lines from lists
+      of at most ``n`` entries, and the stocking suggestions.
     """
-    base = sales_base(sales) if base is None else base
     keep = keep or (lambda df: df)
-    # each is read by both branches: ``keep`` (e.g. a cache) computes it once
-    ranking = keep(store_ranking(base))
-    pc = keep(property_cluster(base))
-    ct = keep(cluster_top(base, n))
-    nt = keep(national_top(base, n))
-    desc = property_descriptions(sales)
-    entry = F.struct("rank", "description", "pct")
-    ct_lists = ct.groupBy(*TOP_KEYS).agg(F.array_sort(F.collect_list(entry)).alias("ct_list"))
-    nt_lists = (nt.groupBy("category_name", "transaction_month")
-                .agg(F.array_sort(F.collect_list(entry)).alias("nt_list")))
+    ranking = store_ranking(base).drop("cluster")
+    pc = property_cluster(base)
+    if requests is not None:
+        requests = requests.select(*STORE).distinct()
+        ranking = ranking.join(requests, STORE, "left_semi")
+    ranking = keep(ranking.join(pc, PERIOD_KEYS))
+    ct_lists = keep(_top_lists(cluster_top(base, n), TOP_KEYS, "ct_list"))
+    nt_lists = keep(_top_lists(national_top(base, n), NATION_KEYS, "nt_list"))
 
     # -- branch A: lines per store product
-    in_top = ct.select(F.col("cluster").alias("store_cluster"), "category_name",
-                       "transaction_month", "description", F.lit(True).alias("in_top"))
-    a = (ranking.join(pc.withColumnRenamed("cluster", "store_cluster"),
-                      ["property_code", "transaction_month"])
-         .join(in_top, ["store_cluster", "category_name", "transaction_month", "description"], "left"))
-    cand = (F.col("cum_pct") > F.lit(1.0 - tail)) & F.col("in_top").isNull()
+    a = salted_join(ranking, ct_lists, TOP_KEYS, ["property_code"], "left")
+    cand = (F.col("cum_pct") > F.lit(1.0 - tail)) & ~F.array_contains(_names("ct_list"), F.col("description"))
     w = Window.partitionBy(*STORE).orderBy("rank").rowsBetween(Window.unboundedPreceding,
                                                                Window.currentRow)
+    a = a.withColumn("cand", cand).drop("ct_list")
+    cand = F.col("cand")
     a = a.withColumn("rm_seq", F.sum(cand.cast("int")).over(w))
     units_pct = F.concat(F.col("description"), F.lit(": "), _num(F.col("number_sold")),
                          F.lit(" units, "), pct_text("pct"), F.lit("%"))
@@ -155,19 +169,18 @@ def recommendation_report(sales: DataFrame, n: int = 5, tail: float = 0.10,
     part_a = a.select(*STORE, F.explode(F.filter(lines_a, lambda x: x.isNotNull())).alias("l"))
 
     # -- branch B: lines per store-category-period
-    sold = (ranking.groupBy(*STORE).agg(F.collect_set("description").alias("sold"))
-            .join(pc, ["property_code", "transaction_month"]))
-    cats = nt_lists.select("category_name", "transaction_month")
-    nosale = (pc.join(cats, "transaction_month").join(sold.select(*STORE), STORE, "left_anti")
-              .withColumn("sold", F.lit(None).cast("array<string>")))
-    keys = (sold.withColumn("has_sales", F.lit(True))
-            .unionByName(nosale.withColumn("has_sales", F.lit(False))))
-    kb = (keys.join(desc, ["property_code", "transaction_month"])
-          .join(ct_lists, TOP_KEYS, "left")
-          .join(nt_lists, ["category_name", "transaction_month"], "left"))
-    empty = F.array().cast("array<struct<rank:int,description:string,pct:double>>")
-    ctl = F.coalesce(F.col("ct_list"), empty)
-    ntl = F.coalesce(F.col("nt_list"), empty)
+    sold = _with_adds(ranking.select(*STORE, "cluster", "description"), ct_lists)
+    keys = sold.withColumn("has_sales", F.lit(True))
+    if requests is not None:
+        bare = requests.join(sold.select(*STORE), STORE, "left_anti").join(pc, PERIOD_KEYS)
+        bare = salted_join(bare, nt_lists.select(*NATION_KEYS), NATION_KEYS, ["property_code"])
+        bare = salted_join(bare, ct_lists, TOP_KEYS, ["property_code"], "left")
+        keys = keys.unionByName(bare.select(
+            *STORE, "cluster", F.coalesce("ct_list", F.array().cast(ENTRIES)).alias("ct_list"),
+            F.array().cast(ENTRIES).alias("adds"), F.lit(False).alias("has_sales")))
+    kb = salted_join(keys.join(descriptions, "property_code"), nt_lists, NATION_KEYS, ["property_code"], "left")
+    ctl = F.col("ct_list")
+    ntl = F.coalesce(F.col("nt_list"), F.array().cast(ENTRIES))
     has = F.col("has_sales")
     cat = F.col("category_name")
     cl_txt = F.coalesce(F.col("cluster").cast("string"), F.lit("nan"))
@@ -177,7 +190,7 @@ def recommendation_report(sales: DataFrame, n: int = 5, tail: float = 0.10,
             _num(x["rank"]), F.lit(". "), x["description"], F.lit(": "), pct_text(x["pct"]),
             F.lit("%"))))
 
-    adds = F.filter(ctl, lambda x: ~F.array_contains(F.col("sold"), x["description"]))
+    adds = F.col("adds")
     add_items = F.transform(adds, lambda x, i: _line(4, i + 1, 0, F.concat(
         _num(i + 1), F.lit(". "), x["description"])))
     header = F.concat(F.lit("For store #"), F.col("property_code"), F.lit(", "),
@@ -206,11 +219,11 @@ def recommendation_report(sales: DataFrame, n: int = 5, tail: float = 0.10,
     return out.select(*STORE, "l.section", "l.seq", "l.is_header", "l.text")
 
 
-def recommendation_report_for(sales, property_code: str, category: str, month: str,
+def recommendation_report_for(sales, descriptions, property_code: str, category: str, month: str,
                               n: int = 5, tail: float = 0.10) -> DataFrame:
     """The reference's single-request form: the report of one store, category
     and period, computed on the sales of that period (the app's scope)."""
-    rep = recommendation_report(sales.where(F.col("transaction_month") == month), n, tail)
-    return (rep.where((F.col("property_code") == property_code)
-                      & (F.col("category_name") == category))
-            .orderBy("section", "seq"))
+    base = sales_base(sales.where(F.col("transaction_month") == month))
+    one = base.sparkSession.createDataFrame(
+        [(property_code, category, month)], "property_code string, category_name string, transaction_month string")
+    return recommendation_report(base, descriptions, n, tail, one).orderBy("section", "seq")

@@ -4,10 +4,10 @@ Plan shape.  ``sales_base`` is the only aggregate over raw sales rows: one
 row per (cluster, property, category, product, period) with the sum of the
 *positive* unit counts.  It keeps null keys and groups whose units are all
 non-positive, so every other level is a roll-up of it (sums compose) and the
-property attributes (J7, A14) come from it too.  Within one query the base
-subplan is identical everywhere it is used, so Spark plans it once and
-reuses the exchange; partial aggregation before that exchange means a hot
-store or product never sends more than one row per group and map task.
+property attributes (J7, A14) come from it too.  Composites keep the base as
+a shared intermediate (``plans.materialize``); partial aggregation before its
+exchange means a hot store or product never sends more than one row per group
+and map task.
 
 Null keys vanish per level (as a pandas ``groupby`` drops them): a sale with
 a null cluster is out of the store and cluster levels but counts nationally.
@@ -87,15 +87,17 @@ def national_product_sales(base: DataFrame) -> DataFrame:
 
 
 def sales_grouping_sets(sales: DataFrame) -> DataFrame:
-    """A1-A3 in one pass with GROUPING SETS; ``level`` is store/cluster/national.
+    """A1-A3 in one pass with GROUPING SETS over the store-level aggregate (so
+    its rows, not the raw sales, are tripled); ``level`` is
+    store/cluster/national.
 
     A key that is really null is told apart from a rolled-up one with
     ``grouping()``, and rows with a real null key are dropped per level.
     """
-    pos = sales.where(F.col("number_sold") > 0)
+    pos = sales_base(sales.where(F.col("number_sold") > 0))
     g = pos.groupingSets(
         [STORE_KEYS, CLUSTER_KEYS, NATIONAL_KEYS], *STORE_KEYS,
-    ).agg(F.sum("number_sold").alias("number_sold"),
+    ).agg(F.sum("units").alias("number_sold"),
           F.grouping("cluster").alias("g_cluster"),
           F.grouping("property_code").alias("g_property"))
     level = (F.when(F.col("g_cluster") == 1, F.lit("national"))
@@ -130,6 +132,14 @@ def property_descriptions(sales: DataFrame) -> DataFrame:
     return (d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r"))
 
 
+def described_properties(properties: DataFrame) -> DataFrame:
+    """A14 from a property dimension: (property_code, flag_name, city, state),
+    the smallest triple of each code."""
+    triple = F.struct("flag_name", "city", "state")
+    return (properties.where(F.col("property_code").isNotNull()).groupBy("property_code")
+            .agg(F.min(triple).alias("d")).select("property_code", "d.*"))
+
+
 def property_cluster_description(sales: DataFrame) -> DataFrame:
     """J7 + A14 in one pass over sales: (property, period, cluster, flag_name,
     city, state).  Distinct attribute triples per property-period carry the
@@ -202,7 +212,9 @@ def clustered_sales(sales: DataFrame, labels: DataFrame) -> DataFrame:
     """Replace the sales' cluster with a property's cluster label.
 
     ``labels`` has (property_code, cluster), one row per property; a property
-    without a label gets a null cluster (left join).
+    without a label gets a null cluster (left join).  Where sales come from a
+    star join, label its property dimension instead (``synthetic_sales``): the
+    fact is then not shuffled once more.
     """
     lab = labels.select("property_code", F.col("cluster").alias("_label"))
     return (sales.join(lab, "property_code", "left")

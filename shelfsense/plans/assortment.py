@@ -5,6 +5,10 @@ return the operator frames (the reference's class form, batch over all keys).
     a.cluster_top()                         # every cluster, category, period
     a.report().where("property_code = 'SPICC'")
     a.report_for("SPICC", "Beverage: Soda", "2019-09")   # one request
+    a.close()                               # or: with Assortment(sales) as a: ...
+
+The store-level base is cached when it is first computed and released by
+``close()``.
 """
 
 from __future__ import annotations
@@ -14,11 +18,14 @@ from pyspark.sql import DataFrame
 from shelfsense.operators import pricing as P
 from shelfsense.operators import recommend as R
 from shelfsense.operators import sales as S
-from shelfsense.plans.materialize import materialize
+from shelfsense.plans.materialize import Shared
 
 
 class Assortment:
-    def __init__(self, sales: DataFrame, n: int = 5, tail: float = 0.10, share_base: bool = True):
+    def __init__(self, sales: DataFrame, n: int = 5, tail: float = 0.10,
+                 properties: DataFrame | None = None):
+        """``properties``: optional dimension (property_code, flag_name, city,
+        state) for the report's headers; by default they come from the sales."""
         if not 1 <= n:
             raise ValueError("n must be >= 1")
         if not 0.0 < tail < 1.0:
@@ -26,17 +33,31 @@ class Assortment:
         self.sales = sales
         self.n = n
         self.tail = tail
-        self._share = share_base
+        self._properties = sales if properties is None else properties
+        self._shared = Shared()
         self._base: DataFrame | None = None
 
+    def close(self) -> None:
+        self._shared.close()
+        self._base = None
+
+    def __enter__(self) -> "Assortment":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
     @property
     def base(self) -> DataFrame:
-        """Store-level base, materialised once and shared by every method."""
+        """Store-level base, computed once and shared by every method."""
         if self._base is None:
-            b = S.sales_base(self.sales)
-            self._base = materialize(b) if self._share else b
+            self._base = self._shared.keep(S.sales_base(self.sales))
         return self._base
 
+    @property
+    def descriptions(self) -> DataFrame:
+        return S.described_properties(self._properties)
+
     # rankings (R1-R3)
     def store_ranking(self) -> DataFrame:
         return S.store_ranking(self.base)
@@ -64,11 +85,11 @@ class Assortment:
         return R.no_sales_categories(self.base)
 
     # report (R8)
-    def report(self) -> DataFrame:
-        return R.recommendation_report(self.sales, self.n, self.tail, base=self.base)
+    def report(self, requests: DataFrame | None = None) -> DataFrame:
+        return R.recommendation_report(self.base, self.descriptions, self.n, self.tail, requests, self._shared.keep)
 
     def report_for(self, property_code: str, category: str, month: str) -> DataFrame:
-        return R.recommendation_report_for(self.sales, property_code, category, month,
+        return R.recommendation_report_for(self.sales, self.descriptions, property_code, category, month,
                                            self.n, self.tail)
 
     # pricing (G1-G12); ``keys=("description", "cluster")`` answers every

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfsense.operators import clusters as C
 from shelfsense.operators import lookups as L
@@ -16,7 +17,7 @@ from shelfsense.operators import pricing as P
 from shelfsense.operators import properties as PR
 from shelfsense.operators import recommend as R
 from shelfsense.operators import sales as S
-from shelfsense.plans.materialize import materialize
+from shelfsense.plans.materialize import owned
 from shelfsense.sources import (load_tables, synthetic_brands, synthetic_flags,
                                 synthetic_properties, synthetic_sales)
 
@@ -27,6 +28,9 @@ TAIL = 0.10
 # One month and one product for the single-key source filters.
 SALES_MONTH = "1998-06"
 SALES_PRODUCT = "red widget"
+# One request of the report, and one city and state (flag) of the lookups.
+REQUEST = ("Supplier#000000001", "STANDARD")
+CITY, STATE = "NATION_8", "EUROPE"
 
 
 def sales_of(spark: SparkSession, sf_dir: str, period: str = "year",
@@ -46,29 +50,51 @@ def _on_points(fn, *args, **kw) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: fn(points_of(spark, d), *args, **kw)
 
 
+def properties_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic_properties(load_tables(spark, sf_dir, PROPERTY_TABLES))
+
+
 def source_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = load_tables(spark, sf_dir, PROPERTY_TABLES)
     return PR.property_source(synthetic_properties(t), synthetic_brands(t), synthetic_flags(t))
 
 
 def attrs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PR.property_attributes(source_of(spark, sf_dir))
+    return PR.property_attributes(source_of(spark, sf_dir), properties_of(spark, sf_dir))
 
 
-def clusters_of(spark: SparkSession, sf_dir: str, k: int = C.DEFAULT_K) -> DataFrame:
-    attrs = materialize(attrs_of(spark, sf_dir), name="attrs")
+def clusters_of(spark: SparkSession, sf_dir: str, k: int = C.DEFAULT_K, keep=lambda df: df) -> DataFrame:
+    attrs = keep(attrs_of(spark, sf_dir))
     return C.property_clusters(attrs, PR.property_features(attrs), k)
 
 
+def fixed_clusters_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes with a cluster label that is a column of the data, so what is
+    built on labels can be compared with SQL."""
+    return attrs_of(spark, sf_dir).withColumn("cluster", (F.col("property_id") % C.DEFAULT_K).cast("int"))
+
+
 def clustered_sales_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = C.cluster_labels_by_code(clusters_of(spark, sf_dir))
-    return S.clustered_sales(sales_of(spark, sf_dir), labels)
+    labels = C.cluster_labels_by_code(fixed_clusters_of(spark, sf_dir))
+    return synthetic_sales(load_tables(spark, sf_dir, SALES_TABLES), labels=labels)
+
+
+def descriptions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(property_code, flag_name, city, state) of the stand-in properties."""
+    t = load_tables(spark, sf_dir, PROPERTY_TABLES)
+    nation = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    own = t["supplier"].join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return S.described_properties(own.select(F.col("s_name").alias("property_code"), F.col("r_name").alias("flag_name"),
+                                             F.col("n_name").alias("city"), F.col("r_name").alias("state")))
 
 
-def _cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attrs = materialize(attrs_of(spark, sf_dir), name="attrs")
-    feats = PR.property_features(attrs)
-    return C.cluster_profile(C.property_clusters(attrs, feats), feats)
+def requests_of(spark: SparkSession, sf_dir: str, base: DataFrame) -> DataFrame:
+    """One requested category per property, in every period it is present: the
+    category of the part with the supplier's number."""
+    t = load_tables(spark, sf_dir, ("supplier", "part"))
+    asked = t["supplier"].join(t["part"], F.col("s_suppkey") == F.col("p_partkey")).select(
+        F.col("s_name").alias("property_code"), F.col("p_type").alias("category_name"))
+    return S.property_cluster(base).join(asked, "property_code").select(*S.STORE)
 
 
 def _on_base(fn, *args) -> Callable[[SparkSession, str], DataFrame]:
@@ -76,10 +102,24 @@ def _on_base(fn, *args) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: fn(sales_of(spark, d), *args)
 
 
-def _on_shared_base(fn, *args) -> Callable[[SparkSession, str], DataFrame]:
-    """Composite query: the store-level base is materialised once and every
-    branch reads it."""
-    return lambda spark, d: fn(materialize(base_of(spark, d)), *args)
+def _on_shared_base(fn, *args, period: str = "year") -> Callable[[SparkSession, str], DataFrame]:
+    """Composite query: the store-level base is computed once and every branch
+    reads it."""
+    return owned(lambda spark, d, keep: fn(keep(base_of(spark, d, period)), *args))
+
+
+def _report(spark, d, keep):
+    return R.recommendation_report(keep(base_of(spark, d)), descriptions_of(spark, d), N, TAIL, keep=keep)
+
+
+def _requested_report(spark, d, keep):
+    base = keep(base_of(spark, d, "month"))
+    return R.recommendation_report(base, descriptions_of(spark, d), N, TAIL, requests_of(spark, d, base), keep)
+
+
+def _no_sales(base: DataFrame) -> DataFrame:
+    found = R.no_sales_categories(base)
+    return found.withColumn("n_categories", F.size("categories")).withColumn("categories", F.array_join("categories", "|"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -95,16 +135,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stocking_suggestions": _on_shared_base(R.stocking_suggestions, N),
     "discontinue_suggestions": _on_shared_base(R.discontinue_suggestions, N, TAIL),
     "already_stocking_top": _on_shared_base(R.already_stocking_top, N),
-    "no_sales_categories": _on_shared_base(R.no_sales_categories),
-    "recommendation_report": lambda spark, d: R.recommendation_report(
-        sales_of(spark, d), N, TAIL, base=materialize(base_of(spark, d)),
-        keep=lambda df: materialize(df, "cache")),
+    "no_sales_categories": _on_shared_base(_no_sales, period="month"),
+    "recommendation_report": owned(_report),
+    "recommendation_report_requests": owned(_requested_report),
+    "recommendation_report_one": lambda spark, d: R.recommendation_report_for(
+        sales_of(spark, d, "month", SALES_MONTH), descriptions_of(spark, d), *REQUEST, SALES_MONTH, N, TAIL),
     "sales_by_month": lambda spark, d: S.sales_by_month(
         sales_of(spark, d, "month", period_value=SALES_MONTH), SALES_MONTH),
     "sales_by_product": lambda spark, d: S.sales_by_product(sales_of(spark, d), SALES_PRODUCT),
     "price_points": lambda spark, d: points_of(spark, d),
     "price_points_by_cluster": lambda spark, d: P.price_points(
         sales_of(spark, d), keys=("description", "cluster")),
+    "price_points_filtered": lambda spark, d: P.price_points(
+        sales_of(spark, d), description=SALES_PRODUCT, cluster=0, month="1998"),
     "price_bins": _on_points(P.price_bins),
     "price_fit": _on_points(P.price_fit),
     "price_optimum": _on_points(P.price_optimum),
@@ -112,7 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "price_box_stats": _on_points(P.price_box_stats, "number_sold"),
     "price_box_stats_revenue": _on_points(P.price_box_stats, "revenue"),
     "price_strip_points": _on_points(P.price_strip_points),
-    "price_fit_curve": lambda spark, d: P.price_fit_curve(materialize(points_of(spark, d), name="points")),
+    "price_fit_curve": owned(lambda spark, d, keep: P.price_fit_curve(keep(points_of(spark, d)))),
     "price_histogram": _on_points(P.price_histogram, ("unit_price",)),
     "price_histogram_all": _on_points(P.price_histogram, ("unit_price", "number_sold", "revenue")),
     "price_kde": _on_points(P.price_kde, ("unit_price",)),
@@ -121,17 +164,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "price_summary": _on_points(P.price_summary),
     "property_source": lambda spark, d: source_of(spark, d),
     "props_under_mgmt": lambda spark, d: attrs_of(spark, d),
-    "property_dummies": lambda spark, d: PR.to_long(PR.property_dummies(attrs_of(spark, d)), value_type="int"),
-    "property_features": lambda spark, d: PR.to_long(PR.property_features(attrs_of(spark, d))),
+    "property_dummies": lambda spark, d: PR.property_dummies(attrs_of(spark, d)),
+    "property_features": lambda spark, d: PR.property_features(attrs_of(spark, d)),
     "property_clusters": lambda spark, d: clusters_of(spark, d),
     "cut_clusters": lambda spark, d: clusters_of(spark, d, 5),
-    "cluster_merge_history": lambda spark, d: C.cluster_merge_history(
-        PR.property_features(materialize(attrs_of(spark, d), name="attrs"))),
-    "cluster_profile": _cluster_profile,
+    "cluster_profile": lambda spark, d: C.cluster_profile(
+        fixed_clusters_of(spark, d), PR.property_features(attrs_of(spark, d))),
     "clustered_sales": clustered_sales_of,
-    "clustered_stocking_suggestions": lambda spark, d: R.stocking_suggestions(
-        materialize(S.sales_base(clustered_sales_of(spark, d))), N),
+    "clustered_stocking_suggestions": owned(lambda spark, d, keep: R.stocking_suggestions(
+        keep(S.sales_base(clustered_sales_of(spark, d))), N)),
     "property_lookup": lambda spark, d: L.property_lookup(sales_of(spark, d)),
+    "property_lookup_filtered": lambda spark, d: L.property_lookup(sales_of(spark, d), city=CITY, state=STATE, flag_name=STATE),
     "product_lookup": lambda spark, d: L.product_lookup(sales_of(spark, d)),
+    "product_lookup_filtered": lambda spark, d: L.product_lookup(sales_of(spark, d), REQUEST[1]),
     "dimension_values": lambda spark, d: L.dimension_values(sales_of(spark, d, "month")),
 }

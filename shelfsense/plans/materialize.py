@@ -1,60 +1,55 @@
-"""Materialise a shared intermediate once so every branch of a composite
-reads it instead of recomputing it from the raw tables.
-
-Spark only reuses an exchange when two sub-plans are identical, and the
-per-branch filters Catalyst pushes below a shared aggregate make them
-differ, so a composite that uses the same aggregate in several branches
-would otherwise scan the fact table once per branch.
-
-Modes (session setting ``shelfsense.materialize``):
-
-* ``table`` (default): write a Parquet table under the cluster's shared
-  ``spark.checkpoint.dir`` and read it back; cuts the lineage, so a lost
-  executor never forces a rescan of the fact table, and readers get column
-  pruning and pushed filters.
-* ``cache``: ``persist(MEMORY_AND_DISK)``; computed once by the
-  first branch that needs it.  A block lost with an executor is recomputed
-  from its lineage, which here is one scan and one aggregate, so a lost
-  executor costs a partial recompute, never a wrong or failed result.
-  ``release()`` unpersists everything this module cached.
-* ``checkpoint``: ``DataFrame.checkpoint()`` into the same shared folder.
-* ``none``: no materialisation.
+"""Shared intermediates of a composite, with an owner that releases them.
+
+Spark reuses an exchange only when two sub-plans are identical, and the
+filters Catalyst pushes below a shared aggregate make the branches of a
+composite differ, so each would scan the fact table again.  ``Shared.keep``
+marks an intermediate to be cached when the first branch computes it; nothing
+runs or is written while a plan is built.  A block lost with an executor is
+recomputed from its lineage (one scan and one aggregate).
+
+The frames stay cached until the owner is closed: at the end of a ``with``
+block, by ``Assortment.close()``, or, for a registered query, when the
+DataFrame that it returned is garbage collected.  Frames derived from it still
+work afterwards; they are computed from the source again.
 """
 
 from __future__ import annotations
 
-import uuid
+import weakref
+from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from shelfsense.session import ensure_checkpoint_dir
 
-MODE_KEY = "shelfsense.materialize"
-_CACHED: list[DataFrame] = []
+class Shared:
+    def __init__(self):
+        self._kept: list[DataFrame] = []
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self._kept.append(kept)
+        return kept
 
-def materialize(df: DataFrame, mode: str | None = None, name: str = "shared") -> DataFrame:
-    spark = df.sparkSession
-    mode = mode or spark.conf.get(MODE_KEY, "table")
-    if mode == "none":
+    def close(self) -> None:
+        while self._kept:
+            self._kept.pop().unpersist()
+
+    def __enter__(self) -> Shared:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
+
+def owned(build: Callable[[SparkSession, str, Callable[[DataFrame], DataFrame]], DataFrame]):
+    """Query ``(spark, sf_dir) -> DataFrame`` from ``build(spark, sf_dir, keep)``;
+    what it keeps is released with the returned DataFrame."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shared = Shared()
+        df = build(spark, sf_dir, shared.keep)
+        weakref.finalize(df, shared.close)
         return df
-    if mode == "cache":
-        out = df.persist(StorageLevel.MEMORY_AND_DISK)
-        _CACHED.append(out)
-        return out
-    if mode == "checkpoint":
-        ensure_checkpoint_dir(spark)
-        return df.checkpoint(eager=True)
-    if mode == "table":
-        root = ensure_checkpoint_dir(spark).rstrip("/")
-        path = f"{root}/shelfsense-{name}-{uuid.uuid4().hex}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    raise ValueError(f"unknown {MODE_KEY} mode: {mode}")
-
-
-def release() -> None:
-    """Unpersist every frame cached by ``materialize``."""
-    while _CACHED:
-        _CACHED.pop().unpersist()
+
+    return query

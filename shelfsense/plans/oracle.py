@@ -12,12 +12,15 @@ N = 5
 TAIL = 0.10
 SALES_MONTH = "1998-06"
 SALES_PRODUCT = "red widget"
+REQUEST = ("Supplier#000000001", "STANDARD")
+CITY, STATE = "NATION_8", "EUROPE"
+K = 6
 
 
-def sales_cte(period: str = "year") -> str:
+def sales_cte(period: str = "year", cluster: str = "n.n_regionkey") -> str:
     fmt = "%Y" if period == "year" else "%Y-%m"
     return f"""sales AS (
-  SELECT s.s_name AS property_code, n.n_regionkey AS cluster, p.p_type AS category_name,
+  SELECT s.s_name AS property_code, {cluster} AS cluster, p.p_type AS category_name,
          p.p_name AS description, strftime(l.l_shipdate, '{fmt}') AS transaction_month,
          CAST(l.l_quantity AS BIGINT) AS number_sold,
          round_even(l.l_quantity * p.p_retailprice * (1 - l.l_discount), 0) / 100 AS dollars_sold,
@@ -132,8 +135,8 @@ no_sales AS (
 )"""
 
 
-def with_sales(body: str, period: str = "year", levels: bool = False) -> str:
-    ctes = [sales_cte(period)]
+def with_sales(body: str, period: str = "year", levels: bool = False, cluster: str = "n.n_regionkey") -> str:
+    ctes = [sales_cte(period, cluster)]
     if levels:
         ctes.append(LEVELS.strip())
     return "WITH " + ",\n".join(ctes) + "\n" + body
@@ -173,7 +176,10 @@ SELECT s.property_code, s.category_name, s.transaction_month, s.cluster FROM sto
 WHERE NOT EXISTS (SELECT 1 FROM stocking a WHERE a.property_code = s.property_code
                   AND a.category_name = s.category_name AND a.transaction_month = s.transaction_month)
 """, levels=True)
-SQL["no_sales_categories"] = with_sales("SELECT * FROM no_sales", levels=True)
+SQL["no_sales_categories"] = with_sales("""
+SELECT property_code, transaction_month, cluster, CAST(count(*) AS INTEGER) AS n_categories,
+       string_agg(category_name, '|' ORDER BY category_name) AS categories
+FROM no_sales GROUP BY property_code, transaction_month, cluster""", period="month", levels=True)
 
 
 # ---------------------------------------------------------------- pricing
@@ -469,79 +475,112 @@ def with_props(body: str) -> str:
 
 SQL["property_source"] = with_props("SELECT * FROM src")
 SQL["props_under_mgmt"] = with_props("SELECT * FROM attrs")
-SQL["property_dummies"] = with_props("SELECT * FROM dummies")
+SQL["property_dummies"] = with_props("SELECT * FROM dummies WHERE value = 1")
 SQL["property_features"] = with_props("""
 SELECT property_id, 'props_under_mgmt' AS feature, CAST(props_under_mgmt AS DOUBLE) AS value FROM attrs
 UNION ALL SELECT property_id, 'rooms', CAST(rooms AS DOUBLE) FROM attrs
-UNION ALL SELECT property_id, feature, CAST(value AS DOUBLE) FROM dummies""")
+UNION ALL SELECT property_id, feature, CAST(value AS DOUBLE) FROM dummies WHERE value = 1""")
+SQL["cluster_profile"] = with_props(f"""
+, feats AS (
+  SELECT property_id, 'props_under_mgmt' AS feature, CAST(props_under_mgmt AS DOUBLE) AS value FROM attrs
+  UNION ALL SELECT property_id, 'rooms', CAST(rooms AS DOUBLE) FROM attrs
+  UNION ALL SELECT property_id, feature, CAST(value AS DOUBLE) FROM dummies),
+lab AS (SELECT property_id, CAST(property_id % {K} AS INTEGER) AS cluster FROM attrs),
+ov AS (SELECT feature, avg(value) AS overall_mean, stddev_pop(value) AS overall_std FROM feats GROUP BY feature),
+cm AS (SELECT cluster, feature, avg(value) AS cluster_mean, count(*) AS n_properties
+       FROM feats JOIN lab USING (property_id) GROUP BY cluster, feature),
+zz AS (SELECT cluster, feature, cluster_mean, overall_mean, overall_std, n_properties,
+              CASE WHEN overall_std > 0 THEN round((cluster_mean - overall_mean) / overall_std, 6) END AS z
+       FROM cm JOIN ov USING (feature))
+SELECT cluster, feature, round(cluster_mean, 6) AS cluster_mean, round(overall_mean, 6) AS overall_mean,
+       round(overall_std, 6) AS overall_std, z, CAST(n_properties AS BIGINT) AS n_properties
+FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC NULLS LAST, feature) AS rn FROM zz)
+WHERE rn = 1""").replace(")\n\n, feats", "),\nfeats", 1)
+# Only properties with a management company have attributes, hence labels
+LABEL = f"CASE WHEN s.s_suppkey % 7 <> 0 THEN CAST(s.s_suppkey % {K} AS INTEGER) END"
+SQL["clustered_sales"] = with_sales("SELECT * FROM sales", cluster=LABEL)
+SQL["clustered_stocking_suggestions"] = with_sales(
+    "SELECT property_code, category_name, transaction_month, cluster, cluster_rank, description FROM stocking",
+    levels=True, cluster=LABEL)
 
 # ---------------------------------------------------------------- lookups
 SQL["property_lookup"] = with_sales("SELECT DISTINCT property_code, flag_name, city, state FROM sales")
+SQL["property_lookup_filtered"] = with_sales(f"""
+SELECT DISTINCT property_code, flag_name, city, state FROM sales
+WHERE city = '{CITY}' AND state = '{STATE}' AND flag_name = '{STATE}'""")
+SQL["product_lookup_filtered"] = with_sales(
+    f"SELECT DISTINCT category_name, description FROM sales WHERE category_name = '{REQUEST[1]}'")
 SQL["product_lookup"] = with_sales("SELECT DISTINCT category_name, description FROM sales")
 SQL["dimension_values"] = with_sales("""
-, dv AS (
-  SELECT 'property_code' AS dimension, CAST(row_number() OVER (ORDER BY v ASC NULLS LAST) AS INTEGER) AS ord, v AS value
-    FROM (SELECT DISTINCT property_code AS v FROM sales)
-  UNION ALL
-  SELECT 'transaction_month', CAST(row_number() OVER (ORDER BY v DESC NULLS FIRST) AS INTEGER), v
-    FROM (SELECT DISTINCT transaction_month AS v FROM sales)
-  UNION ALL
-  SELECT 'category_name', CAST(row_number() OVER (ORDER BY v ASC NULLS LAST) AS INTEGER), v
-    FROM (SELECT DISTINCT category_name AS v FROM sales)
-  UNION ALL
-  SELECT 'flag_name', CAST(1 + row_number() OVER (ORDER BY v ASC NULLS LAST) AS INTEGER), v
-    FROM (SELECT DISTINCT flag_name AS v FROM sales)
-  UNION ALL SELECT 'flag_name', 1, NULL
-  UNION ALL
-  SELECT 'city', CAST(row_number() OVER (ORDER BY v ASC NULLS LAST) AS INTEGER), v
-    FROM (SELECT DISTINCT city AS v FROM sales)
-  UNION ALL
-  SELECT 'state', CAST(1 + row_number() OVER (ORDER BY v ASC NULLS LAST) AS INTEGER), v
-    FROM (SELECT DISTINCT state AS v FROM sales)
-  UNION ALL SELECT 'state', 1, NULL
-)
-SELECT * FROM dv""", period="month").replace(")\n, dv", "),\ndv", 1)
+SELECT 'property_code' AS dimension, false AS is_any, v AS value FROM (SELECT DISTINCT property_code AS v FROM sales) UNION ALL
+SELECT 'transaction_month' AS dimension, false AS is_any, v AS value FROM (SELECT DISTINCT transaction_month AS v FROM sales) UNION ALL
+SELECT 'category_name' AS dimension, false AS is_any, v AS value FROM (SELECT DISTINCT category_name AS v FROM sales) UNION ALL
+SELECT 'flag_name' AS dimension, false AS is_any, v AS value FROM (SELECT DISTINCT flag_name AS v FROM sales) UNION ALL
+SELECT 'city' AS dimension, false AS is_any, v AS value FROM (SELECT DISTINCT city AS v FROM sales) UNION ALL
+SELECT 'state' AS dimension, false AS is_any, v AS value FROM (SELECT DISTINCT state AS v FROM sales) UNION ALL
+SELECT 'flag_name', true, NULL WHERE EXISTS (SELECT 1 FROM sales) UNION ALL
+SELECT 'state', true, NULL WHERE EXISTS (SELECT 1 FROM sales)""", period="month")
 
 # ----------------------------------------------------------------- report
-SQL["recommendation_report"] = with_sales(f"""
-, pdesc AS (
-  SELECT property_code, transaction_month, flag_name, city, state FROM (
-    SELECT property_code, transaction_month, flag_name, city, state,
-           row_number() OVER (PARTITION BY property_code, transaction_month ORDER BY flag_name, city, state) AS rn
-    FROM sales WHERE property_code IS NOT NULL AND transaction_month IS NOT NULL) WHERE rn = 1
+ALL_KEYS = """
+keys AS (SELECT property_code, category_name, transaction_month, cluster, true AS has_sales FROM stores)"""
+REQUESTED_KEYS = """
+asked AS (
+  SELECT pc.property_code, p.p_type AS category_name, pc.transaction_month
+  FROM prop_cluster pc JOIN supplier s ON s.s_name = pc.property_code JOIN part p ON p.p_partkey = s.s_suppkey
 ),
 keys AS (
-  SELECT property_code, category_name, transaction_month, cluster, true AS has_sales FROM stores
-  UNION ALL SELECT property_code, category_name, transaction_month, cluster, false FROM no_sales
+  SELECT property_code, category_name, transaction_month, cluster, true AS has_sales
+  FROM stores JOIN asked USING (property_code, category_name, transaction_month)
+  UNION ALL
+  SELECT property_code, category_name, transaction_month, cluster, false
+  FROM no_sales JOIN asked USING (property_code, category_name, transaction_month)
+)"""
+ONE_KEY = f"""
+asked AS (SELECT '{REQUEST[0]}' AS property_code, '{REQUEST[1]}' AS category_name, '{SALES_MONTH}' AS transaction_month),
+""" + REQUESTED_KEYS[REQUESTED_KEYS.index("keys AS"):]
+
+
+def report_sql(keys: str, period: str) -> str:
+    return with_sales(f"""
+, pdesc AS (
+  SELECT s.s_name AS property_code, min(r.r_name) AS flag_name, min(n.n_name) AS city, min(r.r_name) AS state
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+  GROUP BY s.s_name
 ),
+{keys.strip()},
+here AS (SELECT property_code, category_name, transaction_month, cluster FROM keys WHERE has_sales),
 already AS (
-  SELECT s.property_code, s.category_name, s.transaction_month FROM stores s
+  SELECT s.property_code, s.category_name, s.transaction_month FROM here s
   WHERE NOT EXISTS (SELECT 1 FROM stocking a WHERE a.property_code = s.property_code
                     AND a.category_name = s.category_name AND a.transaction_month = s.transaction_month)
 ),
 adds AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY property_code, category_name, transaction_month
-                                    ORDER BY cluster_rank) AS INTEGER) AS seq FROM stocking
+  SELECT t.*, CAST(row_number() OVER (PARTITION BY property_code, category_name, transaction_month
+                                      ORDER BY cluster_rank) AS INTEGER) AS seq
+  FROM stocking t SEMI JOIN here USING (property_code, category_name, transaction_month)
 ),
 rms AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY property_code, category_name, transaction_month
-                                    ORDER BY rank) AS INTEGER) AS seq FROM discontinue
+  SELECT t.*, CAST(row_number() OVER (PARTITION BY property_code, category_name, transaction_month
+                                      ORDER BY rank) AS INTEGER) AS seq
+  FROM discontinue t SEMI JOIN here USING (property_code, category_name, transaction_month)
 ),
 lines AS (
   SELECT k.property_code, k.category_name, k.transaction_month, 0 AS section, 0 AS seq, 1 AS is_header,
          'For store #' || k.property_code || ', ' || coalesce(d.flag_name, 'None') || ', '
            || coalesce(d.city, 'None') || ', ' || coalesce(d.state, 'None') || ', for '
            || k.transaction_month || ', part of Cluster (' || coalesce(CAST(k.cluster AS VARCHAR), 'nan') || ')' AS text
-  FROM keys k JOIN pdesc d USING (property_code, transaction_month)
+  FROM keys k JOIN pdesc d USING (property_code)
   UNION ALL
-  SELECT property_code, category_name, transaction_month, 1, 0, 1, 'Your top products in ' || category_name || ':' FROM stores
+  SELECT property_code, category_name, transaction_month, 1, 0, 1, 'Your top products in ' || category_name || ':' FROM here
   UNION ALL
   SELECT property_code, category_name, transaction_month, 1, rank, 0,
          CAST(rank AS VARCHAR) || '. ' || description || ': ' || CAST(number_sold AS VARCHAR) || ' units, '
            || CAST(pct AS VARCHAR) || '%'
-  FROM store_rank_p WHERE rank <= {N}
+  FROM store_rank_p SEMI JOIN here USING (property_code, category_name, transaction_month) WHERE rank <= {N}
   UNION ALL
-  SELECT property_code, category_name, transaction_month, 1, 0, 1, 'No products sold in ' || category_name FROM no_sales
+  SELECT property_code, category_name, transaction_month, 1, 0, 1, 'No products sold in ' || category_name
+  FROM keys WHERE NOT has_sales
   UNION ALL
   SELECT property_code, category_name, transaction_month, 2, 0, 1,
          'Cluster (' || coalesce(CAST(cluster AS VARCHAR), 'nan') || ') top products:' FROM keys
@@ -574,7 +613,51 @@ lines AS (
 )
 SELECT property_code, category_name, transaction_month, CAST(section AS INTEGER) AS section,
        CAST(seq AS INTEGER) AS seq, CAST(is_header AS INTEGER) AS is_header, text FROM lines""",
-    levels=True).replace(")\n, pdesc", "),\npdesc", 1)
+        period=period, levels=True).replace(")\n, pdesc", "),\npdesc", 1)
+
+
+SQL["recommendation_report"] = report_sql(ALL_KEYS, "year")
+SQL["recommendation_report_requests"] = report_sql(REQUESTED_KEYS, "month")
+SQL["recommendation_report_one"] = report_sql(ONE_KEY, "month")
+SQL["price_points_filtered"] = with_sales(f"""
+SELECT description, unit_price, avg(number_sold) AS number_sold, unit_price * avg(number_sold) AS revenue
+FROM (SELECT description, number_sold,
+             CASE WHEN number_sold <> 0
+                  THEN round_even(dollars_sold / number_sold * 100.0, 0) / 100.0 END AS unit_price
+      FROM sales WHERE description = '{SALES_PRODUCT}' AND cluster = 0 AND transaction_month = '1998')
+WHERE unit_price IS NOT NULL GROUP BY description, unit_price""")
+
+
+def _curve_sql() -> str:
+    """The least-squares cubic by orthogonal polynomials of the prices."""
+    ctes, last = [], "cz"
+    for i in range(4):
+        step = ""
+        if i < 3:
+            step = f"(z - a{i} / s{i}) * p{i}" + (f" - s{i} / s{i - 1} * p{i - 1}" if i else "")
+            step = f", CASE WHEN n >= 4 THEN {step} END AS p{i + 1}"
+        ctes.append(f"""c{i} AS (SELECT *{step} FROM (
+  SELECT *, sum(p{i} * p{i}) OVER w AS s{i}, sum(number_sold * p{i}) OVER w AS cu{i},
+         sum(revenue * p{i}) OVER w AS cr{i}, sum(z * p{i} * p{i}) OVER w AS a{i}
+  FROM {last} WINDOW w AS (PARTITION BY description)))""")
+        last = f"c{i}"
+    fit = lambda t: " + ".join(f"c{t}{i} / s{i} * p{i}" for i in range(4))
+    return with_price(f"""
+, cz AS (SELECT description, unit_price, number_sold, revenue, n, CASE WHEN n >= 4 THEN c / m END AS z, 1.0::DOUBLE AS p0 FROM (
+  SELECT *, max(abs(c)) OVER w AS m FROM (
+    SELECT *, count(*) OVER w AS n, unit_price - avg(unit_price) OVER w AS c FROM pts WINDOW w AS (PARTITION BY description))
+  WINDOW w AS (PARTITION BY description))),
+{", ".join(ctes)},
+cf AS (SELECT *, CASE WHEN n >= 4 THEN {fit("u")} END AS fu, CASE WHEN n >= 4 THEN {fit("r")} END AS fr FROM c3),
+cs AS (SELECT *, sum(pow(number_sold - fu, 2)) OVER w AS su, sum(pow(revenue - fr, 2)) OVER w AS sr
+       FROM cf WINDOW w AS (PARTITION BY description))
+SELECT description, unit_price, number_sold, revenue,
+       CASE WHEN su <= 1000000 THEN {r6('fu')} + 0.0 END AS fit_units, round_even(su * 10000.0, 0) / 10000.0 AS ssr_units,
+       CASE WHEN sr <= 1000000 THEN {r6('fr')} + 0.0 END AS fit_revenue, round_even(sr * 10000.0, 0) / 10000.0 AS ssr_revenue
+FROM cs""").replace(")\n, cz", "),\ncz", 1)
+
+
+SQL["price_curve"] = _curve_sql()
 
 SQL["price_points_by_cluster"] = with_sales("""
 SELECT description, cluster, unit_price, avg(number_sold) AS number_sold,

@@ -41,13 +41,17 @@ def _period_range(period: str, value: str) -> tuple[str, str]:
 
 
 def synthetic_sales(t: Mapping[str, DataFrame], period: str = "year",
-                    period_value: str | None = None) -> DataFrame:
+                    period_value: str | None = None, labels: DataFrame | None = None) -> DataFrame:
     """Wide sales fact, one row per lineitem (columns as in ``schemas.SALES``).
 
     A star join: every dimension joins the fact directly, so each join's
     build side is one base table whose size Spark checks against the
     broadcast threshold (joining the dimensions to each other first would
     make Spark estimate their join as a product and shuffle the fact).
+
+    ``labels`` (property_code, cluster) replaces the stand-in cluster: it joins
+    the store dimension before the star join (J8); a store without a label has
+    a null cluster.
     """
     if period not in PERIOD_FORMATS:
         raise ValueError(f"period must be one of {sorted(PERIOD_FORMATS)}")
@@ -60,6 +64,10 @@ def synthetic_sales(t: Mapping[str, DataFrame], period: str = "year",
         li = li.where((ts >= F.lit(lo).cast("timestamp_ntz")) & (ts < F.lit(hi).cast("timestamp_ntz")))
     part = t["part"].select("p_partkey", "p_type", "p_name", "p_retailprice")
     sup = t["supplier"].select("s_suppkey", "s_name", "s_nationkey")
+    cluster = F.col("n_regionkey")
+    if labels is not None:
+        own = labels.select(F.col("property_code").alias("s_name"), F.col("cluster").alias("s_cluster"))
+        sup, cluster = sup.join(own, "s_name", "left"), F.col("s_cluster")
     nation = t["nation"].select("n_nationkey", "n_name", "n_regionkey")
     region = t["region"].select("r_regionkey", "r_name")
     joined = (li.join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -68,7 +76,7 @@ def synthetic_sales(t: Mapping[str, DataFrame], period: str = "year",
                 .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
     return joined.select(
         F.col("s_name").alias("property_code"),
-        F.col("n_regionkey").alias("cluster"),
+        cluster.alias("cluster"),
         F.col("p_type").alias("category_name"),
         F.col("p_name").alias("description"),
         period_of("l_shipdate", period).alias("transaction_month"),

@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from shelfsense.functions import half_even, zip_zone
+from shelfsense.operators import lookups as L
 from shelfsense.operators import pricing as P
 from shelfsense.operators import properties as PR
 from shelfsense.operators import recommend as R
@@ -47,11 +48,14 @@ def test_no_sales_category(make_sales):
             ("T", 0, "Soda", "a", "M", 5), ("T", 0, "Chips", "c", "M", 4)]
     base = S.sales_base(make_sales(rows))
     ns = R.no_sales_categories(base).collect()
-    assert [(r.property_code, r.category_name) for r in ns] == [("S", "Chips")]
+    assert [(r.property_code, r.categories) for r in ns] == [("S", ["Chips"])]
     adds = R.stocking_suggestions(base, 5).where("property_code = 'S'").collect()
     assert all(r.category_name == "Soda" for r in adds)
-    rep = (R.recommendation_report(make_sales(rows), 5).where(
-        "property_code = 'S' AND category_name = 'Chips'").orderBy("section", "seq").collect())
+    asked = base.sparkSession.createDataFrame(
+        [("S", "Chips", "M"), ("S", "Chips", "M"), ("T", "Nothing", "M"), (None, "Chips", "M")],
+        "property_code string, category_name string, transaction_month string")
+    rep = R.recommendation_report(base, S.described_properties(make_sales(rows)), 5, requests=asked).orderBy("section", "seq").collect()
+    assert {(r.property_code, r.category_name) for r in rep} == {("S", "Chips")}
     assert [r.text for r in rep][1:] == [
         "No products sold in Chips", "Cluster (0) top products:", "1. c: 100.0%",
         "National top products in Chips:", "1. c: 100.0%"]
@@ -123,13 +127,13 @@ def test_zip_zones(spark):
 def test_dummies_drop_first_and_null(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "c")], "property_id long, kind string")
     d = PR.property_dummies(df, columns=("kind",)).orderBy("property_id").collect()
-    assert [(r.kind_b, r.kind_c) for r in d] == [(1, 0), (0, 0), (0, 0), (0, 1)]
+    assert [(r.property_id, r.feature, r.value) for r in d] == [(1, "kind_b", 1), (4, "kind_c", 1)]
 
 
 def test_null_management_company(spark):
     src = spark.createDataFrame([(1, 1, 1, "80202"), (2, 1, 2, "1"), (3, None, 1, "2")],
                                 "property_id long, management_company_id long, currency_id int, zip string")
-    a = PR.property_attributes(src).orderBy("property_id").collect()
+    a = PR.property_attributes(src, src).orderBy("property_id").collect()
     assert [(r.property_id, r.props_under_mgmt) for r in a] == [(1, 2), (2, 2)]
     assert [r.currency for r in a] == ["USD", "CAD"]
 
@@ -163,14 +167,46 @@ def test_schema_of_sales_is_explicit():
                                                  "description", "transaction_month"]
 
 
-def test_distributed_ordinal_matches_row_number(spark):
-    from pyspark.sql import Window
-    from shelfsense.functions.ordinal import distributed_ordinal
-    df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 100003).alias("v"))
-    got = distributed_ordinal(df, "g", [F.col("v").desc()], partitions=7)
-    want = df.withColumn("ord", F.row_number().over(Window.partitionBy("g").orderBy(F.col("v").desc())))
-    assert got.exceptAll(want.select(*got.columns)).count() == 0
-    assert got.count() == 5000
+def test_choice_lists_are_sorted_at_size(spark):
+    n = 520_000
+    sales = spark.range(n).selectExpr(
+        "concat('S', lpad(pmod(id * 7919, 520000), 7, '0')) AS property_code", "cast(id % 30 AS string) AS transaction_month",
+        "concat('c', id % 50) AS category_name", "if(id % 7 = 0, null, concat('f', id % 7)) AS flag_name",
+        "concat('city', lpad(id % 400000, 6, '0')) AS city", "'st' AS state")
+    lists = {}
+    for r in L.dimension_values(sales).toLocalIterator():
+        lists.setdefault(r.dimension, []).append((r.is_any, r.value))
+    assert lists["property_code"] == [(False, f"S{i:07d}") for i in range(n)]
+    assert lists["city"] == [(False, f"city{i:06d}") for i in range(400_000)]
+    assert lists["transaction_month"] == [(False, str(i)) for i in sorted(map(str, range(30)), reverse=True)]
+    assert lists["flag_name"] == [(True, None), *[(False, f"f{i}") for i in range(1, 7)], (False, None)]
+    assert lists["state"] == [(True, None), (False, "st")]
+
+
+def test_salted_join_splits_a_heavy_key(spark):
+    from shelfsense.functions.salting import salted_join
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = spark.range(1000).selectExpr("id", "cast(null AS string) AS empty", "if(id % 10 = 0, 'b', 'a') AS k")
+        small = spark.createDataFrame([("a", 1), ("c", 3)], "k string, v int")
+        out = salted_join(large, small, ["k"], ["id"], "left")
+        assert "_salt" in out._jdf.queryExecution().executedPlan().toString()
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 1000 and all(r.v == (None if r.k == "b" else 1) for r in rows)
+
+
+def test_fallback_median_of_the_best_bin(spark):
+    # every ten-bin median is 0, so the median of the best quarter bin counts
+    rows = [("p", 1.0 + i / 10, 0.0, 0.0) for i in range(10) for _ in range(2)] + [("p", 1.47, 4.0, 5.88)]
+    rows = [(d, round(x + j / 100, 2), u, r) for j, (d, x, u, r) in enumerate(rows)]
+    pts = spark.createDataFrame(rows, "description string, unit_price double, number_sold double, revenue double")
+    got = P.price_optimum(pts).first()
+    bins = P.price_bins(pts).where(F.col("bin") == got.best_bin).collect()
+    import statistics
+    assert got.best_sales == statistics.median(r.number_sold for r in bins)
+    assert got.best_revenue == statistics.median(r.revenue for r in bins)
 
 
 def test_period_range_rollover():

@@ -64,7 +64,7 @@ def test_golden_suggestions(make_sales):
 
 def test_golden_report_lines(make_sales):
     sales = make_sales(golden_rows())
-    rep = (R.recommendation_report(sales, 5, 0.10).where("property_code = 'S'")
+    rep = (R.recommendation_report(S.sales_base(sales), S.described_properties(sales), 5, 0.10).where("property_code = 'S'")
            .orderBy("section", "seq").collect())
     text = [r.text for r in rep]
     assert text[0] == f"For store #S, F-S, City-S, ST-S, for {MONTH}, part of Cluster (0)"

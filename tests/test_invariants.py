@@ -57,9 +57,9 @@ def test_single_key_equals_batch(spark):
     sales = K.sales_of(spark, D)
     base = S.sales_base(sales)
     key = S.store_product_sales(base).select(*STORE).orderBy(*STORE).first()
-    one = R.recommendation_report_for(sales, key.property_code, key.category_name,
+    one = R.recommendation_report_for(sales, S.described_properties(sales), key.property_code, key.category_name,
                                       key.transaction_month).collect()
-    batch = (R.recommendation_report(sales).where(
+    batch = (R.recommendation_report(base, S.described_properties(sales)).where(
         (F.col("property_code") == key.property_code) & (F.col("category_name") == key.category_name)
         & (F.col("transaction_month") == key.transaction_month)).orderBy("section", "seq").collect())
     assert [r.text for r in one] == [r.text for r in batch]
