@@ -5,8 +5,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,8 +120,12 @@ def shingle_hashes(spans: Spans, text: str | None, k: int) -> np.ndarray:
     return np.unique(spans(data, begins, ends))
 
 
-def texts_of(batch, name: str = "text") -> Iterable[str | None]:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+def slices(batches, rows: int = 256):
+    """The batches in parts of at most ``rows`` rows: Python objects are made
+    for one part at a time, whatever size Spark gives its batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 # ----------------------------------------------------- connected components

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfsense.llm._common import slices
+
 CHUNK, CONTEXT = 256, 32
 Messages = list[tuple[str, str]]
 START, END = "<|im_start|>", "<|im_end|>"
@@ -183,7 +185,7 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
                 ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for conv, text, begins, ends, rewrites in zip(*(c.to_pylist() for c in batch.columns)):
                 if now is None or now[0] != conv:
                     if now is not None:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfsense.llm._common import crc_fold
+from shelfsense.llm._common import crc_fold, slices
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, per_language: int = 500, windows_each: int = 4) -> Byte
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             langs, pieces = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if _LETTER.search(text):
@@ -169,7 +169,7 @@ def predict(net: ByteNet | None, texts: list[str | None]) -> tuple[list[str], li
     at = 0
     while at < len(told):
         held, windows, sizes, total = [], [], [], 0
-        while at < len(told) and total < 8192:
+        while at < len(told) and total < 2048:
             w, s = windows_of(texts[told[at]])
             held.append(told[at])
             windows.append(w)
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     keep = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new.names])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = predict(net, batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              [*batch.schema.names, *new.names])

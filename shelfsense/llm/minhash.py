@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfsense.llm._common import Scratch, Spans, connected_components, mix64, shingle_hashes
+from shelfsense.llm._common import Scratch, Spans, connected_components, mix64, shingle_hashes, slices
 
 BANDS, ROWS, BITS = 32, 5, 2
 HASHES = BANDS * ROWS
@@ -98,7 +98,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         spans = Spans()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_hashes(spans, t, k) for t in batch.column(1).to_pylist()]
             if not sets:
                 continue
@@ -183,7 +183,7 @@ def confirm(members: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()),
                                                pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for c, x, y, *row in zip(*(column.to_pylist() for column in batch.columns)):
                 if (c, x, y) != now:
                     if rows and (made := compared()) is not None:

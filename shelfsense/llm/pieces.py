@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfsense.llm._common import slices
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -120,7 +122,7 @@ _Word = tuple[bytes, bytes, str]
 class PieceCodec:
     """Encoder and decoder of one model file (BPE models)."""
 
-    def __init__(self, model: bytes, remember: int = 300_000):
+    def __init__(self, model: bytes, remember: int = 150_000):
         self.pieces: list[tuple[str, float, int]] = []
         trainer, normalizer = {}, {}
         for number, value in _fields(model):
@@ -337,7 +339,7 @@ class PieceCodec:
             known.clear()
         at = 0
         while at < len(fresh):
-            part = fresh[at:at + 20_000]
+            part = fresh[at:at + 8_000]
             at += len(part)
             ids, counts = self.merge_many(part)
             lengths = self.source_bytes[ids].tobytes()
@@ -492,15 +494,13 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text") -> DataF
 
     def run(batches):
         codec = PieceCodec(model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                codec.learn(texts)
-                rows = [codec.arrays(t) for t in texts]
-                made = [lists([r[i] for r in rows]) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made, pa.array([r[3] for r in rows], pa.string())],
-                                                 [*batch.schema.names, *new.names])
+        for batch in slices(batches):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            codec.learn(texts)
+            rows = [codec.arrays(t) for t in texts]
+            made = [lists([r[i] for r in rows]) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made, pa.array([r[3] for r in rows], pa.string())],
+                                             [*batch.schema.names, *new.names])
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, *new.fields]))
 
@@ -512,16 +512,14 @@ def digest_documents(docs: DataFrame, model: bytes, id: str = "doc_id", text: st
 
     def run(batches):
         codec = PieceCodec(model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = batch.column(1).to_pylist()
-                codec.learn(texts)
-                n, ids, decoded, spans = zip(*[codec.digest(t) for t in texts])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()),
-                     pa.array(decoded, pa.string()), pa.array(spans, pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
+        for batch in slices(batches):
+            texts = batch.column(1).to_pylist()
+            codec.learn(texts)
+            n, ids, decoded, spans = zip(*[codec.digest(t) for t in texts])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()),
+                 pa.array(decoded, pa.string()), pa.array(spans, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     source = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

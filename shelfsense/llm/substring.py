@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfsense.llm._common import Spans
+from shelfsense.llm._common import Spans, slices
 
 #: Chunks have 8 + about 20 bytes on average and at most 512.
 LEAST, AVERAGE, MOST = 8, 20, 512
@@ -86,7 +86,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         spans = Spans()
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             found = [np.unique(chunks(spans, t)[3]) for t in batch.column(1).to_pylist()]
             if not found:
@@ -144,7 +144,7 @@ def cut_repeats(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
 
     def run(batches):
         spans = Spans()
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(keep.index("doc_id")).to_pylist()
             texts, flags, removed, cut, firsts = [], [], [], [], []
             for i, text, keys, first in zip(ids, batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist(),

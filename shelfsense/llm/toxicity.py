@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfsense.llm._common import Scratch, crc_fold
+from shelfsense.llm._common import Scratch, crc_fold, slices
 
 STEMS = (4, 5, 6)
 #: A stem found at least so often in a text is a term of its own.
@@ -221,20 +221,24 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     sample = scratch.save(sample, "examples")
 
     def count(batches):
-        seen: dict[str, list[int]] = {}
-        rows = [0, 0]
-        for batch in batches:
+        seen: tuple[dict[str, int], dict[str, int]] = {}, {}
+
+        def counts():
+            for y in (0, 1):
+                names, ns = pa.array(list(seen[y]), pa.string()), pa.array(list(seen[y].values()), pa.int64())
+                none = pa.array(np.zeros(len(ns), np.int64))
+                seen[y].clear()
+                yield pa.RecordBatch.from_arrays([names, *((none, ns) if y else (ns, none))], ["term", "clean", "marked"])
+
+        for batch in slices(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows[y] += 1
+                own = seen[1 if y else 0]
+                own[""] = own.get("", 0) + 1  # rows
                 for term in terms_of(text):
-                    seen.setdefault(term, [0, 0])[y] += 1
-        names = [*seen, ""]
-        pairs = [*seen.values(), rows]
-        for at in range(0, len(names), 50_000):
-            part = pairs[at:at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(names[at:at + 50_000], pa.string()),
-                                              pa.array([p[0] for p in part], pa.int64()),
-                                              pa.array([p[1] for p in part], pa.int64())], ["term", "clean", "marked"])
+                    own[term] = own.get(term, 0) + 1
+            if len(seen[0]) + len(seen[1]) > 200_000:
+                yield from counts()
+        yield from counts()
 
     counted = (sample.select("text", "toxic").mapInArrow(count, "term string, clean long, marked long")
                .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("marked").alias("marked")))
@@ -248,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     wanted = frozenset(clean)
 
     def gather(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, ys, names, ns = [], [], [], []
             for i, text, y in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 counts = {t: c for t, c in terms_of(text).items() if t in wanted}
@@ -306,7 +310,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     keep = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new.names])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             made = [model.score(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([m[0] for m in made], pa.float64()),
