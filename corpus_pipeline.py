@@ -10,11 +10,14 @@
 5. pieces: every document's token ids with the source span of each.
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of ``documents``.  Extra columns pass through.  Null
-and empty texts, repeated rows and empty tables are handled as the operators
-state; repeated rows of one id leave one row at stage 2.
+last return the columns of ``documents``.  Extra columns pass through, whatever
+their names.  Null and empty texts, repeated rows and empty tables are handled
+as the operators state; repeated rows of one id leave one row at stage 2, rows
+without an id all stay there.
 """
 
+from functools import wraps
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -23,12 +26,33 @@ from shelfsense.llm._common import Scratch
 from shelfsense.llm.registry import piece_model
 
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def extras_aside(stage):
+    """Carries columns beyond COLUMNS through a stage as one struct, so none can
+    clash with a name the stage uses."""
+
+    @wraps(stage)
+    def wrapped(spark, docs, sf_dir):
+        extras = [c for c in docs.columns if c not in COLUMNS]
+        if not extras:
+            return stage(spark, docs, sf_dir)
+        packed = docs.select(*COLUMNS, F.struct(*[F.col(f"`{c}`") for c in extras]).alias("__extras"))
+        return stage(spark, packed, sf_dir).select(
+            *[F.col(c) if c in COLUMNS else F.col("__extras")[c].alias(c) for c in docs.columns])
+
+    return wrapped
+
+
+@extras_aside
 def drop_toxic(spark, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, Scratch(spark, "toxicity"))
     return toxicity.score_documents(docs, model).where("predicted = 0").select(docs.columns)
 
 
+@extras_aside
 def keep_one_of_each_class(spark, docs, sf_dir):
     found = minhash.near_duplicates(docs, Scratch(spark, "minhash"), k=5)
     gone = found.where("not kept").select("doc_id").distinct()
@@ -37,12 +61,14 @@ def keep_one_of_each_class(spark, docs, sf_dir):
             .where("__row = 1 or doc_id is null").select(docs.columns))
 
 
+@extras_aside
 def cut_repeated_passages(spark, docs, sf_dir):
     cut = substring.cut_repeats(docs)
     return cut.withColumn("n_chars", F.when(F.col("has_repeat"), F.length("text").cast("long")).otherwise(
         F.col("n_chars"))).select(docs.columns)
 
 
+@extras_aside
 def mix_sources(spark, docs, sf_dir):
     return mixing.mix(docs).orderBy("position").select(docs.columns)
 
@@ -74,4 +100,6 @@ def run(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.save(docs, name)
+            if k:
+                scratch.drop(STAGES[k - 1][0])
     return docs
