@@ -85,7 +85,7 @@ def tempered(counts: dict[str, int], power: float) -> dict[str, float]:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.9, block: int = 64,
-        period: int = PERIOD, per_bucket: int = 20_000) -> DataFrame:
+        period: int = PERIOD, per_bucket: int = 4_000) -> DataFrame:
     """Every row of ``docs`` (source, doc_id, text, ...) with position (from 0,
     in the mix), slot and epoch; rows of sources that start over repeat.
 
