@@ -39,7 +39,11 @@ def property_clusters(attrs: DataFrame, features: DataFrame, k: int = DEFAULT_K,
     """``attrs`` with a ``cluster`` label from 0, numbered by the
     smallest property id; rows that cannot be featurised get null."""
     points = feature_vectors(features).select("property_id", array_to_vector("vec").alias("vec"))
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="vec", predictionCol="group").fit(points)
+    points.persist()  # every split reads them again
+    try:
+        model = BisectingKMeans(k=k, seed=seed, featuresCol="vec", predictionCol="group").fit(points)
+    finally:
+        points.unpersist()
     found = model.transform(points).select("property_id", "group")
     # at most k rows
     names = found.groupBy("group").agg(F.min("property_id").alias("first")).withColumn(
