@@ -193,8 +193,12 @@ def build_graph(nodes: DataFrame, n: int, dimension: int, scratch: Scratch) -> D
 
 
 def score(pairs: DataFrame, nodes: DataFrame, queries: DataFrame, parts: int) -> DataFrame:
-    """(query, node, sim) of (query, node) pairs.  Nodes are dealt over parts;
-    a query's vector goes once to each part where it has candidates."""
+    """(query, node, sim) of (query, node) pairs that may enter a beam.  Nodes
+    are dealt over parts by a hash; a query's vector goes once to each part
+    where it has candidates.  Of a query's best BEAM a part holds about
+    BEAM / parts; each part returns that many and four standard deviations more."""
+    share = BEAM / parts
+    most = min(BEAM, int(np.ceil(share + 4 * np.sqrt(share) + 8)))
     part = F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")
     asked = (pairs.select("query", "node", part).groupBy("part", "query").agg(F.collect_set("node").alias("nodes"))
              .join(queries.select("query", "unit"), "query")
@@ -221,8 +225,8 @@ def score(pairs: DataFrame, nodes: DataFrame, queries: DataFrame, parts: int) ->
                         ids, units = [], []
                     want = wanted.values.to_numpy(zero_copy_only=False)
                     s = x[np.searchsorted(index, want)] @ np.frombuffer(unit, np.float32)
-                    if len(s) > BEAM:
-                        best = np.argpartition(-s, BEAM)[:BEAM]
+                    if len(s) > most:
+                        best = np.argpartition(-s, most)[:most]
                         want, s = want[best], s[best]
                     yield np.full(len(want), key, np.int64), want, s
         yield from _edges(each())
