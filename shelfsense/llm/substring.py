@@ -1,35 +1,48 @@
-"""Substring deduplication by content-defined chunks (operator 6).
+"""Substring deduplication by winnowed anchors and exact extension (operator 6).
 
 A gear hash rolls over the bytes of a text (each byte's random 32-bit gear,
-shifted left as it ages, so 32 bytes decide); a chunk ends where the hash is
-small.  Boundaries follow the content, so an insertion moves only the chunks
-it touches.  Chunks are counted by a 64-bit digest; a chunk that an earlier
-document (smaller id) also holds, or that stands earlier in the same document,
-is a repeat.  Runs of adjacent repeats of at least ``least_run`` bytes are cut
-from the text; shorter ones are left, so common phrases and a single digest
-collision change nothing.  The first document keeps its copy.
-
-Only (digest, id) pairs are shuffled, one per distinct chunk of a document,
-and counted map-side first; texts move once, to meet their repeats.
-
-Defined cases: null and empty texts have no chunks and stay as they are;
+shifted left as it ages, so 32 bytes decide).  Of every ``REACH`` successive
+grams of ``GRAM`` bytes the one with the smallest hash is an anchor, so any two
+texts that share ``GRAM + REACH - 1`` = 95 bytes share an anchor there, and the
+first and last shared anchor stand less than REACH bytes from the passage's
+ends.  An anchor whose surroundings (REACH bytes on either side) stand in an
+earlier document (smaller id) is matched over all of them; otherwise its
+surroundings are compared byte by byte with those of the same gram in every
+earlier document, and the longest match to the left and to the right counts.
+Matches that overlap by a gram are one run; runs of at least ``least_run``
+bytes are cut from the text, shorter ones are left, so common phrases change
+nothing.  The same holds inside one document for what stands at least
+``least_run`` bytes before.  The first document keeps its copy.
+
+Digests are shuffled by gram, one per distinct anchor of a document (those of
+one gram meet in one task, sorted with spilling); surroundings are shuffled
+only for grams of several documents and several surroundings, once for each
+of these.
+
+Defined cases: null and empty texts have no anchors and stay as they are;
 rows that share an id count as one document; rows without an id take no part;
-extra columns stay; an empty table gives an empty result.
+a cut never splits a UTF-8 character; extra columns stay; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfsense.llm._common import Spans, slices
+from shelfsense.llm._common import Scratch, Spans, mix64, slices
 
-#: Chunks have 8 + about 20 bytes on average and at most 512.
+#: Content-defined chunks have 8 + about 20 bytes on average and at most 512;
+#: cut_repeats does not use them.
 LEAST, AVERAGE, MOST = 8, 20, 512
 LEAST_RUN = 96
+#: Anchors: grams of GRAM bytes, the least of every REACH.  GRAM + REACH <= LEAST_RUN.
+GRAM, REACH = 32, 64
 _GEAR = np.random.default_rng(20240608).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -81,51 +94,225 @@ def chunks(spans: Spans, text: str | None) -> tuple[bytes, np.ndarray, np.ndarra
     return data, begins, ends, spans(data, begins, ends).view(np.int64)
 
 
+def anchors(spans: Spans, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, digests of the grams, digests of the grams with surroundings)
+    of a text's anchors; ties of the hash go to the last gram."""
+    size = len(data)
+    if size < GRAM + REACH - 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    hashes = gear_hashes(np.frombuffer(data, np.uint8))[GRAM - 1:].astype(np.uint64)
+    last = np.uint64(2**32 - 1)
+    ranked = (hashes << np.uint64(32)) | (last - np.arange(len(hashes), dtype=np.uint64))
+    width = 1
+    while width < REACH:
+        ranked = np.minimum(ranked[:-width], ranked[width:])
+        width *= 2
+    at = np.unique(last - (ranked & last)).astype(np.int64)
+    begins, ends = np.maximum(at - REACH, 0), np.minimum(at + GRAM + REACH, size)
+    around = spans(data, begins, ends) ^ mix64((at - begins).astype(np.uint64))
+    return at, spans(data, at, at + GRAM).view(np.int64), around.view(np.int64)
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """(key, doc_id) of every distinct chunk of every row."""
+    """(key, around, doc_id) of every anchor of every row with distinct
+    surroundings."""
 
     def run(batches):
         spans = Spans()
         for batch in slices(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found = [np.unique(chunks(spans, t)[3]) for t in batch.column(1).to_pylist()]
+            found = []
+            for i, text in zip(ids, batch.column(1).to_pylist()):
+                _, keys, around = anchors(spans, _bytes(text))
+                around, at = np.unique(around, return_index=True)
+                found.append((keys[at], around, np.full(len(at), i, np.int64)))
             if not found:
                 continue
-            keys, owner = np.concatenate(found), np.repeat(ids, [len(f) for f in found])
-            for at in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + 200_000], pa.int64()),
-                                                  pa.array(owner[at:at + 200_000], pa.int64())], ["key", "doc_id"])
+            columns = [np.concatenate(c) for c in zip(*found)]
+            for at in range(0, len(columns[0]), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 200_000], pa.int64()) for c in columns],
+                                                 ["key", "around", "doc_id"])
+
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "key long, around long, doc_id long")
+
+
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _alike(a: bytes, b: bytes) -> int:
+    """Length of the common head."""
+    size = min(len(a), len(b))
+    if a[:size] == b[:size]:
+        return size
+    low, high = 0, size - 1
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[:mid] == b[:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+class Side:
+    """Surroundings on one side of a gram, gathered in the order of their
+    documents: the longest common head with any of them, and the first
+    document that has it."""
+
+    def __init__(self):
+        self.sorted: list[tuple[bytes, int]] = []
+        self.firsts: dict[bytes, int] = {}
+
+    def add(self, side: bytes, doc: int) -> None:
+        at = bisect_left(self.sorted, (side,))
+        if at == len(self.sorted) or self.sorted[at][0] != side:
+            self.sorted.insert(at, (side, doc))
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, doc_id long")
+    def best(self, side: bytes) -> tuple[int, int]:
+        """Neighbours in sorted order have the longest common head."""
+        at = bisect_left(self.sorted, (side,))
+        size = max(_alike(side, self.sorted[j][0]) for j in (at - 1, at) if 0 <= j < len(self.sorted))
+        head = side[:size]
+        if head not in self.firsts:  # later additions are of later documents
+            low = bisect_left(self.sorted, (head,))
+            first = None
+            while low < len(self.sorted) and self.sorted[low][0].startswith(head):
+                first = self.sorted[low][1] if first is None else min(first, self.sorted[low][1])
+                low += 1
+            self.firsts[head] = first
+        return size, self.firsts[head]
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, keys and firsts: the chunks of a document that an earlier one
-    also holds, and the first document of each."""
-    own = digests(docs)
-    shared = own.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return (own.join(shared.select("key", "first"), "key").where("doc_id <> first").distinct()
-            .groupBy("doc_id").agg(F.collect_list(F.struct("key", "first")).alias("found"))
-            .select("doc_id", F.col("found.key").alias("keys"), F.col("found.first").alias("firsts")))
+def _sides(data: bytes, at: int) -> tuple[bytes, bytes]:
+    """Bytes before a gram, nearest first, and after it."""
+    return data[max(at - REACH, 0):at][::-1], data[at + GRAM:at + GRAM + REACH]
 
 
-def repeat_spans(spans: Spans, text: str | None, keys, firsts, own_id, least_run: int):
+def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, around, doc_id, before, after) of the ``wanted`` (around, doc_id)."""
+    lists = wanted.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("around").alias("arounds"))
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        lists, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "arounds")
+
+    def run(batches):
+        spans = Spans()
+        for batch in slices(batches, 64):
+            rows = []
+            for i, text, arounds in zip(*(c.to_pylist() for c in batch.columns)):
+                data, left = _bytes(text), set(arounds)
+                for at, key, around in zip(*(a.tolist() for a in anchors(spans, data))):
+                    if around in left:
+                        left.discard(around)
+                        rows.append((key, around, i, *_sides(data, at)))
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                                 ["key", "around", "doc_id", "before", "after"])
+
+    return met.mapInArrow(run, "key long, around long, doc_id long, before binary, after binary")
+
+
+def nearest(found: DataFrame) -> DataFrame:
+    """around, doc_id, left, right, left_of, right_of: how far a gram's
+    surroundings match those in any earlier document, and the first of them."""
+
+    def run(batches):
+        now, sides, waiting = None, (), []
+        for batch in slices(batches, 4096):
+            rows = []
+            for key, around, doc, before, after in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    now, sides, waiting = key, (Side(), Side()), []
+                if waiting and waiting[0][0] != doc:  # a document does not meet itself here
+                    for i, b, a in waiting:
+                        sides[0].add(b, i)
+                        sides[1].add(a, i)
+                    waiting = []
+                if sides[0].sorted:
+                    (left, left_of), (right, right_of) = sides[0].best(before), sides[1].best(after)
+                    rows.append((around, doc, left, right, left_of, right_of))
+                waiting.append((doc, before, after))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)],
+                                                 ["around", "doc_id", "left", "right", "left_of", "right_of"])
+
+    return (found.repartition("key").sortWithinPartitions("key", "doc_id", "around")
+            .mapInArrow(run, "around long, doc_id long, left long, right long, left_of long, right_of long"))
+
+
+def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id and found: (around, left, right, left_of, right_of) of the
+    anchors of a document whose gram an earlier one also holds."""
+    gram, kind = Window.partitionBy("key"), Window.partitionBy("key", "around")
+    # one shuffle, by gram; grams of one document are of no use
+    own = (digests(docs).repartition("key").withColumn("first", F.min("doc_id").over(kind))
+           .withColumn("low", F.min("doc_id").over(gram)).withColumn("high", F.max("doc_id").over(gram))
+           .withColumn("kinds", F.min("around").over(gram) != F.max("around").over(gram))
+           .where("low < high and (doc_id > first or kinds)").select("around", "doc_id", "first").distinct())
+    shared = scratch.save(own, "shared")
+    compared = scratch.save(nearest(surroundings(docs, shared.where("doc_id = first").select("around", "doc_id"))), "compared")
+    whole = F.lit(REACH).cast("long")
+    later = shared.where("doc_id > first").select(
+        "doc_id", "around", whole.alias("left"), whole.alias("right"),
+        F.col("first").alias("left_of"), F.col("first").alias("right_of"))
+    return (later.unionByName(compared).groupBy("doc_id")
+            .agg(F.collect_list(F.struct("around", "left", "right", "left_of", "right_of")).alias("found")))
+
+
+def _inside(data: bytes, places: list[int], keys: list[int], apart: int):
+    """(begin, end) of every anchor's match with what stands at least ``apart``
+    bytes before it in the same text."""
+    times: dict[int, int] = {}
+    for key in keys:
+        times[key] = times.get(key, 0) + 1
+    sides: dict[int, tuple[Side, Side]] = {}
+    waiting = 0
+    for at, key in zip(places, keys):
+        while places[waiting] + apart <= at:
+            if times[keys[waiting]] > 1:
+                before, after = _sides(data, places[waiting])
+                own = sides.setdefault(keys[waiting], (Side(), Side()))
+                own[0].add(before, 0)
+                own[1].add(after, 0)
+            waiting += 1
+        if key in sides:
+            before, after = _sides(data, at)
+            yield at, at - sides[key][0].best(before)[0], at + GRAM + sides[key][1].best(after)[0]
+
+
+def repeat_spans(spans: Spans, text: str | None, found, own_id, least_run: int):
     """(bytes, [(begin, end, first document)]) of the runs to cut."""
-    data, begins, ends, found = chunks(spans, text)
-    known = dict(zip(keys, firsts))
-    seen: set[int] = set()
+    data = _bytes(text)
+    places, keys, around = (a.tolist() for a in anchors(spans, data))
+    known = {f["around"]: f for f in found or ()}
+    matches = [(b, e, own_id) for _, b, e in _inside(data, places, keys, least_run)]
+    for at, place in zip(places, around):
+        if (f := known.get(place)) is not None:
+            left, right = min(f["left"], at), min(f["right"], len(data) - at - GRAM)
+            # two matches that share the gram
+            matches += [(at - left, at + GRAM, f["left_of"]), (at, at + GRAM + right, f["right_of"])]
     runs: list[list] = []
-    for begin, end, key in zip(begins.tolist(), ends.tolist(), found.tolist()):
-        first = known.get(key, own_id if key in seen else None)
-        seen.add(key)
-        if first is None:
-            continue
-        if runs and runs[-1][1] == begin:
-            runs[-1][1] = end
+    for begin, end, first in sorted(matches):
+        if runs and begin + GRAM <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
             runs[-1][2] = min(runs[-1][2], first)
         else:
             runs.append([begin, end, first])
-    return data, [tuple(r) for r in runs if r[1] - r[0] >= least_run]
+    cut: list[tuple] = []
+    for begin, end, first in runs:
+        if end - begin < least_run:
+            continue
+        if cut and begin < cut[-1][1]:
+            begin = cut[-1][1]
+        while begin < end and data[begin] & 0xC0 == 0x80:
+            begin += 1
+        while end > begin and end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        if begin < end:
+            cut.append((begin, end, first))
+    return data, cut
 
 
 def cut_repeats(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
@@ -136,10 +323,10 @@ def cut_repeats(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
         T.StructField("has_repeat", T.BooleanType()), T.StructField("removed_chars", T.LongType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
         T.StructField("repeats_of", T.ArrayType(T.LongType()))])
-    keep = [c for c in docs.columns if c not in (*new.names, "keys", "firsts")]
+    keep = [c for c in docs.columns if c not in (*new.names, "found")]
     docs = docs.select(*[F.col(f"`{c}`") for c in keep])
-    met = docs.join(repeats(docs).withColumnRenamed("doc_id", "__id"),
-                    F.col("doc_id").cast("long") == F.col("__id"), "left").select(*[docs[f"`{c}`"] for c in keep], "keys", "firsts")
+    met = docs.join(repeats(docs, Scratch(docs.sparkSession, "substring")).withColumnRenamed("doc_id", "__id"),
+                    F.col("doc_id").cast("long") == F.col("__id"), "left").select(*[docs[f"`{c}`"] for c in keep], "found")
     at = keep.index("text")
 
     def run(batches):
@@ -147,11 +334,10 @@ def cut_repeats(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
         for batch in slices(batches):
             ids = batch.column(keep.index("doc_id")).to_pylist()
             texts, flags, removed, cut, firsts = [], [], [], [], []
-            for i, text, keys, first in zip(ids, batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist(),
-                                            batch.column(len(keep) + 1).to_pylist()):
+            for i, text, found in zip(ids, batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist()):
                 gone = []
                 if i is not None:
-                    data, gone = repeat_spans(spans, text, keys or (), first or (), int(i), least_run)
+                    data, gone = repeat_spans(spans, text, found, int(i), least_run)
                 if gone:
                     edges = [0, *[e for b, e, _ in gone for e in (b, e)], len(data)]
                     kept = b"".join(data[b:e] for b, e in zip(edges[::2], edges[1::2])).decode("utf-8", "surrogatepass")

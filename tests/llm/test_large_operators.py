@@ -202,6 +202,30 @@ def test_repeated_passages(spark):
             assert r.text == texts[i] and r.removed_chars == 0
 
 
+def test_short_passages_are_cut_whole(spark):
+    """Passages of 51 short words, cut to the byte at both ends."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    say = lambda n, letters: " ".join(word(letters) for _ in range(n))
+    rows, want = [], {}
+    for p in range(150):
+        passage = say(51, 1 + p % 4)
+        rows.append((2 * p, f"{say(40, 6)}#{passage}#{say(40, 6)}"))
+        ends = f"{say(40, 6)}[", f"]{say(40, 6)}"
+        rows.append((2 * p + 1, passage.join(ends)))
+        want[2 * p + 1] = (ends[0] + ends[1], 2 * p)
+    # an earlier document holds the passage's head as a common phrase
+    phrase, rest = say(8, 4), say(60, 4)
+    rows += [(1000, f"{say(40, 6)} {phrase} {say(40, 6)}"), (1001, f"{say(40, 6)}#{phrase} {rest}#"), (1002, f"{say(40, 6)}[{phrase} {rest}]")]
+    want[1002] = (rows[-1][1].split("[")[0] + "[]", 1000)
+    texts = dict(rows)
+    for r in substring.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        kept, first = want.get(r.doc_id, (texts[r.doc_id], None))
+        assert r.text == kept and (first is None) == (not r.has_repeat), r.doc_id
+        if first is not None:
+            assert len(r.spans) == 1 and r.repeats_of[0] in (first, r.doc_id - 1)
+
+
 def test_substrings_of_odd_rows(spark, odd):
     rows = substring.cut_repeats(odd).collect()
     assert len(rows) == odd.count()
