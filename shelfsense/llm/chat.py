@@ -7,12 +7,14 @@ before it shows that the template rewrites history.  The place of a turn's text
 inside its span comes from two further renderings with probe texts: what they
 share before and after is the turn's header and tail.
 
-Rendering every prefix of a long conversation costs the square of its length,
-so turns are dealt in chunks of ``CHUNK`` consecutive ones, each rendered
-behind the ``CONTEXT`` turns before it.  Conversations of up to CHUNK turns are
-rendered whole; templates that look further back than CONTEXT turns are outside
-the contract.  A conversation of any length is spread over tasks this way; only
-the digests of a whole conversation stream through one.
+A black box is rendered for every prefix, whole, whatever the length: that
+costs the square of a conversation's length, in one task.  Only a template that
+is known to be local, one whose rendering of a turn depends on no more than
+``context`` turns before it and not on its place, is spared that: the library's
+own (which joins its turns), or one for which the caller states ``context``.
+Its turns are dealt in chunks of ``CHUNK`` consecutive ones, each rendered
+behind the context before it, so a conversation of any length is spread over
+tasks; only the digests of a whole conversation stream through one.
 
 The library's template marks turns with control strings and escapes those that
 occur in texts: every ``<`` that backslashes and ``|`` follow gets one more
@@ -100,28 +102,44 @@ def locate(template: Callable[[Messages], str], messages: Messages, skip: int =
 
 
 def format_conversations(rows: DataFrame, template: Callable[[Messages], str] = render,
-                         trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
+                         trained: tuple[str, ...] = ("assistant",), context: int | None = None) -> DataFrame:
     """conv_id, chunk, formatted, turn_begins (code points), loss_begins,
     loss_ends, rewrites (turns that changed what stood before); the chunks of a
-    conversation, in order, are its formatted text."""
+    conversation, in order, are its formatted text.
+
+    ``context``: how many turns back (at most CHUNK) a template looks that is
+    known to be local; without it, templates other than the library's are
+    rendered behind the whole conversation before each turn.
+    """
+    if context is None and template is render:
+        context = CONTEXT
+    if context is not None and not 0 <= context <= CHUNK:
+        raise ValueError(f"context must be between 0 and {CHUNK}")
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     turns = turns.withColumn("place", F.row_number().over(order) - 1)
-    chunk = F.floor(F.col("place") / CHUNK)
-    near_end = F.pmod(F.col("place"), F.lit(CHUNK)) >= CHUNK - CONTEXT
-    # the last turns of a chunk are also the context of the next one
-    dealt = turns.withColumn("chunk", F.explode(
-        F.when(near_end, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))).withColumn("own", F.col("chunk") == chunk)
+    if context is None:
+        dealt = turns.withColumn("chunk", F.lit(0).cast("long")).withColumn("own", F.lit(True))
+    else:
+        chunk = F.floor(F.col("place") / CHUNK)
+        near_end = F.pmod(F.col("place"), F.lit(CHUNK)) >= CHUNK - context
+        # the last turns of a chunk are also the context of the next one
+        dealt = turns.withColumn("chunk", F.explode(
+            F.when(near_end, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))).withColumn("own", F.col("chunk") == chunk)
 
     def run(batches):
         now, messages, skip = None, [], 0
 
         def made():
-            if len(messages) == skip:  # the context of a chunk that does not exist
-                return None
+            """A row for every CHUNK turns; none for the context of a chunk that does not exist."""
+            spans = locate(template, messages, skip)
+            for chunk, at in enumerate(range(skip, len(messages), CHUNK), now[1]):
+                yield written(chunk, zip(messages[at:at + CHUNK], spans))
+
+        def written(chunk, turns):
             parts, begins, losses, ends, rewrites, at = [], [], [], [], 0, 0
-            for (role, _), (added, b, e, changed) in zip(messages[skip:], locate(template, messages, skip)):
+            for (role, _), (added, b, e, changed) in turns:
                 begins.append(at)
                 rewrites += changed
                 if role in trained:
@@ -131,7 +149,7 @@ def format_conversations(rows: DataFrame, template: Callable[[Messages], str] =
                 at += len(added)
             ints = pa.list_(pa.int32())
             return pa.RecordBatch.from_arrays(
-                [pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int64()), pa.array(["".join(parts)], pa.string()),
+                [pa.array([now[0]], pa.int64()), pa.array([chunk], pa.int64()), pa.array(["".join(parts)], pa.string()),
                  pa.array([begins], ints), pa.array([losses], ints), pa.array([ends], ints), pa.array([rewrites], pa.int32())],
                 ["conv_id", "chunk", "formatted", "turn_begins", "loss_begins", "loss_ends", "rewrites"])
 
@@ -150,13 +168,13 @@ def format_conversations(rows: DataFrame, template: Callable[[Messages], str] =
             for batch in batches:
                 for conv, part, role, text, own in zip(*(c.to_pylist() for c in batch.columns)):
                     if (conv, part) != now:
-                        if messages and (out := made()) is not None:
-                            yield out
+                        if messages:
+                            yield from made()
                         now, messages, skip = (conv, part), [], 0
                     messages.append((role, text))
                     skip += not own
-            if messages and (out := made()) is not None:
-                yield out
+            if messages:
+                yield from made()
 
         yield from gathered(each())
 

@@ -188,6 +188,25 @@ def test_odd_conversations(spark):
     assert chat.digest_conversations(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_black_box_templates_see_the_whole_conversation(spark):
+    def numbered(messages):  # the first turn counts, every turn has its number
+        return "".join(f"{messages[0][1]}/{i}:{t};" for i, (_, t) in enumerate(messages))
+
+    def late(messages):  # turn 300 rewrites the first one
+        return "".join(f"{'!' if i == 0 and len(messages) > 300 else '.'}{t};" for i, (_, t) in enumerate(messages))
+
+    said = [("assistant" if i % 2 else "user", f"turn {i}") for i in range(600)]
+    df = spark.createDataFrame([(1, i, *m) for i, m in enumerate(said)], "conv_id long, turn long, role string, text string")
+    rows = sorted(chat.format_conversations(df, numbered).collect(), key=lambda r: r.chunk)
+    assert [r.chunk for r in rows] == [0, 1, 2] and [len(r.turn_begins) for r in rows] == [256, 256, 88]
+    assert "".join(r.formatted for r in rows) == numbered(said)
+    assert [r.formatted[b:e] for r in rows for b, e in zip(r.loss_begins, r.loss_ends)] == [t for r, t in said if r == "assistant"]
+    assert sum(r.rewrites for r in chat.format_conversations(df, late).collect()) == 1
+    for context in (0, 32, chat.CHUNK):  # a local template, as its caller states
+        own = chat.format_conversations(df, lambda m: "".join(f"{t};" for _, t in m), context=context).collect()
+        assert "".join(r.formatted for r in sorted(own, key=lambda r: r.chunk)) == "".join(f"{t};" for _, t in said)
+
+
 # ------------------------------------------------------------------ syncmers
 
 def _edited(docs):
