@@ -128,6 +128,23 @@ def test_mix_odd_rows(odd):
         mixing.mix(odd, {"a": 1.0})
 
 
+def test_mix_of_very_many_and_of_tiny_sources(spark):
+    many = spark.range(9000).selectExpr("id AS doc_id", "concat('t', id) AS text", "concat('s', id % 4500) AS source")
+    got = mixing.mix(many, block=4).collect()
+    assert len(got) == 9000 and len({r.position for r in got}) == 9000 and {r.epoch for r in got} == {0}
+    rare = spark.range(60_001).selectExpr("id AS doc_id", "concat('t', id) AS text", "if(id = 60000, 'rare', concat('s', id % 3)) AS source")
+    got = mixing.mix(rare).collect()
+    weight = mixing.tempered({"rare": 1, "s0": 20_000, "s1": 20_000, "s2": 20_000}, 0.9)["rare"]
+    assert abs(sum(r.source == "rare" for r in got) - weight * len(got)) < 1
+    assert len({r.position for r in got}) == len(got) and {r.doc_id for r in got} == set(range(60_001))
+    # every source is less than a block from its exact share after any slot of the mix
+    weights = {"a": 0.7123, "b": 0.2876, "c": 0.0001}
+    total, done = sum(weights.values()), Counter()
+    for t, (s, _) in zip(range(1, 30_000), mixing.pfair(mixing.whole_weights(weights))):
+        done[s] += 1
+        assert all(abs(done[name] - w / total * t) < 1.000001 for name, w in weights.items())
+
+
 # ---------------------------------------------------------------------- chat
 
 MESSAGES = st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "a\nb%0A", "<|im_start|>"]),
