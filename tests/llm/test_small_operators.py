@@ -269,6 +269,24 @@ def test_anchors_are_closed_syncmers(spark):
     assert len(got[1]) == 1 and got[2] == []
 
 
+def test_likeness_counts_every_anchor(spark):
+    own, other = [[f"{a}{i}" for i in range(4000)] for a in "ab"]
+    texts = [" ".join(own + own[:400]), " ".join(other + own[1000:1060])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in syncmers.fingerprints(df).collect()}
+    edited = [x[:len(x) - len(x) // 4] + y[:len(x) // 4] for x, y in zip(texts, texts[::-1])]
+    every = [{a.h: a.p for a in r.k} for r in syncmers.with_anchors(
+        spark.createDataFrame([(i, t) for i, t in enumerate(texts + edited)], "i long, t string"), "t", "k", None).orderBy("i").collect()]
+    assert all(len(e) > 20 * syncmers.KEPT for e in every)
+    share = lambda a, b: 2 * len(set(a) & set(b)) / (len(a) + len(b))
+    for i in (0, 1):
+        shifts = sorted(every[2 + i][h] - p for h, p in every[i].items() if h in every[2 + i])
+        assert rows[i].near_next == share(every[0], every[1]) > 0
+        assert rows[i].near_edited == share(every[i], every[2 + i])
+        assert rows[i].aligned_edited == shifts.count(shifts[len(shifts) // 2]) / len(shifts)
+        assert rows[i].fingerprint.count(",") == syncmers.KEPT - 1
+
+
 def test_fingerprints_of_odd_rows(spark, odd):
     rows = syncmers.fingerprints(odd).collect()
     docs = [(r.doc_id, r.text or "") for r in odd.collect()]
