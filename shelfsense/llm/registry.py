@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import ann, chat, langid, minhash, mixing, pieces, sharding, substring, syncmers, toxicity
+from shelfsense.llm import (ann, chat, divergence, langid, middle, minhash, mixing, pieces, sharding, substring, suffixes,
+                            syncmers, toxicity)
 from shelfsense.llm._common import Scratch, crc_fold, table
 
 
@@ -84,6 +85,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(rows.unionByName(more)))
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffixes.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "suffixes"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.transform(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restored(), 256).alias("restored_sha256"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), Scratch(spark, "divergence"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_langid": op2_langid,
@@ -95,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_chat": op10_chat,
+    "op11_suffixes": op11_suffixes,
+    "op12_middle": op12_middle,
+    "op13_divergence": op13_divergence,
 }
 
 SQL: dict[str, str] = {
@@ -115,4 +134,6 @@ r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, e.b FROM r
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(c) AS component_id, s.doc_id = min(c) AS kept
 FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.sh
 """,
+    "op12_middle": middle.SQL,
+    "op13_divergence": divergence.SQL,
 }
