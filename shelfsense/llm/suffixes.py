@@ -14,17 +14,19 @@ documents and are judged on the input.
    the shard; of equal strings only the first place matters to other shards.
 2. *Candidates for other shards.*  Every string has one anchor, the 96 bytes in
    it with the smallest hash (the leftmost), so equal strings have equal anchors
-   at equal places.  Only anchors that two shards hold go on, each with the
-   bytes of its strings (its context).  Equal contexts collapse first: all
-   their strings repeat, and one of them stands for the rest.
-3. *Merging.*  The different contexts of an anchor meet in one bucket.  Every
-   shard's strings are a sorted run there, and runs are merged two by two by
-   binary search (:func:`merge_runs`): a key found in the other run repeats.
-   Anchors with more than ``SPLIT`` different contexts are split: tasks cut
-   their runs by key ranges, and every range is merged on its own.
-
-Keys are 128 bits (64 to search, 64 to confirm).  Row counts never reach the
-driver; every step is written to the shared folder or recomputed by Spark.
+   at equal places.  Only anchors that two shards hold go on, each standing for
+   the bytes of its strings (its context), which are known by a digest.  Equal
+   contexts collapse first: all their strings repeat, and one of them stands for
+   the rest.
+3. *Merging.*  Where an anchor still has several contexts, their bytes meet in
+   one bucket.  Every shard's strings are a sorted run there, and runs are merged
+   two by two by binary search (:func:`merge_runs`): a key found in the other run
+   repeats.  Anchors with more than ``SPLIT`` contexts are split: tasks cut their
+   runs by key ranges, and every range is merged on its own.
+
+Keys of strings are 128 bits (64 to search, 64 to confirm), those of contexts 160
+with their anchor's.  Texts are shuffled compressed, and once; no rows reach the
+driver, and what is not written to the shared folder Spark can compute again.
 
 Null texts count as empty, repeated rows and null ids are rows like others
 (equal rows remove each other's strings), an empty table gives an empty
@@ -37,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,50 +203,76 @@ class Shard:
             self.first, self.last = starts[new][some], starts[last][some]
             self.hashes = hashes[anchor[new]][some].view(np.int64)
         else:
-            self.first = self.last = np.empty(0, np.int64)
-            self.hashes = np.empty(0, np.int64)
-
-    def rows(self) -> Iterator[tuple]:
-        """(row, runs of repeated strings, anchors with their first and last string), by piece."""
+            self.first = self.last = self.hashes = np.empty(0, np.int64)
+        # what a context holds, by two digests
+        end = self.last + length if len(self.last) else self.last
+        self.digests = spans(data, self.first, end).view(np.int64)
+        self.checks = (spans(data.translate(_OTHER), self.first, end) >> U(32)).astype(np.int64)
+
+    def marks(self) -> Iterator[tuple]:
+        """(document, runs of repeated strings, anchors with their context's
+        digests and first and last string), by piece."""
         edge = np.diff(np.concatenate([[0], self.repeated.view(np.int8), [0]]))
         up, down = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
         ups, anchors_at = self.of[up], self.of[self.first]
-        for k, (row, at, _) in enumerate(self.pieces):
+        for k, (document, at, _) in enumerate(self.pieces):
             shift = at - self.begins[k]
             a, b = np.searchsorted(ups, [k, k + 1])
             c, d = np.searchsorted(anchors_at, [k, k + 1])
-            if a < b or c < d:
-                yield row, up[a:b] + shift, down[a:b] + shift, self.hashes[c:d], self.first[c:d] + shift, self.last[c:d] + shift
+            yield (document, up[a:b] + shift, down[a:b] + shift, self.hashes[c:d], self.digests[c:d], self.checks[c:d],
+                   self.first[c:d] + shift, self.last[c:d] + shift)
+
+
+#: Rows of the written table of texts and marks.
+_LISTS = ["begins", "ends", "hashes", "digests", "checks", "firsts", "lasts", "shards"]
 
 
 def _shards(batches, length: int, gram: int):
-    spans, held, size = Spans(), [], 0
-    room = (1 << SHARD_BITS) - 1
-
-    def flush():
-        shard = Shard(held, length, gram, spans)
-        # a number for the shard: its first piece is in no other
-        name = int(mix64(np.array([held[0][0]], np.int64).view(U) * U(0x9E3779B97F4A7C15) + U(held[0][1])).view(np.int64)[0])
-        found = list(shard.rows())
+    """Documents with their marks; a shard is what a task reads until it is full."""
+    spans, room = Spans(), (1 << SHARD_BITS) - 1
+    part, made = TaskContext.get().partitionId(), 0
+    pieces: list[tuple[int, int, bytes]] = []
+    pending: list[list] = []  # id, text, and lists of arrays
+    size = waiting = 0
+
+    def close():
+        nonlocal pieces, size, made
+        if pieces:
+            for document, *arrays in Shard(pieces, length, gram, spans).marks():
+                for held, array in zip(pending[document][2:], [*arrays, np.full(len(arrays[2]), (part << 32) + made)]):
+                    held.append(array)
+            pieces, size, made = [], 0, made + 1
+
+    def rows(documents, id_type):
+        whole = lambda arrays: np.concatenate(arrays).astype(np.int64) if arrays else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays([
-            pa.array([x[0] for x in found], pa.int64()), pa.array([name] * len(found), pa.int64()),
-            *[pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in range(1, 6)]],
-            ["row", "shard", "begins", "ends", "hashes", "firsts", "lasts"])
+            pa.array([d[0] for d in documents], id_type), pa.array([len(d[1]) for d in documents], pa.int64()),
+            pa.array([pa.compress(d[1], codec="zstd", asbytes=True) if d[1] else b"" for d in documents], pa.binary()),
+            *[pa.array([whole(d[2 + i]) for d in documents], pa.list_(pa.int64())) for i in range(len(_LISTS))]],
+            ["doc_id", "n_bytes", "packed", *_LISTS])
 
     for batch in slices(batches):
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        id_type = batch.schema.field(0).type
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = text.as_py() or b""
-            if len(text) < length:
-                continue
+            pending.append([doc_id, text, *[[] for _ in _LISTS]])
+            waiting += len(text)
             for at in range(0, len(text) - length + 1, PIECE):
                 piece = text[at:at + PIECE + length - 1]
                 if size + len(piece) + 1 > room:
-                    yield flush()
-                    held, size = [], 0
-                held.append((row, at, piece))
+                    close()
+                    if len(pending) > 1:
+                        yield rows(pending[:-1], id_type)
+                    pending, waiting = pending[-1:], len(text)
+                pieces.append((len(pending) - 1, at, piece))
                 size += len(piece) + 1
-    if held:
-        yield flush()
+            if waiting > 4 * room or len(pending) >= 4096:
+                close()
+                yield rows(pending, id_type)
+                pending, waiting = [], 0
+    if pending:
+        close()
+        yield rows(pending, id_type)
 
 
 # ------------------------------------------------------------------ merging
@@ -280,51 +309,33 @@ def merge_runs(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndar
 
 
 class Contexts:
-    """Contexts laid end to end, and the keys of all their strings."""
+    """Contexts (hash, shard, row, first, text) laid end to end, and the keys of
+    all their strings."""
 
     def __init__(self, rows: list[tuple], length: int, spans: Spans):
-        self.rows = rows  # (hash, shard, row, first, text)
         sizes = np.array([len(x[4]) for x in rows])
-        begins = np.cumsum(sizes) - sizes
         counts = sizes - length + 1
-        self.of = np.repeat(np.arange(len(rows)), counts)
-        self.offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.repeat(begins, counts) + self.offset
+        of = np.repeat(np.arange(len(rows)), counts)
+        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.repeat(np.cumsum(sizes) - sizes, counts) + offset
         data = b"".join(x[4] for x in rows)
-        plain = spans(data, at, at + length)
+        anchor, self.shard, self.row, first = (np.array([x[i] for x in rows], np.int64)[of] for i in range(4))
+        self.start = first + offset
+        self.keys = mix64(spans(data, at, at + length) + anchor.view(U) * U(0x9E3779B97F4A7C15))
         # the second key comes from the bytes read through another table
-        other = spans(data.translate(_OTHER), at, at + length)
-        anchor = np.array([x[0] for x in rows], np.int64).view(U)
-        self.keys = mix64(plain + anchor[self.of] * U(0x9E3779B97F4A7C15))
-        self.second = other
-
-    def runs(self):
-        """One sorted run per shard."""
-        shard = np.array([x[1] for x in self.rows], np.int64)
-        _, number = np.unique(shard, return_inverse=True)
-        owner = number[self.of]
-        order = np.lexsort((self.keys, owner))
-        cuts = np.searchsorted(owner[order], np.arange(1, number.max() + 1))
-        return [(self.keys[p], self.second[p], p) for p in np.split(order, cuts)]
-
-    def stretches(self, places: np.ndarray) -> list[tuple[int, int, int]]:
-        """(row, begin, end) of the runs of string starts among ``places`` (sorted)."""
-        if not len(places):
-            return []
-        new = np.flatnonzero(np.concatenate(
-            [[True], (places[1:] != places[:-1] + 1) | (self.of[places[1:]] != self.of[places[:-1]])]))
-        last = np.concatenate([new[1:], [len(places)]]) - 1
-        return [(self.rows[c][2], self.rows[c][3] + int(a), self.rows[c][3] + int(b)) for c, a, b in zip(
-            self.of[places[new]], self.offset[places[new]], self.offset[places[last]])]
+        self.second = spans(data.translate(_OTHER), at, at + length)
 
+    def runs_by_shard(self) -> list[np.ndarray]:
+        """The strings of every shard, sorted by key."""
+        order = np.lexsort((self.keys, self.shard))
+        return np.split(order, np.flatnonzero(np.diff(self.shard[order])) + 1)
 
-#: A fixed permutation of the byte values, for an independent second key.
-_OTHER = bytes(np.random.default_rng(11).permutation(256).astype(np.uint8))
-_STRETCH = "row long, begin long, end long"
+    def runs(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return [(self.keys[p], self.second[p], p) for p in self.runs_by_shard()]
 
 
-def _stretch_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["row", "begin", "end"])
+#: A fixed permutation of the byte values, for an independent second key.
+_OTHER = bytes(np.random.default_rng(11).permutation(256).astype(np.uint8))
 
 
 def _groups(batches, key_columns: int, limit: int):
@@ -338,75 +349,88 @@ def _groups(batches, key_columns: int, limit: int):
                 yield held
                 held, size = [], 0
             held.append(row)
-            size += len(row[-1])
+            size += 64 + len(row[-1] or b"")
             last = key
     if held:
         yield held
 
 
-def _merge_contexts(length: int):
-    def run(batches):
-        spans = Spans()
-        for rows in _groups(batches, 1, MERGE_BYTES):
-            contexts = Contexts(rows, length, spans)
-            yield _stretch_batch(contexts.stretches(merge_runs(contexts.runs())))
-    return run
+def _runs(row: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, begin, end) of runs of string starts."""
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    if not len(row):
+        return []
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)]))
+    last = np.concatenate([new[1:], [len(row)]]) - 1
+    return list(zip(row[new].tolist(), start[new].tolist(), start[last].tolist()))
 
 
-def _cut_runs(length: int):
-    """Sorted runs of split anchors, cut at the borders of the key ranges."""
+#: Rows between the two steps: a found run of starts, or (where keys are given)
+#: the strings of one shard and key range of a split anchor.
+_STEP = "group long, part int, row long, begin long, end long, keys binary, second binary, rows binary, starts binary"
+
+
+def _step(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * 4
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
+                                      [c.split()[0] for c in _STEP.split(", ")])
+
+
+def _merge_or_cut(length: int):
+    """Contexts (hash, salt, ranges, shard, row, first, text), sorted: merged where
+    an anchor is whole here, cut by key ranges where it is split."""
     def run(batches):
         spans = Spans()
         for rows in _groups(batches, 2, MERGE_BYTES):
-            by_hash: dict[int, list] = {}
-            for row in rows:
-                by_hash.setdefault(row[0], []).append(row)
-            for anchor, members in by_hash.items():
+            whole = [(r[0], *r[3:]) for r in rows if r[2] == 1]
+            if whole:
+                c = Contexts(whole, length, spans)
+                hits = merge_runs(c.runs())
+                yield _step([(row, -1, row, a, b, None, None, None, None) for row, a, b in _runs(c.row[hits], c.start[hits])])
+            split: dict[int, list] = {}
+            for r in rows:
+                if r[2] > 1:
+                    split.setdefault(r[0], []).append(r)
+            for anchor, members in split.items():
                 ranges = members[0][2]
-                contexts = Contexts([(r[0], r[3], r[4], r[5], r[6]) for r in members], length, spans)
-                order = np.argsort(contexts.keys)
-                keys = contexts.keys[order]
+                c = Contexts([(r[0], *r[3:]) for r in members], length, spans)
                 width = (1 << 64) // ranges
-                borders = np.searchsorted(keys, np.array([k * width for k in range(1, ranges)], U))
-                owners = np.array([x[2] for x in contexts.rows], np.int64)
-                firsts = np.array([x[3] for x in contexts.rows], np.int64)
-                for k, part in enumerate(np.split(order, borders)):
-                    if len(part):
-                        of = contexts.of[part]
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([anchor], pa.int64()), pa.array([k], pa.int32()),
-                            *[pa.array([x.tobytes()], pa.binary()) for x in (
-                                contexts.second[part], owners[of], firsts[of] + contexts.offset[part], contexts.keys[part])]],
-                            ["hash", "part", "second", "rows", "starts", "keys"])
+                for places in c.runs_by_shard():
+                    borders = np.searchsorted(c.keys[places], np.array([k * width for k in range(1, ranges)], U))
+                    yield _step([(anchor, k, None, None, None, *[x[p].tobytes() for x in (c.keys, c.second, c.row, c.start)])
+                                 for k, p in enumerate(np.split(places, borders)) if len(p)])
     return run
 
 
-def _merge_cuts(batches):
-    for rows in _groups(batches, 2, 0):
-        keys, second, owners, starts = [
-            [np.frombuffer(r[i], t) for r in rows] for i, t in ((5, U), (2, U), (3, np.int64), (4, np.int64))]
-        base = np.cumsum([0] + [len(x) for x in keys])
-        hits = merge_runs([(k, s, np.arange(b, b + len(k))) for k, s, b in zip(keys, second, base)])
-        row, start = np.concatenate(owners)[hits], np.concatenate(starts)[hits]
-        order = np.lexsort((start, row))
-        row, start = row[order], start[order]
-        if len(row):
-            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]))
-            last = np.concatenate([new[1:], [len(row)]]) - 1
-            yield _stretch_batch(list(zip(row[new].tolist(), start[new].tolist(), start[last].tolist())))
+def _merge_ranges(batches):
+    """The second step: key ranges of split anchors are merged, runs pass."""
+    for rows in _groups(batches, 2, MERGE_BYTES):
+        out = [(r[2], r[3], r[4]) for r in rows if r[2] is not None]
+        cuts = [[np.frombuffer(r[5 + i], t) for i, t in enumerate((U, U, np.int64, np.int64))] for r in rows if r[5] is not None]
+        if cuts:
+            base = np.cumsum([0] + [len(c[0]) for c in cuts])
+            hits = merge_runs([(c[0], c[1], np.arange(b, b + len(c[0]))) for c, b in zip(cuts, base)])
+            out += _runs(*[np.concatenate([c[i] for c in cuts])[hits] for i in (2, 3)])
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["row", "begin", "end"])
 
 
 # ------------------------------------------------------------------ removal
 
+def _text(packed: bytes, size: int) -> bytes:
+    return pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def _contexts_of(length: int):
     def run(batches):
         for batch in slices(batches):
             out = []
-            for row, text, marks in zip(*[c.to_pylist() for c in batch.columns]):
-                out.extend((m["hash"], m["shard"], row, m["first"], text[m["first"]:m["last"] + length]) for m in marks)
+            for row, _, size, packed, marks in zip(*[c.to_pylist() for c in batch.columns]):
+                text = _text(packed, size)
+                out.extend((m["hash"], m["ranges"], m["shard"], row, m["first"], text[m["first"]:m["last"] + length]) for m in marks)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], t) for i, t in enumerate([pa.int64()] * 4 + [pa.binary()])],
-                ["hash", "shard", "row", "first", "text"])
+                [pa.array([x[i] for x in out], t) for i, t in enumerate([pa.int64(), pa.int32()] + [pa.int64()] * 3 + [pa.binary()])],
+                ["hash", "ranges", "shard", "row", "first", "text"])
     return run
 
 
@@ -414,8 +438,8 @@ def _removed(length: int):
     def run(batches):
         for batch in slices(batches):
             out = []
-            for doc_id, text, marks in zip(*[c.to_pylist() for c in batch.columns]):
-                text, begins, ends = text or b"", np.empty(0, np.int64), np.empty(0, np.int64)
+            for _, doc_id, size, packed, marks in zip(*[c.to_pylist() for c in batch.columns]):
+                text, begins, ends = _text(packed, size), np.empty(0, np.int64), np.empty(0, np.int64)
                 if marks:
                     begin = np.array([m["begin"] for m in marks], np.int64)
                     order = np.argsort(begin, kind="stable")
@@ -423,58 +447,53 @@ def _removed(length: int):
                     reach = np.maximum.accumulate(np.array([m["end"] for m in marks], np.int64)[order] + length)
                     new = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]]))
                     begins, ends = begin[new], reach[np.concatenate([new[1:], [len(begin)]]) - 1]
-                kept = b"".join(text[a:b] for a, b in zip([0, *ends.tolist()], [*begins.tolist(), len(text)]))
-                out.append((doc_id, len(text), len(text) - len(kept), len(begins),
+                kept = b"".join(text[a:b] for a, b in zip([0, *ends.tolist()], [*begins.tolist(), size]))
+                out.append((doc_id, size, size - len(kept), len(begins),
                             [{"begin": a, "end": b} for a, b in zip(begins.tolist(), ends.tolist())], kept))
             yield pa.RecordBatch.from_arrays([
-                pa.array([x[0] for x in out], batch.schema.field(0).type), *[pa.array([x[i] for x in out], pa.int64()) for i in (1, 2, 3)],
+                pa.array([x[0] for x in out], batch.schema.field(1).type), *[pa.array([x[i] for x in out], pa.int64()) for i in (1, 2, 3)],
                 pa.array([x[4] for x in out], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
                 pa.array([x[5] for x in out], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
     return run
 
 
-def repeated_strings(rows: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM,
-                     split: int = SPLIT) -> DataFrame:
-    """(row, begin, end): runs of string starts in ``rows`` (row, text binary)
-    whose string of ``length`` bytes also starts elsewhere; runs may overlap."""
-    marks = "row long, shard long, begins array<long>, ends array<long>, hashes array<long>, firsts array<long>, lasts array<long>"
-    shards = scratch.save(rows.select("row", "text").mapInArrow(lambda b: _shards(b, length, gram), marks), "shards")
-    inside = shards.select("row", F.inline(F.arrays_zip(F.col("begins").alias("begin"), F.col("ends").alias("end"))))
-    held = shards.select("row", "shard", F.inline(F.arrays_zip(
-        F.col("hashes").alias("hash"), F.col("firsts").alias("first"), F.col("lasts").alias("last"))))
-    shared = held.groupBy("hash").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").select("hash")
-    wanted = held.join(shared, "hash").groupBy("row").agg(F.collect_list(F.struct("hash", "shard", "first", "last")).alias("marks"))
-    cut = rows.join(wanted, "row").select("row", "text", "marks").mapInArrow(
-        _contexts_of(length), "hash long, shard long, row long, first long, text binary")
-    found = scratch.save(cut.withColumn("digest", F.substring(F.sha2("text", 256), 1, 32)), "contexts")
-    # equal contexts: all their strings repeat, the one of the smallest row stands for them
-    equal = found.groupBy("hash", "digest").agg(F.count("*").alias("n"), F.min("row").alias("least"))
-    counts = equal.groupBy("hash").agg(F.count("*").alias("different"))
-    judged = found.join(equal, ["hash", "digest"]).join(counts, "hash")
-    repeated = judged.where("n > 1").select("row", F.col("first").alias("begin"),
-                                            (F.col("first") + F.length("text") - length).alias("end"))
-    open_ = judged.where("different > 1 and row = least")
-    few = (open_.where(F.col("different") <= split).select("hash", "shard", "row", "first", "text")
-           .repartition("hash").sortWithinPartitions("hash"))
-    met = few.mapInArrow(_merge_contexts(length), _STRETCH)
-    ranges = F.ceil(F.col("different") / F.lit(split)).cast("int")
-    many = (open_.where(F.col("different") > split)
-            .select("hash", F.pmod(F.xxhash64("row", "first"), ranges).alias("salt"), ranges.alias("ranges"), "shard", "row", "first", "text")
-            .repartition("hash", "salt").sortWithinPartitions("hash", "salt"))
-    cuts = many.mapInArrow(_cut_runs(length), "hash long, part int, second binary, rows binary, starts binary, keys binary")
-    across = (cuts.repartition("hash", "part").sortWithinPartitions("hash", "part").mapInArrow(_merge_cuts, _STRETCH))
-    return inside.unionByName(repeated).unionByName(met).unionByName(across)
+def _zipped(**lists: str):
+    """Rows of lists that lie side by side."""
+    return F.inline(F.arrays_zip(*[F.col(c).alias(name) for name, c in lists.items()]))
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM,
                    split: int = SPLIT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, ``spans`` (maximal
     removed runs, byte offsets) and ``kept`` (the remaining bytes)."""
-    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
-                                    F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")), "rows")
-    runs = repeated_strings(rows, scratch, length, gram, split).groupBy("row").agg(
-        F.collect_list(F.struct("begin", "end")).alias("marks"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.join(runs, "row", "left").select("doc_id", "text", "marks").mapInArrow(
+    marked = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
+        lambda b: _shards(b, length, gram), ", ".join([f"doc_id {id_type}", "n_bytes long", "packed binary", *[f"{c} array<long>" for c in _LISTS]]))
+    rows = scratch.save(marked.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+    # contexts of anchors that several shards hold, judged by their digests
+    held = rows.select("row", _zipped(hash="hashes", digest="digests", check="checks", first="firsts", last="lasts", shard="shards"))
+    shared = held.groupBy("hash").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").select("hash")
+    held = scratch.save(held.join(shared, "hash"), "held")
+    equal = held.groupBy("hash", "digest", "check").agg(F.count("*").alias("n"), F.min("row").alias("least"))
+    several = equal.groupBy("hash").agg(F.count("*").alias("different")).where("different > 1")
+    # all strings of equal contexts repeat; the one of the smallest row stands for them
+    again = held.join(equal.where("n > 1"), ["hash", "digest", "check"]).select("row", F.col("first").alias("begin"), F.col("last").alias("end"))
+    ranges = F.ceil(F.col("different") / F.lit(split)).cast("int")
+    open_ = held.join(equal, ["hash", "digest", "check"]).where("row = least").join(several, "hash").groupBy("row").agg(
+        F.collect_list(F.struct("hash", ranges.alias("ranges"), "shard", "first", "last")).alias("marks"))
+
+    texts = rows.select("row", "doc_id", "n_bytes", "packed")
+    contexts = texts.join(open_, "row").select("row", "doc_id", "n_bytes", "packed", "marks").mapInArrow(
+        _contexts_of(length), "hash long, ranges int, shard long, row long, first long, text binary")
+    salt = F.pmod(F.xxhash64("row", "first"), F.col("ranges")).cast("int")
+    met = contexts.select("hash", salt.alias("salt"), "ranges", "shard", "row", "first", "text")
+    met = met.repartition("hash", "salt").sortWithinPartitions("hash", "salt").mapInArrow(_merge_or_cut(length), _STEP)
+    across = met.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(
+        _merge_ranges, "row long, begin long, end long")
+
+    inside = rows.select("row", _zipped(begin="begins", end="ends"))
+    runs = inside.unionByName(again).unionByName(across).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
+    return texts.join(runs, "row", "left").select("row", "doc_id", "n_bytes", "packed", "marks").mapInArrow(
         _removed(length), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, "
                           "spans array<struct<begin:long,end:long>>, kept binary")
