@@ -44,7 +44,7 @@ SCALE, ADDED = 1_000_000_000, 5
 #: Terms of one transducer.
 BLOCK = 1 << 18
 #: Cells (terms by sources) of one comparison matrix.
-CELLS = 1 << 20
+CELLS = 1 << 16
 #: Bytes of text that meet one copy of their language's transducers.
 PART_BYTES = 32 << 20
 #: Bytes of text that are streamed together.
@@ -344,7 +344,8 @@ def divergence(docs: DataFrame, scratch: Scratch, least: int = LEAST, top: int =
     shared = counts.join(groups, ["lang", "source"]).withColumn("p", _share("count", "total", "terms"))
 
     # pairs, over blocks of ordinals
-    width = F.greatest(F.lit(1), F.least(F.col("terms"), F.expr(f"{cells} div sources"))).cast("long")
+    # a block gives a row per pair of sources, so it has as many terms as sources at least (up to 1,024)
+    width = F.greatest(F.lit(1), F.least(F.col("terms"), F.greatest(F.expr(f"{cells} div sources"), F.least(F.col("sources"), F.lit(1024))))).cast("long")
     wide = groups.withColumn("width", width)
     absent = wide.where("terms > 0").withColumn("count", F.lit(0)).withColumn("p", _share("count", "total", "terms")).select(
         "lang", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(terms - 1) div width"))).alias("block"), "width", "terms",
