@@ -1,60 +1,216 @@
-"""Property clustering and profiles.
+"""Property clustering, merge tree and profiles.
+
+The properties are clustered hierarchically from the top.  ``divisive_tree``
+grows one binary tree, level by level: all clusters of a level that are still
+worth a split are split in two at once, so one pass over the properties moves
+the centres of every open cluster.  The tree is a table of splits, and any
+number of groups is a cut through it (``cut``): a cluster's cost (within-cluster
+sum of squares) is never below that of its parts, so splitting in order of cost
+gives nested groups, and the first ``k - 1`` splits give ``k`` groups.  Read from
+the last split to the first, the table is a merge history.
 
-The properties are clustered hierarchically from the top: MLlib's bisecting
-k-means splits the cluster with the largest cost until there are ``k``.  Every
-pass over the data is distributed and the same algorithm runs at every size.
 The reference merges from the bottom (Ward), which needs all pairs of
 properties; both minimise the within-cluster sum of squares step by step, but
-the groups can differ.  Another number of groups is another ``k``.
+the groups can differ.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.functions import array_to_vector
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfsense.sources.workspace import Workspace
+
 DEFAULT_K = 6
+#: Groups that a tree can be cut into at most, unless stated otherwise.
+MAX_K = 20
+#: Times the two centres of a split move.
+ROUNDS = 4
+#: Numbers in the centres of all open clusters up to which they are broadcast.
+BROADCAST_NUMBERS = 4_000_000
+
+SPLITS = ("node long, cost double, size long, left long, left_cost double, left_size long, "
+          "right long, right_cost double, right_size long")
 
 
-def feature_vectors(features: DataFrame) -> DataFrame:
-    """(property_id, vec) from long features (property_id, feature, value);
-    absent features are 0 and a property with a null value is left out.
+def feature_entries(features: DataFrame, workspace: Workspace) -> tuple[DataFrame, int]:
+    """(property_id, entries) and the number of features.  ``entries`` are
+    the (i, v) pairs of a property's features, as sparse as the long ``features``
+    (property_id, feature, value); absent features are 0 and a property with a
+    null value is left out.
 
-    The index of a feature is its place in the sorted feature table, which has
-    one row per category level, not per property.
+    A feature's number is its place, from 1, in the sorted feature table, which
+    has one row per category level, not per property.  Entry 0 is 1 for every
+    property, so sums of entries count properties too.
     """
-    place = F.row_number().over(Window.orderBy("feature")) - 1
     names = features.select("feature").distinct()
-    index = names.withColumn("i", place).withColumn("size", F.count("*").over(Window.partitionBy()))
-    entries = features.join(index, "feature").groupBy("property_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("i", F.coalesce("value", F.lit(0.0))))).alias("m"),
-        F.max("size").alias("size"), F.count(F.when(F.col("value").isNull(), 1)).alias("nulls"))
-    dense = F.expr("transform(sequence(0, size - 1), i -> coalesce(try_element_at(m, i), 0D))")
-    return entries.where("nulls = 0").select("property_id", dense.alias("vec"))
+    index = workspace.save(names.withColumn("i", F.row_number().over(Window.orderBy("feature"))), "index")
+    size = index.count() + 1
+    entry = F.struct("i", F.col("value").alias("v"))
+    own = features.join(index, "feature").groupBy("property_id").agg(
+        F.collect_list(F.when(F.col("value").isNotNull(), entry)).alias("entries"),
+        F.count(F.when(F.col("value").isNull(), 1)).alias("nulls"))
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(1.0).alias("v")))
+    return own.where("nulls = 0").select("property_id", F.concat(one, "entries").alias("entries")), size
+
+
+def _with_nodes(points: DataFrame, nodes: DataFrame, size: int, rows: int) -> DataFrame:
+    """``points`` with the columns of their cluster's row.  ``nodes`` has one row
+    per open cluster with ``size`` numbers; beyond a bound on both it is joined
+    without a broadcast, and AQE splits the clusters' skewed partitions."""
+    return points.join(F.broadcast(nodes) if rows * size <= BROADCAST_NUMBERS else nodes, "node")
+
+
+def _sums(points: DataFrame, by: list[str]) -> DataFrame:
+    e = points.select(*by, F.explode("entries").alias("e"))
+    return e.groupBy(*by, F.col("e.i").alias("i")).agg(
+        F.sum("e.v").alias("s"), F.sum(F.col("e.v") * F.col("e.v")).alias("q"))
+
+
+def _node_costs(points: DataFrame) -> list:
+    """Per cluster its size, cost, and the feature that varies most with its mean:
+    the start of a split.  One row per open cluster reaches the driver."""
+    sums = _sums(points, ["node"])
+    total = F.sum(F.when(F.col("i") == 0, F.col("s"))).over(Window.partitionBy("node"))
+    spread = sums.withColumn("n", total).withColumn("ss", F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)))
+    return spread.groupBy("node").agg(
+        F.max("n").cast("long").alias("size"), F.sum("ss").alias("cost"),
+        F.max(F.struct("ss", (-F.col("i")).alias("i"), (F.col("s") / F.col("n")).alias("mean"))).alias("widest")).collect()
+
+
+def _split(points: DataFrame, chosen: list, lefts: dict[int, int], size: int) -> DataFrame:
+    """``points`` of the chosen clusters with the number of the half they fall in
+    (the left one's of ``lefts``, or the next): 2-means from the cut at the mean
+    of the widest feature."""
+    spark = points.sparkSession
+    starts = spark.createDataFrame([(r["node"], -r["widest"]["i"], r["widest"]["mean"], lefts[r["node"]]) for r in chosen],
+                                   "node long, f int, t double, left long")
+    value = F.aggregate("entries", F.lit(0.0), lambda a, e: a + F.when(e["i"] == F.col("f"), e["v"]).otherwise(F.lit(0.0)))
+    half = points.join(F.broadcast(starts), "node").select("property_id", "entries", "node", (value > F.col("t")).cast("int").alias("half"))
+    # every number of every open cluster, so that centres are whole arrays
+    zeros = spark.range(size).select(F.explode(F.array(*[F.lit(r["node"]) for r in chosen])).alias("node"),
+                                     F.col("id").cast("int").alias("i"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    for _ in range(ROUNDS):
+        entries = half.select("node", "half", F.explode("entries").alias("e"))
+        sides = [F.sum(F.when(F.col("half") == k, F.col("e.v")).otherwise(F.lit(0.0))) for k in (0, 1)]
+        sums = entries.groupBy("node", F.col("e.i").alias("i")).agg(sides[0].alias("a"), sides[1].alias("b"))
+        sums = sums.unionByName(zeros).groupBy("node", "i").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        centres = sums.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "a", "b"))).alias("c"))
+        n0, n1 = F.col("c")[0]["a"], F.col("c")[0]["b"]
+        centres = centres.select(
+            "node", F.transform("c", lambda x: 2 * (x["a"] / n0 - x["b"] / n1)).alias("apart"),
+            F.aggregate("c", F.lit(0.0), lambda s, x: s + (x["a"] / n0) * (x["a"] / n0) - (x["b"] / n1) * (x["b"] / n1)).alias("m"))
+        # nearer to the second centre when 2 x (c0 - c1) < |c0|^2 - |c1|^2
+        dot = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["v"] * F.col("apart")[e["i"]])
+        half = _with_nodes(points, centres, size, len(chosen)).select("property_id", "entries", "node", (dot < F.col("m")).cast("int").alias("half"))
+    return half.join(F.broadcast(starts), "node").select("property_id", "entries", (F.col("left") + F.col("half")).alias("node"))
+
+
+@dataclass
+class Tree:
+    """``splits``: one row per split (``SPLITS``), the root being node 1;
+    ``leaves`` (property_id, node): the last cluster of every property."""
 
+    splits: DataFrame
+    leaves: DataFrame
+    workspace: Workspace
 
-def property_clusters(attrs: DataFrame, features: DataFrame, k: int = DEFAULT_K, seed: int = 7) -> DataFrame:
+    def drop(self) -> None:
+        self.workspace.drop()
+
+
+def divisive_tree(features: DataFrame, max_k: int = MAX_K, workspace: Workspace | None = None) -> Tree:
+    """the tree over long ``features`` with every split that a cut into at
+    most ``max_k`` groups needs.
+
+    Costs fall along the tree, so a cluster is split only while fewer than
+    ``max_k - 1`` clusters cost more; at most ``2 max_k`` rows of a level reach
+    the driver.  Equal properties are never parted.
+    """
+    workspace = workspace or Workspace(features.sparkSession, "tree")
+    points, size = feature_entries(features, workspace)
+    level = workspace.save(points.withColumn("node", F.lit(1).cast("long")), "level-0")
+    found = {r["node"]: r for r in _node_costs(level)}
+    lefts: dict[int, int] = {}
+    done: list[DataFrame] = []
+    fresh = set(found)
+    while True:
+        chosen = [n for n in _costliest(found, max_k - 1) if n in fresh]
+        rest = sorted(fresh - set(chosen))
+        if rest or not chosen:
+            done.append(level.where(F.col("node").isin(rest)).select("property_id", "node"))
+        if not chosen:
+            break
+        lefts.update({n: 2 * (len(lefts) + i) + 2 for i, n in enumerate(chosen)})
+        open_ = level.where(F.col("node").isin(chosen)) if rest else level
+        level = workspace.save(_split(open_, [found[n] for n in chosen], lefts, size), f"level-{min(lefts[n] for n in chosen)}")
+        new = {r["node"]: r for r in _node_costs(level)}
+        found.update(new)
+        fresh = set(new)
+    rows = []
+    for n in _costliest({n: found[n] for n in lefts}, max_k - 1):
+        halves = [x for m in (lefts[n], lefts[n] + 1) for x in (m, found[m]["cost"], found[m]["size"])]
+        rows.append((n, found[n]["cost"], found[n]["size"], *halves))
+    leaves = done[0]
+    for more in done[1:]:
+        leaves = leaves.unionByName(more)
+    return Tree(features.sparkSession.createDataFrame(rows, SPLITS), leaves, workspace)
+
+
+def _costliest(found: dict, n: int) -> list[int]:
+    """The ``n`` costliest clusters; of equal cost the smallest number."""
+    return sorted((k for k in found if found[k]["cost"] > 0), key=lambda k: (-found[k]["cost"], k))[:max(n, 0)]
+
+
+def merge_history(tree: Tree) -> DataFrame:
+    """one row per split in the order of cost (``step`` from 1): the cluster,
+    its cost and size, its halves with theirs, and ``gain``, what the split takes
+    off the cost.  Read backwards, step s joins s + 1 groups into s."""
+    w = Window.orderBy(F.desc("cost"), "node")  # at most max_k - 1 rows
+    return tree.splits.select(
+        F.row_number().over(w).alias("step"), F.col("node").alias("parent"), "left", "right", "cost", "size",
+        "left_cost", "left_size", "right_cost", "right_size",
+        (F.col("cost") - F.col("left_cost") - F.col("right_cost")).alias("gain"))
+
+
+def cut(tree: Tree, ks: list[int] | int) -> DataFrame:
+    """(property_id, k, cluster) for one or several numbers of groups; the
+    labels of a cut count from 0 by the smallest property id.  Properties that
+    differ in fewer than ``k`` ways give fewer groups."""
+    ks = [ks] if isinstance(ks, int) else list(ks)
+    steps = merge_history(tree).orderBy("step").collect()  # at most max_k - 1 rows
+    parent = {m: r["parent"] for r in steps for m in (r["left"], r["right"])}
+    nodes = [1, *parent]
+    places = []
+    for k in ks:
+        split = {r["parent"] for r in steps[:k - 1]}
+        groups = {m for m in nodes if m not in split and (m == 1 or parent[m] in split)}
+        for node in nodes:
+            up = node
+            while up not in groups and up != 1:
+                up = parent[up]
+            if up in groups:
+                places.append((node, k, up))
+    placed = tree.leaves.sparkSession.createDataFrame(places, "node long, k int, grp long")  # at most 2 max_k rows a cut
+    of = tree.leaves.join(F.broadcast(placed), "node")
+    names = of.groupBy("k", "grp").agg(F.min("property_id").alias("first")).select(
+        "k", "grp", (F.row_number().over(Window.partitionBy("k").orderBy("first")) - 1).cast("int").alias("cluster"))
+    return of.join(F.broadcast(names), ["k", "grp"]).select("property_id", "k", "cluster")
+
+
+def property_clusters(attrs: DataFrame, features: DataFrame, k: int = DEFAULT_K, tree: Tree | None = None) -> DataFrame:
     """``attrs`` with a ``cluster`` label from 0, numbered by the
-    smallest property id; rows that cannot be featurised get null."""
-    points = feature_vectors(features).select("property_id", array_to_vector("vec").alias("vec"))
-    points.persist()  # every split reads them again
-    try:
-        model = BisectingKMeans(k=k, seed=seed, featuresCol="vec", predictionCol="group").fit(points)
-    finally:
-        points.unpersist()
-    found = model.transform(points).select("property_id", "group")
-    # at most k rows
-    names = found.groupBy("group").agg(F.min("property_id").alias("first")).withColumn(
-        "cluster", (F.row_number().over(Window.orderBy("first")) - 1).cast("int"))
-    labels = found.join(F.broadcast(names.select("group", "cluster")), "group").select("property_id", "cluster")
-    return attrs.join(labels, "property_id", "left")
-
-
-def cut_clusters(attrs: DataFrame, features: DataFrame, k: int, seed: int = 7) -> DataFrame:
-    """another number of groups."""
-    return property_clusters(attrs, features, k, seed)
+    smallest property id; rows that cannot be featurised get null.  ``tree`` may
+    be one built before with ``max_k`` of ``k`` or more."""
+    tree = tree or divisive_tree(features, k)
+    return attrs.join(cut(tree, k).select("property_id", "cluster"), "property_id", "left")
+
+
+def cut_clusters(attrs: DataFrame, features: DataFrame, k: int, tree: Tree | None = None) -> DataFrame:
+    """another number of groups, of the same tree where one is given."""
+    return property_clusters(attrs, features, k, tree)
 
 
 def cluster_profile(clusters: DataFrame, features: DataFrame) -> DataFrame:

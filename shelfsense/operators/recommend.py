@@ -1,11 +1,16 @@
 """Recommender composites.
 
-All of them answer every store-category-period at once.  The joins that
-attach a cluster's or the nation's top-n list to each store have few and heavy
-keys (cluster, category, period).  The list side has one row per key with at
-most ``n`` entries, so it is repeated over salts and the store side is split
-by a hash of the store (``functions.salting``): if Spark shuffles it, no task
-gets a whole key.
+All of them answer every store-category-period at once.  The cluster's top-n
+list numbers its products (bit ``rank - 1``), and what a store sells of it is a
+bitmap: store products meet the list by product, and a ``bit_or`` per store,
+which is combined map-side, gives the bitmap.  Products to add are the list's
+bits that the store's bitmap lacks; no store row carries a list of names.
+
+The joins that attach a cluster's or the nation's list to each store have few
+and heavy keys (cluster, category, period).  The list side has at most ``n``
+rows per key, so it is repeated over salts and the store side is split by a hash
+of the store (``functions.salting``): if Spark shuffles it, no task gets a whole
+key.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsense.functions import pct_text
+from shelfsense.functions.bloom import bloom_filter, might_hold
 from shelfsense.functions.salting import salted_join
 from shelfsense.operators.sales import (STORE, cluster_top, national_product_sales,
                                         national_top, property_cluster, sales_base,
@@ -32,26 +38,29 @@ def _top_lists(top: DataFrame, keys: list[str], name: str) -> DataFrame:
     return top.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias(name))
 
 
-def _names(entries: str) -> F.Column:
-    return F.coalesce(F.col(entries), F.array().cast(ENTRIES))["description"]
+#: Bits of a bitmap's words (the sign bit is left alone).
+WORD = 63
 
 
-def _with_adds(store_products: DataFrame, lists: DataFrame) -> DataFrame:
-    """(STORE, cluster, ct_list, adds) of every store-category-period in
-    ``store_products`` (STORE, cluster, description): its cluster's list, and
-    the list without the products it sold.
+def _masks(rank: str, n: int) -> F.Column:
+    """Aggregate: the bitmap of the ranks of a group, as an array of words."""
+    place = F.col(rank) - 1
+    word = lambda w: F.bit_or(F.when(F.floor(place / WORD) == w, F.call_function(
+        "shiftleft", F.lit(1).cast("long"), (place % WORD).cast("int"))))
+    return F.array(*[F.coalesce(word(w), F.lit(0).cast("long")) for w in range(-(-n // WORD))])
+
+
+def _lacks(masks: str, rank: F.Column) -> F.Column:
+    """Whether a bitmap lacks a rank."""
+    place = rank - 1
+    return F.getbit(F.col(masks)[F.floor(place / WORD).cast("int")], (place % WORD).cast("int")) == 0
 
-    Of the products a store sold only those in the list (at most n) are kept,
-    so no set grows with the store.
-    """
-    met = salted_join(store_products, lists, TOP_KEYS, ["property_code"], "left")
-    hit = F.when(F.array_contains(_names("ct_list"), F.col("description")), F.col("description"))
-    stores = met.select(*STORE, "cluster", hit.alias("hit")).groupBy(*STORE, "cluster").agg(
-        F.collect_set("hit").alias("hits"))
-    full = salted_join(stores, lists, TOP_KEYS, ["property_code"], "left").withColumn(
-        "ct_list", F.coalesce("ct_list", F.array().cast(ENTRIES)))
-    adds = F.filter("ct_list", lambda x: ~F.array_contains(F.col("hits"), x["description"]))
-    return full.select(*STORE, "cluster", "ct_list", adds.alias("adds"))
+
+def _with_top_rank(store_products: DataFrame, top: DataFrame) -> DataFrame:
+    """Store products (STORE, cluster, description) with their rank in the
+    cluster's list as ``ct_rank``, null outside it."""
+    listed = top.select(*TOP_KEYS, "description", F.col("rank").alias("ct_rank"))
+    return salted_join(store_products, listed, [*TOP_KEYS, "description"], ["property_code"], "left")
 
 
 def _store_products(base: DataFrame) -> DataFrame:
@@ -61,16 +70,20 @@ def _store_products(base: DataFrame) -> DataFrame:
             .join(property_cluster(base), PERIOD_KEYS))
 
 
-def _store_adds(base: DataFrame, n: int) -> DataFrame:
-    return _with_adds(_store_products(base), _top_lists(cluster_top(base, n), TOP_KEYS, "ct_list"))
+def _store_masks(base: DataFrame, top: DataFrame, n: int) -> DataFrame:
+    """(STORE, cluster, masks): what every store-category-period sells of its
+    cluster's list."""
+    met = _with_top_rank(_store_products(base), top)
+    return met.groupBy(*STORE, "cluster").agg(_masks("ct_rank", n).alias("masks"))
 
 
 def stocking_suggestions(base: DataFrame, n: int = 5) -> DataFrame:
     """R4 (J6): products in the store's cluster top ``n`` that the store did not
     sell (no positive units) in that category and period, in cluster-rank order."""
-    a = _store_adds(base, n)
-    return a.select(*STORE, "cluster", F.explode("adds").alias("a")).select(
-        *STORE, "cluster", F.col("a.rank").alias("cluster_rank"), F.col("a.description").alias("description"))
+    top = cluster_top(base, n)
+    met = salted_join(_store_masks(base, top, n), top.select(*TOP_KEYS, "rank", "description"), TOP_KEYS, ["property_code"])
+    return met.where(_lacks("masks", F.col("rank"))).select(
+        *STORE, "cluster", F.col("rank").alias("cluster_rank"), "description")
 
 
 def discontinue_suggestions(base: DataFrame, n: int = 5, tail: float = 0.10) -> DataFrame:
@@ -79,14 +92,18 @@ def discontinue_suggestions(base: DataFrame, n: int = 5, tail: float = 0.10) ->
     product that crosses the line is included."""
     ranked = (store_ranking(base).where(F.col("cum_pct") > F.lit(1.0 - tail)).drop("cluster")
               .join(property_cluster(base), PERIOD_KEYS))
-    met = salted_join(ranked, _top_lists(cluster_top(base, n), TOP_KEYS, "ct_list"), TOP_KEYS, ["property_code"], "left")
-    return met.where(~F.array_contains(_names("ct_list"), F.col("description"))).select(
-        *STORE, "cluster", "rank", "description", "number_sold", "pct", "cum_pct")
+    out = salted_join(ranked, cluster_top(base, n).select(*TOP_KEYS, "description"), [*TOP_KEYS, "description"],
+                      ["property_code"], "left_anti")
+    return out.select(*STORE, "cluster", "rank", "description", "number_sold", "pct", "cum_pct")
 
 
 def already_stocking_top(base: DataFrame, n: int = 5) -> DataFrame:
     """Store-category-periods that sell every product of their cluster top ``n``."""
-    return _store_adds(base, n).where(F.size("adds") == 0).select(*STORE, "cluster")
+    top = cluster_top(base, n)
+    lists = top.groupBy(*TOP_KEYS).agg(_masks("rank", n).alias("list_masks"))
+    met = salted_join(_store_masks(base, top, n), lists, TOP_KEYS, ["property_code"], "left")
+    held = F.zip_with("masks", F.coalesce("list_masks", "masks"), lambda own, listed: own.bitwiseAND(listed) == listed)
+    return met.where(F.forall(held, lambda x: x)).select(*STORE, "cluster")
 
 
 def no_sales_categories(base: DataFrame) -> DataFrame:
@@ -117,6 +134,17 @@ def _num(c) -> F.Column:
     return c.cast("string")
 
 
+def needed_rows(base: DataFrame, requests: DataFrame) -> DataFrame:
+    """What a report of ``requests`` reads of a store-level base: the rows of a
+    requested category and period (all lists) and of a requested store and period
+    (its cluster).  Both tests are Bloom filters of fixed size over the requests;
+    as they look at keys only, they are applied below the base's aggregate where
+    the base is not cached yet.  Some other rows pass too; the report does not
+    show them."""
+    lists, stores = (bloom_filter(requests, keys).scalar() for keys in (NATION_KEYS, PERIOD_KEYS))
+    return base.where(might_hold(lists, NATION_KEYS) | might_hold(stores, PERIOD_KEYS))
+
+
 def recommendation_report(base: DataFrame, descriptions: DataFrame, n: int = 5, tail: float = 0.10,
                           requests: DataFrame | None = None, keep=None) -> DataFrame:
     """The recommendation, one row per line: (property_code, category_name,
@@ -144,16 +172,16 @@ def recommendation_report(base: DataFrame, descriptions: DataFrame, n: int = 5,
     if requests is not None:
         requests = requests.select(*STORE).distinct()
         ranking = ranking.join(requests, STORE, "left_semi")
-    ranking = keep(ranking.join(pc, PERIOD_KEYS))
-    ct_lists = keep(_top_lists(cluster_top(base, n), TOP_KEYS, "ct_list"))
+    top = cluster_top(base, n)
+    ct_lists = keep(_top_lists(top, TOP_KEYS, "ct_list"))
     nt_lists = keep(_top_lists(national_top(base, n), NATION_KEYS, "nt_list"))
+    # both branches read the store products with their rank in the cluster's list
+    ranking = keep(_with_top_rank(ranking.join(pc, PERIOD_KEYS), top))
 
     # -- branch A: lines per store product
-    a = salted_join(ranking, ct_lists, TOP_KEYS, ["property_code"], "left")
-    cand = (F.col("cum_pct") > F.lit(1.0 - tail)) & ~F.array_contains(_names("ct_list"), F.col("description"))
+    a = ranking.withColumn("cand", (F.col("cum_pct") > F.lit(1.0 - tail)) & F.col("ct_rank").isNull())
     w = Window.partitionBy(*STORE).orderBy("rank").rowsBetween(Window.unboundedPreceding,
                                                                Window.currentRow)
-    a = a.withColumn("cand", cand).drop("ct_list")
     cand = F.col("cand")
     a = a.withColumn("rm_seq", F.sum(cand.cast("int")).over(w))
     units_pct = F.concat(F.col("description"), F.lit(": "), _num(F.col("number_sold")),
@@ -169,8 +197,11 @@ def recommendation_report(base: DataFrame, descriptions: DataFrame, n: int = 5,
     part_a = a.select(*STORE, F.explode(F.filter(lines_a, lambda x: x.isNotNull())).alias("l"))
 
     # -- branch B: lines per store-category-period
-    sold = _with_adds(ranking.select(*STORE, "cluster", "description"), ct_lists)
-    keys = sold.withColumn("has_sales", F.lit(True))
+    sold = ranking.groupBy(*STORE, "cluster").agg(_masks("ct_rank", n).alias("masks"))
+    sold = salted_join(sold, ct_lists, TOP_KEYS, ["property_code"], "left").withColumn(
+        "ct_list", F.coalesce("ct_list", F.array().cast(ENTRIES)))
+    keys = sold.select(*STORE, "cluster", "ct_list", F.filter("ct_list", lambda x: _lacks("masks", x["rank"])).alias("adds"),
+                       F.lit(True).alias("has_sales"))
     if requests is not None:
         bare = requests.join(sold.select(*STORE), STORE, "left_anti").join(pc, PERIOD_KEYS)
         bare = salted_join(bare, nt_lists.select(*NATION_KEYS), NATION_KEYS, ["property_code"])
@@ -223,7 +254,8 @@ def recommendation_report_for(sales, descriptions, property_code: str, category:
                               n: int = 5, tail: float = 0.10) -> DataFrame:
     """The reference's single-request form: the report of one store, category
     and period, computed on the sales of that period (the app's scope)."""
-    base = sales_base(sales.where(F.col("transaction_month") == month))
+    read = (F.col("category_name") == category) | (F.col("property_code") == property_code)
+    base = sales_base(sales.where((F.col("transaction_month") == month) & read))
     one = base.sparkSession.createDataFrame(
         [(property_code, category, month)], "property_code string, category_name string, transaction_month string")
     return recommendation_report(base, descriptions, n, tail, one).orderBy("section", "seq")

@@ -6,20 +6,27 @@ stand-in mapping and runs one operator over all keys.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfsense.functions import half_even
+from shelfsense.functions.selection import exact_quantiles
 from shelfsense.operators import clusters as C
 from shelfsense.operators import lookups as L
 from shelfsense.operators import pricing as P
 from shelfsense.operators import properties as PR
 from shelfsense.operators import recommend as R
 from shelfsense.operators import sales as S
+from shelfsense.plans.bucketed import write_bucketed
 from shelfsense.plans.materialize import owned
+from shelfsense.plans.rollups import Rollups
+from shelfsense.schemas import STORE_KEYS
 from shelfsense.sources import (load_tables, synthetic_brands, synthetic_flags,
                                 synthetic_properties, synthetic_sales)
+from shelfsense.sources.workspace import shared_folder
 
 SALES_TABLES = ("lineitem", "part", "supplier", "nation", "region")
 PROPERTY_TABLES = ("supplier", "nation", "region")
@@ -63,8 +70,12 @@ def attrs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PR.property_attributes(source_of(spark, sf_dir), properties_of(spark, sf_dir))
 
 
-def clusters_of(spark: SparkSession, sf_dir: str, k: int = C.DEFAULT_K, keep=lambda df: df) -> DataFrame:
-    attrs = keep(attrs_of(spark, sf_dir))
+def tree_of(spark: SparkSession, sf_dir: str, max_k: int = C.MAX_K) -> C.Tree:
+    return C.divisive_tree(PR.property_features(attrs_of(spark, sf_dir)), max_k)
+
+
+def clusters_of(spark: SparkSession, sf_dir: str, k: int = C.DEFAULT_K) -> DataFrame:
+    attrs = attrs_of(spark, sf_dir)
     return C.property_clusters(attrs, PR.property_features(attrs), k)
 
 
@@ -117,6 +128,36 @@ def _requested_report(spark, d, keep):
     return R.recommendation_report(base, descriptions_of(spark, d), N, TAIL, requests_of(spark, d, base), keep)
 
 
+def sales_quartiles(sales: DataFrame) -> DataFrame:
+    """G6's quartiles over raw sales: dollars of a sale per category (groups of
+    any size)."""
+    found = exact_quantiles(sales, ["category_name"], "dollars_sold", (0.25, 0.5, 0.75))
+    return found.select("category_name", "n", *[half_even(F.col("quantiles")[i], 6).alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+
+
+def levels_by_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1-A3 as stored levels after three increments, in the long form of
+    ``sales_grouping_sets``.  A sale's increment is a hash of its values."""
+    rollups = Rollups(spark, f"{shared_folder(spark)}/rollups-{uuid.uuid4().hex}")
+    sales = sales_of(spark, sf_dir)
+    for i in range(3):
+        rollups.update(sales.where(F.pmod(F.xxhash64(*sales.columns), F.lit(3)) == i), f"part-{i}")
+    whole = [S.store_product_sales(rollups.read("base")), rollups.read("cluster"), rollups.read("national")]
+    none = {c: F.lit(None).cast(t) for c, t in (("cluster", "int"), ("property_code", "string"))}
+    out = None
+    for level, df in zip(("store", "cluster", "national"), whole):
+        df = df.select(F.lit(level).alias("level"), *[F.col(c) if c in df.columns else none[c].alias(c) for c in STORE_KEYS], "number_sold")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def ranking_from_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 over a base stored in buckets of properties: no exchange."""
+    name = f"sales_base_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return S.store_ranking(write_bucketed(base_of(spark, sf_dir), name, f"{shared_folder(spark)}/{name}", buckets))
+
+
 def _no_sales(base: DataFrame) -> DataFrame:
     found = R.no_sales_categories(base)
     return found.withColumn("n_categories", F.size("categories")).withColumn("categories", F.array_join("categories", "|"))
@@ -129,6 +170,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sales_grouping_sets": lambda spark, d: S.sales_grouping_sets(sales_of(spark, d)),
     "property_cluster": lambda spark, d: S.property_cluster_description(sales_of(spark, d)),
     "store_ranking": _on_base(S.store_ranking),
+    "store_ranking_bucketed": ranking_from_buckets,
+    "sales_levels_incremental": levels_by_increments,
     "store_top": _on_base(S.store_top, N),
     "cluster_top": _on_base(S.cluster_top, N),
     "national_top": _on_base(S.national_top, N),
@@ -160,7 +203,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "price_histogram_all": _on_points(P.price_histogram, ("unit_price", "number_sold", "revenue")),
     "price_kde": _on_points(P.price_kde, ("unit_price",)),
     "price_kde_all": _on_points(P.price_kde, ("unit_price", "number_sold", "revenue")),
+    "price_kde_binned": _on_points(P.price_kde, ("unit_price",), method="binned"),
     "price_curve": _on_points(P.price_curve),
+    "sales_quartiles": lambda spark, d: sales_quartiles(sales_of(spark, d)),
     "price_summary": _on_points(P.price_summary),
     "property_source": lambda spark, d: source_of(spark, d),
     "props_under_mgmt": lambda spark, d: attrs_of(spark, d),
@@ -168,6 +213,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "property_features": lambda spark, d: PR.property_features(attrs_of(spark, d)),
     "property_clusters": lambda spark, d: clusters_of(spark, d),
     "cut_clusters": lambda spark, d: clusters_of(spark, d, 5),
+    "cluster_merge_history": lambda spark, d: C.merge_history(tree_of(spark, d)),
+    "cluster_cuts": lambda spark, d: C.cut(tree_of(spark, d), list(range(1, C.MAX_K + 1))),
     "cluster_profile": lambda spark, d: C.cluster_profile(
         fixed_clusters_of(spark, d), PR.property_features(attrs_of(spark, d))),
     "clustered_sales": clustered_sales_of,

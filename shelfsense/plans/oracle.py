@@ -154,6 +154,12 @@ SELECT 'cluster', cluster, NULL, category_name, description, transaction_month,
 UNION ALL
 SELECT 'national', NULL, NULL, category_name, description, transaction_month, number_sold FROM national_lvl
 """, levels=True)
+SQL["sales_levels_incremental"] = SQL["sales_grouping_sets"]
+SQL["sales_quartiles"] = with_sales("""
+SELECT category_name, count(*) AS n, round_even(quantile_cont(dollars_sold, 0.25) * 1000000.0, 0) / 1000000.0 AS q1,
+       round_even(quantile_cont(dollars_sold, 0.5) * 1000000.0, 0) / 1000000.0 AS median,
+       round_even(quantile_cont(dollars_sold, 0.75) * 1000000.0, 0) / 1000000.0 AS q3
+FROM sales GROUP BY category_name""")
 SQL["property_cluster"] = with_sales("""
 SELECT property_code, transaction_month, cluster, flag_name, city, state FROM (
   SELECT property_code, transaction_month,
@@ -164,6 +170,7 @@ SELECT property_code, transaction_month, cluster, flag_name, city, state FROM (
   FROM sales WHERE property_code IS NOT NULL AND transaction_month IS NOT NULL
 ) WHERE rn = 1""")
 SQL["store_ranking"] = with_sales("SELECT * FROM store_rank_p", levels=True)
+SQL["store_ranking_bucketed"] = SQL["store_ranking"]
 SQL["store_top"] = with_sales(f"SELECT * FROM store_rank_p WHERE rank <= {N}", levels=True)
 SQL["cluster_top"] = with_sales("SELECT * FROM cluster_top", levels=True)
 SQL["national_top"] = with_sales("SELECT * FROM national_top", levels=True)
@@ -402,6 +409,20 @@ GROUP BY g.description, g.variable, g.i, g.x, g.n, g.h""").replace(")\n, kl", ")
 
 
 SQL["price_kde"] = _kde_sql(["unit_price"])
+# Linear binning: each price is shared between the two nearest of 397 grid points.
+SQL["price_kde_binned"] = with_price(f"""
+, ks AS (SELECT description, count(*) AS n, min(unit_price) AS vmin, max(unit_price) AS vmax,
+              stddev_pop(unit_price) AS sp, stddev_samp(unit_price) AS ss
+       FROM pts GROUP BY description HAVING count(*) >= 2 AND stddev_samp(unit_price) > 0),
+kt AS (SELECT description, n, pow(n, -0.2) * ss AS h, vmin - 3 * pow(n, -0.2) * sp AS lo, vmax + 3 * pow(n, -0.2) * sp AS hi FROM ks),
+ka AS (SELECT description, least(greatest((unit_price - lo) / ((hi - lo) / 396), 0.0), 396.0) AS pos FROM pts JOIN kt USING (description)),
+kj AS (SELECT description, pos, least(floor(pos), 395) AS j FROM ka),
+kw AS (SELECT description, j, 1 - (pos - j) AS w FROM kj UNION ALL SELECT description, j + 1, pos - j FROM kj),
+kc AS (SELECT description, j, sum(w) AS w FROM kw GROUP BY description, j),
+kg AS (SELECT t.*, CAST(g.i AS INTEGER) AS i, CASE WHEN g.i = 99 THEN hi ELSE g.i * ((hi - lo) / 99) + lo END AS x FROM kt t CROSS JOIN range(100) g(i))
+SELECT description, 'unit_price' AS variable, i, {r6('x')} AS x,
+       {r6('sum(w * exp(-0.5 * pow(abs(j - 4 * i) * ((hi - lo) / 396) / h, 2))) / (n * h * sqrt(2 * pi()))')} AS density
+FROM kg JOIN kc USING (description) GROUP BY description, i, x, n, h""").replace(")\n, ks", "),\nks", 1)
 SQL["price_kde_all"] = _kde_sql(["unit_price", "number_sold", "revenue"])
 SQL["sales_by_product"] = with_sales(f"SELECT * FROM sales WHERE description = '{SALES_PRODUCT}'")
 SQL["sales_by_month"] = with_sales(f"SELECT * FROM sales WHERE transaction_month = '{SALES_MONTH}'",

@@ -26,8 +26,13 @@ PERIOD_FORMATS = {"year": "yyyy", "month": "yyyy-MM"}
 
 
 def period_of(ts: str, period: str) -> F.Column:
-    """``'yyyy'`` or ``'yyyy-MM'`` text of a (timezone-free) timestamp."""
-    return F.date_format(ts, PERIOD_FORMATS[period])
+    """``'yyyy'`` or ``'yyyy-MM'`` text of a (timezone-free) timestamp; years of
+    four digits by arithmetic, which is much cheaper than the formatter."""
+    year = F.year(ts)
+    text = F.lpad(year.cast("string"), 4, "0")
+    if period == "month":
+        text = F.concat(text, F.lit("-"), F.lpad(F.month(ts).cast("string"), 2, "0"))
+    return F.when(year.between(0, 9999), text).otherwise(F.date_format(ts, PERIOD_FORMATS[period]))
 
 
 def _period_range(period: str, value: str) -> tuple[str, str]:
