@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,84 +29,93 @@ DEFAULT_K = 6
 MAX_K = 20
 #: Times the two centres of a split move.
 ROUNDS = 4
-#: Numbers in the centres of all open clusters up to which they are broadcast.
-BROADCAST_NUMBERS = 4_000_000
 
 SPLITS = ("node long, cost double, size long, left long, left_cost double, left_size long, "
           "right long, right_cost double, right_size long")
 
 
-def feature_entries(features: DataFrame, workspace: Workspace) -> tuple[DataFrame, int]:
+def feature_entries(features: DataFrame) -> tuple[DataFrame, int]:
     """(property_id, entries) and the number of features.  ``entries`` are
     the (i, v) pairs of a property's features, as sparse as the long ``features``
     (property_id, feature, value); absent features are 0 and a property with a
     null value is left out.
 
-    A feature's number is its place, from 1, in the sorted feature table, which
-    has one row per category level, not per property.  Entry 0 is 1 for every
-    property, so sums of entries count properties too.
+    A feature's number is its place, from 1, in the sorted list of features,
+    which has one entry per category level, not per property; like the centres,
+    which are as long, it is held by the driver.  Entry 0 is 1 for every property,
+    so sums of entries count properties too.
     """
-    names = features.select("feature").distinct()
-    index = workspace.save(names.withColumn("i", F.row_number().over(Window.orderBy("feature"))), "index")
-    size = index.count() + 1
+    spark = features.sparkSession
+    names = sorted(r.feature for r in features.select("feature").distinct().collect())
+    index = spark.createDataFrame([(n, i) for i, n in enumerate(names, 1)], "feature string, i int")
     entry = F.struct("i", F.col("value").alias("v"))
     own = features.join(index, "feature").groupBy("property_id").agg(
         F.collect_list(F.when(F.col("value").isNotNull(), entry)).alias("entries"),
         F.count(F.when(F.col("value").isNull(), 1)).alias("nulls"))
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(1.0).alias("v")))
-    return own.where("nulls = 0").select("property_id", F.concat(one, "entries").alias("entries")), size
+    return own.where("nulls = 0").select("property_id", F.concat(one, "entries").alias("entries")), len(names) + 1
 
 
-def _with_nodes(points: DataFrame, nodes: DataFrame, size: int, rows: int) -> DataFrame:
-    """``points`` with the columns of their cluster's row.  ``nodes`` has one row
-    per open cluster with ``size`` numbers; beyond a bound on both it is joined
-    without a broadcast, and AQE splits the clusters' skewed partitions."""
-    return points.join(F.broadcast(nodes) if rows * size <= BROADCAST_NUMBERS else nodes, "node")
+def _moments(points: DataFrame, size: int) -> dict[int, np.ndarray]:
+    """Per cluster the sums of every number and of its square, (2, size): one
+    partial aggregate over the entries, however large a cluster is."""
+    e = points.select("node", F.explode("entries").alias("e"))
+    sums = e.groupBy("node", F.col("e.i").alias("i")).agg(F.sum("e.v").alias("s"), F.sum(F.col("e.v") * F.col("e.v")).alias("q"))
+    found = sums.toArrow()
+    node, i, s, q = (found.column(c).to_numpy() for c in ("node", "i", "s", "q"))
+    out: dict[int, np.ndarray] = {}
+    for n in np.unique(node).tolist():
+        own = node == n
+        out[n] = np.zeros((2, size))
+        out[n][:, i[own]] = s[own], q[own]
+    return out
 
 
-def _sums(points: DataFrame, by: list[str]) -> DataFrame:
-    e = points.select(*by, F.explode("entries").alias("e"))
-    return e.groupBy(*by, F.col("e.i").alias("i")).agg(
-        F.sum("e.v").alias("s"), F.sum(F.col("e.v") * F.col("e.v")).alias("q"))
+@dataclass
+class Cluster:
+    """A cluster's size, cost, and the cut it would be split by first: at the mean
+    of the number that varies most."""
 
+    size: int
+    cost: float
+    widest: int
+    mean: float
 
-def _node_costs(points: DataFrame) -> list:
-    """Per cluster its size, cost, and the feature that varies most with its mean:
-    the start of a split.  One row per open cluster reaches the driver."""
-    sums = _sums(points, ["node"])
-    total = F.sum(F.when(F.col("i") == 0, F.col("s"))).over(Window.partitionBy("node"))
-    spread = sums.withColumn("n", total).withColumn("ss", F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)))
-    return spread.groupBy("node").agg(
-        F.max("n").cast("long").alias("size"), F.sum("ss").alias("cost"),
-        F.max(F.struct("ss", (-F.col("i")).alias("i"), (F.col("s") / F.col("n")).alias("mean"))).alias("widest")).collect()
+    @classmethod
+    def of(cls, moments: np.ndarray) -> Cluster:
+        (s, q), n = moments, moments[0, 0]
+        spread = q - s * s / n
+        spread[spread <= 1e-12 * q] = 0.0
+        widest = int(np.argmax(np.round(spread, 9)))
+        return cls(int(n), float(spread.sum()), widest, float(s[widest] / n))
 
 
-def _split(points: DataFrame, chosen: list, lefts: dict[int, int], size: int) -> DataFrame:
+def _split(points: DataFrame, chosen: dict[int, Cluster], lefts: dict[int, int], size: int) -> DataFrame:
     """``points`` of the chosen clusters with the number of the half they fall in
     (the left one's of ``lefts``, or the next): 2-means from the cut at the mean
-    of the widest feature."""
+    of the widest number.  The centres of all clusters move in one pass; they
+    have ``size`` numbers each and go out with the plan."""
     spark = points.sparkSession
-    starts = spark.createDataFrame([(r["node"], -r["widest"]["i"], r["widest"]["mean"], lefts[r["node"]]) for r in chosen],
-                                   "node long, f int, t double, left long")
+    left = spark.createDataFrame([(n, lefts[n], c.widest, c.mean) for n, c in chosen.items()], "node long, left long, f int, t double")
     value = F.aggregate("entries", F.lit(0.0), lambda a, e: a + F.when(e["i"] == F.col("f"), e["v"]).otherwise(F.lit(0.0)))
-    half = points.join(F.broadcast(starts), "node").select("property_id", "entries", "node", (value > F.col("t")).cast("int").alias("half"))
-    # every number of every open cluster, so that centres are whole arrays
-    zeros = spark.range(size).select(F.explode(F.array(*[F.lit(r["node"]) for r in chosen])).alias("node"),
-                                     F.col("id").cast("int").alias("i"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    half = points.join(F.broadcast(left), "node").select(
+        "property_id", "entries", (F.col("left") + (value > F.col("t")).cast("int")).alias("node"))
+    before: dict[int, np.ndarray] = {}
     for _ in range(ROUNDS):
-        entries = half.select("node", "half", F.explode("entries").alias("e"))
-        sides = [F.sum(F.when(F.col("half") == k, F.col("e.v")).otherwise(F.lit(0.0))) for k in (0, 1)]
-        sums = entries.groupBy("node", F.col("e.i").alias("i")).agg(sides[0].alias("a"), sides[1].alias("b"))
-        sums = sums.unionByName(zeros).groupBy("node", "i").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        centres = sums.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "a", "b"))).alias("c"))
-        n0, n1 = F.col("c")[0]["a"], F.col("c")[0]["b"]
-        centres = centres.select(
-            "node", F.transform("c", lambda x: 2 * (x["a"] / n0 - x["b"] / n1)).alias("apart"),
-            F.aggregate("c", F.lit(0.0), lambda s, x: s + (x["a"] / n0) * (x["a"] / n0) - (x["b"] / n1) * (x["b"] / n1)).alias("m"))
-        # nearer to the second centre when 2 x (c0 - c1) < |c0|^2 - |c1|^2
+        now = _moments(half, size)
+        if before.keys() == now.keys() and all(np.array_equal(before[n], now[n]) for n in now):
+            break  # no property changed sides
+        before, rows = now, []
+        for n, at in lefts.items():
+            if n in chosen:
+                a, b = (now[m][0] / now[m][0, 0] for m in (at, at + 1))
+                # nearer to b when 2 x (a - b) < |a|^2 - |b|^2
+                rows.append((n, at, (2 * (a - b)).tolist(), float(a @ a - b @ b)))
+        centres = spark.createDataFrame(rows, "node long, left long, apart array<double>, m double")
         dot = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["v"] * F.col("apart")[e["i"]])
-        half = _with_nodes(points, centres, size, len(chosen)).select("property_id", "entries", "node", (dot < F.col("m")).cast("int").alias("half"))
-    return half.join(F.broadcast(starts), "node").select("property_id", "entries", (F.col("left") + F.col("half")).alias("node"))
+        half = points.join(F.broadcast(centres), "node").select(
+            "property_id", "entries", (F.col("left") + (dot < F.col("m")).cast("int")).alias("node"))
+    return half
 
 
 @dataclass
@@ -126,13 +136,13 @@ def divisive_tree(features: DataFrame, max_k: int = MAX_K, workspace: Workspace
     most ``max_k`` groups needs.
 
     Costs fall along the tree, so a cluster is split only while fewer than
-    ``max_k - 1`` clusters cost more; at most ``2 max_k`` rows of a level reach
-    the driver.  Equal properties are never parted.
+    ``max_k - 1`` clusters cost more.  What reaches the driver is the centres of
+    at most ``2 max_k`` clusters of a level.  Equal properties are never parted.
     """
     workspace = workspace or Workspace(features.sparkSession, "tree")
-    points, size = feature_entries(features, workspace)
+    points, size = feature_entries(features)
     level = workspace.save(points.withColumn("node", F.lit(1).cast("long")), "level-0")
-    found = {r["node"]: r for r in _node_costs(level)}
+    found = {n: Cluster.of(m) for n, m in _moments(level, size).items()}
     lefts: dict[int, int] = {}
     done: list[DataFrame] = []
     fresh = set(found)
@@ -145,23 +155,23 @@ def divisive_tree(features: DataFrame, max_k: int = MAX_K, workspace: Workspace
             break
         lefts.update({n: 2 * (len(lefts) + i) + 2 for i, n in enumerate(chosen)})
         open_ = level.where(F.col("node").isin(chosen)) if rest else level
-        level = workspace.save(_split(open_, [found[n] for n in chosen], lefts, size), f"level-{min(lefts[n] for n in chosen)}")
-        new = {r["node"]: r for r in _node_costs(level)}
+        level = workspace.save(_split(open_, {n: found[n] for n in chosen}, lefts, size), f"level-{min(lefts[n] for n in chosen)}")
+        new = {n: Cluster.of(m) for n, m in _moments(level, size).items()}
         found.update(new)
         fresh = set(new)
     rows = []
     for n in _costliest({n: found[n] for n in lefts}, max_k - 1):
-        halves = [x for m in (lefts[n], lefts[n] + 1) for x in (m, found[m]["cost"], found[m]["size"])]
-        rows.append((n, found[n]["cost"], found[n]["size"], *halves))
+        halves = [x for m in (lefts[n], lefts[n] + 1) for x in (m, found[m].cost, found[m].size)]
+        rows.append((n, found[n].cost, found[n].size, *halves))
     leaves = done[0]
     for more in done[1:]:
         leaves = leaves.unionByName(more)
     return Tree(features.sparkSession.createDataFrame(rows, SPLITS), leaves, workspace)
 
 
-def _costliest(found: dict, n: int) -> list[int]:
+def _costliest(found: dict[int, Cluster], n: int) -> list[int]:
     """The ``n`` costliest clusters; of equal cost the smallest number."""
-    return sorted((k for k in found if found[k]["cost"] > 0), key=lambda k: (-found[k]["cost"], k))[:max(n, 0)]
+    return sorted((k for k in found if found[k].cost > 0), key=lambda k: (-found[k].cost, k))[:max(n, 0)]
 
 
 def merge_history(tree: Tree) -> DataFrame:

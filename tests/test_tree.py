@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from shelfsense.operators import clusters as C
 from shelfsense.operators import properties as PR
 from shelfsense.plans import catalog as K
-from shelfsense.sources.workspace import Workspace
 
 D = "/root/testdata/sf0.001"
 
@@ -114,7 +113,7 @@ def test_entries_stay_sparse(spark):
     attrs = spark.range(3000).selectExpr(
         "id AS property_id", "concat('K', id) AS kind", "'G' AS guest_profile", "cast(null AS string) AS location_type",
         "'USD' AS currency", "concat('F', id % 7000) AS flag_name", "'1' AS zip", "1L AS props_under_mgmt", "cast(id % 90 AS int) AS rooms")
-    entries, size = C.feature_entries(PR.property_features(attrs), Workspace(spark, "t"))
+    entries, size = C.feature_entries(PR.property_features(attrs))
     assert size == 1 + 2 + 2999 * 2
     assert entries.agg(F.max(F.size("entries"))).first()[0] <= 5
     tree = C.divisive_tree(PR.property_features(attrs), 3)
