@@ -3,7 +3,9 @@
 A template is any function from messages to a string.  It is rendered for
 successive prefixes of a conversation; what a prefix adds to the one before is
 the new turn's span, and a prefix whose output does not start with the one
-before it shows that the template rewrites history.  The place of a turn's text
+before it shows that the template rewrites history.  A conversation that is
+rewritten has no spans that hold: its formatted text is the last rendering,
+whole, its spans are null.  The place of a turn's text
 inside its span comes from two further renderings with probe texts: what they
 share before and after is the turn's header and tail.
 
@@ -41,6 +43,7 @@ from shelfsense.llm._common import slices
 
 CHUNK, CONTEXT = 256, 32
 Messages = list[tuple[str, str]]
+NAMES = ["conv_id", "chunk", "formatted", "turn_begins", "loss_begins", "loss_ends", "rewrites"]
 START, END = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", re.S)
 
@@ -101,11 +104,31 @@ def locate(template: Callable[[Messages], str], messages: Messages, skip: int =
         before = whole
 
 
+#: Turns that are numbered together are those of one range of so many turn values.
+RANGE = 1024
+
+
+def _numbered(turns: DataFrame) -> DataFrame:
+    """Adds ``place``, a turn's number in its conversation.  Turns are counted by
+    ranges of their values and numbered inside a range, so a conversation of any
+    length is sorted in many tasks."""
+    turns = turns.withColumn("range", F.coalesce(F.floor(F.col("turn") / RANGE), F.lit(-2 ** 62)))
+    counts = turns.groupBy("conv_id", "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(F.col("conv_id").alias("__conv"), F.col("range").alias("__range"), F.coalesce(before, F.lit(0)).alias("before"))
+    inside = Window.partitionBy("conv_id", "range").orderBy("turn", "role", "text")
+    own = turns.withColumn("place", F.row_number().over(inside) - 1)
+    return own.join(before, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("range") == F.col("__range"))).select(
+        "conv_id", "turn", "role", "text", (F.col("place") + F.col("before")).alias("place"))
+
+
 def format_conversations(rows: DataFrame, template: Callable[[Messages], str] = render,
                          trained: tuple[str, ...] = ("assistant",), context: int | None = None) -> DataFrame:
     """conv_id, chunk, formatted, turn_begins (code points), loss_begins,
     loss_ends, rewrites (turns that changed what stood before); the chunks of a
-    conversation, in order, are its formatted text.
+    conversation, in order, are its formatted text.  A rewritten conversation
+    (a rewritten chunk, where ``context`` is given) is one row: its last whole
+    rendering, without spans.
 
     ``context``: how many turns back (at most CHUNK) a template looks that is
     known to be local; without it, templates other than the library's are
@@ -117,8 +140,7 @@ def format_conversations(rows: DataFrame, template: Callable[[Messages], str] =
         raise ValueError(f"context must be between 0 and {CHUNK}")
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    turns = turns.withColumn("place", F.row_number().over(order) - 1)
+    turns = _numbered(turns)
     if context is None:
         dealt = turns.withColumn("chunk", F.lit(0).cast("long")).withColumn("own", F.lit(True))
     else:
@@ -134,6 +156,15 @@ def format_conversations(rows: DataFrame, template: Callable[[Messages], str] =
         def made():
             """A row for every CHUNK turns; none for the context of a chunk that does not exist."""
             spans = locate(template, messages, skip)
+            if template is not render:
+                spans = list(spans)
+                if rewrites := sum(changed for *_, changed in spans):
+                    ints = pa.array([None], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int64()), pa.array([template(messages)], pa.string()),
+                         ints, ints, ints, pa.array([rewrites], pa.int32())], NAMES)
+                    return
+                spans = iter(spans)
             for chunk, at in enumerate(range(skip, len(messages), CHUNK), now[1]):
                 yield written(chunk, zip(messages[at:at + CHUNK], spans))
 
@@ -151,7 +182,7 @@ def format_conversations(rows: DataFrame, template: Callable[[Messages], str] =
             return pa.RecordBatch.from_arrays(
                 [pa.array([now[0]], pa.int64()), pa.array([chunk], pa.int64()), pa.array(["".join(parts)], pa.string()),
                  pa.array([begins], ints), pa.array([losses], ints), pa.array([ends], ints), pa.array([rewrites], pa.int32())],
-                ["conv_id", "chunk", "formatted", "turn_begins", "loss_begins", "loss_ends", "rewrites"])
+                NAMES)
 
         def gathered(stream, least=256):
             held = []
@@ -187,13 +218,16 @@ def format_conversations(rows: DataFrame, template: Callable[[Messages], str] =
 def digest_conversations(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
     formatted_chars, rewrites of every conversation, read back from the
-    formatted text and its loss spans; chunks stream through one digest."""
+    formatted text and its loss spans; chunks stream through one digest.  A
+    rewritten conversation has null digests and counts."""
 
     def run(batches):
         now, state, rows = None, None, []
 
         def closed():
             turns, digest, chars, loss, size, rewrites = state
+            if turns is None:
+                return (now[0], None, None, None, None, size, rewrites)
             return (now[0], turns, digest.hexdigest(), chars, loss.hexdigest(), size, rewrites)
 
         def batch_of():
@@ -209,6 +243,11 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
                     if now is not None:
                         rows.append(closed())
                     now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                state[4] += len(text)
+                state[5] += rewrites
+                if begins is None or state[0] is None:
+                    state[0] = None
+                    continue
                 for role, said in read_back(text):
                     state[0] += 1
                     state[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
@@ -216,8 +255,6 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
                     said = unescape(text[b:e])
                     state[2] += len(said)
                     state[3].update(said.encode("utf-8", "surrogatepass"))
-                state[4] += len(text)
-                state[5] += rewrites
             if len(rows) >= 4096:
                 yield batch_of()
                 rows = []

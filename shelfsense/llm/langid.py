@@ -19,7 +19,6 @@ output names are replaced); an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,10 +33,14 @@ WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBED = 6
-_LETTER = re.compile(r"[^\W\d_]")
 _WIDEST = max(WIDTHS)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode categories L is in the text."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass
 class ByteNet:
     languages: list[str]
@@ -147,7 +150,7 @@ def fit(docs: DataFrame, per_language: int = 500, windows_each: int = 4) -> Byte
         for batch in slices(batches):
             langs, pieces = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if _LETTER.search(text):
+                if has_letter(text):
                     windows, _ = windows_of(text)
                     for i in np.unique(np.linspace(0, len(windows) - 1, windows_each).astype(int)):
                         langs.append(lang)
@@ -165,7 +168,7 @@ def fit(docs: DataFrame, per_language: int = 500, windows_each: int = 4) -> Byte
 def predict(net: ByteNet | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """(language, score) of every text; windows of many texts share a batch."""
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
-    told = [i for i, t in enumerate(texts) if net and t and _LETTER.search(t)]
+    told = [i for i, t in enumerate(texts) if net and t and has_letter(t)]
     at = 0
     while at < len(told):
         held, windows, sizes, total = [], [], [], 0

@@ -315,7 +315,7 @@ def repeat_spans(spans: Spans, text: str | None, found, own_id, least_run: int):
     return data, cut
 
 
-def cut_repeats(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
+def cut_repeats(docs: DataFrame, least_run: int = LEAST_RUN, scratch: Scratch | None = None) -> DataFrame:
     """Every row of ``docs`` with the repeats cut from ``text``; adds
     has_repeat, removed_chars, spans (byte begin, end) and repeats_of (first
     document of each span)."""
@@ -325,7 +325,7 @@ def cut_repeats(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
         T.StructField("repeats_of", T.ArrayType(T.LongType()))])
     keep = [c for c in docs.columns if c not in (*new.names, "found")]
     docs = docs.select(*[F.col(f"`{c}`") for c in keep])
-    met = docs.join(repeats(docs, Scratch(docs.sparkSession, "substring")).withColumnRenamed("doc_id", "__id"),
+    met = docs.join(repeats(docs, scratch or Scratch(docs.sparkSession, "substring")).withColumnRenamed("doc_id", "__id"),
                     F.col("doc_id").cast("long") == F.col("__id"), "left").select(*[docs[f"`{c}`"] for c in keep], "found")
     at = keep.index("text")
 

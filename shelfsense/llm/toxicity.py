@@ -1,18 +1,22 @@
 """Toxicity by nearest labelled examples (operator 1).
 
-A text's vector holds the TF-IDF weights of its words, of its word stems (the
-first 4, 5 and 6 letters) and of stems that recur in it, over a vocabulary
-chosen from the labelled examples.
-Its nearest examples by exact cosine come from an inverted index whose
-postings are cut into blocks of examples: the largest weight of a term in a
-block bounds every score in that block, blocks are visited in the order of
-their bounds, and the search ends when no block can still change the result.
-The examples found vote with weights that fall with their distance; votes are
-calibrated on the examples themselves, each scored without itself.
+A text's vector holds the TF-IDF weights of all its words, and of the word stems
+(first 4, 5 and 6 letters, recurring ones apart) that mark toxic examples.  Terms
+that mark toxic examples get a share of ``MARKED`` of the vector's squared length,
+all other words the rest; a text without marking terms has its words alone, so
+every example is indexed on all its terms, clean ones like toxic ones.
+
+Its nearest examples by exact cosine come from an inverted index whose columns
+are cut into blocks of similar examples.  Scores of rare terms are added up from
+their postings; for common terms the largest weight in a block bounds every score
+in that block.  Blocks are visited in the order of their bounds, and the search
+ends when no block can still change the result.  The examples found vote with
+weights that fall with their distance; votes are calibrated on the examples
+themselves, each scored without itself.
 
 The index is fitted on a documented, bounded sample (``max_examples`` of the
-labelled training rows, chosen by a hash of the id); everything else reads
-whole texts of every row.
+labelled training rows and ``max_bytes`` of their texts, chosen by a hash of the
+id); everything else reads whole texts of every row.
 
 Defined cases: a null text is empty; a text without known terms gets the
 calibrated rate of such examples; without any labelled example the score is 0;
@@ -26,7 +30,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +43,20 @@ from shelfsense.llm._common import Scratch, crc_fold, slices
 STEMS = (4, 5, 6)
 #: A stem found at least so often in a text is a term of its own.
 LEVELS = (1, 2, 3, 5)
+#: Share of a vector's squared length that its marking terms have.
+MARKED = 0.9
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(text: str | None, stems: frozenset[str] | None = None) -> dict[str, int]:
+def terms_of(text: str | None, stems: frozenset[str] | None = None, heads: frozenset[str] | None = None) -> dict[str, int]:
     """Term -> count; terms are words, and ``stem*n`` for a stem found at least
-    n times.  ``stems`` limits the stems that are counted."""
-    out: dict[str, int] = {}
+    n times.  ``stems`` limits the stems that are counted; ``heads`` are their
+    first letters."""
+    out: dict[str, int] = dict(Counter(_WORD.findall((text or "").lower())))
     found: dict[str, int] = {}
-    for word, n in Counter(_WORD.findall((text or "").lower())).items():
-        out[word] = n
+    for word, n in list(out.items()) if stems is None or stems else ():
+        if heads is not None and word[:STEMS[0]] not in heads:
+            continue
         for size in STEMS:
             if len(word) > size:
                 stem = word[:size]
@@ -61,61 +69,144 @@ def terms_of(text: str | None, stems: frozenset[str] | None = None) -> dict[str,
     return out
 
 
-@dataclass
+class Vectors:
+    """Sparse vectors, row after row: ``starts``, ``terms`` (ascending in a row)
+    and ``weights``."""
+
+    def __init__(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        self.starts, self.terms, self.weights = starts, terms, weights
+
+    @classmethod
+    def of(cls, rows: list[dict[int, float]]) -> Vectors:
+        starts = np.cumsum([0] + [len(r) for r in rows])
+        flat = [x for r in rows for x in sorted(r.items())]
+        return cls(starts, np.array([t for t, _ in flat], np.int64), np.array([w for _, w in flat], float))
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.starts[i], self.starts[i + 1]
+        return self.terms[a:b], self.weights[a:b]
+
+
 class BlockMaxIndex:
-    """Postings of unit vectors, cut into blocks of ``block`` examples."""
+    """Columns of unit vectors, cut into blocks of ``block`` examples.
 
-    vectors: list[dict[int, float]]
-    n_terms: int
-    block: int = 64
-    order: np.ndarray = field(init=False)
+    Terms of at most a sixth of the examples are kept as postings, the others as
+    a dense matrix a block with the largest weight of each.
+    """
 
-    def __post_init__(self):
-        # examples with the same leading term stand together: tighter bounds
-        lead = [max(v, key=lambda t: (v[t], -t)) for v in self.vectors]
-        self.order = np.array(sorted(range(len(lead)), key=lambda i: (lead[i], i)), np.int64)
-        blocks = -(-len(lead) // self.block)
-        self.bounds = np.zeros((self.n_terms, blocks))
-        rows: list[list[tuple[int, float]]] = [[] for _ in range(self.n_terms)]
-        for place, i in enumerate(self.order):
-            for t, w in self.vectors[i].items():
-                rows[t].append((place, w))
-                self.bounds[t, place // self.block] = max(self.bounds[t, place // self.block], w)
-        self.places = [np.array([p for p, _ in r], np.int64) for r in rows]
-        self.weights = [np.array([w for _, w in r]) for r in rows]
-        edges = np.arange(blocks + 1) * self.block
-        self.cuts = [np.searchsorted(p, edges) for p in self.places]
-
-    def search(self, query: dict[int, float], k: int, tie: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
+    def __init__(self, vectors: Vectors | list[dict[int, float]], n_terms: int, block: int = 64):
+        v = self.vectors = vectors if isinstance(vectors, Vectors) else Vectors.of(vectors)
+        self.n, self.block, self.n_terms = len(v), block, n_terms
+        self._lay()
+
+    def _lay(self) -> None:
+        v, n, block = self.vectors, self.n, self.block
+        row = np.repeat(np.arange(n), np.diff(v.starts))
+        frequency = np.bincount(v.terms, minlength=self.n_terms)
+        common = np.flatnonzero(frequency > max(n // 6, 8))
+        self.column = np.full(self.n_terms, -1, np.int64)
+        self.column[common] = np.arange(len(common))
+        in_common = self.column[v.terms] >= 0
+        dense = np.zeros((n, len(common)))
+        dense[row[in_common], self.column[v.terms[in_common]]] = v.weights[in_common]
+        # similar examples stand together: tighter bounds
+        light = (dense * dense).sum(axis=1) < 0.5
+        near = np.zeros(n, np.int64)
+        if n and len(common):
+            near = (dense @ dense[np.linspace(0, n - 1, min(16, n)).astype(int)].T).argmax(axis=1)
+        self.order = np.lexsort((np.arange(n), near, light))
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.blocks = -(-n // block)
+        whole = np.zeros((self.blocks * block, len(common)))
+        whole[:n] = dense[self.order]
+        self.dense = np.ascontiguousarray(whole.reshape(self.blocks, block, len(common)).transpose(0, 2, 1))
+        self.most = self.dense.max(axis=2).T.copy()
+        by_term = np.lexsort((place[row[~in_common]], v.terms[~in_common]))
+        self.places = place[row[~in_common]][by_term].astype(np.int32)
+        self.weights = v.weights[~in_common][by_term]
+        self.starts = np.searchsorted(v.terms[~in_common][by_term], np.arange(self.n_terms + 1))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "vectors"}
+
+    def search(self, query, k: int, tie: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
         """The k best (cosine, example) with cosine > 0, ties to the smaller
-        ``tie`` value; ``skip`` leaves one example out."""
-        if not query or not len(self.order):
-            return []
-        ids = np.fromiter(query, np.int64, len(query))
-        values = np.fromiter(query.values(), float, len(query))
-        bounds = values @ self.bounds[ids]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] + 1e-12 < best[-1][0]:
+        ``tie`` value; ``skip`` leaves one example out.  ``query``: term -> weight
+        or (ascending terms, weights)."""
+        if isinstance(query, dict):
+            terms = np.array(sorted(query), np.int64)
+            query = terms, np.array([query[t] for t in terms.tolist()], float)
+        return self.search_many([query], k, tie, [skip])[0]
+
+    def search_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, tie: np.ndarray,
+                    skips: list[int] | None = None, seen: list | None = None) -> list[list[tuple[float, int]]]:
+        """``search`` for several queries, whose blocks are visited together.
+        ``seen`` is told how many pairs of query and block were visited."""
+        m, block = len(queries), self.block
+        if not m or not self.n:
+            return [[] for _ in queries]
+        scores = np.zeros((m, self.blocks * block))
+        common = np.zeros((m, self.dense.shape[1]))
+        for row, (terms, values) in enumerate(queries):
+            column = self.column[terms]
+            often = column >= 0
+            common[row, column[often]] = values[often]
+            terms, values = terms[~often], values[~often]
+            lo, size = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+            at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+            if len(at):
+                scores[row] = np.bincount(self.places[at], weights=np.repeat(values, size) * self.weights[at], minlength=scores.shape[1])
+        parts = scores.reshape(m, self.blocks, block)
+        bounds = parts.max(axis=2) + common @ self.most
+        bounds[bounds <= 0] = -1.0
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        visited = np.zeros((m, self.blocks), bool)
+        least = np.zeros(m)
+        want = k + (skips is not None)  # the example to skip may be among the best
+
+        def visit(chosen: np.ndarray) -> None:
+            """Exact scores of the chosen blocks of each query, and what they leave to beat."""
+            chosen = chosen & ~visited
+            for b in np.flatnonzero(chosen.any(axis=0)):
+                rows = np.flatnonzero(chosen[:, b])
+                parts[rows, b] += common[rows] @ self.dense[b]
+            visited[chosen] = True
+            for row in np.flatnonzero(chosen.any(axis=1)):
+                held = parts[row, visited[row]].ravel()
+                if len(held) >= want:
+                    least[row] = max(least[row], np.partition(held, len(held) - want)[len(held) - want])
+
+        reach = 2  # best bounds first, then four times as many, as long as any bound beats what was found
+        while True:
+            near = np.zeros((m, self.blocks), bool)
+            np.put_along_axis(near, order[:, :reach], True, axis=1)
+            left = (bounds > 0) & (bounds + 1e-9 >= least[:, None]) & ~visited
+            if not left.any():
                 break
-            scores = np.zeros(self.block)
-            for t, q in zip(ids, values):
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if lo < hi:
-                    scores[self.places[t][lo:hi] - b * self.block] += q * self.weights[t][lo:hi]
-            for j in np.flatnonzero(scores > 0):
-                i = int(self.order[b * self.block + j])
-                if i != skip:
-                    best.append((round(float(scores[j]), 12), i))
-            best.sort(key=lambda x: (-x[0], tie[x[1]]))
-            del best[k:]
-        return best
+            visit(left & near)
+            reach = min(4 * reach, self.blocks)
+        if seen is not None:
+            seen.append(int(visited.sum()))
+        out = []
+        for row in range(m):
+            blocks = np.flatnonzero(visited[row])
+            held = parts[row, blocks]
+            b, e = np.nonzero((held > 0) & (held >= least[row] - 1e-9))
+            best = [(round(float(held[i, j]), 12), int(self.order[blocks[i] * block + j])) for i, j in zip(b.tolist(), e.tolist())]
+            best = sorted((x for x in best if skips is None or x[1] != skips[row]), key=lambda x: (-x[0], tie[x[1]]))
+            out.append(best[:k])
+        return out
 
 
 @dataclass
 class ToxicityModel:
-    terms: dict[str, int]
+    terms: dict[str, int]  # all words of the examples and the marking stems
     idf: np.ndarray
+    marked: np.ndarray  # whether a term marks toxic examples
     ids: np.ndarray
     toxic: np.ndarray
     index: BlockMaxIndex
@@ -124,37 +215,64 @@ class ToxicityModel:
     bare: float  # calibrated rate of examples without known terms
 
     def __post_init__(self):
-        self.names = list(self.terms)
         self.stems = frozenset(t.partition("*")[0] for t in self.terms if "*" in t)
+        self.heads = frozenset(t[:STEMS[0]] for t in self.stems)
 
-    def vector(self, text: str | None) -> dict[int, float]:
-        known = self.terms
-        return weigh({known[t]: n for t, n in terms_of(text, self.stems).items() if t in known}, self.idf)
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        counts = terms_of(text, self.stems, self.heads)
+        known = self.terms.get
+        terms = np.fromiter((known(t, -1) for t in counts), np.int64, len(counts))
+        n = np.fromiter(counts.values(), float, len(counts))
+        order = np.argsort(terms)[np.count_nonzero(terms < 0):]
+        terms, n = terms[order], n[order]
+        return terms, weights_of(terms, n, self.idf, self.marked)
 
     def vote(self, near: list[tuple[float, int]]) -> float | None:
         if not near:
             return None
-        weights = [1 / (1.05 - c) for c, _ in near]
+        weights = [1 / (1.02 - c) for c, _ in near]
         return sum(w * self.toxic[i] for w, (_, i) in zip(weights, near)) / sum(weights)
 
     def calibrated(self, vote: float | None) -> float:
         return self.bare if vote is None else float(np.interp(vote, *self.knots))
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        vector = self.vector(text)
-        near = self.index.search(vector, self.k, self.ids)
-        heavy = sorted(vector, key=lambda t: (-vector[t], t))[:5]
-        return self.calibrated(self.vote(near)), [int(self.ids[i]) for _, i in near], [self.names[t] for t in heavy]
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[int], list[str]]]:
+        """(score, ids that voted, heaviest terms) of every text."""
+        vectors = [self.vector(t) for t in texts]
+        out = []
+        for (terms, weights), near in zip(vectors, self.index.search_many(vectors, self.k, self.ids)):
+            heavy = terms[np.lexsort((terms, -weights))[:5]]
+            out.append((self.calibrated(self.vote(near)), [int(self.ids[i]) for _, i in near], [self.names[t] for t in heavy.tolist()]))
+        return out
+
+    @property
+    def names(self) -> list[str]:
+        if "_names" not in self.__dict__:
+            self._names = list(self.terms)
+        return self._names
 
 
 def weigh(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
     """Unit TF-IDF vector of term counts."""
-    vector = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items()}
-    norm = math.sqrt(sum(w * w for w in vector.values()))
-    return {t: w / norm for t, w in vector.items()} if norm else {}
+    terms = np.array(sorted(counts), np.int64)
+    weights = weights_of(terms, np.array([counts[t] for t in terms.tolist()], float), idf, np.zeros(len(idf), bool))
+    return dict(zip(terms.tolist(), weights.tolist()))
+
+
+def weights_of(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF weights; where there are marking terms and others, the marking
+    ones have the share MARKED of the squared length."""
+    out = (1 + np.log(counts)) * idf[terms]
+    special = marked[terms]
+    parts = [(p, math.sqrt(float((out[p] ** 2).sum()))) for p in (special, ~special)]
+    both = all(norm > 0 for _, norm in parts)
+    for (part, norm), share in zip(parts, (MARKED, 1 - MARKED)):
+        if norm > 0:
+            out[part] *= math.sqrt(share) / norm if both else 1 / norm
+    return out
 
 
-def choose_terms(rows: list[tuple[int, dict[str, int]]], clean: dict[str, int], n_clean: int, most: int,
+def choose_terms(rows: list[dict[str, int]], clean: dict[str, int], n_clean: int, most: int,
                  least_gain: float = 10.0) -> list[str]:
     """Terms that mark toxic examples, best first.
 
@@ -164,7 +282,7 @@ def choose_terms(rows: list[tuple[int, dict[str, int]]], clean: dict[str, int],
     telling term (in copies of one toxic text, say) gain little.
     """
     cover: dict[str, list[int]] = {}
-    for i, (_, counts) in enumerate(rows):
+    for i, counts in enumerate(rows):
         for term in counts:
             cover.setdefault(term, []).append(i)
     names = sorted(cover)
@@ -205,17 +323,19 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int = 12_000, most_terms: int = 512,
-        least_rows: int = 4, k: int = 15) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int = 12_000, max_bytes: int = 64 << 20,
+        most_marked: int = 512, least_rows: int = 4, k: int = 15) -> ToxicityModel:
     """Fits on labelled rows outside the held-out fold (crc32 of the id mod 5
-    is 0)."""
+    is 0).  ``most_marked`` terms, found in ``least_rows`` toxic examples or more,
+    may mark; all other words of the examples are terms as well."""
     marked = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id")
               .agg(F.max("toxic").cast("int").alias("toxic")).where(crc_fold(F.col("doc_id"), 5) != 0))
-    n = marked.count()
-    share = min(1.0, max_examples / max(n, 1))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n, size = marked.join(texts.select("doc_id", F.octet_length("text").alias("b")), "doc_id").agg(
+        F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    share = min(1.0, max_examples / max(n, 1), max_bytes / max(size, 1))
     marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marked, "doc_id")
-              .groupBy(F.sha2("text", 256).alias("h"))
+    sample = (texts.join(marked, "doc_id").groupBy(F.sha2("text", 256).alias("h"))
               .agg(F.min(F.struct("doc_id", "text")).alias("d"), F.max("toxic").alias("toxic"))
               .select("d.doc_id", "d.text", "toxic"))
     sample = scratch.save(sample, "examples")
@@ -245,7 +365,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     counted = scratch.save(counted, "terms")
     total = counted.where("term = ''").first()
     n_clean, n_toxic = (total.clean, total.marked) if total else (0, 0)
-    # at least thrice as frequent among toxic examples
+    # may mark: at least thrice as frequent among toxic examples
     told = counted.where(F.expr(f"term <> '' and marked >= {least_rows} and "
                                 f"marked * {n_clean + 1} >= 3 * clean * {n_toxic + 1}"))
     clean = {r.term: r.clean for r in told.collect()}
@@ -253,52 +373,77 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
 
     def gather(batches):
         for batch in slices(batches):
-            ids, ys, names, ns = [], [], [], []
-            for i, text, y in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                counts = {t: c for t, c in terms_of(text).items() if t in wanted}
-                ids.append(i)
-                ys.append(y)
-                names.append(list(counts))
-                ns.append(list(counts.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()),
-                                              pa.array(names, pa.list_(pa.string())),
-                                              pa.array(ns, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
-
-    rows = sorted((r.doc_id, r.toxic, dict(zip(r.terms, r.counts))) for r in sample.select("doc_id", "text", "toxic")
-                  .mapInArrow(gather, "doc_id long, toxic int, terms array<string>, counts array<int>")
-                  .where("size(terms) > 0").collect())
+            found = [[t for t in terms_of(text) if t in wanted] for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["terms"])
+
+    rows = sorted(tuple(sorted(r.terms)) for r in sample.where("toxic = 1").select("text").mapInArrow(
+        gather, "terms array<string>").where("size(terms) > 0").collect())
+    chosen = choose_terms([dict.fromkeys(r, 1) for r in rows], clean, n_clean, most_marked)
+
+    # the words of the sample are bounded by its bytes
+    kept = counted.where(F.expr("term <> '' and instr(term, '*') = 0") | F.col("term").isin([t for t in chosen if "*" in t]))
+    frequency = {r.term: r.n for r in kept.select("term", (F.col("clean") + F.col("marked")).alias("n")).collect()}
+    names = sorted(frequency)
+    terms = {t: j for j, t in enumerate(names)}
+    stems = frozenset(t.partition("*")[0] for t in chosen if "*" in t)
+
+    def vectors(batches):
+        for batch in slices(batches):
+            found = []
+            for text in batch.column(2).to_pylist():
+                counts = {terms[t]: c for t, c in terms_of(text, stems).items() if t in terms}
+                found.append(sorted(counts.items()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.int32())),
+                 pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
+
+    made = sample.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(
+        vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    model = build(made, names, np.array([frequency[t] for t in names], float), set(chosen), n_clean, n_toxic, k)
+    calibrate(model, docs.sparkSession)
     scratch.drop()
-    return build(rows, clean, n_clean, n_toxic, most_terms, k)
+    return model
 
 
-def build(rows: list[tuple[int, int, dict[str, int]]], clean: dict[str, int], n_clean: int, n_toxic: int,
-          most_terms: int, k: int) -> ToxicityModel:
-    """Index and calibration from the examples that hold any candidate term
-    (id, label, term counts), which are at most the bounded sample."""
-    chosen = choose_terms([(i, c) for i, y, c in rows if y], clean, n_clean, most_terms)
-    terms = {t: j for j, t in enumerate(chosen)}
-    frequency = Counter(t for _, _, counts in rows for t in counts if t in terms)
+def build(examples: pa.Table, names: list[str], frequency: np.ndarray, chosen: set[str], n_clean: int, n_toxic: int,
+          k: int) -> ToxicityModel:
+    """Index over examples (doc_id, toxic, terms, counts), ids ascending."""
     total = n_clean + n_toxic
-    idf = np.array([1 + math.log((total + 1) / (frequency[t] + 1)) for t in chosen])
-    kept, vectors = [], []
-    for i, y, counts in rows:
-        if vector := weigh({terms[t]: c for t, c in counts.items() if t in terms}, idf):
-            kept.append((i, y))
-            vectors.append(vector)
-    toxic = np.array([y for _, y in kept], np.int64)
-    bare_toxic, bare = n_toxic - int(toxic.sum()), total - len(kept)
-    model = ToxicityModel(terms, idf, np.array([i for i, _ in kept], np.int64), toxic,
-                          BlockMaxIndex(vectors, len(terms)), k, (np.array([0.0]), np.array([0.0])),
-                          (bare_toxic + 0.5) / (bare + 1) if n_toxic else 0.0)
-    votes, seen = [], []
-    for j, vector in enumerate(vectors):
-        vote = model.vote(model.index.search(vector, k, model.ids, skip=j))
-        if vote is not None:
-            votes.append(vote)
-            seen.append(int(toxic[j]))
-    if votes:
-        model.knots = isotonic(np.array(votes), np.array(seen, float))
-    return model
+    idf = 1 + np.log((total + 1) / (frequency + 1)) if len(frequency) else np.empty(0)
+    marked = np.array([t in chosen for t in names], bool)
+    flat = lambda c: examples.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) if examples.num_rows else np.empty(0, np.int64)
+    sizes = np.array([len(x) for x in examples.column("terms")], np.int64)
+    starts, terms, counts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat("terms").astype(np.int64), flat("counts").astype(float)
+    weights = np.empty(len(terms))
+    for a, b in zip(starts[:-1], starts[1:]):
+        weights[a:b] = weights_of(terms[a:b], counts[a:b], idf, marked)
+    toxic = examples.column("toxic").to_numpy().astype(np.int64) if examples.num_rows else np.empty(0, np.int64)
+    empty = sizes == 0
+    bare = (float(toxic[empty].sum()) + 0.5) / (float(empty.sum()) + 1) if n_toxic else 0.0
+    if n_toxic and not empty.any():
+        bare = (n_toxic + 0.5) / (total + 1)  # none to learn from: the rate of all examples
+    return ToxicityModel({t: j for j, t in enumerate(names)}, idf, marked,
+                         examples.column("doc_id").to_numpy().astype(np.int64) if examples.num_rows else np.empty(0, np.int64), toxic,
+                         BlockMaxIndex(Vectors(starts, terms, weights), len(names)), k, (np.array([0.0]), np.array([0.0])), bare)
+
+
+def calibrate(model: ToxicityModel, spark) -> None:
+    """Knots from the examples, each scored without itself in a task."""
+    vectors = model.index.vectors
+    if not len(model.ids):
+        return
+
+    def votes(batches):
+        for batch in slices(batches):
+            at = batch.column(0).to_pylist()
+            near = model.index.search_many([vectors.row(i) for i in at], model.k, model.ids, at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.vote(n) for n in near], pa.float64())], ["id", "vote"])
+
+    parts = max(1, min(32, len(model.ids) // 256))
+    found = spark.range(0, len(model.ids), 1, parts).mapInArrow(votes, "id long, vote double").where("vote is not null").collect()
+    if found:
+        found.sort()
+        model.knots = isotonic(np.array([r.vote for r in found]), model.toxic[[r.id for r in found]].astype(float))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -311,7 +456,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            made = [model.score(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            made = model.score(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([m[0] for m in made], pa.float64()),
                  pa.array([int(m[0] >= 0.5) for m in made], pa.int32()),

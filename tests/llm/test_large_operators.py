@@ -3,13 +3,15 @@ held-out accuracy and defined cases."""
 
 import math
 import random
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfsense.llm import ann, langid, minhash, registry, substring, toxicity
-from shelfsense.llm._common import _LOWER, Scratch, Spans, connected_components, shingle_hashes
+from shelfsense.llm._common import _LOWER, Scratch, Spans, connected_components, crc_fold, shingle_hashes
 
 SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -61,6 +63,54 @@ def test_held_out_toxicity(spark):
     assert right >= 0.95 * len(held)
 
 
+def test_fitted_index_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels, Scratch(spark, "t"))
+    # every labelled training text is indexed, clean ones too, on all its words
+    train = {r.doc_id: r.toxic for r in labels.where(crc_fold(F.col("doc_id"), 5) != 0).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    distinct = {texts[i]: max(y for j, y in train.items() if texts[j] == texts[i]) for i in train}
+    assert len(model.ids) == len(distinct) and int(model.toxic.sum()) == sum(distinct.values())
+    for j in (0, 17, len(model.ids) - 1):
+        words = {w for w in toxicity.terms_of(texts[model.ids[j]], frozenset())}
+        assert words <= {model.names[t] for t in model.index.vectors.row(j)[0].tolist()}
+    matrix = np.zeros((len(model.ids), len(model.terms)))
+    for j in range(len(model.ids)):
+        terms, weights = model.index.vectors.row(j)
+        matrix[j, terms] = weights
+    assert np.allclose(np.linalg.norm(matrix, axis=1)[np.diff(model.index.vectors.starts) > 0], 1)
+    for text in [texts[i] for i in sorted(texts)[:150]]:
+        terms, weights = model.vector(text)
+        cosine = matrix[:, terms] @ weights
+        want = sorted(((-round(float(c), 12), int(model.ids[j]), j) for j, c in enumerate(cosine) if c > 0))[:model.k]
+        got = model.index.search((terms, weights), model.k, model.ids)
+        assert all(math.isclose(a, -b, abs_tol=1e-9) for (a, _), (b, _, _) in zip(got, want)) and len(got) == len(want)
+        assert {j for _, j in got[:5]} <= {j for _, _, j in want} | {j for j, c in enumerate(cosine) if c >= -want[-1][0] - 1e-9}
+
+
+def test_copies_of_a_rare_kind_are_found(spark):
+    """Three toxic examples of a kind that no marking term can tell."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    odd_kind = [f"{say(20)} {'zyx'[i] * 5} {say(20)}" for i in range(3)]
+    rows = [(i, say(40), 0) for i in range(300)] + [(300 + i, f"{say(20)} vile {say(20)}", 1) for i in range(60)]
+    rows += [(400 + i, t, 1) for i, t in enumerate(odd_kind)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, labels, Scratch(spark, "t"))
+    trained = {int(i): j for j, i in enumerate(model.ids)}
+    assert sum(300 <= i for i in trained) == int(model.toxic.sum()) and len(trained) > 250
+    for i in [400 + i for i in range(3) if 400 + i in trained]:
+        terms, weights = model.vector(odd_kind[i - 400])
+        (best, j), *_ = model.index.search((terms, weights), model.k, model.ids)
+        assert math.isclose(best, 1.0, abs_tol=1e-9) and model.ids[j] == i
+        ((score, near, _),) = model.score([odd_kind[i - 400]])
+        assert score >= 0.5 and near[0] == i
+    assert model.score([say(40)])[0][0] < 0.5 and model.score([f"{say(30)} vile"])[0][0] >= 0.5
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(0, 1), (None, 1), (5, None), (11, 0), (11, 1)], "doc_id long, toxic int")
     for marks in (labels, labels.limit(0)):
@@ -94,12 +144,40 @@ def test_pooled_responses_by_definition():
             assert np.allclose(response[n, :, f], slow, atol=1e-4)
 
 
+def test_numbers_and_marks_are_no_letters():
+    for text in ("½ ² ①", "१२३ ४", "_ - !", "☃ ́"):
+        assert not langid.has_letter(text)
+    for text in ("½ a", "文", "ʰ", "ǅ"):
+        assert langid.has_letter(text)
+
+
+def test_whole_predictions_by_definition():
+    """Every window of every text, one at a time, weighted by its bytes."""
+    rng = np.random.default_rng(5)
+    net = langid.train(rng.integers(32, 120, (64, langid.WINDOW)).astype(np.uint8), np.arange(64) % 3, ["a", "b", "c"], epochs=1)
+    texts = ["x", "word " * 300, "é" * 500, None, "12", "y" * langid.WINDOW, "z" * (langid.WINDOW + 1)]
+    names, scores = langid.predict(net, texts)
+    for text, name, score in zip(texts, names, scores):
+        if not text or not langid.has_letter(text):
+            assert (name, score) == ("und", 0.0)
+            continue
+        data = text.encode()
+        total = np.zeros(3)
+        for at in range(0, len(data), langid.WINDOW):
+            piece = data[at:at + langid.WINDOW]
+            window = np.zeros((1, langid.WINDOW), np.uint8)
+            window[0, :len(piece)] = np.frombuffer(piece, np.uint8)
+            total += net.log_probabilities(window)[0].astype(float) * len(piece)
+        p = np.exp(total / len(data) - (total / len(data)).max())
+        assert name == "abc"[int(np.argmax(p))] and math.isclose(score, float((p / p.sum()).max()), abs_tol=1e-5)
+
+
 def test_languages_of_odd_rows(spark, odd):
     net = langid.fit(odd)
     rows = langid.identify(odd, net).collect()
     assert len(rows) == odd.count()
     for r in rows:
-        if not r.text or not langid._LETTER.search(r.text):
+        if not any(unicodedata.category(c).startswith("L") for c in r.text or ""):
             assert (r.lang_pred, r.score) == ("und", 0.0)
     assert {r.lang_pred for r in langid.identify(odd, langid.fit(odd.limit(0))).collect()} == {"und"}
     assert langid.identify(odd.limit(0), net).count() == 0

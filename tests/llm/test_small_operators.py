@@ -1,6 +1,7 @@
 """Sharding, mixing, chat, syncmers: brute force and defined cases."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -205,6 +206,28 @@ def test_odd_conversations(spark):
     assert chat.digest_conversations(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_turns_are_numbered_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [(c, t, rng.choice("ab"), str(i)) for i, (c, t) in enumerate(
+        [(1, rng.randint(-9000, 9000)) for _ in range(3000)] + [(None, rng.choice([None, 5, 5, 70_000])) for _ in range(50)])]
+    schema = "conv_id long, turn long, role string, text string"
+    found = chat._numbered(spark.createDataFrame(rows, schema)).collect()
+    for c in (1, None):
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        assert [(r.turn, r.role, r.text) for r in sorted((f for f in found if f.conv_id == c), key=lambda f: f.place)] == [r[1:] for r in own]
+        assert sorted(f.place for f in found if f.conv_id == c) == list(range(len(own)))
+
+
+def test_both_paths_agree_on_long_conversations(spark):
+    """The library's template in chunks and as a black box."""
+    rng = random.Random(6)
+    said = [(rng.choice(["user", "assistant"]), "".join(rng.choice("ab<|\\\n >é") for _ in range(rng.randint(0, 20)))) for _ in range(600)]
+    df = spark.createDataFrame([(1, i, *m) for i, m in enumerate(said)], "conv_id long, turn long, role string, text string")
+    columns = ["chunk", "formatted", "turn_begins", "loss_begins", "loss_ends", "rewrites"]
+    whole = chat.format_conversations(df, lambda messages: chat.render(messages))
+    assert sorted(map(tuple, whole.select(*columns).collect())) == sorted(map(tuple, chat.format_conversations(df).select(*columns).collect()))
+
+
 def test_black_box_templates_see_the_whole_conversation(spark):
     def numbered(messages):  # the first turn counts, every turn has its number
         return "".join(f"{messages[0][1]}/{i}:{t};" for i, (_, t) in enumerate(messages))
@@ -218,7 +241,11 @@ def test_black_box_templates_see_the_whole_conversation(spark):
     assert [r.chunk for r in rows] == [0, 1, 2] and [len(r.turn_begins) for r in rows] == [256, 256, 88]
     assert "".join(r.formatted for r in rows) == numbered(said)
     assert [r.formatted[b:e] for r in rows for b, e in zip(r.loss_begins, r.loss_ends)] == [t for r, t in said if r == "assistant"]
-    assert sum(r.rewrites for r in chat.format_conversations(df, late).collect()) == 1
+    again = chat.format_conversations(df, late)
+    (row,) = again.collect()  # spans of a rewritten conversation would not hold
+    assert (row.formatted, row.turn_begins, row.loss_begins, row.loss_ends, row.rewrites) == (late(said), None, None, None, 1)
+    (row,) = chat.digest_conversations(again).collect()
+    assert (row.n_turns, row.loss_sha256, row.formatted_chars, row.rewrites) == (None, None, len(late(said)), 1)
     for context in (0, 32, chat.CHUNK):  # a local template, as its caller states
         own = chat.format_conversations(df, lambda m: "".join(f"{t};" for _, t in m), context=context).collect()
         assert "".join(r.formatted for r in sorted(own, key=lambda r: r.chunk)) == "".join(f"{t};" for _, t in said)
