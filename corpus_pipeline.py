@@ -36,26 +36,26 @@ from shelfsense.llm.registry import piece_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Inner tables of the stages that ``run`` has under way.
-_inner: list[Scratch] = []
+#: Inner tables of the stage that ``run`` has under way.
+_open: list[list[Scratch]] = []
 
 
 def _scratch(spark, name):
-    _inner.append(Scratch(spark, name))
-    return _inner[-1]
+    made = Scratch(spark, name)
+    if _open:
+        _open[-1].append(made)
+    return made
 
 
 @contextlib.contextmanager
 def _inner_tables():
     """Drops the inner tables made inside, once what was built on them is written."""
-    before = _inner[:]
-    _inner.clear()
+    _open.append([])
     try:
         yield
-        for made in _inner:
-            made.drop()
     finally:
-        _inner[:] = before
+        for made in _open.pop():
+            made.drop()
 
 
 def extras_aside(stage):

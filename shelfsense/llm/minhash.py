@@ -10,11 +10,16 @@
    every member to its first one instead, unfiltered, so no pair is lost and
    no pairs of a large group are emitted.
 3. Connected candidates form candidate classes, which contain every true link
-   between texts that share a band.  Inside a class, texts are compared in
-   blocks of bounded size: signatures first, in falling order of the estimate,
-   then the full shingle sets; a pair that is already connected is skipped.
-   Only confirmed spanning links leave a task.
-4. Connected confirmed links are the near-duplicate classes.
+   between texts that share a band.  A class is cut into blocks of bounded size,
+   and every block is compared inside and with the class's first text: signatures
+   first, in falling order of the estimate, then the full shingle sets; a pair
+   that is already connected is skipped.  Only confirmed spanning links leave a
+   task.  A group of near copies is connected by then, through its first text.
+4. What is not yet connected to the first text of a class of several blocks is
+   compared with all of its class, block by block; texts that are connected are
+   not compared again.  So N near copies send their texts once, and only the rest
+   of a class is sent once for each block of it.
+5. Connected confirmed links are the near-duplicate classes.
 
 A pair at the threshold of 0.8 shares no band with probability 3e-6, and its
 estimate falls below the filter with probability below 1e-4.
@@ -118,11 +123,12 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 class _Block:
     """Compares the texts of one block (or of two) and finds spanning links."""
 
-    def __init__(self, ids, sets, packed, sides, share):
+    def __init__(self, ids, sets, packed, sides, share, groups=None):
+        """``groups``: what is connected already, by equal numbers."""
         self.ids, self.sets, self.packed, self.sides = ids, sets, packed, sides
         self.sizes = np.array([len(s) for s in sets])
         self.num, self.den = share
-        self.label = np.arange(len(ids))
+        self.label = np.arange(len(ids)) if groups is None else np.unique(np.array(groups), return_inverse=True)[1]
 
     def linked(self, i: int, j: int) -> bool:
         a, b = self.sets[i], self.sets[j]
@@ -155,29 +161,30 @@ class _Block:
 
 
 def confirm(members: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
-    """Confirmed spanning links (a, b) of candidate classes; members: class_id,
-    x, y (blocks to compare, x <= y), own (the member's block), doc_id, hi, lo,
-    text."""
+    """Confirmed spanning links (a, b) of blocks; members: class_id, x, y (the
+    comparison), side (only different sides are compared; null: all), known
+    (equal where connected already), doc_id, hi, lo, text."""
 
     def run(batches):
         spans = Spans()
         now, rows = None, []
 
         def compared():
-            ids, sets, sides, seen = [], [], [], set()
-            for own, i, hi, lo, text in rows:
+            ids, sets, sides, groups, seen = [], [], [], [], set()
+            for side, known, i, hi, lo, text in rows:
                 s = shingle_hashes(spans, text, k)
                 # an id may stand for several texts: only the one that was sketched counts
-                if i not in seen and set_key(s) == (hi, lo):
-                    seen.add(i)
+                if (i, side) not in seen and set_key(s) == (hi, lo):
+                    seen.add((i, side))
                     ids.append(i)
                     sets.append(s)
-                    sides.append(own)
+                    sides.append(side)
+                    groups.append(known)
             if len(ids) < 2:
                 return None
             packed = signatures(np.stack([minima(s) for s in sets]))
-            cross = np.array(sides) if now[1] != now[2] else None
-            found = list(_Block(ids, sets, packed, cross, share).links())
+            cross = np.array(sides) if sides[0] is not None else None
+            found = list(_Block(ids, sets, packed, cross, share, groups).links())
             if not found:
                 return None
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()),
@@ -193,11 +200,49 @@ def confirm(members: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
         if rows and (made := compared()) is not None:
             yield made
 
-    return (members.select("class_id", "x", "y", "own", "doc_id", "hi", "lo", "text")
+    return (members.select("class_id", "x", "y", "side", "known", "doc_id", "hi", "lo", "text")
             .repartition(F.col("class_id"), F.col("x"), F.col("y")).sortWithinPartitions("class_id", "x", "y", "doc_id")
             .mapInArrow(run, "a long, b long"))
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """(class_id, blocks): how many blocks a class has."""
+    return members.groupBy("class_id").agg(F.ceil(F.sum(F.col("n_shingles") + 200) / BLOCK).cast("int").alias("blocks"))
+
+
+def class_links(sized: DataFrame, docs: DataFrame, scratch: Scratch, k: int, share: tuple[int, int]) -> DataFrame:
+    """Confirmed spanning links of candidate classes; ``sized``: class_id (the
+    class's smallest id), doc_id, hi, lo, n_shingles."""
+    none = F.lit(None).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    placed = scratch.save(sized.join(_blocks(sized), "class_id").withColumn("own", own), "placed")
+    # inside the blocks; the first text of a class visits all of them
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = placed.where("doc_id = class_id").withColumn("x", every).where("x <> own")
+    inside = placed.withColumn("x", F.col("own")).unionByName(first).select(
+        "class_id", "x", F.lit(0).alias("y"), none.alias("side"), F.col("doc_id").alias("known"), "doc_id", "hi", "lo")
+    links = scratch.save(confirm(inside.join(docs, "doc_id"), k, share), "links-inside")
+    # across the blocks: the rest of a class against all of it
+    several = placed.where("blocks > 1")
+    if several.isEmpty():
+        return links
+    joined = connected_components(links.join(several.select(F.col("doc_id").alias("a")), "a", "left_semi"), scratch, "inside")
+    known = several.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+        "known", F.coalesce("component", "doc_id")).drop("component", "blocks")
+    known = scratch.save(known, "known")
+    rest = known.where("known <> class_id")
+    rest = rest.join(_blocks(rest).withColumnRenamed("blocks", "parts"), "class_id").withColumn(
+        "x", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int"))
+    parts = rest.groupBy("class_id").agg(F.max("parts").alias("parts"))
+    blocks = known.groupBy("class_id").agg(F.max("own").alias("last"))
+    columns = ["class_id", "x", "y", "side", "known", "doc_id", "hi", "lo"]
+    one = rest.join(blocks, "class_id").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("side", F.lit(0))
+    other = known.join(parts, "class_id").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn(
+        "y", F.col("own")).withColumn("side", F.lit(1))
+    across = one.select(*columns).unionByName(other.select(*columns))
+    return links.unionByName(confirm(across.join(docs, "doc_id"), k, share))
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest reachable id) of every row of
     ``docs`` (doc_id, text); links have den * shared >= num * union."""
@@ -228,14 +273,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, share: tuple[
 
     sized = classes.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id")).join(
         sets.select("doc_id", "hi", "lo", "n_shingles"), "doc_id")
-    blocks = sized.groupBy("class_id").agg(
-        F.ceil(F.sum(F.col("n_shingles") + 200) / BLOCK).cast("int").alias("blocks"))
-    placed = (sized.join(blocks, "class_id")
-              .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("doc_id", "class_id", "hi", "lo", "own",
-                      F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
-    links = confirm(placed.join(docs, "doc_id"), k, share)
+    links = class_links(sized, docs, scratch, k, share)
     found = connected_components(scratch.save(links, "links"), scratch, "components")
     found = scratch.save(found, "result").withColumnRenamed("node", "rep")
     scratch.drop("classes")

@@ -1,23 +1,29 @@
-"""Substring deduplication by winnowed anchors and exact extension (operator 6).
+"""Substring deduplication by winnowed anchors and compared strings (operator 6).
 
 A gear hash rolls over the bytes of a text (each byte's random 32-bit gear,
 shifted left as it ages, so 32 bytes decide).  Of every ``REACH`` successive
-grams of ``GRAM`` bytes the one with the smallest hash is an anchor, so any two
-texts that share ``GRAM + REACH - 1`` = 95 bytes share an anchor there, and the
-first and last shared anchor stand less than REACH bytes from the passage's
-ends.  An anchor whose surroundings (REACH bytes on either side) stand in an
-earlier document (smaller id) is matched over all of them; otherwise its
-surroundings are compared byte by byte with those of the same gram in every
-earlier document, and the longest match to the left and to the right counts.
-Matches that overlap by a gram are one run; runs of at least ``least_run``
-bytes are cut from the text, shorter ones are left, so common phrases change
-nothing.  The same holds inside one document for what stands at least
-``least_run`` bytes before.  The first document keeps its copy.
-
-Digests are shuffled by gram, one per distinct anchor of a document (those of
-one gram meet in one task, sorted with spilling); surroundings are shuffled
-only for grams of several documents and several surroundings, once for each
-of these.
+grams of ``GRAM`` bytes the one with the smallest hash is an anchor, so every
+string of ``GRAM + REACH - 1`` = 95 bytes holds an anchor, and equal strings hold
+equal ones at equal places.  A byte of a document is cut if it stands in a string
+of ``least_run`` bytes that one earlier document (smaller id) holds as well, or
+that stands at least ``least_run`` bytes before in the same document; strings
+that only several earlier documents together hold are left.  The first document
+keeps its copy.
+
+Whole chunks between content-defined boundaries were tried as what is compared:
+with the least size that keeps the number of chunks bearable (8 bytes, 20 on
+average) the first common boundary of a passage comes some 50 bytes in, and 15 %
+of shared passages of 51 words of three letters hold no common chunk at all.
+Anchors at the smallest gear hashes keep what chunks promise (they depend on
+nearby bytes alone, so insertions shift nothing) without that loss.
+
+1. Every anchor gives a digest of its gram and one of its surroundings (all
+   strings of ``least_run`` bytes that hold the gram).  Surroundings that an
+   earlier document holds too are cut whole.
+2. Where a gram has several surroundings, one text of each meets the others in
+   one bucket, and the first document of every string in them is found by sorting
+   its 128-bit key.  Grams with more than ``SPLIT`` occurrences are split by key
+   ranges, so no task holds all surroundings of a common gram.
 
 Defined cases: null and empty texts have no anchors and stay as they are;
 rows that share an id count as one document; rows without an id take no part;
@@ -27,8 +33,6 @@ an empty result.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -41,7 +45,11 @@ from shelfsense.llm._common import Scratch, Spans, mix64, slices
 #: cut_repeats does not use them.
 LEAST, AVERAGE, MOST = 8, 20, 512
 LEAST_RUN = 96
-#: Anchors: grams of GRAM bytes, the least of every REACH.  GRAM + REACH <= LEAST_RUN.
+#: Occurrences of one gram that a task compares at once.
+SPLIT = 4000
+#: Bytes of surroundings compared at a time.
+COMPARED_BYTES = 1 << 20
+#: Anchors: grams of GRAM bytes, the least of every REACH.  GRAM + REACH <= least_run.
 GRAM, REACH = 32, 64
 _GEAR = np.random.default_rng(20240608).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -94,7 +102,7 @@ def chunks(spans: Spans, text: str | None) -> tuple[bytes, np.ndarray, np.ndarra
     return data, begins, ends, spans(data, begins, ends).view(np.int64)
 
 
-def anchors(spans: Spans, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(spans: Spans, data: bytes, least_run: int = LEAST_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, digests of the grams, digests of the grams with surroundings)
     of a text's anchors; ties of the hash go to the last gram."""
     size = len(data)
@@ -108,12 +116,12 @@ def anchors(spans: Spans, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarr
         ranked = np.minimum(ranked[:-width], ranked[width:])
         width *= 2
     at = np.unique(last - (ranked & last)).astype(np.int64)
-    begins, ends = np.maximum(at - REACH, 0), np.minimum(at + GRAM + REACH, size)
+    begins, ends = np.maximum(at + GRAM - least_run, 0), np.minimum(at + least_run, size)
     around = spans(data, begins, ends) ^ mix64((at - begins).astype(np.uint64))
     return at, spans(data, at, at + GRAM).view(np.int64), around.view(np.int64)
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, least_run: int) -> DataFrame:
     """(key, around, doc_id) of every anchor of every row with distinct
     surroundings."""
 
@@ -123,7 +131,7 @@ def digests(docs: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             found = []
             for i, text in zip(ids, batch.column(1).to_pylist()):
-                _, keys, around = anchors(spans, _bytes(text))
+                _, keys, around = anchors(spans, _bytes(text), least_run)
                 around, at = np.unique(around, return_index=True)
                 found.append((keys[at], around, np.full(len(at), i, np.int64)))
             if not found:
@@ -141,171 +149,197 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _alike(a: bytes, b: bytes) -> int:
-    """Length of the common head."""
-    size = min(len(a), len(b))
-    if a[:size] == b[:size]:
-        return size
-    low, high = 0, size - 1
-    while low < high:
-        mid = (low + high + 1) // 2
-        if a[:mid] == b[:mid]:
-            low = mid
-        else:
-            high = mid - 1
-    return low
-
-
-class Side:
-    """Surroundings on one side of a gram, gathered in the order of their
-    documents: the longest common head with any of them, and the first
-    document that has it."""
-
-    def __init__(self):
-        self.sorted: list[tuple[bytes, int]] = []
-        self.firsts: dict[bytes, int] = {}
-
-    def add(self, side: bytes, doc: int) -> None:
-        at = bisect_left(self.sorted, (side,))
-        if at == len(self.sorted) or self.sorted[at][0] != side:
-            self.sorted.insert(at, (side, doc))
-
-    def best(self, side: bytes) -> tuple[int, int]:
-        """Neighbours in sorted order have the longest common head."""
-        at = bisect_left(self.sorted, (side,))
-        size = max(_alike(side, self.sorted[j][0]) for j in (at - 1, at) if 0 <= j < len(self.sorted))
-        head = side[:size]
-        if head not in self.firsts:  # later additions are of later documents
-            low = bisect_left(self.sorted, (head,))
-            first = None
-            while low < len(self.sorted) and self.sorted[low][0].startswith(head):
-                first = self.sorted[low][1] if first is None else min(first, self.sorted[low][1])
-                low += 1
-            self.firsts[head] = first
-        return size, self.firsts[head]
-
-
-def _sides(data: bytes, at: int) -> tuple[bytes, bytes]:
-    """Bytes before a gram, nearest first, and after it."""
-    return data[max(at - REACH, 0):at][::-1], data[at + GRAM:at + GRAM + REACH]
-
-
-def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, around, doc_id, before, after) of the ``wanted`` (around, doc_id)."""
-    lists = wanted.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("around").alias("arounds"))
+def surroundings(docs: DataFrame, wanted: DataFrame, least_run: int) -> DataFrame:
+    """(key, salt, ranges, doc_id, around, lead, text) of the ``wanted`` (around,
+    doc_id, ranges); ``lead`` bytes of the text stand before the gram."""
+    lists = wanted.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("around", "ranges")).alias("wanted"))
     met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        lists, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "arounds")
+        lists, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "wanted")
 
     def run(batches):
         spans = Spans()
         for batch in slices(batches, 64):
             rows = []
-            for i, text, arounds in zip(*(c.to_pylist() for c in batch.columns)):
-                data, left = _bytes(text), set(arounds)
-                for at, key, around in zip(*(a.tolist() for a in anchors(spans, data))):
-                    if around in left:
-                        left.discard(around)
-                        rows.append((key, around, i, *_sides(data, at)))
+            for i, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                data, left = _bytes(text), {w["around"]: w["ranges"] for w in wanted}
+                for at, key, around in zip(*(a.tolist() for a in anchors(spans, data, least_run))):
+                    if (ranges := left.pop(around, None)) is not None:
+                        begin = max(at + GRAM - least_run, 0)
+                        rows.append((key, around % ranges, ranges, i, around, at - begin, data[begin:at + least_run]))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                                 ["key", "around", "doc_id", "before", "after"])
-
-    return met.mapInArrow(run, "key long, around long, doc_id long, before binary, after binary")
-
-
-def nearest(found: DataFrame) -> DataFrame:
-    """around, doc_id, left, right, left_of, right_of: how far a gram's
-    surroundings match those in any earlier document, and the first of them."""
-
-    def run(batches):
-        now, sides, waiting = None, (), []
-        for batch in slices(batches, 4096):
-            rows = []
-            for key, around, doc, before, after in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != now:
-                    now, sides, waiting = key, (Side(), Side()), []
-                if waiting and waiting[0][0] != doc:  # a document does not meet itself here
-                    for i, b, a in waiting:
-                        sides[0].add(b, i)
-                        sides[1].add(a, i)
-                    waiting = []
-                if sides[0].sorted:
-                    (left, left_of), (right, right_of) = sides[0].best(before), sides[1].best(after)
-                    rows.append((around, doc, left, right, left_of, right_of))
-                waiting.append((doc, before, after))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)],
-                                                 ["around", "doc_id", "left", "right", "left_of", "right_of"])
-
-    return (found.repartition("key").sortWithinPartitions("key", "doc_id", "around")
-            .mapInArrow(run, "around long, doc_id long, left long, right long, left_of long, right_of long"))
-
-
-def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id and found: (around, left, right, left_of, right_of) of the
-    anchors of a document whose gram an earlier one also holds."""
+                                                 ["key", "salt", "ranges", "doc_id", "around", "lead", "text"])
+
+    return met.mapInArrow(run, "key long, salt int, ranges int, doc_id long, around long, lead int, text binary")
+
+
+class Strings:
+    """All strings of ``least_run`` bytes of some surroundings (key, doc_id,
+    around, lead, text): their keys, documents, and places after the gram's."""
+
+    def __init__(self, rows: list[tuple], spans: Spans, least_run: int):
+        sizes = np.array([len(r[4]) for r in rows])
+        counts = np.maximum(sizes - least_run + 1, 0)
+        of = np.repeat(np.arange(len(rows)), counts)
+        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.repeat(np.cumsum(sizes) - sizes, counts) + offset
+        data = b"".join(r[4] for r in rows)
+        gram, self.doc, self.around, lead = (np.array([r[i] for r in rows], np.int64)[of] for i in range(4))
+        self.place = offset - lead
+        self.keys = mix64(spans(data, at, at + least_run) + gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        # the second key comes from the bytes read through another table
+        self.second = spans(data.translate(_OTHER), at, at + least_run)
+
+
+#: A fixed permutation of the byte values, for an independent second key.
+_OTHER = bytes(np.random.default_rng(13).permutation(256).astype(np.uint8))
+
+
+def _repeated(keys, second, doc, around, place) -> list[tuple[int, int, int, int, int]]:
+    """(doc_id, around, first place, last place, earliest document) of the runs of
+    strings that an earlier document holds too."""
+    order = np.lexsort((doc, second, keys))
+    new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (second[order][1:] != second[order][:-1])]) if len(order) else np.empty(0, bool)
+    first = np.empty(len(order), np.int64)
+    first[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else 0
+    hit = np.flatnonzero(first < doc)
+    hit = hit[np.lexsort((place[hit], around[hit], doc[hit]))]
+    if not len(hit):
+        return []
+    d, a, p, f = doc[hit], around[hit], place[hit], first[hit]
+    starts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] != a[:-1]) | (p[1:] > p[:-1] + 1)]))
+    last = np.concatenate([starts[1:], [len(hit)]]) - 1
+    return list(zip(d[starts].tolist(), a[starts].tolist(), p[starts].tolist(), p[last].tolist(), np.minimum.reduceat(f, starts).tolist()))
+
+
+#: Rows between the two steps: a run that was found, or (where keys are given) the
+#: strings of one key range of a split gram.
+_STEP = ("gram long, part int, doc_id long, around long, lo long, hi long, of long, "
+         "keys binary, second binary, docs binary, arounds binary, places binary")
+
+
+def _step(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32()] + [pa.int64()] * 5 + [pa.binary()] * 5
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [c.split()[0] for c in _STEP.split(", ")])
+
+
+def _groups(batches, limit: int):
+    """Rows sorted by their first two columns, in lists that end between keys."""
+    held, size, last = [], 0, None
+    for batch in slices(batches, 4096):
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[:2] != last and size >= limit:
+                yield held
+                held, size = [], 0
+            held.append(row)
+            size += 64 + len(row[-1] or b"")
+            last = row[:2]
+    if held:
+        yield held
+
+
+def nearest(found: DataFrame, least_run: int) -> DataFrame:
+    """doc_id, around, lo, hi, of: runs of strings in a gram's surroundings (by
+    their places after the gram's) that an earlier document holds, and the first
+    of these documents."""
+
+    def compare_or_cut(batches):
+        spans = Spans()
+        for rows in _groups(batches, COMPARED_BYTES):
+            s = Strings([(r[0], *r[3:]) for r in rows if r[2] == 1], spans, least_run)
+            yield _step([(doc, -1, doc, *rest, None, None, None, None, None)
+                         for doc, *rest in _repeated(s.keys, s.second, s.doc, s.around, s.place)])
+            split: dict[int, list] = {}
+            for r in rows:
+                if r[2] > 1:
+                    split.setdefault(r[0], []).append(r)
+            for gram, members in split.items():
+                ranges = members[0][2]
+                s = Strings([(r[0], *r[3:]) for r in members], spans, least_run)
+                part = s.keys // np.uint64((1 << 64) // ranges + 1)
+                order = np.argsort(part, kind="stable")
+                for p in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                    if len(p):
+                        yield _step([(gram, int(part[p[0]]), None, None, None, None, None,
+                                      *[x[p].tobytes() for x in (s.keys, s.second, s.doc, s.around, s.place)])])
+
+    def compare_ranges(batches):
+        for rows in _groups(batches, COMPARED_BYTES):
+            out = [r[2:7] for r in rows if r[2] is not None]
+            cuts = [r[7:] for r in rows if r[7] is not None]
+            if cuts:
+                out += _repeated(*[np.concatenate([np.frombuffer(c[i], t) for c in cuts])
+                                   for i, t in enumerate((np.uint64, np.uint64, np.int64, np.int64, np.int64))])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)], ["doc_id", "around", "lo", "hi", "of"])
+
+    met = found.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(compare_or_cut, _STEP)
+    return met.repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(
+        compare_ranges, "doc_id long, around long, lo long, hi long, of long")
+
+
+def repeats(docs: DataFrame, scratch: Scratch, least_run: int) -> DataFrame:
+    """doc_id and found: (around, lo, hi, of) of the anchors of a document whose
+    strings an earlier one also holds."""
     gram, kind = Window.partitionBy("key"), Window.partitionBy("key", "around")
     # one shuffle, by gram; grams of one document are of no use
-    own = (digests(docs).repartition("key").withColumn("first", F.min("doc_id").over(kind))
+    own = (digests(docs, least_run).repartition("key").withColumn("first", F.min("doc_id").over(kind))
            .withColumn("low", F.min("doc_id").over(gram)).withColumn("high", F.max("doc_id").over(gram))
            .withColumn("kinds", F.min("around").over(gram) != F.max("around").over(gram))
-           .where("low < high and (doc_id > first or kinds)").select("around", "doc_id", "first").distinct())
+           .withColumn("ranges", F.ceil(F.count("*").over(gram) / F.lit(SPLIT)).cast("int"))
+           .where("low < high and (doc_id > first or kinds)").select("around", "doc_id", "first", "ranges").distinct())
     shared = scratch.save(own, "shared")
-    compared = scratch.save(nearest(surroundings(docs, shared.where("doc_id = first").select("around", "doc_id"))), "compared")
-    whole = F.lit(REACH).cast("long")
-    later = shared.where("doc_id > first").select(
-        "doc_id", "around", whole.alias("left"), whole.alias("right"),
-        F.col("first").alias("left_of"), F.col("first").alias("right_of"))
-    return (later.unionByName(compared).groupBy("doc_id")
-            .agg(F.collect_list(F.struct("around", "left", "right", "left_of", "right_of")).alias("found")))
-
-
-def _inside(data: bytes, places: list[int], keys: list[int], apart: int):
-    """(begin, end) of every anchor's match with what stands at least ``apart``
-    bytes before it in the same text."""
-    times: dict[int, int] = {}
-    for key in keys:
-        times[key] = times.get(key, 0) + 1
-    sides: dict[int, tuple[Side, Side]] = {}
-    waiting = 0
-    for at, key in zip(places, keys):
-        while places[waiting] + apart <= at:
-            if times[keys[waiting]] > 1:
-                before, after = _sides(data, places[waiting])
-                own = sides.setdefault(keys[waiting], (Side(), Side()))
-                own[0].add(before, 0)
-                own[1].add(after, 0)
-            waiting += 1
-        if key in sides:
-            before, after = _sides(data, at)
-            yield at, at - sides[key][0].best(before)[0], at + GRAM + sides[key][1].best(after)[0]
+    wanted = shared.where("doc_id = first").select("around", "doc_id", "ranges")
+    compared = scratch.save(nearest(surroundings(docs, wanted, least_run), least_run), "compared")
+    whole = shared.where("doc_id > first").select(
+        "doc_id", "around", F.lit(GRAM - least_run).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.col("first").alias("of"))
+    return (whole.unionByName(compared).groupBy("doc_id")
+            .agg(F.collect_list(F.struct("around", "lo", "hi", "of")).alias("found")))
+
+
+def _inside(spans: Spans, data: bytes, places: np.ndarray, keys: np.ndarray, least_run: int):
+    """(begin, end) of the strings around anchors that stand at least their own
+    length before in the same text."""
+    _, group, times = np.unique(keys, return_inverse=True, return_counts=True)
+    at = places[times[group] > 1] if len(places) else places
+    if not len(at):
+        return []
+    starts = np.unique((at[:, None] + np.arange(GRAM - least_run, 1)[None, :]).ravel())
+    starts = starts[(starts >= 0) & (starts + least_run <= len(data))]
+    digest = spans(data, starts, starts + least_run)
+    order = np.lexsort((starts, digest))
+    new = np.concatenate([[True], digest[order][1:] != digest[order][:-1]])
+    first = np.empty(len(order), np.int64)
+    first[order] = starts[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    again = starts[starts - first >= least_run]
+    if not len(again):
+        return []
+    edge = np.flatnonzero(np.concatenate([[True], again[1:] > again[:-1] + 1]))
+    return list(zip(again[edge].tolist(), (again[np.concatenate([edge[1:], [len(again)]]) - 1] + least_run).tolist()))
 
 
 def repeat_spans(spans: Spans, text: str | None, found, own_id, least_run: int):
     """(bytes, [(begin, end, first document)]) of the runs to cut."""
     data = _bytes(text)
-    places, keys, around = (a.tolist() for a in anchors(spans, data))
-    known = {f["around"]: f for f in found or ()}
-    matches = [(b, e, own_id) for _, b, e in _inside(data, places, keys, least_run)]
-    for at, place in zip(places, around):
-        if (f := known.get(place)) is not None:
-            left, right = min(f["left"], at), min(f["right"], len(data) - at - GRAM)
-            # two matches that share the gram
-            matches += [(at - left, at + GRAM, f["left_of"]), (at, at + GRAM + right, f["right_of"])]
+    places, keys, around = anchors(spans, data, least_run)
+    known: dict[int, list] = {}
+    for f in found or ():
+        known.setdefault(f["around"], []).append(f)
+    matches = [(b, e, own_id) for b, e in _inside(spans, data, places, keys, least_run)]
+    for at, place in zip(places.tolist(), around.tolist()):
+        for f in known.get(place, ()):
+            begin, end = max(at + f["lo"], 0), min(at + f["hi"] + least_run, len(data))
+            if end - begin >= least_run:
+                matches.append((begin, end, f["of"]))
     runs: list[list] = []
     for begin, end, first in sorted(matches):
-        if runs and begin + GRAM <= runs[-1][1]:
+        if runs and begin <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], end)
             runs[-1][2] = min(runs[-1][2], first)
         else:
             runs.append([begin, end, first])
     cut: list[tuple] = []
     for begin, end, first in runs:
-        if end - begin < least_run:
-            continue
-        if cut and begin < cut[-1][1]:
-            begin = cut[-1][1]
         while begin < end and data[begin] & 0xC0 == 0x80:
             begin += 1
         while end > begin and end < len(data) and data[end] & 0xC0 == 0x80:
@@ -319,13 +353,15 @@ def cut_repeats(docs: DataFrame, least_run: int = LEAST_RUN, scratch: Scratch |
     """Every row of ``docs`` with the repeats cut from ``text``; adds
     has_repeat, removed_chars, spans (byte begin, end) and repeats_of (first
     document of each span)."""
+    if least_run < GRAM + REACH:
+        raise ValueError(f"least_run must be at least {GRAM + REACH}")
     new = T.StructType([
         T.StructField("has_repeat", T.BooleanType()), T.StructField("removed_chars", T.LongType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
         T.StructField("repeats_of", T.ArrayType(T.LongType()))])
     keep = [c for c in docs.columns if c not in (*new.names, "found")]
     docs = docs.select(*[F.col(f"`{c}`") for c in keep])
-    met = docs.join(repeats(docs, scratch or Scratch(docs.sparkSession, "substring")).withColumnRenamed("doc_id", "__id"),
+    met = docs.join(repeats(docs, scratch or Scratch(docs.sparkSession, "substring"), least_run).withColumnRenamed("doc_id", "__id"),
                     F.col("doc_id").cast("long") == F.col("__id"), "left").select(*[docs[f"`{c}`"] for c in keep], "found")
     at = keep.index("text")
 

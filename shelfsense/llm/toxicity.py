@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,40 +99,37 @@ class BlockMaxIndex:
     """
 
     def __init__(self, vectors: Vectors | list[dict[int, float]], n_terms: int, block: int = 64):
-        v = self.vectors = vectors if isinstance(vectors, Vectors) else Vectors.of(vectors)
-        self.n, self.block, self.n_terms = len(v), block, n_terms
-        self._lay()
-
-    def _lay(self) -> None:
-        v, n, block = self.vectors, self.n, self.block
-        row = np.repeat(np.arange(n), np.diff(v.starts))
+        v = vectors if isinstance(vectors, Vectors) else Vectors.of(vectors)
+        n = self.n = len(v)
+        self.block, self.n_terms = block, n_terms
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(v.starts))
         frequency = np.bincount(v.terms, minlength=self.n_terms)
         common = np.flatnonzero(frequency > max(n // 6, 8))
-        self.column = np.full(self.n_terms, -1, np.int64)
+        self.column = np.full(self.n_terms, -1, np.int32)
         self.column[common] = np.arange(len(common))
-        in_common = self.column[v.terms] >= 0
+        often = self.column[v.terms] >= 0
         dense = np.zeros((n, len(common)))
-        dense[row[in_common], self.column[v.terms[in_common]]] = v.weights[in_common]
+        dense[row[often], self.column[v.terms[often]]] = v.weights[often]
         # similar examples stand together: tighter bounds
         light = (dense * dense).sum(axis=1) < 0.5
         near = np.zeros(n, np.int64)
         if n and len(common):
             near = (dense @ dense[np.linspace(0, n - 1, min(16, n)).astype(int)].T).argmax(axis=1)
         self.order = np.lexsort((np.arange(n), near, light))
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[self.order] = np.arange(n)
         self.blocks = -(-n // block)
         whole = np.zeros((self.blocks * block, len(common)))
         whole[:n] = dense[self.order]
+        del dense
         self.dense = np.ascontiguousarray(whole.reshape(self.blocks, block, len(common)).transpose(0, 2, 1))
         self.most = self.dense.max(axis=2).T.copy()
-        by_term = np.lexsort((place[row[~in_common]], v.terms[~in_common]))
-        self.places = place[row[~in_common]][by_term].astype(np.int32)
-        self.weights = v.weights[~in_common][by_term]
-        self.starts = np.searchsorted(v.terms[~in_common][by_term], np.arange(self.n_terms + 1))
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "vectors"}
+        rare = ~often
+        places, terms, weights = place[row[rare]], v.terms[rare], v.weights[rare]
+        del whole, row, often, rare
+        by_term = np.lexsort((places, terms))
+        self.places, self.weights = places[by_term], weights[by_term]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=self.n_terms))])
 
     def search(self, query, k: int, tie: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
         """The k best (cosine, example) with cosine > 0, ties to the smaller
@@ -382,9 +380,10 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
 
     # the words of the sample are bounded by its bytes
     kept = counted.where(F.expr("term <> '' and instr(term, '*') = 0") | F.col("term").isin([t for t in chosen if "*" in t]))
-    frequency = {r.term: r.n for r in kept.select("term", (F.col("clean") + F.col("marked")).alias("n")).collect()}
-    names = sorted(frequency)
-    terms = {t: j for j, t in enumerate(names)}
+    kept = kept.select("term", (F.col("clean") + F.col("marked")).cast("int").alias("n")).toArrow().sort_by("term")
+    frequency = kept.column("n").to_numpy().astype(float)
+    terms = {t: j for j, t in enumerate(kept.column("term").to_pylist())}
+    del kept
     stems = frozenset(t.partition("*")[0] for t in chosen if "*" in t)
 
     def vectors(batches):
@@ -399,51 +398,53 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
 
     made = sample.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(
         vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
-    model = build(made, names, np.array([frequency[t] for t in names], float), set(chosen), n_clean, n_toxic, k)
-    calibrate(model, docs.sparkSession)
+    ids, toxic = (made.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
+    sizes = pc.list_value_length(made.column("terms")).to_numpy().astype(np.int64)
+    flat = [made.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32) if len(ids) else np.empty(0, np.int32)
+            for c in ("terms", "counts")]
+    del made
+    model = build(ids, toxic, sizes, *flat, terms, frequency, chosen, n_clean, n_toxic, k)
+    del flat
+    calibrate(model, sample)
     scratch.drop()
     return model
 
 
-def build(examples: pa.Table, names: list[str], frequency: np.ndarray, chosen: set[str], n_clean: int, n_toxic: int,
-          k: int) -> ToxicityModel:
-    """Index over examples (doc_id, toxic, terms, counts), ids ascending."""
+def build(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, names: dict[str, int],
+          frequency: np.ndarray, chosen: list[str], n_clean: int, n_toxic: int, k: int) -> ToxicityModel:
+    """Index over examples: their ids (ascending), labels and numbers of terms, and
+    the terms (ascending in each) and counts of all."""
     total = n_clean + n_toxic
     idf = 1 + np.log((total + 1) / (frequency + 1)) if len(frequency) else np.empty(0)
-    marked = np.array([t in chosen for t in names], bool)
-    flat = lambda c: examples.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) if examples.num_rows else np.empty(0, np.int64)
-    sizes = np.array([len(x) for x in examples.column("terms")], np.int64)
-    starts, terms, counts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat("terms").astype(np.int64), flat("counts").astype(float)
+    marked = np.zeros(len(names), bool)
+    marked[[names[t] for t in chosen]] = True
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     weights = np.empty(len(terms))
     for a, b in zip(starts[:-1], starts[1:]):
-        weights[a:b] = weights_of(terms[a:b], counts[a:b], idf, marked)
-    toxic = examples.column("toxic").to_numpy().astype(np.int64) if examples.num_rows else np.empty(0, np.int64)
+        weights[a:b] = weights_of(terms[a:b], counts[a:b].astype(float), idf, marked)
     empty = sizes == 0
     bare = (float(toxic[empty].sum()) + 0.5) / (float(empty.sum()) + 1) if n_toxic else 0.0
     if n_toxic and not empty.any():
         bare = (n_toxic + 0.5) / (total + 1)  # none to learn from: the rate of all examples
-    return ToxicityModel({t: j for j, t in enumerate(names)}, idf, marked,
-                         examples.column("doc_id").to_numpy().astype(np.int64) if examples.num_rows else np.empty(0, np.int64), toxic,
-                         BlockMaxIndex(Vectors(starts, terms, weights), len(names)), k, (np.array([0.0]), np.array([0.0])), bare)
+    return ToxicityModel(names, idf, marked, ids, toxic, BlockMaxIndex(Vectors(starts, terms, weights), len(names)), k,
+                         (np.array([0.0]), np.array([0.0])), bare)
 
 
-def calibrate(model: ToxicityModel, spark) -> None:
-    """Knots from the examples, each scored without itself in a task."""
-    vectors = model.index.vectors
+def calibrate(model: ToxicityModel, sample: DataFrame) -> None:
+    """Knots from the examples (doc_id, text), each scored without itself in a task."""
     if not len(model.ids):
         return
 
     def votes(batches):
         for batch in slices(batches):
-            at = batch.column(0).to_pylist()
-            near = model.index.search_many([vectors.row(i) for i in at], model.k, model.ids, at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.vote(n) for n in near], pa.float64())], ["id", "vote"])
+            at = np.searchsorted(model.ids, batch.column(0).to_numpy()).tolist()
+            near = model.index.search_many([model.vector(t) for t in batch.column(1).to_pylist()], model.k, model.ids, at)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([model.vote(n) for n in near], pa.float64())], ["id", "vote"])
 
-    parts = max(1, min(32, len(model.ids) // 256))
-    found = spark.range(0, len(model.ids), 1, parts).mapInArrow(votes, "id long, vote double").where("vote is not null").collect()
+    found = sorted((r.id, r.vote) for r in sample.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        votes, "id long, vote double").where("vote is not null").collect())
     if found:
-        found.sort()
-        model.knots = isotonic(np.array([r.vote for r in found]), model.toxic[[r.id for r in found]].astype(float))
+        model.knots = isotonic(np.array([v for _, v in found]), model.toxic[[i for i, _ in found]].astype(float))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -74,12 +74,12 @@ def test_fitted_index_by_brute_force(spark):
     assert len(model.ids) == len(distinct) and int(model.toxic.sum()) == sum(distinct.values())
     for j in (0, 17, len(model.ids) - 1):
         words = {w for w in toxicity.terms_of(texts[model.ids[j]], frozenset())}
-        assert words <= {model.names[t] for t in model.index.vectors.row(j)[0].tolist()}
+        assert words <= {model.names[t] for t in model.vector(texts[model.ids[j]])[0].tolist()}
     matrix = np.zeros((len(model.ids), len(model.terms)))
-    for j in range(len(model.ids)):
-        terms, weights = model.index.vectors.row(j)
+    for j, i in enumerate(model.ids.tolist()):
+        terms, weights = model.vector(texts[i])
         matrix[j, terms] = weights
-    assert np.allclose(np.linalg.norm(matrix, axis=1)[np.diff(model.index.vectors.starts) > 0], 1)
+        assert not len(terms) or math.isclose(float(weights @ weights), 1)
     for text in [texts[i] for i in sorted(texts)[:150]]:
         terms, weights = model.vector(text)
         cosine = matrix[:, terms] @ weights
@@ -304,6 +304,62 @@ def test_short_passages_are_cut_whole(spark):
             assert len(r.spans) == 1 and r.repeats_of[0] in (first, r.doc_id - 1)
 
 
+def _cut_by_definition(texts, least=96):
+    """Text without the bytes of strings that an earlier document holds, or that
+    stand ``least`` bytes before in the same one; cuts keep whole characters."""
+    first, out = {}, {}
+    for doc in sorted(texts):
+        data = texts[doc].encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - least + 1):
+            d, p = first.setdefault(data[i:i + least], (doc, i))
+            if d < doc or i - p >= least:
+                gone[i:i + least] = b"\1" * least
+        i = 0
+        kept = bytearray()
+        while i < len(data):
+            j = i
+            while j < len(data) and gone[j] == gone[i]:
+                j += 1
+            if gone[i]:
+                b, e = i, j
+                while b < e and data[b] & 0xC0 == 0x80:
+                    b += 1
+                while e > b and e < len(data) and data[e] & 0xC0 == 0x80:
+                    e -= 1
+                kept += data[i:b] + data[e:j]
+            else:
+                kept += data[i:j]
+            i = j
+        out[doc] = kept.decode()
+    return out
+
+
+@pytest.mark.parametrize("split", [4000, 2])
+def test_cuts_by_brute_force(spark, monkeypatch, split):
+    """Small splits send the strings of common grams through key ranges."""
+    monkeypatch.setattr(substring, "SPLIT", split)
+    docs = spark.read.parquet(f"{SMALL if split == 2 else SF}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = _cut_by_definition(texts)
+    rows = substring.cut_repeats(docs.repartition(5)).collect()
+    assert {r.doc_id: r.text or "" for r in rows} == want
+    assert all(r.has_repeat == (want[r.doc_id] != texts[r.doc_id]) and r.removed_chars == len(texts[r.doc_id]) - len(want[r.doc_id]) for r in rows)
+    assert sum(r.removed_chars for r in rows) > 0
+
+
+def test_strings_of_several_documents_are_left(spark):
+    """A and B hold 76 bytes each of a passage of 120 bytes in C: no string of 96."""
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for i in range(0, 180, 3):
+        passage = say(120)
+        rows += [(i, say(150) + passage[:76] + say(150)), (i + 1, say(150) + passage[44:] + say(150)), (i + 2, say(150) + passage + say(150))]
+    got = substring.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not any(r.has_repeat for r in got) and {r.doc_id: r.text for r in got} == dict(rows)
+
+
 def test_substrings_of_odd_rows(spark, odd):
     rows = substring.cut_repeats(odd).collect()
     assert len(rows) == odd.count()
@@ -369,6 +425,25 @@ def test_near_duplicates_over_several_blocks(spark, monkeypatch):
     assert got == _classes(rows, 4)
 
 
+def test_near_copies_send_their_texts_once(spark, monkeypatch):
+    """Rows that reach the comparison grow in proportion to a group of near copies."""
+    monkeypatch.setattr(minhash, "BLOCK", 8000)
+    sent, confirm = [], minhash.confirm
+    monkeypatch.setattr(minhash, "confirm", lambda members, *rest: (sent.append(members.count()), confirm(members, *rest))[1])
+    rng = random.Random(7)
+    base = [rng.choice(WORDS) for _ in range(100)]
+    for n in (100, 200, 400):
+        rows = []
+        for i in range(n):
+            words = list(base)
+            words[rng.randrange(len(words))] = f"x{i}"
+            rows.append((i, " ".join(words)))
+        sent.clear()
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.component_id for r in minhash.near_duplicates(df, Scratch(spark, "t"), k=4).collect()} == {0}
+        assert n <= sum(sent) <= 1.3 * n
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     rows = minhash.near_duplicates(odd, Scratch(spark, "t"), k=4).collect()
     assert len(rows) == odd.count()

@@ -82,6 +82,29 @@ def test_stages_over_the_table(spark):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
+def test_run_keeps_the_order_of_the_mix(spark):
+    made = C.run(spark, SF).orderBy("position").collect()
+    assert [r.position for r in made] == list(range(len(made)))
+    counts = Counter(r.source for r in made)
+    total, block = len(made), 64
+    # in every beginning of the result each source is near its share: less than
+    # one block from it by slots, and a block more within a slot
+    seen: Counter = Counter()
+    for n, r in enumerate(made, 1):
+        seen[r.source] += 1
+        if n % block == 0:
+            assert all(abs(seen[s] - n * counts[s] / total) <= 2 * block for s in counts)
+    assert not C._open
+
+
+def test_several_texts_of_an_id_stay(spark):
+    say = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    rows = [(1, say("a")), (1, say("b")), (0, say("b")), (1, say("a")), (2, say("c")), (7, say("c")), (7, say("d"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text[0]) for r in C.keep_one_of_each_class(spark, docs, SF).collect())
+    assert got == Counter([(1, "a"), (0, "b"), (2, "c"), (7, "d")])
+
+
 def test_stages_on_odd_rows(spark):
     text = " ".join(f"word{i}" for i in range(80))
     rows = [(None, None, None, None, None, "s", 1, "p"), (None, text, "en", None, 9, None, None, None),
