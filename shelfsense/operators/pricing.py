@@ -24,6 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfsense.functions.spline import smoothing_spline
 from shelfsense.functions import (cents, equal_width_bin, fixed_decimals, half_even, norm_pdf,
                                   quarter_bin, unit_price)
 
@@ -386,6 +387,16 @@ def price_curve(points: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame:
     scaled prices; all sums are windows on one partitioning.
     """
     k = _keys(keys)
+    b = _cubic(points, k)
+    keep = lambda fit, ssr: half_even(F.when(F.col(ssr) <= SMOOTHING, F.col(fit)), 6) + 0.0  # noqa: E731  no -0.0
+    return b.select(*k, "unit_price", "number_sold", "revenue",
+                    keep("fu", "su").alias("fit_units"), half_even("su", 4).alias("ssr_units"),
+                    keep("fr", "sr").alias("fit_revenue"), half_even("sr", 4).alias("ssr_revenue"))
+
+
+def _cubic(points: DataFrame, k: list[str]) -> DataFrame:
+    """Points with the least-squares cubic of units and revenue (``fu``, ``fr``),
+    its residual sums of squares (``su``, ``sr``) and the number of prices."""
     w = Window.partitionBy(*k)
     total = lambda c: F.sum(c).over(w)
     b = points.select(*k, "unit_price", "number_sold", "revenue").withColumn("n", F.count("*").over(w))
@@ -410,10 +421,32 @@ def price_curve(points: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame:
     b = b.withColumns({"fu": fitted("u"), "fr": fitted("r")})
     b = b.withColumns({"su": total(F.pow(F.col("number_sold") - F.col("fu"), F.lit(2.0))),
                        "sr": total(F.pow(F.col("revenue") - F.col("fr"), F.lit(2.0)))})
-    keep = lambda fit, ssr: half_even(F.when(F.col(ssr) <= SMOOTHING, F.col(fit)), 6) + 0.0  # noqa: E731  no -0.0
-    return b.select(*k, "unit_price", "number_sold", "revenue",
-                    keep("fu", "su").alias("fit_units"), half_even("su", 4).alias("ssr_units"),
-                    keep("fr", "sr").alias("fit_revenue"), half_even("sr", 4).alias("ssr_revenue"))
+    return b
+
+
+def price_smooth_curve(points: DataFrame, keys: Sequence[str] = PRODUCT, smoothing: float = SMOOTHING) -> DataFrame:
+    """G11 without gaps: the cubic of ``price_curve`` where its residual sum of
+    squares is within ``smoothing``; beyond it, for products with four or more
+    prices, the natural cubic smoothing spline whose residual is exactly
+    ``smoothing``.  The reference adds knots until the residual is within it; this
+    is the smoothest curve that reaches it, so values between can differ.
+    ``*_by`` tells which it is.
+
+    A product's points (one per distinct price) are one array, folded in the JVM.
+    """
+    k = _keys(keys)
+    c = _cubic(points, k)
+    c = c.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("unit_price", "number_sold", "revenue", "n", "fu", "fr", "su", "sr"))).alias("pts"))
+    names = (("units", "number_sold", "fu", "su"), ("revenue", "revenue", "fr", "sr"))
+    for tag, y, fit, ssr in names:
+        beyond = F.col("pts")[0][ssr] > smoothing
+        curve = smoothing_spline(F.transform("pts", lambda p: F.struct(p["unit_price"].alias("x"), p[y].alias("y"))), smoothing)  # noqa: B023
+        c = c.withColumn(f"fit_{tag}", F.when(beyond, curve).otherwise(F.transform("pts", lambda p: p[fit])))  # noqa: B023
+        c = c.withColumn(f"{tag}_by", F.when(beyond, "spline").when(F.col("pts")[0]["n"] >= 4, "cubic"))
+    out = c.select(*k, "units_by", "revenue_by", F.inline(F.arrays_zip("pts", "fit_units", "fit_revenue")))
+    return out.select(*k, "pts.unit_price", "pts.number_sold", "pts.revenue",
+                      (half_even("fit_units", 6) + 0.0).alias("fit_units"), "units_by",
+                      (half_even("fit_revenue", 6) + 0.0).alias("fit_revenue"), "revenue_by")
 
 
 def price_summary(points: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame:

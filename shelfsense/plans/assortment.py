@@ -86,7 +86,12 @@ class Assortment:
 
     # report (R8)
     def report(self, requests: DataFrame | None = None) -> DataFrame:
-        return R.recommendation_report(self.base, self.descriptions, self.n, self.tail, requests, self._shared.keep)
+        """``requests`` before the base was asked for reads only what they need."""
+        if requests is None or self._base is not None:
+            base = self.base
+        else:
+            base = self._shared.keep(R.needed_rows(S.sales_base(self.sales), requests))
+        return R.recommendation_report(base, self.descriptions, self.n, self.tail, requests, self._shared.keep)
 
     def report_for(self, property_code: str, category: str, month: str) -> DataFrame:
         return R.recommendation_report_for(self.sales, self.descriptions, property_code, category, month,

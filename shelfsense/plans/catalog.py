@@ -158,6 +158,16 @@ def ranking_from_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.store_ranking(write_bucketed(base_of(spark, sf_dir), name, f"{shared_folder(spark)}/{name}", buckets))
 
 
+def _city_report(spark, d, keep):
+    """The first store of every city asks for one category and month: a few
+    requests, for which only their rows are aggregated."""
+    t = load_tables(spark, d, ("supplier",))
+    asked = t["supplier"].groupBy("s_nationkey").agg(F.min("s_name").alias("property_code")).select(
+        "property_code", F.lit(REQUEST[1]).alias("category_name"), F.lit(SALES_MONTH).alias("transaction_month"))
+    base = keep(R.needed_rows(base_of(spark, d, "month"), asked))
+    return R.recommendation_report(base, descriptions_of(spark, d), N, TAIL, asked, keep)
+
+
 def _no_sales(base: DataFrame) -> DataFrame:
     found = R.no_sales_categories(base)
     return found.withColumn("n_categories", F.size("categories")).withColumn("categories", F.array_join("categories", "|"))
@@ -181,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "no_sales_categories": _on_shared_base(_no_sales, period="month"),
     "recommendation_report": owned(_report),
     "recommendation_report_requests": owned(_requested_report),
+    "recommendation_report_cities": owned(_city_report),
     "recommendation_report_one": lambda spark, d: R.recommendation_report_for(
         sales_of(spark, d, "month", SALES_MONTH), descriptions_of(spark, d), *REQUEST, SALES_MONTH, N, TAIL),
     "sales_by_month": lambda spark, d: S.sales_by_month(
@@ -205,6 +216,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "price_kde_all": _on_points(P.price_kde, ("unit_price", "number_sold", "revenue")),
     "price_kde_binned": _on_points(P.price_kde, ("unit_price",), method="binned"),
     "price_curve": _on_points(P.price_curve),
+    "price_smooth_curve": _on_points(P.price_smooth_curve),
     "sales_quartiles": lambda spark, d: sales_quartiles(sales_of(spark, d)),
     "price_summary": _on_points(P.price_summary),
     "property_source": lambda spark, d: source_of(spark, d),

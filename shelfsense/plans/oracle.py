@@ -562,6 +562,12 @@ asked AS (SELECT '{REQUEST[0]}' AS property_code, '{REQUEST[1]}' AS category_nam
 """ + REQUESTED_KEYS[REQUESTED_KEYS.index("keys AS"):]
 
 
+CITY_KEYS = f"""
+asked AS (SELECT min(s_name) AS property_code, '{REQUEST[1]}' AS category_name, '{SALES_MONTH}' AS transaction_month
+          FROM supplier GROUP BY s_nationkey),
+""" + REQUESTED_KEYS[REQUESTED_KEYS.index("keys AS"):]
+
+
 def report_sql(keys: str, period: str) -> str:
     return with_sales(f"""
 , pdesc AS (
@@ -640,6 +646,7 @@ SELECT property_code, category_name, transaction_month, CAST(section AS INTEGER)
 SQL["recommendation_report"] = report_sql(ALL_KEYS, "year")
 SQL["recommendation_report_requests"] = report_sql(REQUESTED_KEYS, "month")
 SQL["recommendation_report_one"] = report_sql(ONE_KEY, "month")
+SQL["recommendation_report_cities"] = report_sql(CITY_KEYS, "month")
 SQL["price_points_filtered"] = with_sales(f"""
 SELECT description, unit_price, avg(number_sold) AS number_sold, unit_price * avg(number_sold) AS revenue
 FROM (SELECT description, number_sold,

@@ -37,10 +37,27 @@ def read_table(spark: SparkSession, path_or_table: str, fmt: str = "parquet",
     return reader.format(fmt).load(path_or_table)
 
 
+#: Schemas of Parquet tables by path, time of change and size.
+_schemas: dict[tuple, StructType] = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, read afresh; only its schema, which Spark reads from the
+    footers in a job of its own, is kept for as long as the table is unchanged."""
+    of, fs = _fs(spark, path)
+    status = fs.getFileStatus(of(path))
+    key = (path, status.getModificationTime(), status.getLen())
+    if key not in _schemas:
+        if len(_schemas) > 1000:
+            _schemas.clear()
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
+
+
 def load_tables(spark: SparkSession, base_dir: str,
                 names: Iterable[str]) -> dict[str, DataFrame]:
     """``{name: DataFrame}`` for ``{base_dir}/{name}.parquet``."""
-    return {n: spark.read.parquet(f"{base_dir}/{n}.parquet") for n in names}
+    return {n: read_parquet(spark, f"{base_dir}/{n}.parquet") for n in names}
 
 
 def _fs(spark: SparkSession, target: str):

@@ -289,3 +289,77 @@ def test_binned_density_is_near_the_exact_one(spark):
         assert abs(r.x - e.x) < 1e-9 and abs(r.density - e.density) <= 1e-3 * peak[r.description]
     with pytest.raises(ValueError):
         P.price_kde(pts, method="guess")
+
+
+# ------------------------------------------------------------------- spline
+
+def _dense_spline(x, y, residual):
+    """The smoothing spline by dense solves and bisection on the penalty."""
+    n, h = len(x), np.diff(x)
+    r, q = np.zeros((n - 2, n - 2)), np.zeros((n, n - 2))
+    for j in range(1, n - 1):
+        r[j - 1, j - 1] = (h[j - 1] + h[j]) / 3
+        if j < n - 2:
+            r[j - 1, j] = r[j, j - 1] = h[j] / 6
+        q[j - 1, j - 1], q[j, j - 1], q[j + 1, j - 1] = 1 / h[j - 1], -1 / h[j - 1] - 1 / h[j], 1 / h[j]
+
+    def fit(w):
+        return y - w * q @ np.linalg.solve(r + w * q.T @ q, q.T @ y)
+
+    lo, hi = -46.0, 46.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if ((y - fit(np.exp(mid))) ** 2).sum() > residual else (mid, hi)
+    return fit(np.exp(lo))
+
+
+def test_smooth_curve_by_dense_solves(spark):
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for p, n in (("a", 4), ("b", 5), ("c", 40), ("d", 150), ("mild", 30), ("few", 3)):
+        x = np.sort(rng.choice(np.arange(100, 4000), n, replace=False)) / 100
+        scale = 1.0 if p == "mild" else 60.0
+        y = scale * (np.sin(x) + rng.normal(0, .4, n)) + 3 * x
+        rows += [(p, float(a), float(b), float(a * b)) for a, b in zip(x, y)]
+        want[p] = (x, y)
+    pts = spark.createDataFrame(rows, "description string, unit_price double, number_sold double, revenue double")
+    got = {}
+    for r in P.price_smooth_curve(pts, smoothing=500.0).collect():
+        got.setdefault(r.description, []).append(r)
+    kinds = {}
+    for p, (x, y) in want.items():
+        own = sorted(got[p], key=lambda r: r.unit_price)
+        for tag, values in (("units", y), ("revenue", x * y)):
+            fit = [r[f"fit_{tag}"] for r in own]
+            kinds[p, tag] = own[0][f"{tag}_by"]
+            if len(x) < 4:
+                assert fit == [None] * len(x) and kinds[p, tag] is None
+                continue
+            cubic = np.polyval(np.polyfit(x - x.mean(), values, 3), x - x.mean())
+            beyond = ((values - cubic) ** 2).sum() > 500
+            assert kinds[p, tag] == ("spline" if beyond else "cubic")
+            assert np.allclose(fit, _dense_spline(x, values, 500.0) if beyond else cubic, atol=2e-3, rtol=1e-6), (p, tag)
+            if beyond:
+                assert abs(((values - np.array(fit)) ** 2).sum() - 500) < 0.5
+    assert set(kinds.values()) == {None, "cubic", "spline"}
+
+
+def test_smooth_curve_has_no_gaps(spark):
+    df = K.QUERIES["price_smooth_curve"](spark, D)
+    rows = df.collect()
+    assert rows and all((r.fit_units is None) == (r.units_by is None) for r in rows)
+    cubic = {(r.description, r.unit_price): r for r in P.price_curve(K.points_of(spark, D)).collect()}
+    for r in rows:
+        if r.units_by == "cubic":
+            assert r.fit_units == cubic[r.description, r.unit_price].fit_units
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapIn" not in plan and "FlatMapGroups" not in plan
+
+
+def test_schemas_follow_the_table(spark, tmp_path):
+    from shelfsense.sources.tables import read_parquet
+    path = str(tmp_path / "t")
+    write_table(spark.range(3), path)
+    assert read_parquet(spark, path).columns == ["id"] and read_parquet(spark, path).count() == 3
+    write_table(spark.range(5).selectExpr("id AS other", "1 AS more"), path)
+    assert read_parquet(spark, path).columns == ["other", "more"] and read_parquet(spark, path).count() == 5
