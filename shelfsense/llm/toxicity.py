@@ -91,6 +91,17 @@ class Vectors:
         return self.terms[a:b], self.weights[a:b]
 
 
+def _by_term(terms: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Order by term, then place."""
+    n = len(terms)
+    if not n or int(terms.max()) >= 1 << 20 or int(places.max()) >= 1 << 20 or n >= 1 << 24:
+        return np.lexsort((places, terms))
+    # term, place and position in one number, so that one plain sort does
+    key = (terms.astype(np.uint64) << np.uint64(44)) | (places.astype(np.uint64) << np.uint64(24)) | np.arange(n, dtype=np.uint64)
+    key.sort()
+    return (key & np.uint64((1 << 24) - 1)).astype(np.int32)
+
+
 class BlockMaxIndex:
     """Columns of unit vectors, cut into blocks of ``block`` examples.
 
@@ -127,7 +138,7 @@ class BlockMaxIndex:
         rare = ~often
         places, terms, weights = place[row[rare]], v.terms[rare], v.weights[rare]
         del whole, row, often, rare
-        by_term = np.lexsort((places, terms))
+        by_term = _by_term(terms, places)
         self.places, self.weights = places[by_term], weights[by_term]
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=self.n_terms))])
 
@@ -200,14 +211,28 @@ class BlockMaxIndex:
         return out
 
 
+def _packed(a: np.ndarray) -> tuple[str, int, bytes]:
+    return a.dtype.str, a.nbytes, pa.compress(np.ascontiguousarray(a).tobytes() or b"\0", codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: tuple[str, int, bytes]) -> np.ndarray:
+    kind, size, data = packed
+    return np.frombuffer(pa.decompress(data, decompressed_size=max(size, 1), codec="zstd", asbytes=True)[:size], kind)
+
+
 @dataclass
 class ToxicityModel:
+    """The examples' term counts and what follows from them.  It goes to tasks as
+    compressed counts (some 10 MB for 12,000 examples) and is laid out there."""
+
     terms: dict[str, int]  # all words of the examples and the marking stems
     idf: np.ndarray
     marked: np.ndarray  # whether a term marks toxic examples
-    ids: np.ndarray
+    ids: np.ndarray  # ascending
     toxic: np.ndarray
-    index: BlockMaxIndex
+    sizes: np.ndarray  # terms of each example
+    of: np.ndarray  # these terms, ascending in each example
+    counts: np.ndarray
     k: int
     knots: tuple[np.ndarray, np.ndarray]
     bare: float  # calibrated rate of examples without known terms
@@ -215,6 +240,23 @@ class ToxicityModel:
     def __post_init__(self):
         self.stems = frozenset(t.partition("*")[0] for t in self.terms if "*" in t)
         self.heads = frozenset(t[:STEMS[0]] for t in self.stems)
+        row = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
+        weights = weights_of(self.of, self.counts, self.idf, self.marked, row, len(self.ids))
+        starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        self.index = BlockMaxIndex(Vectors(starts, self.of, weights), len(self.terms))
+
+    def __getstate__(self) -> dict:
+        arrays = {f: _packed(getattr(self, f)) for f in ("idf", "marked", "ids", "toxic", "sizes", "counts")}
+        arrays["of"] = _packed(np.diff(self.of, prepend=self.of.dtype.type(0)))
+        names = "\n".join(self.terms).encode()
+        return {"arrays": arrays, "names": _packed(np.frombuffer(names, np.uint8)), "k": self.k, "knots": self.knots, "bare": self.bare}
+
+    def __setstate__(self, state: dict) -> None:
+        arrays = {f: _unpacked(p) for f, p in state["arrays"].items()}
+        arrays["of"] = np.cumsum(arrays["of"], dtype=arrays["of"].dtype)
+        names = _unpacked(state["names"]).tobytes().decode()
+        self.__init__({t: j for j, t in enumerate(names.split("\n") if names else [])}, k=state["k"], knots=state["knots"],
+                      bare=state["bare"], **arrays)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         counts = terms_of(text, self.stems, self.heads)
@@ -253,20 +295,24 @@ class ToxicityModel:
 def weigh(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
     """Unit TF-IDF vector of term counts."""
     terms = np.array(sorted(counts), np.int64)
-    weights = weights_of(terms, np.array([counts[t] for t in terms.tolist()], float), idf, np.zeros(len(idf), bool))
+    weights = weights_of(terms, np.array([counts[t] for t in terms.tolist()]), idf, np.zeros(len(idf), bool))
     return dict(zip(terms.tolist(), weights.tolist()))
 
 
-def weights_of(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, marked: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF weights; where there are marking terms and others, the marking
-    ones have the share MARKED of the squared length."""
+def weights_of(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, marked: np.ndarray,
+               row: np.ndarray | None = None, rows: int = 1) -> np.ndarray:
+    """Unit TF-IDF weights of one text, or of ``rows`` of them (``row``: whose a
+    term is); where a text has marking terms and others, the marking ones have the
+    share MARKED of the squared length."""
     out = (1 + np.log(counts)) * idf[terms]
     special = marked[terms]
-    parts = [(p, math.sqrt(float((out[p] ** 2).sum()))) for p in (special, ~special)]
-    both = all(norm > 0 for _, norm in parts)
-    for (part, norm), share in zip(parts, (MARKED, 1 - MARKED)):
-        if norm > 0:
-            out[part] *= math.sqrt(share) / norm if both else 1 / norm
+    row = np.zeros(len(terms), np.int32) if row is None else row
+    square = out * out
+    norms = [np.sqrt(np.bincount(row[p], weights=square[p], minlength=rows)) for p in (special, ~special)]
+    both = (norms[0] > 0) & (norms[1] > 0)
+    for part, norm, share in zip((special, ~special), norms, (MARKED, 1 - MARKED)):
+        scale = np.divide(np.where(both, math.sqrt(share), 1.0), norm, out=np.zeros(rows), where=norm > 0)
+        out[part] *= scale[row[part]]
     return out
 
 
@@ -418,16 +464,11 @@ def build(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, terms: np.ndarr
     idf = 1 + np.log((total + 1) / (frequency + 1)) if len(frequency) else np.empty(0)
     marked = np.zeros(len(names), bool)
     marked[[names[t] for t in chosen]] = True
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    weights = np.empty(len(terms))
-    for a, b in zip(starts[:-1], starts[1:]):
-        weights[a:b] = weights_of(terms[a:b], counts[a:b].astype(float), idf, marked)
     empty = sizes == 0
     bare = (float(toxic[empty].sum()) + 0.5) / (float(empty.sum()) + 1) if n_toxic else 0.0
     if n_toxic and not empty.any():
         bare = (n_toxic + 0.5) / (total + 1)  # none to learn from: the rate of all examples
-    return ToxicityModel(names, idf, marked, ids, toxic, BlockMaxIndex(Vectors(starts, terms, weights), len(names)), k,
-                         (np.array([0.0]), np.array([0.0])), bare)
+    return ToxicityModel(names, idf, marked, ids, toxic, sizes, terms, counts, k, (np.array([0.0]), np.array([0.0])), bare)
 
 
 def calibrate(model: ToxicityModel, sample: DataFrame) -> None:
