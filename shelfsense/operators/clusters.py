@@ -140,7 +140,8 @@ def divisive_tree(features: DataFrame, max_k: int = MAX_K, workspace: Workspace
     at most ``2 max_k`` clusters of a level.  Equal properties are never parted.
     """
     workspace = workspace or Workspace(features.sparkSession, "tree")
-    points, size = feature_entries(features)
+    # the features are read twice and may come from a long plan
+    points, size = feature_entries(workspace.save(features, "features"))
     level = workspace.save(points.withColumn("node", F.lit(1).cast("long")), "level-0")
     found = {n: Cluster.of(m) for n, m in _moments(level, size).items()}
     lefts: dict[int, int] = {}
