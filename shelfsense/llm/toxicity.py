@@ -46,6 +46,8 @@ STEMS = (4, 5, 6)
 LEVELS = (1, 2, 3, 5)
 #: Share of a vector's squared length that its marking terms have.
 MARKED = 0.9
+#: Terms of more than one in so many examples are common.
+COMMON = 6
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -105,8 +107,8 @@ def _by_term(terms: np.ndarray, places: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Columns of unit vectors, cut into blocks of ``block`` examples.
 
-    Terms of at most a sixth of the examples are kept as postings, the others as
-    a dense matrix a block with the largest weight of each.
+    Terms of at most one in COMMON examples are kept as postings, the others as a
+    dense matrix a block with the largest weight of each.
     """
 
     def __init__(self, vectors: Vectors | list[dict[int, float]], n_terms: int, block: int = 64):
@@ -115,7 +117,7 @@ class BlockMaxIndex:
         self.block, self.n_terms = block, n_terms
         row = np.repeat(np.arange(n, dtype=np.int32), np.diff(v.starts))
         frequency = np.bincount(v.terms, minlength=self.n_terms)
-        common = np.flatnonzero(frequency > max(n // 6, 8))
+        common = np.flatnonzero(frequency > max(n // COMMON, 8))
         self.column = np.full(self.n_terms, -1, np.int32)
         self.column[common] = np.arange(len(common))
         often = self.column[v.terms] >= 0
