@@ -7,10 +7,12 @@ which is combined map-side, gives the bitmap.  Products to add are the list's
 bits that the store's bitmap lacks; no store row carries a list of names.
 
 The joins that attach a cluster's or the nation's list to each store have few
-and heavy keys (cluster, category, period).  The list side has at most ``n``
-rows per key, so it is repeated over salts and the store side is split by a hash
-of the store (``functions.salting``): if Spark shuffles it, no task gets a whole
-key.
+and heavy keys (cluster, category, period).  A list has at most ``n`` entries a
+key, and the number of keys does not grow with stores or sales.  Where store
+products meet the lists, and in the report, the lists are therefore broadcast, so
+store products stay where they are; elsewhere the list side is repeated over
+salts and the store side is split by a hash of the store (``functions.salting``):
+if Spark shuffles it, no task gets a whole key.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def _with_top_rank(store_products: DataFrame, top: DataFrame) -> DataFrame:
     """Store products (STORE, cluster, description) with their rank in the
     cluster's list as ``ct_rank``, null outside it."""
     listed = top.select(*TOP_KEYS, "description", F.col("rank").alias("ct_rank"))
-    return salted_join(store_products, listed, [*TOP_KEYS, "description"], ["property_code"], "left")
+    return store_products.join(F.broadcast(listed), [*TOP_KEYS, "description"], "left")
 
 
 def _store_products(base: DataFrame) -> DataFrame:
@@ -134,6 +136,18 @@ def _num(c) -> F.Column:
     return c.cast("string")
 
 
+def _top_items(entries: str, section: int) -> F.Column:
+    """The lines of a list of top products."""
+    return F.transform(entries, lambda x: _line(section, x["rank"], 0, F.concat(
+        _num(x["rank"]), F.lit(". "), x["description"], F.lit(": "), pct_text(x["pct"]), F.lit("%"))))
+
+
+def by_store_period(base: DataFrame) -> DataFrame:
+    """A store-level base whose rows of a store and period stand together, for a
+    report of all keys or of very many requests (``recommendation_report``)."""
+    return base.repartition(*PERIOD_KEYS)
+
+
 def needed_rows(base: DataFrame, requests: DataFrame) -> DataFrame:
     """What a report of ``requests`` reads of a store-level base: the rows of a
     requested category and period (all lists) and of a requested store and period
@@ -161,28 +175,39 @@ def recommendation_report(base: DataFrame, descriptions: DataFrame, n: int = 5,
     nationally.  ``descriptions``: (property_code, flag_name, city, state).
     ``keep`` (``Shared.keep``) marks what both branches read.
 
+    A base that is spread by store and period (``by_store_period``) is not
+    shuffled again per store product: ranking, cluster of the store, requests and
+    what the store sells of a list are all found where its rows are.
+
     * Branch A, per store product: the store's top-n lines and the discontinue
-      lines, numbered by a running count in the same window.
-    * Branch B, per store-category-period: headers and top-n lines from lists
-      of at most ``n`` entries, and the stocking suggestions.
+      lines, numbered by a running count over these products.
+    * Branch B, per store-category-period: headers, the lines of the lists of at
+      most ``n`` entries (made once per list), and the stocking suggestions.
     """
     keep = keep or (lambda df: df)
-    ranking = store_ranking(base).drop("cluster")
     pc = property_cluster(base)
+    reported = base
     if requests is not None:
-        requests = requests.select(*STORE).distinct()
-        ranking = ranking.join(requests, STORE, "left_semi")
+        pc = keep(pc)
+        # a store and period has at most one entry a category here
+        asked = keep(requests.groupBy(*PERIOD_KEYS).agg(F.collect_set("category_name").alias("asked")))
+        reported = base.join(asked, PERIOD_KEYS).where(F.array_contains("asked", F.col("category_name"))).drop("asked")
     top = cluster_top(base, n)
-    ct_lists = keep(_top_lists(top, TOP_KEYS, "ct_list"))
-    nt_lists = keep(_top_lists(national_top(base, n), NATION_KEYS, "nt_list"))
+    ct_lists = _top_lists(top, TOP_KEYS, "ct_list")
+    ct_lists = keep(ct_lists.withColumn("ct_lines", _top_items("ct_list", 2)))
+    nt_lists = _top_lists(national_top(base, n), NATION_KEYS, "nt_list")
+    nt_lists = keep(nt_lists.select(*NATION_KEYS, _top_items("nt_list", 3).alias("nt_lines")))
     # both branches read the store products with their rank in the cluster's list
-    ranking = keep(_with_top_rank(ranking.join(pc, PERIOD_KEYS), top))
+    ranking = _with_top_rank(store_ranking(reported).drop("cluster").join(pc, PERIOD_KEYS), top)
+    ranking = keep(ranking.select(
+        *STORE, "cluster", "rank", "description", "number_sold", "pct", "ct_rank",
+        ((F.col("cum_pct") > F.lit(1.0 - tail)) & F.col("ct_rank").isNull()).alias("cand")))
 
     # -- branch A: lines per store product
-    a = ranking.withColumn("cand", (F.col("cum_pct") > F.lit(1.0 - tail)) & F.col("ct_rank").isNull())
+    cand = F.col("cand")
+    a = ranking.where(cand | (F.col("rank") <= n))
     w = Window.partitionBy(*STORE).orderBy("rank").rowsBetween(Window.unboundedPreceding,
                                                                Window.currentRow)
-    cand = F.col("cand")
     a = a.withColumn("rm_seq", F.sum(cand.cast("int")).over(w))
     units_pct = F.concat(F.col("description"), F.lit(": "), _num(F.col("number_sold")),
                          F.lit(" units, "), pct_text("pct"), F.lit("%"))
@@ -194,33 +219,27 @@ def recommendation_report(base: DataFrame, descriptions: DataFrame, n: int = 5,
         F.when(cand, _line(5, F.col("rm_seq"), 0,
                            F.concat(_num(F.col("rm_seq")), F.lit(". "), units_pct))),
     )
-    part_a = a.select(*STORE, F.explode(F.filter(lines_a, lambda x: x.isNotNull())).alias("l"))
+    part_a = a.select(*STORE, F.explode(lines_a).alias("l")).where("l is not null")
 
     # -- branch B: lines per store-category-period
     sold = ranking.groupBy(*STORE, "cluster").agg(_masks("ct_rank", n).alias("masks"))
-    sold = salted_join(sold, ct_lists, TOP_KEYS, ["property_code"], "left").withColumn(
-        "ct_list", F.coalesce("ct_list", F.array().cast(ENTRIES)))
-    keys = sold.select(*STORE, "cluster", "ct_list", F.filter("ct_list", lambda x: _lacks("masks", x["rank"])).alias("adds"),
-                       F.lit(True).alias("has_sales"))
+    keys = sold.withColumn("has_sales", F.lit(True))
     if requests is not None:
-        bare = requests.join(sold.select(*STORE), STORE, "left_anti").join(pc, PERIOD_KEYS)
-        bare = salted_join(bare, nt_lists.select(*NATION_KEYS), NATION_KEYS, ["property_code"])
-        bare = salted_join(bare, ct_lists, TOP_KEYS, ["property_code"], "left")
-        keys = keys.unionByName(bare.select(
-            *STORE, "cluster", F.coalesce("ct_list", F.array().cast(ENTRIES)).alias("ct_list"),
-            F.array().cast(ENTRIES).alias("adds"), F.lit(False).alias("has_sales")))
-    kb = salted_join(keys.join(descriptions, "property_code"), nt_lists, NATION_KEYS, ["property_code"], "left")
-    ctl = F.col("ct_list")
-    ntl = F.coalesce(F.col("nt_list"), F.array().cast(ENTRIES))
+        own = sold.groupBy(*PERIOD_KEYS).agg(F.collect_set("category_name").alias("own"))
+        bare = asked.join(own, PERIOD_KEYS, "left").select(*PERIOD_KEYS, F.explode(F.array_except(
+            "asked", F.coalesce("own", F.array().cast("array<string>")))).alias("category_name"))
+        keys = keys.unionByName(bare.join(pc, PERIOD_KEYS).select(
+            *STORE, "cluster", F.array().cast("array<bigint>").alias("masks"), F.lit(False).alias("has_sales")))
+    kb = (keys.join(descriptions, "property_code").join(F.broadcast(ct_lists), TOP_KEYS, "left")
+          .join(F.broadcast(nt_lists), NATION_KEYS, "left"))
+    # without sales: only a category that sold nationally
+    kb = kb.where(F.col("has_sales") | F.col("nt_lines").isNotNull())
+    kb = kb.withColumn("adds", F.when(F.col("has_sales"), F.filter(
+        F.coalesce("ct_list", F.array().cast(ENTRIES)), lambda x: _lacks("masks", x["rank"]))))
     has = F.col("has_sales")
     cat = F.col("category_name")
     cl_txt = F.coalesce(F.col("cluster").cast("string"), F.lit("nan"))
 
-    def top_items(lst, section):
-        return F.transform(lst, lambda x: _line(section, x["rank"], 0, F.concat(
-            _num(x["rank"]), F.lit(". "), x["description"], F.lit(": "), pct_text(x["pct"]),
-            F.lit("%"))))
-
     adds = F.col("adds")
     add_items = F.transform(adds, lambda x, i: _line(4, i + 1, 0, F.concat(
         _num(i + 1), F.lit(". "), x["description"])))
@@ -242,8 +261,8 @@ def recommendation_report(base: DataFrame, descriptions: DataFrame, n: int = 5,
                                               F.lit("You are selling the top products already!"))
                       .otherwise(F.lit("Stocking suggestions:")))),
         add_items))
-    all_b = F.concat(heads, top_items(ctl, 2), top_items(ntl, 3),
-                     F.coalesce(stock, F.array().cast(LINES_TYPE)))
+    no_lines = F.array().cast(LINES_TYPE)
+    all_b = F.concat(heads, *[F.coalesce(c, no_lines) for c in (F.col("ct_lines"), F.col("nt_lines"), stock)])
     part_b = kb.select(*STORE, F.explode(all_b).alias("l"))
 
     out = part_a.unionByName(part_b)

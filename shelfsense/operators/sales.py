@@ -163,7 +163,8 @@ def store_ranking(base: DataFrame) -> DataFrame:
     depend on summation order.
     """
     s = store_product_sales(base)
-    w = Window.partitionBy(*STORE).orderBy(F.desc("number_sold"), "cluster", "description")
+    # sorted by store and period first: a join on these needs no other order
+    w = Window.partitionBy("property_code", "transaction_month", "category_name").orderBy(F.desc("number_sold"), "cluster", "description")
     running = F.sum("number_sold").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     total = F.sum("number_sold").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     r = (s.withColumn("rank", F.row_number().over(w))

@@ -120,7 +120,7 @@ def _on_shared_base(fn, *args, period: str = "year") -> Callable[[SparkSession,
 
 
 def _report(spark, d, keep):
-    return R.recommendation_report(keep(base_of(spark, d)), descriptions_of(spark, d), N, TAIL, keep=keep)
+    return R.recommendation_report(keep(R.by_store_period(base_of(spark, d))), descriptions_of(spark, d), N, TAIL, keep=keep)
 
 
 def _requested_report(spark, d, keep):

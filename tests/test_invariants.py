@@ -63,3 +63,21 @@ def test_single_key_equals_batch(spark):
         (F.col("property_code") == key.property_code) & (F.col("category_name") == key.category_name)
         & (F.col("transaction_month") == key.transaction_month)).orderBy("section", "seq").collect())
     assert [r.text for r in one] == [r.text for r in batch]
+
+
+def test_report_leaves_store_products_where_they_are(make_sales):
+    rows = [(f"S{s}", s % 2, c, d, "M", 1 + (7 * s + len(c) + 3 * ord(d)) % 11)
+            for s in range(6) for c in ("Soda", "Chips") for d in "abcdefgh" if (s + ord(d)) % 5]
+    rows += [("S0", None, "Soda", "z", "M", 4), ("S7", 1, "Soda", "a", "M", 0), ("S8", 1, "Soda", "a", "M", None)]
+    sales = make_sales(rows)
+    asked = sales.sparkSession.createDataFrame([("S0", "Soda", "M"), ("S7", "Chips", "M"), ("S1", "Tea", "M"), ("S9", "Soda", "M")],
+                                               "property_code string, category_name string, transaction_month string")
+    descriptions = S.described_properties(sales)
+    spread = R.by_store_period(S.sales_base(sales))
+    for requests in (None, asked):
+        of = lambda base: R.recommendation_report(base, descriptions, 3, 0.2, requests)
+        assert sorted(of(spread).collect()) == sorted(of(S.sales_base(sales)).collect())
+    # the lists come to the store products
+    report = R.recommendation_report(spread, descriptions, 3, 0.2).where("section = 5")
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_salt" in line]
