@@ -124,7 +124,7 @@ def _report(spark, d, keep):
 
 
 def _requested_report(spark, d, keep):
-    base = keep(base_of(spark, d, "month"))
+    base = keep(R.by_store_period(base_of(spark, d, "month")))
     return R.recommendation_report(base, descriptions_of(spark, d), N, TAIL, requests_of(spark, d, base), keep)
 
 
