@@ -328,15 +328,31 @@ class PieceCodec:
                 ranks[each[ok], left[ok]], joined[each[ok], left[ok]] = r, j
         return symbols[columns < counts[:, None]], counts
 
-    def learn(self, texts: list[str | None]) -> None:
-        """Encodes the words of many texts that are not remembered yet."""
+    def read(self, texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[str | None, list[str] | None]]:
+        """Every text with its words, which are remembered by then (None where it
+        is not encoded word by word); ``most`` characters are held as words at once."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end] or "") <= most):
+                size += len(texts[end] or "")
+                end += 1
+            yield from zip(texts[at:end], self.learn(texts[at:end]))
+            at = end
+
+    def learn(self, texts: list[str | None]) -> list[list[str] | None]:
+        """Encodes the words of many texts that are not remembered yet; the words
+        of each text.  Words of these texts stay when the others are forgotten."""
         if not self.plain:
-            return
+            return [None] * len(texts)
         known = self.words
-        fresh = sorted({w for t in texts if t and MARK not in t for w in self.runs.findall(" " + t)
-                        if w not in known and len(w) <= 32}, key=len)
+        runs = [self.runs.findall(" " + t) if t and MARK not in t else None for t in texts]
+        here = set().union(*[r for r in runs if r])
+        fresh = sorted([w for w in here if w not in known and len(w) <= 32], key=len)
         if len(known) + len(fresh) > known.remember:
+            stay = {w: known[w] for w in here if w in known}
             known.clear()
+            known.update(stay)
         at = 0
         while at < len(fresh):
             part = fresh[at:at + 8_000]
@@ -350,6 +366,7 @@ class PieceCodec:
                 if end > begin:
                     known[word] = ids[begin:end], lengths[begin:end], word
                 begin = end
+        return runs
 
     def _ids(self, piece: str) -> list[int]:
         if (i := self.vocabulary.get(piece)) is not None:
@@ -424,12 +441,13 @@ class PieceCodec:
         flush()
         return "".join(out)
 
-    def arrays(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+    def arrays(self, text: str | None, runs: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
         """(ids, span begins, span ends, decoded text) of one whole text, word
-        by word where the model and the text allow it."""
+        by word where the model and the text allow it (``runs``: its words, if
+        they are known)."""
         text = text or ""
         if self.plain and text and MARK not in text:
-            words = [self.words[w] for w in self.runs.findall(" " + text)]
+            words = list(map(self.words.__getitem__, runs or self.runs.findall(" " + text)))
             ids = np.frombuffer(b"".join([w[0] for w in words]) + np.int32(self.end).tobytes(), np.int32)
             # the space put before the text has no source byte
             edges = np.cumsum(np.frombuffer(b"".join([w[1] for w in words]), np.int32), dtype=np.int32) - 1
@@ -440,10 +458,10 @@ class PieceCodec:
         spans = made.spans.astype(np.int32)
         return np.array(made.ids, np.int32), spans[:, 0], spans[:, 1], self.decode(made.ids)
 
-    def digest(self, text: str | None) -> tuple[int, str, str, str]:
+    def digest(self, text: str | None, runs: list[str] | None = None) -> tuple[int, str, str, str]:
         """(number of ids, digest of the ids, digest of the decoded text,
         digest of the span begins as int32) of one whole text."""
-        ids, begins, _, decoded = self.arrays(text)
+        ids, begins, _, decoded = self.arrays(text, runs)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         return (len(ids), sha(" ".join(map(self.names.__getitem__, ids.tolist())).encode()),
                 sha(decoded.encode("utf-8", "surrogatepass")), sha(begins.tobytes()))
@@ -496,8 +514,7 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text") -> DataF
         codec = PieceCodec(model)
         for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            codec.learn(texts)
-            rows = [codec.arrays(t) for t in texts]
+            rows = [codec.arrays(t, r) for t, r in codec.read(texts)]
             made = [lists([r[i] for r in rows]) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made, pa.array([r[3] for r in rows], pa.string())],
                                              [*batch.schema.names, *new.names])
@@ -514,8 +531,7 @@ def digest_documents(docs: DataFrame, model: bytes, id: str = "doc_id", text: st
         codec = PieceCodec(model)
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
-            codec.learn(texts)
-            n, ids, decoded, spans = zip(*[codec.digest(t) for t in texts])
+            n, ids, decoded, spans = zip(*[codec.digest(t, r) for t, r in codec.read(texts)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()),
                  pa.array(decoded, pa.string()), pa.array(spans, pa.string())],

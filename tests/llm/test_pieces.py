@@ -104,3 +104,15 @@ def test_rows_and_columns(model, spark):
     for r in rows:
         made = codec.encode(r.text)
         assert (r.ids, r.span_begins, r.span_ends) == (made.ids, made.spans[:, 0].tolist(), made.spans[:, 1].tolist())
+
+
+def test_words_in_use_are_not_forgotten(model):
+    codec = pieces.PieceCodec(model, remember=6)
+    merged = []
+    one_by_one = codec.merge
+    codec.merge = lambda word: merged.append(word) or one_by_one(word)
+    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "the mat and the log"]
+    for at in range(0, len(texts), 2):
+        for text, words in codec.read(texts[at:at + 2], most=30):
+            assert codec.digest(text, words) == pieces.PieceCodec(model).digest(text)
+    assert not merged  # new words, and known ones after a clearing, are merged together
