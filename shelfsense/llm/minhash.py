@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfsense.functions.bloom import bloom_filter, might_hold
 from shelfsense.llm._common import Scratch, Spans, connected_components, mix64, shingle_hashes, slices
 
 BANDS, ROWS, BITS = 32, 5, 2
@@ -210,12 +211,24 @@ def _blocks(members: DataFrame) -> DataFrame:
     return members.groupBy("class_id").agg(F.ceil(F.sum(F.col("n_shingles") + 200) / BLOCK).cast("int").alias("blocks"))
 
 
+#: 64-bit words of the filter over the ids whose texts are compared (1 MiB).
+FILTER_WORDS = 1 << 17
+
+
+def compared_texts(placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``placed``, and a few others that a Bloom
+    filter lets pass: only these are shuffled to the comparisons."""
+    ids = bloom_filter(placed, ["doc_id"], FILTER_WORDS).scalar()
+    return docs.where(might_hold(ids, ["doc_id"], FILTER_WORDS))
+
+
 def class_links(sized: DataFrame, docs: DataFrame, scratch: Scratch, k: int, share: tuple[int, int]) -> DataFrame:
     """Confirmed spanning links of candidate classes; ``sized``: class_id (the
     class's smallest id), doc_id, hi, lo, n_shingles."""
     none = F.lit(None).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     placed = scratch.save(sized.join(_blocks(sized), "class_id").withColumn("own", own), "placed")
+    docs = compared_texts(placed, docs)
     # inside the blocks; the first text of a class visits all of them
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     first = placed.where("doc_id = class_id").withColumn("x", every).where("x <> own")

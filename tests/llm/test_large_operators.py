@@ -480,3 +480,12 @@ def test_connected_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long"), Scratch(spark, "t")).collect()}
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 180)} | {200: 200, 300: 200}
     assert got == want
+
+
+def test_only_texts_of_candidates_are_sent_to_comparisons(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text").unionByName(
+        spark.sql("SELECT CAST(null AS bigint) AS doc_id, 'no id' AS text"))
+    placed = spark.range(0, 20_000, 100).selectExpr("id AS doc_id")
+    sent = minhash.compared_texts(placed, docs)
+    assert sent.join(placed, "doc_id", "left_semi").count() == 200
+    assert sent.where("doc_id is not null").count() < 220
