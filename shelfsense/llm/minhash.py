@@ -53,6 +53,8 @@ MOST_DIFFERENT = int(HASHES * (1 - (ESTIMATE * (1 - 2.0 ** -BITS) + 2.0 ** -BITS
 SMALL = 24
 #: Shingles (plus 200 a text) of a block that one task compares.
 BLOCK = 2_000_000
+#: Pairs of signatures compared at a time (some 30 MB of work arrays).
+PAIRS = 250_000
 
 _random = np.random.default_rng(20240607)
 _A = _random.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,7 +147,7 @@ class _Block:
     def links(self):
         n = len(self.ids)
         edges = [0, 8, 16, 24, 32, 38, MOST_DIFFERENT + 1]
-        step = max(1, 2_000_000 // max(n, 1))
+        step = max(1, PAIRS // max(n, 1))
         for lo, hi in zip(edges, edges[1:]):
             for top in range(0, n, step):
                 rows = slice(top, min(top + step, n))

@@ -240,9 +240,10 @@ def _groups(batches, limit: int):
 
 
 def nearest(found: DataFrame, least_run: int) -> DataFrame:
-    """doc_id, around, lo, hi, of: runs of strings in a gram's surroundings (by
-    their places after the gram's) that an earlier document holds, and the first
-    of these documents."""
+    """doc_id and found: (around, lo, hi, of) of the runs of strings in a gram's
+    surroundings (by their places after the gram's) that an earlier document holds,
+    and the first of these documents.  A task gathers what it finds of a document:
+    the key ranges of a split gram break runs into strings, which are not rows."""
 
     def compare_or_cut(batches):
         spans = Spans()
@@ -271,11 +272,16 @@ def nearest(found: DataFrame, least_run: int) -> DataFrame:
             if cuts:
                 out += _repeated(*[np.concatenate([np.frombuffer(c[i], t) for c in cuts])
                                    for i, t in enumerate((np.uint64, np.uint64, np.int64, np.int64, np.int64))])
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)], ["doc_id", "around", "lo", "hi", "of"])
+            runs = np.array(out, np.int64).reshape(-1, 5)
+            runs = runs[np.argsort(runs[:, 0], kind="stable")]
+            starts = np.flatnonzero(np.diff(runs[:, 0], prepend=runs[:1, 0] - 1))
+            found = pa.StructArray.from_arrays([pa.array(runs[:, i].copy()) for i in range(1, 5)], ["around", "lo", "hi", "of"])
+            ends = pa.array(np.append(starts, len(runs)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(runs[starts, 0]), pa.ListArray.from_arrays(ends, found)], ["doc_id", "found"])
 
     met = found.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(compare_or_cut, _STEP)
     return met.repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(
-        compare_ranges, "doc_id long, around long, lo long, hi long, of long")
+        compare_ranges, "doc_id long, found array<struct<around: long, lo: long, hi: long, of: long>>")
 
 
 def repeats(docs: DataFrame, scratch: Scratch, least_run: int) -> DataFrame:
@@ -291,10 +297,9 @@ def repeats(docs: DataFrame, scratch: Scratch, least_run: int) -> DataFrame:
     shared = scratch.save(own, "shared")
     wanted = shared.where("doc_id = first").select("around", "doc_id", "ranges")
     compared = scratch.save(nearest(surroundings(docs, wanted, least_run), least_run), "compared")
-    whole = shared.where("doc_id > first").select(
-        "doc_id", "around", F.lit(GRAM - least_run).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.col("first").alias("of"))
-    return (whole.unionByName(compared).groupBy("doc_id")
-            .agg(F.collect_list(F.struct("around", "lo", "hi", "of")).alias("found")))
+    whole = shared.where("doc_id > first").select("doc_id", F.array(F.struct(
+        "around", F.lit(GRAM - least_run).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.col("first").alias("of"))).alias("found"))
+    return whole.unionByName(compared).groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
 def _inside(spans: Spans, data: bytes, places: np.ndarray, keys: np.ndarray, least_run: int):

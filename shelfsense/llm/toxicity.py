@@ -28,9 +28,12 @@ stay (clashing output names are replaced).
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +59,15 @@ def terms_of(text: str | None, stems: frozenset[str] | None = None, heads: froze
     n times.  ``stems`` limits the stems that are counted; ``heads`` are their
     first letters."""
     out: dict[str, int] = dict(Counter(_WORD.findall((text or "").lower())))
+    if stems is None or stems:
+        out.update(stem_terms(out.items(), stems, heads))
+    return out
+
+
+def stem_terms(words: Iterable[tuple[str, int]], stems: frozenset[str] | None = None, heads: frozenset[str] | None = None) -> dict[str, int]:
+    """The terms that are stems of counted words, as ``terms_of`` has them."""
     found: dict[str, int] = {}
-    for word, n in list(out.items()) if stems is None or stems else ():
+    for word, n in words:
         if heads is not None and word[:STEMS[0]] not in heads:
             continue
         for size in STEMS:
@@ -65,11 +75,7 @@ def terms_of(text: str | None, stems: frozenset[str] | None = None, heads: froze
                 stem = word[:size]
                 if stems is None or stem in stems:
                     found[stem] = found.get(stem, 0) + n
-    for stem, n in found.items():
-        for level in LEVELS:
-            if n >= level:
-                out[f"{stem}*{level}"] = n
-    return out
+    return {f"{stem}*{level}": n for stem, n in found.items() for level in LEVELS if n >= level}
 
 
 class Vectors:
@@ -99,9 +105,15 @@ def _by_term(terms: np.ndarray, places: np.ndarray) -> np.ndarray:
     if not n or int(terms.max()) >= 1 << 20 or int(places.max()) >= 1 << 20 or n >= 1 << 24:
         return np.lexsort((places, terms))
     # term, place and position in one number, so that one plain sort does
-    key = (terms.astype(np.uint64) << np.uint64(44)) | (places.astype(np.uint64) << np.uint64(24)) | np.arange(n, dtype=np.uint64)
+    key = np.arange(n, dtype=np.uint64)
+    for values, bits in ((places, 24), (terms, 44)):
+        part = values.astype(np.uint64)
+        part <<= np.uint64(bits)
+        key |= part
+    del part
     key.sort()
-    return (key & np.uint64((1 << 24) - 1)).astype(np.int32)
+    key &= np.uint64((1 << 24) - 1)
+    return key.astype(np.int32)
 
 
 class BlockMaxIndex:
@@ -222,52 +234,135 @@ def _unpacked(packed: tuple[str, int, bytes]) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=max(size, 1), codec="zstd", asbytes=True)[:size], kind)
 
 
+def _lines(packed: tuple[str, int, bytes]) -> list[str]:
+    joined = _unpacked(packed).tobytes().decode()
+    return joined.split("\n") if joined else []
+
+
+def packed_examples(ids: np.ndarray, toxic: np.ndarray, found: list[list[tuple[int, int]]]) -> bytes:
+    """Ids, labels and (term, count) of some examples; terms ascend in each."""
+    sizes = np.array([len(f) for f in found], np.int64)
+    terms, counts = (np.array([x[i] for f in found for x in f], np.int32) for i in (0, 1))
+    terms = np.diff(terms, prepend=terms.dtype.type(0))
+    return pickle.dumps([_packed(x) for x in (ids.astype(np.int64), toxic.astype(np.int64), sizes, terms, counts)])
+
+
 @dataclass
 class ToxicityModel:
-    """The examples' term counts and what follows from them.  It goes to tasks as
-    compressed counts (some 10 MB for 12,000 examples) and is laid out there."""
-
-    terms: dict[str, int]  # all words of the examples and the marking stems
-    idf: np.ndarray
-    marked: np.ndarray  # whether a term marks toxic examples
-    ids: np.ndarray  # ascending
-    toxic: np.ndarray
-    sizes: np.ndarray  # terms of each example
-    of: np.ndarray  # these terms, ascending in each example
-    counts: np.ndarray
+    """The examples' term counts and what follows from them.  The driver holds them
+    compressed only, as they go to tasks (some 10 MB for 12,000 examples); they are
+    laid out where a text is scored."""
+
+    words: tuple[str, int, bytes]  # all words of the examples and the marking stems, by line
+    frequency: tuple[str, int, bytes]  # examples of each
+    parts: list[bytes]  # examples, as ``packed_examples`` makes them
+    chosen: list[str]  # terms that mark toxic examples
+    total: int  # examples
     k: int
-    knots: tuple[np.ndarray, np.ndarray]
     bare: float  # calibrated rate of examples without known terms
-
-    def __post_init__(self):
-        self.stems = frozenset(t.partition("*")[0] for t in self.terms if "*" in t)
-        self.heads = frozenset(t[:STEMS[0]] for t in self.stems)
-        row = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
-        weights = weights_of(self.of, self.counts, self.idf, self.marked, row, len(self.ids))
-        starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
-        self.index = BlockMaxIndex(Vectors(starts, self.of, weights), len(self.terms))
+    knots: tuple[np.ndarray, np.ndarray]
 
     def __getstate__(self) -> dict:
-        arrays = {f: _packed(getattr(self, f)) for f in ("idf", "marked", "ids", "toxic", "sizes", "counts")}
-        arrays["of"] = _packed(np.diff(self.of, prepend=self.of.dtype.type(0)))
-        names = "\n".join(self.terms).encode()
-        return {"arrays": arrays, "names": _packed(np.frombuffer(names, np.uint8)), "k": self.k, "knots": self.knots, "bare": self.bare}
-
-    def __setstate__(self, state: dict) -> None:
-        arrays = {f: _unpacked(p) for f, p in state["arrays"].items()}
-        arrays["of"] = np.cumsum(arrays["of"], dtype=arrays["of"].dtype)
-        names = _unpacked(state["names"]).tobytes().decode()
-        self.__init__({t: j for j, t in enumerate(names.split("\n") if names else [])}, k=state["k"], knots=state["knots"],
-                      bare=state["bare"], **arrays)
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    @cached_property
+    def names(self) -> list[str]:
+        return _lines(self.words)
+
+    @cached_property
+    def terms(self) -> dict[str, int]:
+        return {t: j for j, t in enumerate(self.names)}
+
+    @cached_property
+    def idf(self) -> np.ndarray:
+        return 1 + np.log((self.total + 1) / (_unpacked(self.frequency).astype(float) + 1))
+
+    @cached_property
+    def marked(self) -> np.ndarray:
+        """Whether a term marks toxic examples."""
+        out = np.zeros(len(self.names), bool)
+        out[[self.terms[t] for t in self.chosen]] = True
+        return out
+
+    @cached_property
+    def stems(self) -> frozenset[str]:
+        return frozenset(t.partition("*")[0] for t in self.chosen if "*" in t)
+
+    @cached_property
+    def heads(self) -> frozenset[str]:
+        return frozenset(t[:STEMS[0]] for t in self.stems)
+
+    @cached_property
+    def stemmed(self) -> np.ndarray:
+        """Whether a term begins as a marking stem does; the last entry, of unknown
+        words, is true."""
+        begins = pc.utf8_slice_codeunits(pa.array(self.names, pa.string()), 0, STEMS[0])
+        found = pc.is_in(begins, value_set=pa.array(sorted(self.heads), pa.string()))
+        return np.append(found.to_numpy(zero_copy_only=False).astype(bool), True)
+
+    @cached_property
+    def _laid(self) -> tuple[np.ndarray, np.ndarray, BlockMaxIndex]:
+        read = [[_unpacked(x) for x in pickle.loads(p)] for p in self.parts]
+        none = [np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32)]
+        for part in read:
+            part[3] = np.cumsum(part[3], dtype=np.int32)
+        ids, toxic, sizes, of, counts = (np.concatenate(x) for x in zip(none, *read))
+        del read
+        order = np.argsort(ids, kind="stable")
+        if (np.diff(order) < 0).any():
+            starts = (np.cumsum(sizes) - sizes)[order]
+            ids, toxic, sizes = ids[order], toxic[order], sizes[order]
+            at = np.repeat((starts - np.cumsum(sizes) + sizes).astype(np.int32), sizes)
+            at += np.arange(len(at), dtype=np.int32)
+            of, counts = of[at], counts[at]
+            del at
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        weights = weights_of(of, counts, self.idf, self.marked, row, len(ids))
+        del row, counts
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        return ids, toxic, BlockMaxIndex(Vectors(starts, of, weights), len(self.names))
+
+    @property
+    def ids(self) -> np.ndarray:  # ascending
+        return self._laid[0]
+
+    @property
+    def toxic(self) -> np.ndarray:
+        return self._laid[1]
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        return self._laid[2]
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        counts = terms_of(text, self.stems, self.heads)
-        known = self.terms.get
-        terms = np.fromiter((known(t, -1) for t in counts), np.int64, len(counts))
-        n = np.fromiter(counts.values(), float, len(counts))
-        order = np.argsort(terms)[np.count_nonzero(terms < 0):]
-        terms, n = terms[order], n[order]
-        return terms, weights_of(terms, n, self.idf, self.marked)
+        return self.vectors([text])[0]
+
+    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ascending terms, weights) of every text."""
+        known, stems, stemmed = self.terms.get, self.stems, self.stemmed
+        found: list[int] = []
+        times: list[int] = []
+        ends = [0]
+        for text in texts:
+            counts = Counter(_WORD.findall((text or "").lower()))
+            at = [known(w, -1) for w in counts]
+            found += at
+            times += counts.values()
+            if stems:
+                # few words can have a stem: unknown ones, and those that begin as one
+                words = list(counts.items())
+                more = stem_terms([words[i] for i in np.flatnonzero(stemmed[at]).tolist()], stems, self.heads)
+                found += [known(t, -1) for t in more]
+                times += more.values()
+            ends.append(len(found))
+        terms, n = np.array(found, np.int64), np.array(times, float)
+        row = np.repeat(np.arange(len(texts)), np.diff(ends))
+        order = np.argsort((row << 32) + terms)
+        order = order[terms[order] >= 0]
+        terms, n, row = terms[order], n[order], row[order]
+        weights = weights_of(terms, n, self.idf, self.marked, row, len(texts))
+        ends = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+        return [(terms[a:b], weights[a:b]) for a, b in zip(ends, ends[1:])]
 
     def vote(self, near: list[tuple[float, int]]) -> float | None:
         if not near:
@@ -280,19 +375,13 @@ class ToxicityModel:
 
     def score(self, texts: list[str | None]) -> list[tuple[float, list[int], list[str]]]:
         """(score, ids that voted, heaviest terms) of every text."""
-        vectors = [self.vector(t) for t in texts]
+        vectors = self.vectors(texts)
         out = []
         for (terms, weights), near in zip(vectors, self.index.search_many(vectors, self.k, self.ids)):
             heavy = terms[np.lexsort((terms, -weights))[:5]]
             out.append((self.calibrated(self.vote(near)), [int(self.ids[i]) for _, i in near], [self.names[t] for t in heavy.tolist()]))
         return out
 
-    @property
-    def names(self) -> list[str]:
-        if "_names" not in self.__dict__:
-            self._names = list(self.terms)
-        return self._names
-
 
 def weigh(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
     """Unit TF-IDF vector of term counts."""
@@ -429,65 +518,53 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     # the words of the sample are bounded by its bytes
     kept = counted.where(F.expr("term <> '' and instr(term, '*') = 0") | F.col("term").isin([t for t in chosen if "*" in t]))
     kept = kept.select("term", (F.col("clean") + F.col("marked")).cast("int").alias("n")).toArrow().sort_by("term")
-    frequency = kept.column("n").to_numpy().astype(float)
-    terms = {t: j for j, t in enumerate(kept.column("term").to_pylist())}
-    del kept
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), _whole(kept.column("term"))), "\n")[0]
+    words = _packed(np.frombuffer(lines.as_buffer() if len(kept) else b"", np.uint8))
+    frequency = _packed(kept.column("n").to_numpy())
+    del kept, lines
+    pa.default_memory_pool().release_unused()
     stems = frozenset(t.partition("*")[0] for t in chosen if "*" in t)
 
-    def vectors(batches):
+    def pack(batches):
+        terms = {t: j for j, t in enumerate(_lines(words))}
         for batch in slices(batches):
-            found = []
-            for text in batch.column(2).to_pylist():
-                counts = {terms[t]: c for t, c in terms_of(text, stems).items() if t in terms}
-                found.append(sorted(counts.items()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.int32())),
-                 pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
-
-    made = sample.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(
-        vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
-    ids, toxic = (made.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
-    sizes = pc.list_value_length(made.column("terms")).to_numpy().astype(np.int64)
-    flat = [made.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32) if len(ids) else np.empty(0, np.int32)
-            for c in ("terms", "counts")]
-    del made
-    model = build(ids, toxic, sizes, *flat, terms, frequency, chosen, n_clean, n_toxic, k)
-    del flat
+            toxic = batch.column(1).to_numpy()
+            found = [sorted((terms[t], c) for t, c in terms_of(text, stems).items() if t in terms) for text in batch.column(2).to_pylist()]
+            empty = np.array([not f for f in found], bool)
+            yield pa.RecordBatch.from_pydict({"empty": [int(empty.sum())], "toxic": [int(toxic[empty].sum())],
+                                              "part": [packed_examples(batch.column(0).to_numpy(), toxic, found)]})
+
+    parts = sample.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(
+        pack, "empty long, toxic long, part binary").collect()
+    total, n_empty = n_clean + n_toxic, sum(p.empty for p in parts)
+    bare = (float(sum(p.toxic for p in parts)) + 0.5) / (n_empty + 1) if n_toxic else 0.0
+    if n_toxic and not n_empty:
+        bare = (n_toxic + 0.5) / (total + 1)  # none to learn from: the rate of all examples
+    model = ToxicityModel(words, frequency, [bytes(p.part) for p in parts], chosen, total, k, bare, (np.array([0.0]), np.array([0.0])))
+    del parts
     calibrate(model, sample)
     scratch.drop()
     return model
 
 
-def build(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, names: dict[str, int],
-          frequency: np.ndarray, chosen: list[str], n_clean: int, n_toxic: int, k: int) -> ToxicityModel:
-    """Index over examples: their ids (ascending), labels and numbers of terms, and
-    the terms (ascending in each) and counts of all."""
-    total = n_clean + n_toxic
-    idf = 1 + np.log((total + 1) / (frequency + 1)) if len(frequency) else np.empty(0)
-    marked = np.zeros(len(names), bool)
-    marked[[names[t] for t in chosen]] = True
-    empty = sizes == 0
-    bare = (float(toxic[empty].sum()) + 0.5) / (float(empty.sum()) + 1) if n_toxic else 0.0
-    if n_toxic and not empty.any():
-        bare = (n_toxic + 0.5) / (total + 1)  # none to learn from: the rate of all examples
-    return ToxicityModel(names, idf, marked, ids, toxic, sizes, terms, counts, k, (np.array([0.0]), np.array([0.0])), bare)
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays([*column.chunks, pa.array([], column.type)])
 
 
 def calibrate(model: ToxicityModel, sample: DataFrame) -> None:
     """Knots from the examples (doc_id, text), each scored without itself in a task."""
-    if not len(model.ids):
-        return
 
     def votes(batches):
         for batch in slices(batches):
-            at = np.searchsorted(model.ids, batch.column(0).to_numpy()).tolist()
-            near = model.index.search_many([model.vector(t) for t in batch.column(1).to_pylist()], model.k, model.ids, at)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([model.vote(n) for n in near], pa.float64())], ["id", "vote"])
+            at = np.searchsorted(model.ids, batch.column(0).to_numpy())
+            near = model.index.search_many(model.vectors(batch.column(1).to_pylist()), model.k, model.ids, at.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([model.vote(n) for n in near], pa.float64()),
+                                              pa.array(model.toxic[at], pa.int64())], ["id", "vote", "toxic"])
 
-    found = sorted((r.id, r.vote) for r in sample.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        votes, "id long, vote double").where("vote is not null").collect())
+    found = sorted((r.id, r.vote, r.toxic) for r in sample.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        votes, "id long, vote double, toxic long").where("vote is not null").collect()) if model.parts else []
     if found:
-        model.knots = isotonic(np.array([v for _, v in found]), model.toxic[[i for i, _ in found]].astype(float))
+        model.knots = isotonic(np.array([v for _, v, _ in found]), np.array([y for _, _, y in found], float))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -3,6 +3,7 @@ held-out accuracy and defined cases."""
 
 import math
 import random
+import tracemalloc
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -47,6 +48,33 @@ def test_index_is_exact():
         assert all(math.isclose(a, b, abs_tol=1e-9) for (a, _), (b, _) in zip(got, want))
 
 
+def test_block_compares_signatures_in_bounded_memory():
+    n = 1500
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.choice(2**40, 6, replace=False)).astype(np.uint64) for _ in range(n // 2)] * 2
+    packed = minhash.signatures(np.stack([minhash.minima(s) for s in sets]))
+    tracemalloc.start()
+    found = list(minhash._Block(list(range(n)), sets, packed, None, (80, 100)).links())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(found) == [(i, i + n // 2) for i in range(n // 2)] and peak < 60e6
+
+
+def test_split_grams_give_a_row_a_document(spark, monkeypatch):
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    said = say(400)
+    docs = spark.createDataFrame([(i, say(120) + said[:400 - 2 * i] + say(120)) for i in range(60)], "doc_id long, text string")
+    cut = lambda: sorted(tuple(r) for r in substring.cut_repeats(docs).select("doc_id", "text", "spans", "repeats_of").collect())
+    whole, made, nearest = cut(), [], substring.nearest
+    monkeypatch.setattr(substring, "SPLIT", 10)
+    monkeypatch.setattr(substring, "nearest", lambda found, least_run: made.append(nearest(found, least_run)) or made[-1])
+    assert cut() == whole and sum(len(r[1]) < 400 for r in whole) == 59
+    rows = made[0].collect()
+    # from each of the session's four shuffle partitions at most one
+    assert 59 <= len(rows) <= 4 * 59 < sum(len(r.found) for r in rows)
+
+
 def test_isotonic_fit_is_monotone():
     x, y = np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0, 1, 0, 1, 1.0])
     knots = toxicity.isotonic(x, y)
@@ -111,6 +139,32 @@ def test_copies_of_a_rare_kind_are_found(spark):
     assert model.score([say(40)])[0][0] < 0.5 and model.score([f"{say(30)} vile"])[0][0] >= 0.5
 
 
+def test_driver_holds_the_toxicity_model_compressed(spark):
+    docs = spark.createDataFrame([(i, f"word{i} vile vileness other" if i % 3 else f"fine {i} day day") for i in range(90, 0, -1)],
+                                 "doc_id long, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("toxic"))
+    model = toxicity.fit(docs, labels, Scratch(spark, "t"))
+    toxicity.score_documents(docs, model).count()
+    laid = {"index", "of", "counts", "terms", "names", "_laid"}
+    assert not laid & set(vars(model))  # fitted, sent to tasks and calibrated, never laid out here
+    assert (np.diff(model.ids) > 0).all() and set(model.ids.tolist()) <= set(range(1, 91))
+    assert "_laid" in vars(model) and not laid & set(model.__getstate__())
+
+
+def test_vectors_of_many_texts(spark):
+    """As counted text by text, whatever words a text has."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), Scratch(spark, "t"), least_rows=1)
+    some = [r.text for r in docs.limit(40).collect()]
+    stems = [f"{s}xyz {s}xyz {s}" for s in sorted(model.stems)]
+    texts = [None, "", "0 !?", "qqqq zzzz", *some, *stems, " ".join(stems), some[0]]
+    for text, (terms, weights) in zip(texts, model.vectors(texts)):
+        counts = {model.terms[t]: n for t, n in toxicity.terms_of(text, model.stems).items() if t in model.terms}
+        assert terms.tolist() == sorted(counts)
+        want = toxicity.weights_of(terms, np.array([counts[t] for t in terms.tolist()], float), model.idf, model.marked)
+        assert np.allclose(weights, want, rtol=0, atol=1e-12)
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(0, 1), (None, 1), (5, None), (11, 0), (11, 1)], "doc_id long, toxic int")
     for marks in (labels, labels.limit(0)):
