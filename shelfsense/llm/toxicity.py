@@ -50,7 +50,9 @@ LEVELS = (1, 2, 3, 5)
 #: Share of a vector's squared length that its marking terms have.
 MARKED = 0.9
 #: Terms of more than one in so many examples are common.
-COMMON = 6
+COMMON = 10
+#: Postings of a term, from which on they are copied as a run and not picked one by one.
+RUN = 256
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -180,9 +182,16 @@ class BlockMaxIndex:
             common[row, column[often]] = values[often]
             terms, values = terms[~often], values[~often]
             lo, size = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
-            at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-            if len(at):
-                scores[row] = np.bincount(self.places[at], weights=np.repeat(values, size) * self.weights[at], minlength=scores.shape[1])
+            if not size.any():
+                continue
+            long = size >= RUN
+            runs = [slice(a, a + n) for a, n in zip(lo[long].tolist(), size[long].tolist())]
+            lo, short = lo[~long], size[~long]
+            at = np.repeat(lo - np.cumsum(short) + short, short) + np.arange(short.sum())
+            added = np.concatenate([*[self.weights[r] for r in runs], self.weights[at]])
+            added *= np.repeat(np.concatenate([values[long], values[~long]]), np.concatenate([size[long], short]))
+            places = np.concatenate([*[self.places[r] for r in runs], self.places[at]])
+            scores[row] = np.bincount(places, weights=added, minlength=scores.shape[1])
         parts = scores.reshape(m, self.blocks, block)
         bounds = parts.max(axis=2) + common @ self.most
         bounds[bounds <= 0] = -1.0

@@ -48,6 +48,21 @@ def test_index_is_exact():
         assert all(math.isclose(a, b, abs_tol=1e-9) for (a, _), (b, _) in zip(got, want))
 
 
+def test_long_postings_are_added_as_runs(monkeypatch):
+    """Rare terms on both sides of the length from which postings are copied as runs."""
+    rng = random.Random(3)
+    vectors = [toxicity.weigh({t: rng.randint(1, 4) for t in rng.sample(range(60), rng.randint(1, 6))}, np.ones(60)) for _ in range(300)]
+    ids = np.arange(300)
+    for run in (1, 25, 10**6):
+        monkeypatch.setattr(toxicity, "RUN", run)
+        monkeypatch.setattr(toxicity, "COMMON", 8)
+        index = toxicity.BlockMaxIndex(vectors, 61, block=16)
+        queries = [toxicity.weigh({t: 1 for t in rng.sample(range(61), n)}, np.ones(61)) for n in (1, 2, 9, 30)]
+        for query in [*queries, {60: 1.0}, {}]:
+            every = sorted(((-round(sum(w * v.get(t, 0) for t, w in query.items()), 12), i) for i, v in enumerate(vectors)))
+            assert [(c, i) for c, i in index.search(query, 10, ids)] == [(-c, i) for c, i in every if c < 0][:10]
+
+
 def test_block_compares_signatures_in_bounded_memory():
     n = 1500
     rng = np.random.default_rng(5)
