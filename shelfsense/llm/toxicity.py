@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfsense.llm._common import Scratch, crc_fold, slices
+from shelfsense.llm._common import Scratch, crc_fold, give_back, slices
 
 STEMS = (4, 5, 6)
 #: A stem found at least so often in a text is a term of its own.
@@ -53,6 +53,8 @@ MARKED = 0.9
 COMMON = 10
 #: Postings of a term, from which on they are copied as a run and not picked one by one.
 RUN = 256
+#: Examples laid out at a time.
+ROWS = 512
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -101,21 +103,9 @@ class Vectors:
         return self.terms[a:b], self.weights[a:b]
 
 
-def _by_term(terms: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Order by term, then place."""
-    n = len(terms)
-    if not n or int(terms.max()) >= 1 << 20 or int(places.max()) >= 1 << 20 or n >= 1 << 24:
-        return np.lexsort((places, terms))
-    # term, place and position in one number, so that one plain sort does
-    key = np.arange(n, dtype=np.uint64)
-    for values, bits in ((places, 24), (terms, 44)):
-        part = values.astype(np.uint64)
-        part <<= np.uint64(bits)
-        key |= part
-    del part
-    key.sort()
-    key &= np.uint64((1 << 24) - 1)
-    return key.astype(np.int32)
+def _within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of runs that begin at ``starts``, run after run."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 class BlockMaxIndex:
@@ -129,34 +119,53 @@ class BlockMaxIndex:
         v = vectors if isinstance(vectors, Vectors) else Vectors.of(vectors)
         n = self.n = len(v)
         self.block, self.n_terms = block, n_terms
-        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(v.starts))
-        frequency = np.bincount(v.terms, minlength=self.n_terms)
+        frequency = np.zeros(n_terms, np.int64)
+        for a in range(0, n, ROWS):
+            frequency += np.bincount(v.terms[v.starts[a]:v.starts[min(a + ROWS, n)]], minlength=n_terms)
         common = np.flatnonzero(frequency > max(n // COMMON, 8))
-        self.column = np.full(self.n_terms, -1, np.int32)
+        self.column = np.full(n_terms, -1, np.int32)
         self.column[common] = np.arange(len(common))
-        often = self.column[v.terms] >= 0
         dense = np.zeros((n, len(common)))
-        dense[row[often], self.column[v.terms[often]]] = v.weights[often]
+        for a in range(0, n, ROWS):
+            row, at = self._entries(v, np.arange(a, min(a + ROWS, n)))
+            often = self.column[v.terms[at]] >= 0
+            dense[row[often] + a, self.column[v.terms[at[often]]]] = v.weights[at[often]]
         # similar examples stand together: tighter bounds
-        light = (dense * dense).sum(axis=1) < 0.5
+        light = np.einsum("ij,ij->i", dense, dense) < 0.5
         near = np.zeros(n, np.int64)
         if n and len(common):
             near = (dense @ dense[np.linspace(0, n - 1, min(16, n)).astype(int)].T).argmax(axis=1)
         self.order = np.lexsort((np.arange(n), near, light))
-        place = np.empty(n, np.int32)
-        place[self.order] = np.arange(n)
         self.blocks = -(-n // block)
-        whole = np.zeros((self.blocks * block, len(common)))
-        whole[:n] = dense[self.order]
+        self.dense = np.zeros((self.blocks, len(common), block))
+        for b in range(self.blocks):
+            rows = self.order[b * block:(b + 1) * block]
+            self.dense[b, :, :len(rows)] = dense[rows].T
         del dense
-        self.dense = np.ascontiguousarray(whole.reshape(self.blocks, block, len(common)).transpose(0, 2, 1))
         self.most = self.dense.max(axis=2).T.copy()
-        rare = ~often
-        places, terms, weights = place[row[rare]], v.terms[rare], v.weights[rare]
-        del whole, row, often, rare
-        by_term = _by_term(terms, places)
-        self.places, self.weights = places[by_term], weights[by_term]
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=self.n_terms))])
+        # postings by term, then place: some places at a time are put behind those before
+        frequency[common] = 0
+        self.starts = np.concatenate([[0], np.cumsum(frequency)])
+        self.places, self.weights = np.empty(self.starts[-1], np.int32), np.empty(self.starts[-1])
+        filled = self.starts[:-1].copy()
+        for a in range(0, n, ROWS):
+            row, at = self._entries(v, self.order[a:a + ROWS])
+            rare = self.column[v.terms[at]] < 0
+            row, at = row[rare], at[rare]
+            by_term = np.argsort(v.terms[at], kind="stable")
+            row, at = row[by_term], at[by_term]
+            terms = v.terms[at]
+            first = np.flatnonzero(np.diff(terms, prepend=-1))
+            sizes = np.diff(first, append=len(terms))
+            to = _within(filled[terms[first]], sizes)
+            self.places[to], self.weights[to] = row + a, v.weights[at]
+            filled[terms[first]] += sizes
+
+    @staticmethod
+    def _entries(v: Vectors, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the entries of ``rows`` are in ``v``, after whose of them each is."""
+        sizes = v.starts[rows + 1] - v.starts[rows]
+        return np.repeat(np.arange(len(rows), dtype=np.int32), sizes), _within(v.starts[rows], sizes)
 
     def search(self, query, k: int, tie: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
         """The k best (cosine, example) with cosine > 0, ties to the smaller
@@ -187,7 +196,7 @@ class BlockMaxIndex:
             long = size >= RUN
             runs = [slice(a, a + n) for a, n in zip(lo[long].tolist(), size[long].tolist())]
             lo, short = lo[~long], size[~long]
-            at = np.repeat(lo - np.cumsum(short) + short, short) + np.arange(short.sum())
+            at = _within(lo, short)
             added = np.concatenate([*[self.weights[r] for r in runs], self.weights[at]])
             added *= np.repeat(np.concatenate([values[long], values[~long]]), np.concatenate([size[long], short]))
             places = np.concatenate([*[self.places[r] for r in runs], self.places[at]])
@@ -243,9 +252,42 @@ def _unpacked(packed: tuple[str, int, bytes]) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=max(size, 1), codec="zstd", asbytes=True)[:size], kind)
 
 
-def _lines(packed: tuple[str, int, bytes]) -> list[str]:
+def _lines(packed: tuple[str, int, bytes]) -> pa.Array:
     joined = _unpacked(packed).tobytes().decode()
-    return joined.split("\n") if joined else []
+    return pc.split_pattern(pa.array([joined] if joined else [], pa.string()), "\n").flatten()
+
+
+class Numbers:
+    """Numbers of names, which are held as one Arrow array and found by their
+    hashes: a few bytes a name, where a dict has well over a hundred."""
+
+    def __init__(self, names: pa.Array):
+        self.names = names
+        hashes = np.concatenate([np.empty(0, np.int64), *[
+            self._hashes(names.slice(a, 1 << 16).to_numpy(zero_copy_only=False)) for a in range(0, len(names), 1 << 16)]])
+        self.at = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.at]
+
+    @staticmethod
+    def _hashes(words: list[str] | np.ndarray) -> np.ndarray:
+        return np.fromiter(map(hash, words), np.int64, len(words))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The number of every word, -1 if it has none."""
+        out = np.full(len(words), -1, np.int64)
+        if not len(self.names) or not words:
+            return out
+        own = self._hashes(words)
+        place = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        held = np.flatnonzero(self.hashes[place] == own)
+        out[held] = self.at[place[held]]
+        # the hash of another name: looked up in full
+        same = pc.equal(self.names.take(pa.array(out[held])), pa.array([words[i] for i in held.tolist()], pa.string()))
+        other = held[~same.to_numpy(zero_copy_only=False).astype(bool)]
+        if len(other):
+            found = pc.index_in(pa.array([words[i] for i in other.tolist()], pa.string()), value_set=self.names)
+            out[other] = found.fill_null(-1).to_numpy()
+        return out
 
 
 def packed_examples(ids: np.ndarray, toxic: np.ndarray, found: list[list[tuple[int, int]]]) -> bytes:
@@ -275,10 +317,14 @@ class ToxicityModel:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
     @cached_property
+    def numbers(self) -> Numbers:
+        return Numbers(_lines(self.words))
+
+    @property
     def names(self) -> list[str]:
-        return _lines(self.words)
+        return self.numbers.names.to_pylist()
 
-    @cached_property
+    @property
     def terms(self) -> dict[str, int]:
         return {t: j for j, t in enumerate(self.names)}
 
@@ -289,8 +335,8 @@ class ToxicityModel:
     @cached_property
     def marked(self) -> np.ndarray:
         """Whether a term marks toxic examples."""
-        out = np.zeros(len(self.names), bool)
-        out[[self.terms[t] for t in self.chosen]] = True
+        out = np.zeros(len(self.numbers.names), bool)
+        out[self.numbers.of(self.chosen)] = True
         return out
 
     @cached_property
@@ -305,7 +351,7 @@ class ToxicityModel:
     def stemmed(self) -> np.ndarray:
         """Whether a term begins as a marking stem does; the last entry, of unknown
         words, is true."""
-        begins = pc.utf8_slice_codeunits(pa.array(self.names, pa.string()), 0, STEMS[0])
+        begins = pc.utf8_slice_codeunits(self.numbers.names, 0, STEMS[0])
         found = pc.is_in(begins, value_set=pa.array(sorted(self.heads), pa.string()))
         return np.append(found.to_numpy(zero_copy_only=False).astype(bool), True)
 
@@ -318,18 +364,20 @@ class ToxicityModel:
         ids, toxic, sizes, of, counts = (np.concatenate(x) for x in zip(none, *read))
         del read
         order = np.argsort(ids, kind="stable")
-        if (np.diff(order) < 0).any():
-            starts = (np.cumsum(sizes) - sizes)[order]
-            ids, toxic, sizes = ids[order], toxic[order], sizes[order]
-            at = np.repeat((starts - np.cumsum(sizes) + sizes).astype(np.int32), sizes)
-            at += np.arange(len(at), dtype=np.int32)
-            of, counts = of[at], counts[at]
-            del at
-        row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        weights = weights_of(of, counts, self.idf, self.marked, row, len(ids))
-        del row, counts
+        from_, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        return ids, toxic, BlockMaxIndex(Vectors(starts, of, weights), len(self.names))
+        terms, weights = np.empty_like(of), np.empty(len(of))
+        for a in range(0, len(ids), ROWS):
+            own = sizes[a:a + ROWS]
+            at, to = _within(from_[a:a + ROWS], own), slice(starts[a], starts[a + len(own)])
+            terms[to] = of[at]
+            weights[to] = weights_of(of[at], counts[at], self.idf, self.marked, np.repeat(np.arange(len(own)), own), len(own))
+        del of, counts
+        ids, toxic = ids[order], toxic[order]
+        index = BlockMaxIndex(Vectors(starts, terms, weights), len(self.numbers.names))
+        del terms, weights
+        give_back()
+        return ids, toxic, index
 
     @property
     def ids(self) -> np.ndarray:  # ascending
@@ -348,24 +396,30 @@ class ToxicityModel:
 
     def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ascending terms, weights) of every text."""
-        known, stems, stemmed = self.terms.get, self.stems, self.stemmed
-        found: list[int] = []
+        words: list[str] = []
         times: list[int] = []
         ends = [0]
         for text in texts:
             counts = Counter(_WORD.findall((text or "").lower()))
-            at = [known(w, -1) for w in counts]
-            found += at
+            words += counts
             times += counts.values()
-            if stems:
-                # few words can have a stem: unknown ones, and those that begin as one
-                words = list(counts.items())
-                more = stem_terms([words[i] for i in np.flatnonzero(stemmed[at]).tolist()], stems, self.heads)
-                found += [known(t, -1) for t in more]
-                times += more.values()
-            ends.append(len(found))
-        terms, n = np.array(found, np.int64), np.array(times, float)
+            ends.append(len(words))
+        terms = self.numbers.of(words)
         row = np.repeat(np.arange(len(texts)), np.diff(ends))
+        if self.stems:
+            # few words can have a stem: unknown ones, and those that begin as one
+            may = np.flatnonzero(self.stemmed[terms])
+            cuts = np.searchsorted(may, ends).tolist()
+            more: list[str] = []
+            sizes = []
+            for a, b in zip(cuts, cuts[1:]):
+                own = stem_terms([(words[i], times[i]) for i in may[a:b].tolist()], self.stems, self.heads)
+                more += own
+                times += own.values()
+                sizes.append(len(own))
+            terms = np.concatenate([terms, self.numbers.of(more)])
+            row = np.concatenate([row, np.repeat(np.arange(len(texts)), sizes)])
+        n = np.array(times, float)
         order = np.argsort((row << 32) + terms)
         order = order[terms[order] >= 0]
         terms, n, row = terms[order], n[order], row[order]
@@ -388,7 +442,7 @@ class ToxicityModel:
         out = []
         for (terms, weights), near in zip(vectors, self.index.search_many(vectors, self.k, self.ids)):
             heavy = terms[np.lexsort((terms, -weights))[:5]]
-            out.append((self.calibrated(self.vote(near)), [int(self.ids[i]) for _, i in near], [self.names[t] for t in heavy.tolist()]))
+            out.append((self.calibrated(self.vote(near)), [int(self.ids[i]) for _, i in near], self.numbers.names.take(pa.array(heavy)).to_pylist()))
         return out
 
 
@@ -500,7 +554,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
                 own[""] = own.get("", 0) + 1  # rows
                 for term in terms_of(text):
                     own[term] = own.get(term, 0) + 1
-            if len(seen[0]) + len(seen[1]) > 200_000:
+            if len(seen[0]) + len(seen[1]) > 100_000:
                 yield from counts()
         yield from counts()
 
@@ -535,10 +589,12 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     stems = frozenset(t.partition("*")[0] for t in chosen if "*" in t)
 
     def pack(batches):
-        terms = {t: j for j, t in enumerate(_lines(words))}
+        numbers = Numbers(_lines(words))
         for batch in slices(batches):
             toxic = batch.column(1).to_numpy()
-            found = [sorted((terms[t], c) for t, c in terms_of(text, stems).items() if t in terms) for text in batch.column(2).to_pylist()]
+            counts = [terms_of(text, stems) for text in batch.column(2).to_pylist()]
+            found = [sorted((j, c) for j, c in zip(numbers.of(list(own)).tolist(), own.values()) if j >= 0) for own in counts]
+            del counts
             empty = np.array([not f for f in found], bool)
             yield pa.RecordBatch.from_pydict({"empty": [int(empty.sum())], "toxic": [int(toxic[empty].sum())],
                                               "part": [packed_examples(batch.column(0).to_numpy(), toxic, found)]})

@@ -8,6 +8,7 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,52 @@ def test_long_postings_are_added_as_runs(monkeypatch):
             assert [(c, i) for c, i in index.search(query, 10, ids)] == [(-c, i) for c, i in every if c < 0][:10]
 
 
+def test_postings_stand_by_term_and_place(monkeypatch):
+    """Laid out some examples at a time, as one sort would put them."""
+    rng = random.Random(4)
+    vectors = [{t: rng.random() for t in rng.sample(range(80), rng.randint(0, 9))} for _ in range(150)]
+    for rows in (1, 7, 1000):
+        monkeypatch.setattr(toxicity, "ROWS", rows)
+        index = toxicity.BlockMaxIndex(vectors, 80, block=16)
+        place = {e: p for p, e in enumerate(index.order.tolist())}
+        for t in range(80):
+            run = slice(index.starts[t], index.starts[t + 1])
+            want = sorted((place[e], v[t]) for e, v in enumerate(vectors) if t in v) if index.column[t] < 0 else []
+            assert list(zip(index.places[run].tolist(), index.weights[run].tolist())) == want
+
+
+def test_names_are_told_apart_when_their_hashes_are_equal(monkeypatch):
+    names = pa.array(["", "a", "b", "straße", "word", "words"])
+    words = ["word", "b", "unknown", "", "straße", "words", "a", "word"]
+    want = [4, 2, -1, 0, 3, 5, 1, 4]
+    assert toxicity.Numbers(names).of(words).tolist() == want
+    monkeypatch.setattr(toxicity.Numbers, "_hashes", staticmethod(lambda words: np.array([len(w) // 5 for w in words], np.int64)))
+    assert toxicity.Numbers(names).of(words).tolist() == want
+    assert toxicity.Numbers(names.slice(0, 0)).of(words).tolist() == [-1] * 8 and toxicity.Numbers(names).of([]).tolist() == []
+
+
+def test_toxicity_model_is_laid_out_in_little_memory():
+    """Next to what a task keeps: no Python object for each word, no second copy of all postings."""
+    rng = np.random.default_rng(8)
+    names = sorted(f"word{i}" for i in range(100_000))
+    found = [[(t, 1 + t % 3) for t in np.unique(rng.integers(0, len(names), 100)).tolist()] for _ in range(4000)]
+    parts = [toxicity.packed_examples(np.arange(a, a + 500), np.arange(500) % 2, found[a:a + 500]) for a in range(3500, -1, -500)]
+    pack = lambda a: toxicity._packed(a)
+    frequency = np.bincount([t for f in found for t, _ in f], minlength=len(names))
+    model = toxicity.ToxicityModel(pack(np.frombuffer("\n".join(names).encode(), np.uint8)), pack(frequency), parts,
+                                   names[:9], 4000, 15, 0.5, (np.array([0.0]), np.array([0.0])))
+    del names, found
+    pa.array(["a"]).to_numpy(zero_copy_only=False)  # imports on first use
+    tracemalloc.start()
+    try:
+        assert model.ids.tolist() == list(range(4000))
+        model.vectors(["word1 word2 nothing"])
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert kept < 13e6 and most < 27e6
+
+
 def test_block_compares_signatures_in_bounded_memory():
     n = 1500
     rng = np.random.default_rng(5)
