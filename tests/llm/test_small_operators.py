@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -314,6 +315,34 @@ def test_likeness_counts_every_anchor(spark):
         assert rows[i].fingerprint.count(",") == syncmers.KEPT - 1
 
 
+def test_units_of_a_text_are_found_once(spark):
+    df = spark.createDataFrame([(1, "some words of a text"), (2, "and of another")], "doc_id long, text string")
+    plan = syncmers.fingerprints(df)._jdf.queryExecution().optimizedPlan().toString()
+    read = re.findall(r"regexp_extract_all\((.*?), \[", re.sub(r"#\d+L?", "", plan))
+    # the text in two parts, and what the edited text does not share with it
+    end = str(2**31 - 1)
+    assert sorted(read) == sorted(["substring(text, 1, cut)", f"substring(text, (cut + 1), {end})", f"substring(edited, (cut + 1), {end})"])
+
+
+def test_edited_anchors_equal_those_of_the_whole_edited_text(spark):
+    rng = random.Random(4)
+    parts = ["a", "bb", "the", "of", " ", " ", " ", "  ", "\t", "\n", ".", "中", "é", "e\u0301", "\U0001d518", "x" * 30, "ไท"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 3, 6, 8, 11, 16, 30, 80]))) for _ in range(300)]
+    rows = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    edited = [x[:len(x) - len(x) // 4] + y[:len(x) // 4] for x, y in zip(texts, texts[1:] + texts[:1])]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + edited)], "i long, t string")
+    whole = syncmers.with_anchors(df, "t", "k", None).withColumn("print", syncmers.as_text("k"))
+    every = {r.i: ({a.h: a.p for a in r.k}, r.print) for r in whole.collect()}
+    n = len(texts)
+    share = lambda a, b: 2 * len(set(a) & set(b)) / (len(a) + len(b)) if a or b else 1
+    for i, r in rows.items():
+        own, changed, after = every[i][0], every[n + i][0], every[(i + 1) % n][0]
+        shifts = sorted(changed[h] - p for h, p in own.items() if h in changed)
+        assert (r.fingerprint, r.edited_fingerprint) == (every[i][1], every[n + i][1])
+        assert (r.near_edited, r.near_next) == (share(own, changed), share(own, after))
+        assert r.aligned_edited == (shifts.count(shifts[len(shifts) // 2]) / len(shifts) if shifts else 0)
+
+
 def test_fingerprints_of_odd_rows(spark, odd):
     rows = syncmers.fingerprints(odd).collect()
     docs = [(r.doc_id, r.text or "") for r in odd.collect()]
