@@ -22,8 +22,9 @@ nearby bytes alone, so insertions shift nothing) without that loss.
    earlier document holds too are cut whole.
 2. Where a gram has several surroundings, one text of each meets the others in
    one bucket, and the first document of every string in them is found by sorting
-   its 128-bit key.  Grams with more than ``SPLIT`` occurrences are split by key
-   ranges, so no task holds all surroundings of a common gram.
+   its 128-bit key.  Grams with more than ``SPLIT`` occurrences are split: their
+   surroundings by salts, the distinct strings of each salt by key ranges, so no
+   task holds all surroundings of a common gram, or all places of a string.
 
 Defined cases: null and empty texts have no anchors and stay as they are;
 rows that share an id count as one document; rows without an id take no part;
@@ -179,7 +180,7 @@ class Strings:
     around, lead, text): their keys, documents, and places after the gram's."""
 
     def __init__(self, rows: list[tuple], spans: Spans, least_run: int):
-        sizes = np.array([len(r[4]) for r in rows])
+        sizes = np.array([len(r[4]) for r in rows], np.int64)  # also of no rows: all may belong to split grams
         counts = np.maximum(sizes - least_run + 1, 0)
         of = np.repeat(np.arange(len(rows)), counts)
         offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -196,44 +197,79 @@ class Strings:
 _OTHER = bytes(np.random.default_rng(13).permutation(256).astype(np.uint8))
 
 
-def _repeated(keys, second, doc, around, place) -> list[tuple[int, int, int, int, int]]:
-    """(doc_id, around, first place, last place, earliest document) of the runs of
-    strings that an earlier document holds too."""
+def _firsts(keys, second, doc) -> np.ndarray:
+    """The earliest document of every string."""
     order = np.lexsort((doc, second, keys))
-    new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (second[order][1:] != second[order][:-1])]) if len(order) else np.empty(0, bool)
     first = np.empty(len(order), np.int64)
-    first[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else 0
-    hit = np.flatnonzero(first < doc)
-    hit = hit[np.lexsort((place[hit], around[hit], doc[hit]))]
+    if len(order):
+        new = np.flatnonzero(_changes(keys[order], second[order]))
+        first[order] = np.repeat(doc[order][new], np.diff(np.append(new, len(order))))
+    return first
+
+
+def _changes(*columns) -> np.ndarray:
+    """Whether a row of sorted columns differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _repeated(s: Strings, known=None) -> list[tuple[int, int, int, int, int]]:
+    """(doc_id, around, first place, last place, earliest document) of the runs of
+    strings that an earlier document holds too; ``known``: keys, second keys and
+    documents of strings found elsewhere."""
+    parts = [(s.keys, s.second, s.doc), *([known] if known else [])]
+    first = _firsts(*map(np.concatenate, zip(*parts)))[:len(s.doc)]
+    hit = np.flatnonzero(first < s.doc)
+    hit = hit[np.lexsort((s.place[hit], s.around[hit], s.doc[hit]))]
     if not len(hit):
         return []
-    d, a, p, f = doc[hit], around[hit], place[hit], first[hit]
+    d, a, p, f = s.doc[hit], s.around[hit], s.place[hit], first[hit]
     starts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] != a[:-1]) | (p[1:] > p[:-1] + 1)]))
     last = np.concatenate([starts[1:], [len(hit)]]) - 1
     return list(zip(d[starts].tolist(), a[starts].tolist(), p[starts].tolist(), p[last].tolist(), np.minimum.reduceat(f, starts).tolist()))
 
 
-#: Rows between the two steps: a run that was found, or (where keys are given) the
-#: strings of one key range of a split gram.
-_STEP = ("gram long, part int, doc_id long, around long, lo long, hi long, of long, "
-         "keys binary, second binary, docs binary, arounds binary, places binary")
+#: Rows between the steps: a run that was found (its gram is the document, its part
+#: -1; gathered by document in ``found`` later), a surrounding of a split gram (its
+#: part is the salt, ``lo`` the lead), or the distinct strings of a key range that the
+#: surroundings of one salt hold, with the earliest document of each.
+_RUNS = pa.list_(pa.struct([(c, pa.int64()) for c in ("around", "lo", "hi", "of")]))
+_KINDS = {"gram": pa.int64(), "part": pa.int32(), "salt": pa.int32(), **dict.fromkeys(["doc_id", "around", "lo", "hi", "of"], pa.int64()),
+          **dict.fromkeys(["keys", "second", "docs", "text"], pa.binary()), "found": _RUNS}
+_STEP = ", ".join(f"{c} {({pa.int64(): 'long', pa.int32(): 'int', pa.binary(): 'binary'}).get(k, 'array<struct<around: long, lo: long, hi: long, of: long>>')}"
+                  for c, k in _KINDS.items())
+
+
+def _step(names: str, rows) -> pa.RecordBatch:
+    """Rows of the columns ``names``; the others are null."""
+    columns = dict(zip(names.split(), zip(*rows)))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(len(rows), k) for c, k in _KINDS.items()], list(_KINDS))
 
 
-def _step(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32()] + [pa.int64()] * 5 + [pa.binary()] * 5
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [c.split()[0] for c in _STEP.split(", ")])
+def _gathered(runs: list[tuple]) -> tuple[pa.Array, pa.Array]:
+    """The runs of each document: its id and a list."""
+    table = np.array(runs, np.int64).reshape(-1, 5)
+    table = table[np.argsort(table[:, 0], kind="stable")]
+    starts = np.flatnonzero(_changes(table[:, 0]))
+    found = pa.StructArray.from_arrays([pa.array(table[:, i].copy()) for i in range(1, 5)], fields=list(_RUNS.value_type))
+    return pa.array(table[starts, 0]), pa.ListArray.from_arrays(pa.array(np.append(starts, len(table)), pa.int32()), found, type=_RUNS)
 
 
 def _groups(batches, limit: int):
-    """Rows sorted by their first two columns, in lists that end between keys."""
+    """Rows sorted by their first two columns, in lists that end between keys; rows
+    that have ``found`` are left out, an empty list stands for them."""
     held, size, last = [], 0, None
-    for batch in slices(batches, 4096):
+    for batch in slices(batches):
+        if "found" in batch.schema.names and batch.column("found").null_count < batch.num_rows:
+            yield []
+            batch = batch.filter(batch.column("found").is_null())
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if held and row[:2] != last and size >= limit:
                 yield held
                 held, size = [], 0
             held.append(row)
-            size += 64 + len(row[-1] or b"")
+            size += 64 + sum(len(x) for x in row if type(x) is bytes)
             last = row[:2]
     if held:
         yield held
@@ -242,46 +278,75 @@ def _groups(batches, limit: int):
 def nearest(found: DataFrame, least_run: int) -> DataFrame:
     """doc_id and found: (around, lo, hi, of) of the runs of strings in a gram's
     surroundings (by their places after the gram's) that an earlier document holds,
-    and the first of these documents.  A task gathers what it finds of a document:
-    the key ranges of a split gram break runs into strings, which are not rows."""
+    and the first of these documents; a task gathers what it finds of a document.
+
+    The surroundings of a split gram are compared salt by salt.  What a salt's
+    strings meet elsewhere is asked by key ranges: each salt sends a string once,
+    however many of its surroundings hold it, and gets an answer where another has
+    an earlier document.  So no task holds all places of a common string."""
 
     def compare_or_cut(batches):
         spans = Spans()
         for rows in _groups(batches, COMPARED_BYTES):
-            s = Strings([(r[0], *r[3:]) for r in rows if r[2] == 1], spans, least_run)
-            yield _step([(doc, -1, doc, *rest, None, None, None, None, None)
-                         for doc, *rest in _repeated(s.keys, s.second, s.doc, s.around, s.place)])
-            split: dict[int, list] = {}
+            yield _step("gram part doc_id around lo hi of", [(run[0], -1, *run) for run in _repeated(
+                Strings([(r[0], *r[3:]) for r in rows if r[2] == 1], spans, least_run))])
+            split: dict[tuple, list] = {}
             for r in rows:
                 if r[2] > 1:
-                    split.setdefault(r[0], []).append(r)
-            for gram, members in split.items():
-                ranges = members[0][2]
+                    split.setdefault(r[:2], []).append(r)
+            for (gram, salt), members in split.items():
+                yield _step("gram part doc_id around lo text", [(gram, salt, *r[3:]) for r in members])
                 s = Strings([(r[0], *r[3:]) for r in members], spans, least_run)
-                part = s.keys // np.uint64((1 << 64) // ranges + 1)
-                order = np.argsort(part, kind="stable")
-                for p in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-                    if len(p):
-                        yield _step([(gram, int(part[p[0]]), None, None, None, None, None,
-                                      *[x[p].tobytes() for x in (s.keys, s.second, s.doc, s.around, s.place)])])
+                order = np.lexsort((s.doc, s.second, s.keys))
+                order = order[_changes(s.keys[order], s.second[order])]
+                keys, second, doc = s.keys[order], s.second[order], s.doc[order]
+                part = keys // np.uint64((1 << 64) // members[0][2] + 1)
+                edges = [*np.flatnonzero(_changes(part)).tolist(), len(part)]
+                yield _step("gram part salt keys second docs", [
+                    (gram, int(part[i]), salt, *[x[i:j].tobytes() for x in (keys, second, doc)]) for i, j in zip(edges, edges[1:])])
+
+    def strings(rows):
+        return [np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in ((8, np.uint64), (9, np.uint64), (10, np.int64))]
 
     def compare_ranges(batches):
         for rows in _groups(batches, COMPARED_BYTES):
-            out = [r[2:7] for r in rows if r[2] is not None]
-            cuts = [r[7:] for r in rows if r[7] is not None]
-            if cuts:
-                out += _repeated(*[np.concatenate([np.frombuffer(c[i], t) for c in cuts])
-                                   for i, t in enumerate((np.uint64, np.uint64, np.int64, np.int64, np.int64))])
-            runs = np.array(out, np.int64).reshape(-1, 5)
-            runs = runs[np.argsort(runs[:, 0], kind="stable")]
-            starts = np.flatnonzero(np.diff(runs[:, 0], prepend=runs[:1, 0] - 1))
-            found = pa.StructArray.from_arrays([pa.array(runs[:, i].copy()) for i in range(1, 5)], ["around", "lo", "hi", "of"])
-            ends = pa.array(np.append(starts, len(runs)), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(runs[starts, 0]), pa.ListArray.from_arrays(ends, found)], ["doc_id", "found"])
+            ids, runs = _gathered([r[3:8] for r in rows if r[1] < 0])
+            yield pa.RecordBatch.from_arrays([ids if c == "gram" else pa.array([-1] * len(ids), k) if c == "part" else runs if c == "found"
+                                              else pa.nulls(len(ids), k) for c, k in _KINDS.items()], list(_KINDS))
+            yield _step("gram part doc_id around lo text", [(*r[:2], *r[3:6], r[11]) for r in rows if r[11] is not None])
+            asked = [r for r in rows if r[8] is not None]
+            if asked:
+                keys, second, doc = strings(asked)
+                first = _firsts(keys, second, doc)
+                ends = np.cumsum([len(r[8]) // 8 for r in asked]).tolist()
+                answers = []
+                for r, i, j in zip(asked, [0, *ends], ends):
+                    met = np.flatnonzero(first[i:j] < doc[i:j]) + i
+                    if len(met):
+                        answers.append((r[0], r[2], *[x[met].tobytes() for x in (keys, second, first)]))
+                yield _step("gram part keys second docs", answers)
+
+    def finish(batches):
+        spans, gathered = Spans(), []
+
+        def read():
+            for batch in batches:
+                of = batch.filter(batch.column("found").is_valid())
+                gathered.append(of.select(["gram", "found"]).rename_columns(["doc_id", "found"]))
+                yield batch
+
+        for rows in _groups(read(), COMPARED_BYTES):
+            while gathered:
+                yield gathered.pop()
+            answers = [r for r in rows if r[8] is not None]
+            s = Strings([(r[0], *r[3:6], r[11]) for r in rows if r[11] is not None], spans, least_run)
+            yield pa.RecordBatch.from_arrays([*_gathered(_repeated(s, strings(answers) if answers else None))], ["doc_id", "found"])
+        yield from gathered
 
     met = found.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(compare_or_cut, _STEP)
+    met = met.repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(compare_ranges, _STEP)
     return met.repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(
-        compare_ranges, "doc_id long, found array<struct<around: long, lo: long, hi: long, of: long>>")
+        finish, "doc_id long, found array<struct<around: long, lo: long, hi: long, of: long>>")
 
 
 def repeats(docs: DataFrame, scratch: Scratch, least_run: int) -> DataFrame:

@@ -476,6 +476,21 @@ def test_strings_of_several_documents_are_left(spark):
     assert not any(r.has_repeat for r in got) and {r.doc_id: r.text for r in got} == dict(rows)
 
 
+@pytest.mark.parametrize("split", [3, 1000])
+def test_lists_of_split_grams_alone(spark, monkeypatch, split):
+    """Every list that a task compares is one key: many hold split grams alone."""
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    line = say(70)
+    rows = [(i, say(90) + line + say(90) + "on and " * (20 + i % 5) + say(60) + "over " * (25 + i % 3)) for i in range(80)]
+    monkeypatch.setattr(substring, "SPLIT", split)
+    monkeypatch.setattr(substring, "COMPARED_BYTES", 1)
+    got = {r.doc_id: r for r in substring.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.text for i, r in got.items()} == _cut_by_definition(dict(rows))
+    assert all(set(got[i].repeats_of) <= set(range(5)) for i in range(5, 80))
+    assert not len(substring.Strings([], Spans(), 96).keys)
+
+
 def test_substrings_of_odd_rows(spark, odd):
     rows = substring.cut_repeats(odd).collect()
     assert len(rows) == odd.count()
