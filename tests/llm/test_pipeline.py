@@ -105,6 +105,20 @@ def test_several_texts_of_an_id_stay(spark):
     assert got == Counter([(1, "a"), (0, "b"), (2, "c"), (7, "d")])
 
 
+def test_substrings_where_all_grams_of_a_list_are_split(spark, monkeypatch):
+    """A common line in texts that differ: its gram is split, and lists hold nothing else."""
+    monkeypatch.setattr(C.substring, "SPLIT", 4)
+    monkeypatch.setattr(C.substring, "COMPARED_BYTES", 1)
+    line, other = "a line of some words that very many of the texts hold", [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(60)]
+    rows = [(i, f"{x[:150]} {line} and more of it, the same in all of them but the first {line if i else 'end'} {x[150:]}", "en", "s", 1, i)
+            for i, x in enumerate(other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row long")
+    got = {r.doc_id: r for r in C.cut_repeated_passages(spark, docs, SF).collect()}
+    assert sorted(got) == list(range(60)) and got[0].text == rows[0][1] and got[0].n_chars == 1
+    for i in range(1, 60):
+        assert len(got[i].text) == got[i].n_chars < len(rows[i][1]) - 96 and got[i].text.startswith(other[i][:140]) and got[i].row == i
+
+
 def test_stages_on_odd_rows(spark):
     text = " ".join(f"word{i}" for i in range(80))
     rows = [(None, None, None, None, None, "s", 1, "p"), (None, text, "en", None, 9, None, None, None),
