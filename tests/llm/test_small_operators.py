@@ -315,6 +315,19 @@ def test_likeness_counts_every_anchor(spark):
         assert rows[i].fingerprint.count(",") == syncmers.KEPT - 1
 
 
+def test_every_anchor_is_printed(spark):
+    texts = [" ".join(f"{a}{i}" for i in range(n)) for a, n in (("a", 900), ("b", 300), ("c", 20), ("d", 3))] + [""]
+    rows = syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    edited = [x[:len(x) - len(x) // 4] + y[:len(x) // 4] for x, y in zip(texts, texts[1:] + texts[:1])]
+    every = [",".join(f"{a.h:010x}.{a.p}" for a in r.k) for r in syncmers.with_anchors(spark.createDataFrame(
+        list(enumerate(texts + edited)), "i long, t string"), "t", "k", None).orderBy("i").collect()]
+    assert every[0].count(",") > 3 * syncmers.KEPT and every[1].count(",") > syncmers.KEPT
+    for r in rows:
+        assert (r.anchors, r.edited_anchors) == (every[r.doc_id], every[len(texts) + r.doc_id])
+        assert r.fingerprint == ",".join(r.anchors.split(",")[:syncmers.KEPT])
+        assert r.edited_fingerprint == ",".join(r.edited_anchors.split(",")[:syncmers.KEPT])
+
+
 def test_units_of_a_text_are_found_once(spark):
     df = spark.createDataFrame([(1, "some words of a text"), (2, "and of another")], "doc_id long, text string")
     plan = syncmers.fingerprints(df)._jdf.queryExecution().optimizedPlan().toString()
